@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import common, jaccard_join, line_dedup, source_mixing
+from curatrix.llm import common, decontamination, jaccard_join, line_dedup, source_mixing
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return jaccard_join.keep_one(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean_documents(docs, common.read(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often."""
     return source_mixing.mixed_documents(docs)
@@ -25,6 +30,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("line dedup", line_stage),
     ("n-gram Jaccard join", jaccard_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mixing_stage),
 ]
 

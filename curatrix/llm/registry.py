@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, source_mixing
+from . import decontamination, jaccard_join, line_dedup, source_mixing, suffix_tree_lm, warc
 
-_MODULES = (source_mixing, jaccard_join, line_dedup)
+_MODULES = (suffix_tree_lm, warc, decontamination, source_mixing, jaccard_join, line_dedup)
 
 QUERIES = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
 ORACLES = {name: m.ORACLE_SQL for m in _MODULES for name in vars(m) if name in QUERIES and getattr(m, "ORACLE_SQL", None)}
