@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import common, decontamination, jaccard_join, line_dedup, source_mixing
+from curatrix.llm import common, decontamination, jaccard_join, line_dedup, ordinal_classifier, source_mixing
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are graded below the top go."""
+    return ordinal_classifier.good_documents(docs, common.read(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +33,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality classifier", quality_stage),
     ("line dedup", line_stage),
     ("n-gram Jaccard join", jaccard_stage),
     ("benchmark decontamination", decontamination_stage),

@@ -187,3 +187,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(id, text, quality, toxic) of at most `limit` labelled ids, those first by a hash of the id; docs: (id, text).
+
+    The sample is broadcast, as `limit` bounds it. Ids labelled more than once take the lowest quality and highest toxicity.
+    """
+    one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    return docs.join(F.broadcast(one.orderBy(F.xxhash64("id"), "id").limit(limit)), "id")
