@@ -28,6 +28,7 @@ from .common import arrow_batch, connected_components, digest, lookup, mix64, pa
 
 _U = np.uint64
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def size_classes(num: int, den: int, upto: int) -> list[int]:
@@ -171,72 +172,29 @@ def _made(links: _Links) -> pd.DataFrame:
     return pd.DataFrame(links.made, columns=["a", "b"], dtype="int64")
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs; texts link when den * |A n B| >= num * |A u B|."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bounds = size_classes(num, den, 1 << 40)
+def to_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, d) in order: each d but the first of its key, with the first."""
+    key = pivot = None
+    for batch in batches:
+        k, d = (batch.column(i).to_numpy() for i in (0, 1))
+        if not len(k):
+            continue
+        new = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        first = np.where(at >= 0, d[at], d[0] if pivot is None else pivot)
+        key, pivot = k[-1], first[-1]
+        pairs = np.unique(np.stack((d, first), 1)[d != first], axis=0)
+        if len(pairs):
+            yield arrow_batch(EDGES, [pairs[:, 0], pairs[:, 1]])
 
-    def sets(texts: list) -> Iterator[np.ndarray]:
-        words = words_of(texts)
-        h = words.hashes()
-        for i in range(len(texts)):
-            yield shingle_set(h[words.bounds[i] : words.bounds[i + 1]], n)
 
-    row_schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
+def group_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that make the components of members (met, d, n, shingles): sets of one group `met` may link, by d.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "text"):
-            found = [(len(s), digest(s) if len(s) else None) for s in sets(texts)]
-            yield arrow_batch(row_schema, [batch.column(0), [f[0] for f in found], [f[1] for f in found]])
-
-    sign_schema = pa.schema([("signature", pa.int64()), ("d", pa.int64())])
-
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies within a task are told once
-        for _, texts in text_chunks(batches, "text"):
-            keys, ids = [], []
-            for s in sets(texts):
-                if len(s) and (d := digest(s)) not in seen:
-                    seen.add(d)
-                    keys.append(part_signatures(s, num, den, bounds))
-                    ids.append(np.full(len(keys[-1]), d))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if keys:
-                yield arrow_batch(sign_schema, [np.concatenate(keys).view(np.int64), np.concatenate(ids)])
-
-    edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def to_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order: each text but the first of a signature, with the first."""
-        key = pivot = None
-        for batch in batches:
-            k, d = (batch.column(i).to_numpy() for i in (0, 1))
-            if not len(k):
-                continue
-            new = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            first = np.where(at >= 0, d[at], d[0] if pivot is None else pivot)
-            key, pivot = k[-1], first[-1]
-            pairs = np.unique(np.stack((d, first), 1)[d != first], axis=0)
-            if len(pairs):
-                yield arrow_batch(edge_schema, [pairs[:, 0], pairs[:, 1]])
-
-    table = save(docs.mapInArrow(rows, "id long, n long, d long"), "jaccard-rows")
-    signed = docs.mapInArrow(signatures, "signature long, d long").repartition(partitions_for(docs), "signature").sortWithinPartitions("signature", "d")
-    met = connected_components(signed.mapInArrow(to_smallest, "a long, b long"))
-
-    # The sets of those that met, one text of each class; texts under one id are told apart by the digest.
-    one = table.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("id")).join(met.select(F.col("id").alias("d"), F.col("component").alias("met")), "d")
-    set_schema = pa.schema([("met", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "text"):
-            found = [(g, d, len(s), s.tobytes()) for g, d, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets(texts), strict=True) if digest(s) == d]
-            yield arrow_batch(set_schema, [list(c) for c in zip(*found, strict=True)] or [[], [], [], []])
-
-    texts = docs.join(one, docs["id"].eqNullSafe(one["id"])).select(docs["text"], "met", "d")
-    members = save(texts.mapInArrow(with_sets, "met long, d long, n long, shingles binary").dropDuplicates(["d"]), "jaccard-sets")
+    Groups are joined by signature trees in blocks of bounded size. For a group of several blocks, one set of each
+    component found goes on to the next level, until that joins little more; what is then outside the group's largest
+    component is compared with all of the group, block by block.
+    """
 
     def blocked(rows: DataFrame, seed: int) -> DataFrame:
         """Blocks of bounded rows and shingles: by size class, then by hash."""
@@ -283,7 +241,60 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
             l = minor.withColumnRenamed("block", "lb").join(pairs, ["met", "lb"])
             r = every.withColumnRenamed("block", "rb").join(pairs, ["met", "rb"])
             links = links.unionByName(save(l.groupBy(keys).cogroup(r.groupBy(keys)).applyInPandas(across, "a long, b long"), "jaccard-links"))
+    return links
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs; texts link when den * |A n B| >= num * |A u B|."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    bounds = size_classes(num, den, 1 << 40)
+
+    def sets(texts: list) -> Iterator[np.ndarray]:
+        words = words_of(texts)
+        h = words.hashes()
+        for i in range(len(texts)):
+            yield shingle_set(h[words.bounds[i] : words.bounds[i + 1]], n)
+
+    row_schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, "text"):
+            found = [(len(s), digest(s) if len(s) else None) for s in sets(texts)]
+            yield arrow_batch(row_schema, [batch.column(0), [f[0] for f in found], [f[1] for f in found]])
+
+    sign_schema = pa.schema([("signature", pa.int64()), ("d", pa.int64())])
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within a task are told once
+        for _, texts in text_chunks(batches, "text"):
+            keys, ids = [], []
+            for s in sets(texts):
+                if len(s) and (d := digest(s)) not in seen:
+                    seen.add(d)
+                    keys.append(part_signatures(s, num, den, bounds))
+                    ids.append(np.full(len(keys[-1]), d))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if keys:
+                yield arrow_batch(sign_schema, [np.concatenate(keys).view(np.int64), np.concatenate(ids)])
+
+    table = save(docs.mapInArrow(rows, "id long, n long, d long"), "jaccard-rows")
+    signed = docs.mapInArrow(signatures, "signature long, d long").repartition(partitions_for(docs), "signature").sortWithinPartitions("signature", "d")
+    met = connected_components(signed.mapInArrow(to_smallest, "a long, b long"))
+
+    # The sets of those that met, one text of each class; texts under one id are told apart by the digest.
+    one = table.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("id")).join(met.select(F.col("id").alias("d"), F.col("component").alias("met")), "d")
+    set_schema = pa.schema([("met", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, "text"):
+            found = [(g, d, len(s), s.tobytes()) for g, d, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets(texts), strict=True) if digest(s) == d]
+            yield arrow_batch(set_schema, [list(c) for c in zip(*found, strict=True)] or [[], [], [], []])
+
+    texts = docs.join(one, docs["id"].eqNullSafe(one["id"])).select(docs["text"], "met", "d")
+    members = save(texts.mapInArrow(with_sets, "met long, d long, n long, shingles binary").dropDuplicates(["d"]), "jaccard-sets")
 
+    links = group_links(members, num, den)
     label = connected_components(links).select(F.col("id").alias("d"), "component")
     classes = save(table.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("low"), F.count("*").alias("copies")).join(label, "d", "left").where("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "d")), "jaccard-classes")
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("_classes"))

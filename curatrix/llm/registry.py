@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_crf, line_dedup, ordinal_classifier, source_mixing, suffix_tree_lm, warc
+from . import decontamination, jaccard_join, line_crf, line_dedup, ordinal_classifier, paragraph_minhash, source_mixing, suffix_tree_lm, warc
 
-_MODULES = (suffix_tree_lm, ordinal_classifier, warc, decontamination, source_mixing, line_crf, jaccard_join, line_dedup)
+_MODULES = (paragraph_minhash, suffix_tree_lm, ordinal_classifier, warc, decontamination, source_mixing, line_crf, jaccard_join, line_dedup)
 
 QUERIES = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
 ORACLES = {name: m.ORACLE_SQL for m in _MODULES for name in vars(m) if name in QUERIES and getattr(m, "ORACLE_SQL", None)}
