@@ -51,6 +51,18 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: a polynomial over scrambled bytes, by prefix sums."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    table = mix64(_TABLE + _U(seed)) if seed else _TABLE
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * _power(_BASE, len(data)), out=total[1:])
+        value = (total[end] - total[begin]) * _power(_BASE_INVERSE, len(data))[begin]
+        return mix64(value + (end - begin).astype(np.uint64))
+
+
 class Words(NamedTuple):
     """Words of several texts. bounds[i]:bounds[i+1] are the words of text i; begin and end are byte offsets in raw."""
 
@@ -61,15 +73,8 @@ class Words(NamedTuple):
     text_at: np.ndarray
 
     def hashes(self, lower: bool = True) -> np.ndarray:
-        """A 64-bit hash of each word, with A-Z lower-cased if asked: a polynomial over scrambled bytes, by prefix sums."""
-        if not len(self.begin):
-            return np.zeros(0, np.uint64)
-        data = _LOWER[self.raw] if lower else self.raw
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_TABLE[data] * _power(_BASE, len(data)), out=total[1:])
-            value = (total[self.end] - total[self.begin]) * _power(_BASE_INVERSE, len(data))[self.begin]
-            return mix64(value + (self.end - self.begin).astype(np.uint64))
+        """A 64-bit hash of each word, with A-Z lower-cased if asked."""
+        return span_hashes(_LOWER[self.raw] if lower else self.raw, self.begin, self.end)
 
 
 def words_of(texts: list[str | None]) -> Words:
@@ -171,15 +176,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(rounds):
-        tops = e.groupBy("u").agg(F.count("*").alias("n"))
-        if not e.join(tops.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() and not tops.where("n > 1").limit(1).count():
+        # Stars only: no id is twice an upper end, and none is both an upper and a lower end.
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("upper"), F.lit(0).alias("lower")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("upper"), F.lit(1).alias("lower")))
+        ends = ends.groupBy("x").agg(F.sum("upper").alias("n"), F.max("lower").alias("lower"))
+        if not ends.where("n + lower > 1 AND n > 0").limit(1).count():
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = save(small, "edges")
+        both = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        e = save(both.where("u <> v").distinct(), "edges")
     else:
         raise RuntimeError(f"components not found in {rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
@@ -196,3 +203,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     """
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     return docs.join(F.broadcast(one.orderBy(F.xxhash64("id"), "id").limit(limit)), "id")
+
+
+class Membership:
+    """A Bloom filter of fixed size over 64-bit keys: bounded to send to tasks; false hits are for a join to remove."""
+
+    WORDS = 1 << 20
+
+    def __init__(self, keys: DataFrame, key: str):
+        """Built by aggregation; at most WORDS rows of bits come back, whatever the number of keys."""
+        spots = F.explode(F.array(F.col(key), F.shiftrightunsigned(key, 20), F.shiftleft(key, 7)))
+        bits = keys.select(spots.alias("h")).select(F.col("h").bitwiseAND(self.WORDS - 1).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) AS int))").alias("bit"))
+        rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        self.bits = np.zeros(self.WORDS, np.int64)
+        self.bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """For signed 64-bit keys, which are scrambled already."""
+        k, found = keys.view(np.uint64), np.ones(len(keys), bool)
+        for h in (k, k >> _U(20), k << _U(7)):
+            found &= (self.bits.view(np.uint64)[(h & _U(self.WORDS - 1)).astype(np.int64)] >> (h >> _U(58)) & _U(1)).astype(bool)
+        return found

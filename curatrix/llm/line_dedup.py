@@ -11,10 +11,14 @@ kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, lookup, read, save
+from .common import WORD, arrow_batch, lookup, read, save, span_hashes, text_chunks, words_of
 
 MIN_SITES = 10
 LG_K = 12  # of the sketches: relative error 1.04 / sqrt(2**12)
@@ -34,20 +38,54 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with cleaned texts, and the numbers of lines before and of lines removed in the columns `counts`."""
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
-    split = F.split(F.col(text_col), "\n", -1)
-    lines = docs.select(key.alias("row"), F.col(site_col).alias("site"), F.posexplode(split).alias("pos", "line")).where(F.col("line").rlike(WORD))
-    at = F.struct("row.id", "row.text_hash", "pos").alias("at")
-    lines = save(lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "site", at), "lines")
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).cast("string").alias("text"))
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("site", pa.string()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, "text"):
+            words = words_of(texts)
+            ends = np.flatnonzero(words.raw == 10)
+            begins = np.concatenate(([0], ends[:-1] + 1))
+            has = np.searchsorted(words.begin, ends) > np.searchsorted(words.begin, begins)
+            text_of = np.searchsorted(words.text_at, begins, side="right") - 1
+            pos = np.arange(len(begins)) - np.searchsorted(begins, words.text_at[:-1])[text_of]
+            begins, ends, of, pos = begins[has], ends[has], text_of[has], pos[has]
+            whole = span_hashes(words.raw, words.text_at[:-1], words.text_at[1:] - 1).view(np.int64)
+            at = pa.array(of)
+            yield arrow_batch(schema, [batch.column(0).take(at), whole[of], pos.astype(np.int32), batch.column(1).take(at), *(span_hashes(words.raw, begins, ends, seed).view(np.int64) for seed in (1, 2))])
+
+    lines = save(lines.mapInArrow(hashed, "id long, text_hash long, pos int, site string, h1 long, h2 long"), "lines")
+    at = F.struct("id", "text_hash", "pos").alias("at")
+    lines = lines.select("h1", "h2", "site", at)
     found = save(boilerplate_lines(lines, min_sites), "boilerplate")
     key = F.struct("h1", "h2").alias("line")
     hits = lookup(lines.select(key, "at"), found.select(key, "n", "first"), "line", "n", lines.count())
-    gone = hits.where("at <> first").groupBy("at.id", "at.text_hash").agg(F.collect_set("at.pos").alias("_gone"))
-    mine = docs.withColumn("_hash", F.xxhash64(text_col))
-    out = mine.join(gone, mine[id_col].eqNullSafe(gone["id"]) & (mine["_hash"] == gone["text_hash"]), "left")
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    number = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long")
-    return out.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns], number.alias(counts[0]), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(counts[1]))
+    gone = hits.where("at <> first").groupBy("at.id", "at.text_hash").agg(F.collect_set("at.pos").alias("gone"))
+    gone = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("text_hash", "gone")).alias("_gone"))
+    names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    marked = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left").drop("_id").toDF(*inner, "gone")
+    of = names.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, inner[of]):
+            out, before, removed = list(texts), [], []
+            for i, (text, gone) in enumerate(zip(texts, batch.column(len(inner)).to_pylist(), strict=True)):
+                split = [] if text is None else text.split("\n")
+                lost: list[int] = []
+                if gone and split:
+                    raw = text.encode()
+                    whole = int(span_hashes(np.frombuffer(raw + b"\n", np.uint8), np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+                    lost = next((g["gone"] for g in gone if g["text_hash"] == whole), [])
+                if lost:
+                    drop = set(lost)
+                    out[i] = "\n".join(x for n, x in enumerate(split) if n not in drop)
+                before.append(len(split))
+                removed.append(len(lost))
+            columns = [pa.array(out, pa.string()) if c == of else batch.column(c) for c in range(len(inner))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=[*inner, "before", "removed"])
+
+    ddl = ", ".join(f"{c} {t}" for c, t in marked.dtypes[:-1])
+    return marked.mapInArrow(cut, f"{ddl}, before long, removed long").toDF(*names, *counts)
 
 
 def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -57,7 +95,7 @@ def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_lines(read(spark, sf_dir, "documents"))
+    out = remove_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
