@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, connected_components, digest, lookup, mix64, partitions_for, read, save, shingle_set, text_chunks, words_of
+from .common import Membership, arrow_batch, connected_components, digest, lookup, mix64, partitions_for, read, save, shingle_set, text_chunks, words_of
 
 _U = np.uint64
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -125,34 +125,39 @@ def dual_traversal(x: _Tree, y: _Tree, links: _Links, num: int, den: int) -> Non
             whole[key] = found[0]
         return whole[key]
 
-    def may(a: tuple[int, int], b: tuple[int, int]) -> bool:
-        (ma, la, ha, ea), (mb, lb, hb, eb) = x.levels[a[0]], y.levels[b[0]]
-        i, j = a[1], b[1]
-        if num * max(la[i], lb[j]) > den * min(ha[i], hb[j]):
-            return False
-        overlap = min(int(np.bitwise_count(ma[i] & mb[j]).sum()) + min(ea[i], eb[j]), ha[i], hb[j])
-        return overlap * (den + num) >= num * (la[i] + lb[j])
+    def possible(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> np.ndarray:
+        """Which pairs of nodes, each side of one level, may hold a link: by their sizes and their largest overlap."""
+        (ma, la, ha, ea), (mb, lb, hb, eb) = x.levels[a[0][0]], y.levels[b[0][0]]
+        i, j = slice(a[0][1], a[-1][1] + 1), slice(b[0][1], b[-1][1] + 1)
+        high = np.minimum(ha[i, None], hb[None, j])
+        ok = num * np.maximum(la[i, None], lb[None, j]) <= den * high
+        if ok.any():
+            shared = np.bitwise_count(ma[i, None] & mb[None, j]).sum(2, dtype=np.int64) + np.minimum(ea[i, None], eb[None, j])
+            ok &= np.minimum(shared, high) * (den + num) >= num * (la[i, None] + lb[None, j])
+        return ok
 
     def visit(a: tuple[int, int], b: tuple[int, int]) -> None:
+        """Of a pair that may hold links."""
         same = x is y and a == b
-        if same and a[0] == 0:
-            return
-        p, q = one(x, a), one(y, b)
-        if p is not None and q is not None and links.find(p) == links.find(q) or not same and not may(a, b):
-            return
         if a[0] == 0 and b[0] == 0:
-            s, t = x.sets[a[1]], y.sets[b[1]]
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if both * den >= num * (len(s) + len(t) - both):
-                links.link(x.ids[a[1]], y.ids[b[1]])
+            if not same and links.find(x.ids[a[1]]) != links.find(y.ids[b[1]]):
+                s, t = x.sets[a[1]], y.sets[b[1]]
+                s, t = (s, t) if len(s) <= len(t) else (t, s)
+                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                if both * den >= num * (len(s) + len(t) - both):
+                    links.link(x.ids[a[1]], y.ids[b[1]])
             return
         left = x.children(a) if a[0] >= b[0] and a[0] else [a]
         right = y.children(b) if b[0] >= a[0] and b[0] else [b]
         if same:
             for c in left:
                 visit(c, c)
-        for n, c in enumerate(left):
-            for d in right[n + 1 :] if same else right:
+        for n, m in np.argwhere(possible(left, right)).tolist():
+            if same and m <= n:
+                continue
+            c, d = left[n], right[m]
+            p, q = one(x, c), one(y, d)
+            if p is None or q is None or links.find(p) != links.find(q):
                 visit(c, d)
 
     if x.sets and y.sets:
@@ -168,8 +173,13 @@ def _bits(*frames: pd.DataFrame) -> int:
     return 64 * min(max(4, most * 4 // 64), 1024)
 
 
-def _made(links: _Links) -> pd.DataFrame:
-    return pd.DataFrame(links.made, columns=["a", "b"], dtype="int64")
+def _stars(links: _Links) -> pd.DataFrame:
+    """The ids that were linked, each with the smallest of its component."""
+    ids = {i for pair in links.made for i in pair}
+    least: dict[int, int] = {}
+    for i in ids:
+        least[links.find(i)] = min(least.get(links.find(i), i), i)
+    return pd.DataFrame([(i, c) for i in ids if (c := least[links.find(i)]) != i], columns=["a", "b"], dtype="int64")
 
 
 def to_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +198,8 @@ def to_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield arrow_batch(EDGES, [pairs[:, 0], pairs[:, 1]])
 
 
-def group_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that make the components of members (met, d, n, shingles): sets of one group `met` may link, by d.
+def group_components(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(d, component) of the linked among members (met, d, n, shingles): sets of one group `met` may link, by d.
 
     Groups are joined by signature trees in blocks of bounded size. For a group of several blocks, one set of each
     component found goes on to the next level, until that joins little more; what is then outside the group's largest
@@ -207,13 +217,13 @@ def group_links(members: DataFrame, num: int, den: int) -> DataFrame:
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         links, tree = _Links(), _tree(pdf, _bits(pdf))
         dual_traversal(tree, tree, links, num, den)
-        return _made(links)
+        return _stars(links)
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         links = _Links({int(d): int(c) for f in (left, right) for d, c in zip(f["d"], f["component"], strict=True)})
         bits = _bits(left, right)
         dual_traversal(_tree(left, bits), _tree(right, bits), links, num, den)
-        return _made(links)
+        return _stars(links)
 
     blocks = save(blocked(members, 0), "jaccard-blocks")
     links = save(blocks.groupBy("met", "block").applyInPandas(within, "a long, b long"), "jaccard-links")
@@ -241,7 +251,9 @@ def group_links(members: DataFrame, num: int, den: int) -> DataFrame:
             l = minor.withColumnRenamed("block", "lb").join(pairs, ["met", "lb"])
             r = every.withColumnRenamed("block", "rb").join(pairs, ["met", "rb"])
             links = links.unionByName(save(l.groupBy(keys).cogroup(r.groupBy(keys)).applyInPandas(across, "a long, b long"), "jaccard-links"))
-    return links
+        return connected_components(links).withColumnRenamed("id", "d")
+    # Each group was one block, whose links are stars already.
+    return links.select(F.col("a").alias("d"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("d"), F.col("b").alias("component")).distinct())
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,20 +294,26 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     signed = docs.mapInArrow(signatures, "signature long, d long").repartition(partitions_for(docs), "signature").sortWithinPartitions("signature", "d")
     met = connected_components(signed.mapInArrow(to_smallest, "a long, b long"))
 
-    # The sets of those that met, one text of each class; texts under one id are told apart by the digest.
-    one = table.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("id")).join(met.select(F.col("id").alias("d"), F.col("component").alias("met")), "d")
-    set_schema = pa.schema([("met", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+    # The sets of those that met, one of each class.
+    sent = docs.sparkSession.sparkContext.broadcast(Membership(met, "id"))
+    set_schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "text"):
-            found = [(g, d, len(s), s.tobytes()) for g, d, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets(texts), strict=True) if digest(s) == d]
-            yield arrow_batch(set_schema, [list(c) for c in zip(*found, strict=True)] or [[], [], [], []])
-
-    texts = docs.join(one, docs["id"].eqNullSafe(one["id"])).select(docs["text"], "met", "d")
-    members = save(texts.mapInArrow(with_sets, "met long, d long, n long, shingles binary").dropDuplicates(["d"]), "jaccard-sets")
+        seen: set[int] = set()
+        for _, texts in text_chunks(batches, "text"):
+            found = [(digest(s), s) for s in sets(texts) if len(s)]
+            may = sent.value.may_hold(np.array([d for d, _ in found], np.int64))
+            found = [x for x, m in zip(found, may, strict=True) if m and x[0] not in seen]
+            found = list({d: (d, len(s), s.tobytes()) for d, s in found}.values())
+            seen.update(d for d, _, _ in found)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if found:
+                yield arrow_batch(set_schema, [list(c) for c in zip(*found, strict=True)])
 
-    links = group_links(members, num, den)
-    label = connected_components(links).select(F.col("id").alias("d"), "component")
+    members = docs.mapInArrow(with_sets, "d long, n long, shingles binary").join(met.select(F.col("id").alias("d"), F.col("component").alias("met")), "d")
+    members = save(members.groupBy("d").agg(F.first("met").alias("met"), F.first("n").alias("n"), F.first("shingles").alias("shingles")), "jaccard-sets")
+    label = group_components(members, num, den)
     classes = save(table.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("low"), F.count("*").alias("copies")).join(label, "d", "left").where("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "d")), "jaccard-classes")
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("_classes"))
     named = lookup(classes, lowest, "component", "_classes", classes.count()).select("d", "copies", "component_id")

@@ -254,7 +254,7 @@ def category_rankings(cards: DataFrame, categories: Sequence[str], k: int = 3) -
             pdf = pdf.drop(chosen.index)
         return pd.DataFrame(out, columns=["slot", "rank", "id"])
 
-    return rows.groupBy(F.lit(1)).applyInPandas(pick, "slot string, rank int, id string")
+    return rows.withColumn("_all", F.lit("")).groupBy("_all").applyInPandas(pick, "slot string, rank int, id string")
 
 
 def newest(df: DataFrame, n: int) -> DataFrame:
