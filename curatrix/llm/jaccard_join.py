@@ -1,7 +1,8 @@
 """Operator 9: n-gram Jaccard self-join by signature trees.
 
 Which texts meet: the shingles of a text are dealt into k parts by hash, k above the largest symmetric difference that
-two texts of its size class may have, so linked texts agree on a whole part. Texts that agree on a part form groups
+two texts of its size class may have, so linked texts agree on a whole part (small parts are left out where others must
+agree as well). Texts that agree on a part form groups
 (by components of part-to-smallest edges); each group, in blocks of bounded size, is joined by a signature tree.
 Which texts link: tree nodes hold OR-combined bitmaps and size ranges; a dual traversal drops node pairs whose largest
 possible overlap is too small, and node pairs already in one component; leaves are compared exactly.
@@ -47,14 +48,16 @@ def part_signatures(shingles: np.ndarray, num: int, den: int, bounds: list[int])
     value = mix64(shingles ^ _U(0x1234567887654321))
     for group in (own, own + 1):
         differ = 2 * (bounds[group + 1] - 1) * (den - num) // (den + num)
-        parts = differ + 1 + (differ // 8 + 1 if differ else 0)
+        parts = differ + 1 + (2 * differ // 5 + 1 if differ else 0)
         at = ((spread >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
         sums, counts = np.zeros(parts, _U), np.bincount(at, minlength=parts)
         with np.errstate(over="ignore"):
             np.add.at(sums, at, value)
             signature = mix64(sums + mix64(np.arange(parts, dtype=_U) + _U(group << 32)))
-        # Parts empty on both sides are no more than this side's; where they can't be all that agree, they aren't needed.
-        out.append(signature[counts > 0] if (counts == 0).sum() < parts - differ else signature)
+        # Parts of up to so many shingles, which common passages share, aren't needed where they can't be all that agree:
+        # of the parts that agree (parts - differ at least) no more than this side has of them are that small.
+        small = np.flatnonzero(np.cumsum(np.bincount(counts)) < parts - differ)
+        out.append(signature[counts > small[-1]] if len(small) else signature)
     return np.concatenate(out)
 
 
@@ -67,13 +70,10 @@ class _Tree:
     def __init__(self, sets: list[np.ndarray], ids: list[int], bits: int):
         order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]) >> 58, len(sets[i]), ids[i]))
         self.sets, self.ids = [sets[i] for i in order], [ids[i] for i in order]
-        maps = np.zeros((len(order), bits // 8), np.uint8)
-        for row, s in zip(maps, self.sets, strict=True):
-            flags = np.zeros(bits, np.uint8)
-            flags[(s % _U(bits)).astype(np.int64)] = 1
-            row[:] = np.packbits(flags)
-        maps = maps.view(np.uint64)
         sizes = np.array([len(s) for s in self.sets])
+        flags = np.zeros((len(order), bits), np.uint8)
+        flags[np.repeat(np.arange(len(order)), sizes), (np.concatenate(self.sets) % _U(bits)).astype(np.int64)] = 1
+        maps = np.packbits(flags, axis=1).view(np.uint64)
         levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(1).astype(np.int64))]
         while len(levels[-1][0]) > 1:
             m, lo, hi, excess = levels[-1]
@@ -168,18 +168,18 @@ def _tree(pdf: pd.DataFrame, bits: int) -> _Tree:
     return _Tree([np.frombuffer(b, _U) for b in pdf["shingles"]], [int(i) for i in pdf["d"]], bits)
 
 
-def _bits(*frames: pd.DataFrame) -> int:
-    most = max((len(b) // 8 for f in frames for b in f["shingles"]), default=1)
-    return 64 * min(max(4, most * 4 // 64), 1024)
+def _bits(most: int) -> int:
+    """Bits of the bitmaps for sets of up to `most` shingles."""
+    return 64 * min(max(4, most * 4 // 64), 256)
 
 
-def _stars(links: _Links) -> pd.DataFrame:
+def _stars(links: _Links) -> list[tuple[int, int]]:
     """The ids that were linked, each with the smallest of its component."""
     ids = {i for pair in links.made for i in pair}
     least: dict[int, int] = {}
     for i in ids:
         least[links.find(i)] = min(least.get(links.find(i), i), i)
-    return pd.DataFrame([(i, c) for i in ids if (c := least[links.find(i)]) != i], columns=["a", "b"], dtype="int64")
+    return [(i, c) for i in ids if (c := least[links.find(i)]) != i]
 
 
 def to_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,19 +214,45 @@ def group_components(members: DataFrame, num: int, den: int) -> DataFrame:
         large = sized.where((F.col("_m") > BLOCK_ROWS) | (F.col("_s") > BLOCK_SHINGLES)).select("met").join(by_class, "met")
         return rows.join(large, ["met", "class"], "left").withColumn("block", F.when(F.col("_k").isNull(), F.lit("")).otherwise(F.concat_ws(":", "class", F.pmod(F.xxhash64("d", F.lit(seed)), "_k")))).drop("_k")
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        links, tree = _Links(), _tree(pdf, _bits(pdf))
-        dual_traversal(tree, tree, links, num, den)
-        return _stars(links)
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each block of rows in order (met, block, d, shingles)."""
+        key, ids, sets = None, [], []
+        made: list[tuple[int, int]] = []
+
+        def join() -> None:
+            if len(ids) > 1:
+                links = _Links()
+                tree = _Tree(sets, ids, _bits(max(map(len, sets))))
+                dual_traversal(tree, tree, links, num, den)
+                made.extend(_stars(links))
+
+        for batch in batches:
+            met, block, d, shingles = (batch.column(i).to_pylist() for i in range(4))
+            for k, i, s in zip(zip(met, block, strict=True), d, shingles, strict=True):
+                if k != key:
+                    join()
+                    key, ids, sets = k, [], []
+                ids.append(i)
+                sets.append(np.frombuffer(s, _U))
+            if made:
+                yield arrow_batch(EDGES, [list(c) for c in zip(*made, strict=True)])
+                made.clear()
+        join()
+        if made:
+            yield arrow_batch(EDGES, [list(c) for c in zip(*made, strict=True)])
+
+    def joined(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("met", "block", "d", "shingles").repartition(partitions_for(rows), "met", "block").sortWithinPartitions("met", "block")
+        return save(dealt.mapInArrow(within, "a long, b long"), "jaccard-links")
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         links = _Links({int(d): int(c) for f in (left, right) for d, c in zip(f["d"], f["component"], strict=True)})
-        bits = _bits(left, right)
+        bits = _bits(max(len(b) // 8 for f in (left, right) for b in f["shingles"]))
         dual_traversal(_tree(left, bits), _tree(right, bits), links, num, den)
-        return _stars(links)
+        return pd.DataFrame(_stars(links), columns=["a", "b"], dtype="int64")
 
     blocks = save(blocked(members, 0), "jaccard-blocks")
-    links = save(blocks.groupBy("met", "block").applyInPandas(within, "a long, b long"), "jaccard-links")
+    links = joined(blocks)
     large = blocks.where("block <> ''").drop("class", "block")
     if large.limit(1).count():
         large = save(large, "jaccard-large")
@@ -234,7 +260,7 @@ def group_components(members: DataFrame, num: int, den: int) -> DataFrame:
         while True:  # one text of each component found goes on to the next level, until that joins little more
             now = _labelled(large, links)
             tops = now.where("d = component").drop("component")
-            found = save(blocked(tops, level).groupBy("met", "block").applyInPandas(within, "a long, b long"), "jaccard-links")
+            found = joined(blocked(tops, level))
             links, before, left, level = links.unionByName(found), left, tops.count(), level + 1
             if left > 0.9 * before or not found.limit(1).count():
                 break
