@@ -1,6 +1,7 @@
 """Operator 5: a deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by page_id and compressed one by one; a file's number is the compressed bytes before a record,
+Records are range-sorted by page_id and compressed one by one (once for their sizes, once more as they are written, which
+costs less than moving them twice); a file's number is the compressed bytes before a record,
 over all files, divided by the roll size, so files don't depend on partitions, retries or the cluster. Each file is written
 under a temporary name by one task and renamed when whole; the manifest table, written last, names the files that count.
 Readers follow the manifest, check sizes and digests, and see nothing of attempts that were lost.
@@ -19,6 +20,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +59,23 @@ def _record(page: int | None, url: str | None, payload: bytes, sha1: str, of: in
     return _member(headers, block)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            yield batch.slice(at, 64)
+
+
+def _members(part: pa.RecordBatch) -> Iterator[bytes]:
+    """Records of rows (page, url, payload, sha1, of)."""
+    for page, url, text, sha1, of in zip(*(c.to_pylist() for c in part.columns), strict=True):
+        yield _record(page, url, text.encode(), sha1, of if of is not None and of != page else None)
+
+
+def _key(page: int | None, url: str | None, sha1: str) -> tuple:
+    """Compares as Spark sorts: nulls first, texts by code point."""
+    return page is not None, page or 0, url is not None, url or "", sha1
+
+
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes folder/*.warc.gz and folder/manifest; returns the manifest (file, records, bytes, sha1)."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
@@ -66,22 +85,30 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, id_c
     rows = rows.withColumn("key", F.concat_ws(":", "sha1", "size"))
     copies = save(copies, "warc-copies")
     rows = lookup(rows, copies, "key", "n", copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    schema = pa.schema([("page", pa.int64()), ("url", pa.string()), ("sha1", pa.string()), ("member", pa.binary()), ("bytes", pa.int64())])
+    rows = rows.select("page", "url", "payload", "sha1", "of")
+    schema = pa.schema([("page", pa.int64()), ("url", pa.string()), ("sha1", pa.string()), ("bytes", pa.int64())])
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                page, url, text, sha1, of = (part.column(i).to_pylist() for i in range(5))
-                made = [_record(p, u, t.encode(), s, o if o is not None and o != p else None) for p, u, t, s, o in zip(page, url, text, sha1, of, strict=True)]
-                yield arrow_batch(schema, [part.column(0), part.column(1), part.column(3), made, [len(m) for m in made]])
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _small(batches):
+            yield arrow_batch(schema, [part.column(0), part.column(1), part.column(3), [len(m) for m in _members(part)]])
 
+    # Compressed bytes before each record: sums within range partitions, and over the few partitions.
     order = ["page", "url", "sha1"]
-    made = rows.select("page", "url", "payload", "sha1", "of").mapInArrow(members, "page long, url string, sha1 string, member binary, bytes long")
-    made = save(made.repartitionByRange(partitions_for(pages), *order).withColumn("part", F.spark_partition_id()), "warc-members")
+    made = save(rows.mapInArrow(sizes, "page long, url string, sha1 string, bytes long"), "warc-sizes")
+    made = save(made.repartitionByRange(partitions_for(pages), *order).withColumn("part", F.spark_partition_id()), "warc-sorted")
     before = F.coalesce(F.sum("bytes").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = made.groupBy("part").agg(F.sum("bytes").alias("total")).withColumn("start", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("total")
-    placed = made.withColumn("before", before).join(parts, "part").select(F.floor((F.col("start") + F.col("before")) / roll_bytes).cast("long").alias("file"), (F.col("start") + F.col("before")).alias("at"), "member")
+    placed = made.withColumn("before", before).join(parts, "part").withColumn("file", F.floor((F.col("start") + F.col("before")) / roll_bytes))
+    # A row for each file: its first key. Equal keys share the later file.
+    starts = [_key(*r["first"]) for r in placed.groupBy("file").agg(F.min(F.struct(*order)).alias("first")).orderBy("file").collect()]
+    sent = pages.sparkSession.sparkContext.broadcast(starts)
+    filed_schema = pa.schema([("file", pa.int64()), ("page", pa.int64()), ("url", pa.string()), ("payload", pa.string()), ("sha1", pa.string()), ("of", pa.int64())])
+
+    def file_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, url, sha1 = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            yield arrow_batch(filed_schema, [[bisect_right(sent.value, _key(*k)) - 1 for k in zip(page, url, sha1, strict=True)], *batch.columns])
+
     done_schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +120,8 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, id_c
             store.move(temporary, f"{base}/{name}")
             return arrow_batch(done_schema, [[name], [records], [size], [sha.hexdigest()]])
 
-        for batch in batches:
-            for file, member in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for part in _small(batches):
+            for file, member in zip(part.column(0).to_pylist(), _members(part.select(filed_schema.names[1:])), strict=True):
                 if file != number:
                     if out:
                         yield finish()
@@ -110,20 +137,24 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, id_c
 
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    files = placed.repartition(partitions_for(pages), "file").sortWithinPartitions("file", "at")
+    filed = rows.mapInArrow(file_of, "file long, page long, url string, payload string, sha1 string, of long")
+    files = filed.repartition(partitions_for(pages), "file").sortWithinPartitions("file", *order)
     files.mapInArrow(write, "file string, records long, bytes long, sha1 string").write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 
 def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each member of a file."""
-    view = memoryview(content)
-    while len(view):
-        z = zlib.decompressobj(31)
-        data = z.decompress(view)
-        if not z.eof:
-            raise ValueError("a record is cut short")
-        view = view[len(view) - len(z.unused_data) :]
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a record is cut short")
+            piece = view[at : at + (1 << 15)]  # small pieces: what is left over is copied
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield headers, rest[: int(headers["Content-Length"])]
