@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, read, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_TEXTS, MIN_MARGINAL, ROUNDS = 4000, 0.8, 12
+FIT_TEXTS, MIN_MARGINAL, ROUNDS, AGREEMENT = 4000, 0.8, 12, 4.0
 
 # The patterns of the base spans, each from the edge of a run so that no place is tried twice.
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
@@ -177,12 +177,15 @@ def fit(texts: list[list[Mention]], rounds: int = 150) -> Field:
         skip.append(s + base)
     node, links = np.zeros((FEATURES, 5)), np.zeros((2, 5, 5))
     if not y:
-        return Field(node, links[0], links[1])
+        return Field(node, links[0], AGREEMENT * np.eye(5))
     x, y, known = np.array(x), np.array(y), np.array(known)
     gold = np.eye(5)[y]
     pairs = [e[known[e].all(1)] for e in (np.concatenate(chain), np.concatenate(skip))]
     n = known.sum()
-    p = np.zeros(FEATURES * 5 + 50)
+    # Repeats are rare in a sample, so the prior of the skip potential is agreement.
+    prior = np.concatenate((np.zeros(FEATURES * 5 + 25), AGREEMENT * np.eye(5).ravel()))
+    penalty = np.concatenate((np.full(FEATURES * 5, 1e-4), np.full(25, 3e-2), np.full(25, 1e-2)))  # edges decide only where nodes don't
+    p = prior.copy()
     m, v = np.zeros_like(p), np.zeros_like(p)
     for r in range(1, rounds + 1):
         node, links = p[: FEATURES * 5].reshape(FEATURES, 5), p[FEATURES * 5 :].reshape(2, 5, 5)
@@ -194,7 +197,7 @@ def fit(texts: list[list[Mention]], rounds: int = 150) -> Field:
         miss = (gold - q / q.sum(1, keepdims=True)) * known[:, None]
         grads = [gold[e[:, 0]].T @ miss[e[:, 1]] + miss[e[:, 0]].T @ gold[e[:, 1]] for e in pairs]
         grads[1] = (grads[1] + grads[1].T) / 2
-        g = np.concatenate([(x.T @ miss).ravel(), *(a.ravel() for a in grads)]) / n - 1e-4 * p
+        g = np.concatenate([(x.T @ miss).ravel(), *(a.ravel() for a in grads)]) / n - penalty * (p - prior)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p + 0.15 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-9)
     links = p[FEATURES * 5 :].reshape(2, 5, 5)
