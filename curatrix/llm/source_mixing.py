@@ -76,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents of the mix with all their columns, and `repeats`, how often each is taken. Ids must be unique here."""
-    taken = mix(docs, seed=seed).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("long").alias("_times"))
+    taken = mix(docs, seed=seed).where("taken > 0").select("doc_id", F.expr("taken div nullif(size, 0)").alias("_times"))
     return docs.join(taken, "doc_id").withColumnRenamed("_times", "repeats")
 
 
