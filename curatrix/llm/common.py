@@ -135,6 +135,7 @@ def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares: spark.checkpoint.dir. Only where that is unset (as in tests), one of our own."""
+    small_batches(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="curatrix-")
@@ -192,7 +193,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts that go to Python are of few rows, so that long texts don't fill the executors' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
