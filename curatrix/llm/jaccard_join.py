@@ -284,7 +284,12 @@ def group_components(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs; texts link when den * |A n B| >= num * |A u B|."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _components(docs, n, num, den, id_col, text_col).drop("text_hash")
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """As jaccard_components, with a hash of each text."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     bounds = size_classes(num, den, 1 << 40)
 
     def sets(texts: list) -> Iterator[np.ndarray]:
@@ -293,12 +298,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         for i in range(len(texts)):
             yield shingle_set(h[words.bounds[i] : words.bounds[i + 1]], n)
 
-    row_schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
+    row_schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "text"):
             found = [(len(s), digest(s) if len(s) else None) for s in sets(texts)]
-            yield arrow_batch(row_schema, [batch.column(0), [f[0] for f in found], [f[1] for f in found]])
+            yield arrow_batch(row_schema, [batch.column(0), batch.column(2), [f[0] for f in found], [f[1] for f in found]])
 
     sign_schema = pa.schema([("signature", pa.int64()), ("d", pa.int64())])
 
@@ -316,8 +321,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
             if keys:
                 yield arrow_batch(sign_schema, [np.concatenate(keys).view(np.int64), np.concatenate(ids)])
 
-    table = save(docs.mapInArrow(rows, "id long, n long, d long"), "jaccard-rows")
-    signed = docs.mapInArrow(signatures, "signature long, d long").repartition(partitions_for(docs), "signature").sortWithinPartitions("signature", "d")
+    table = save(docs.mapInArrow(rows, "id long, text_hash long, n long, d long"), "jaccard-rows")
+    signed = docs.select("text").mapInArrow(signatures, "signature long, d long").repartition(partitions_for(docs), "signature").sortWithinPartitions("signature", "d")
     met = connected_components(signed.mapInArrow(to_smallest, "a long, b long"))
 
     # The sets of those that met, one of each class.
@@ -337,14 +342,14 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
             if found:
                 yield arrow_batch(set_schema, [list(c) for c in zip(*found, strict=True)])
 
-    members = docs.mapInArrow(with_sets, "d long, n long, shingles binary").join(met.select(F.col("id").alias("d"), F.col("component").alias("met")), "d")
+    members = docs.select("text").mapInArrow(with_sets, "d long, n long, shingles binary").join(met.select(F.col("id").alias("d"), F.col("component").alias("met")), "d")
     members = save(members.groupBy("d").agg(F.first("met").alias("met"), F.first("n").alias("n"), F.first("shingles").alias("shingles")), "jaccard-sets")
     label = group_components(members, num, den)
     classes = save(table.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("low"), F.count("*").alias("copies")).join(label, "d", "left").where("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "d")), "jaccard-classes")
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("_classes"))
     named = lookup(classes, lowest, "component", "_classes", classes.count()).select("d", "copies", "component_id")
     out = lookup(table, named, "d", "copies", table.count())
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "text_hash")
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -353,10 +358,19 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Documents with all their columns, one of each group: that with the smallest doc_id; ids that repeat keep one row."""
-    found = jaccard_components(docs, n, num, den)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]) if docs.columns else docs
+    """Documents with all their columns, one of each group: that with the smallest doc_id.
+
+    Of rows that repeat an id and a text one stays; rows of one id with other texts are judged apart. Rows without id go if
+    their group has a document with one.
+    """
+    found = _components(docs, n, num, den, "doc_id", "text")
+    rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_gone"), F.count("*").alias("_n"))
+    marks = rows.where("_gone OR _n > 1")
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (inner[f"c{docs.columns.index(c)}"] for c in ("doc_id", "text"))
+    out = inner.join(marks, doc_id.cast("long").eqNullSafe(marks["_id"]) & (F.xxhash64(text.cast("string")) == marks["_hash"]), "left")
+    again = out.where("NOT _gone").dropDuplicates(["_id", "_hash"])
+    return out.where("_gone IS NULL").unionByName(again).select(*inner.columns).toDF(*docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

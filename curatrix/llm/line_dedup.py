@@ -90,8 +90,10 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc
 
 def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Documents with cleaned texts; those that the removal left without a word go."""
-    out = remove_lines(docs, min_sites, counts=("_lines", "_removed"))
-    return out.where((F.col("_removed") == 0) | F.col("text").rlike(WORD)).drop("_lines", "_removed")
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    name = dict(zip(docs.columns, inner, strict=True))
+    out = remove_lines(docs.toDF(*inner), min_sites, name["doc_id"], name["text"], name["source"])
+    return out.where((F.col("n_removed") == 0) | F.col(name["text"]).rlike(WORD)).select(*inner).toDF(*docs.columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,13 +125,13 @@ def fit_model(docs: DataFrame, labels: DataFrame, limit: int = FIT_TEXTS) -> Mod
     return fit(np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["buckets"].to_list()).astype(np.int64), rows["grade"].to_numpy(np.int64))
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with expected_grade, p_good (P(grade >= 1)), p_top (P(grade >= 2)) and kept. Nothing is shuffled."""
+def _graded(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, its columns named c0, c1, ..., with the grades."""
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(fit_model(ids, labels))
     schema = pa.schema([("p_good", pa.float64()), ("p_top", pa.float64())])
-    names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
-    at = names.index(text_col)
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, inner[at]):
@@ -140,13 +140,18 @@ def grade_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     renamed = docs.toDF(*inner)
     made = renamed.mapInArrow(grade, ", ".join(f"{c} {t}" for c, t in renamed.dtypes) + ", p_good double, p_top double")
-    return made.select(*[F.col(c).alias(n) for c, n in zip(inner, names, strict=True)], (F.col("p_good") + F.col("p_top")).alias("expected_grade"), "p_good", "p_top", (F.col("p_top") >= MIN_TOP).alias("kept"))
+    return made.select(*inner, (F.col("p_good") + F.col("p_top")).alias("expected_grade"), "p_good", "p_top", (F.col("p_top") >= MIN_TOP).alias("kept"))
+
+
+def grade_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with expected_grade, p_good (P(grade >= 1)), p_top (P(grade >= 2)) and kept. Nothing is shuffled."""
+    return _graded(docs, labels, id_col, text_col).toDF(*docs.columns, "expected_grade", "p_good", "p_top", "kept")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with their columns, that are kept."""
-    graded = grade_documents(docs, labels)
-    return graded.where("kept").select(*docs.columns)
+    graded = _graded(docs, labels, "doc_id", "text").where("kept")
+    return graded.select(*graded.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def op4_ordinal_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,8 +76,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents of the mix with all their columns, and `repeats`, how often each is taken. Ids must be unique here."""
-    taken = mix(docs, seed=seed).where("taken > 0").select("doc_id", F.expr("taken div nullif(size, 0)").alias("_times"))
-    return docs.join(taken, "doc_id").withColumnRenamed("_times", "repeats")
+    taken = mix(docs, seed=seed).where("taken > 0").select(F.col("doc_id").alias("id"), F.expr("taken div nullif(size, 0)").alias("times"))
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return inner.join(taken, inner[f"c{docs.columns.index('doc_id')}"] == taken["id"]).drop("id").toDF(*docs.columns, "repeats")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
