@@ -368,9 +368,20 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     marks = rows.where("_gone OR _n > 1")
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     doc_id, text = (inner[f"c{docs.columns.index(c)}"] for c in ("doc_id", "text"))
-    out = inner.join(marks, doc_id.cast("long").eqNullSafe(marks["_id"]) & (F.xxhash64(text.cast("string")) == marks["_hash"]), "left")
+    # Rows that a filter of fixed size says aren't marked stay where they are; only the others are moved to be joined.
+    doc_id, text_hash = doc_id.cast("long"), F.xxhash64(text.cast("string"))
+    marks = save(marks, "jaccard-marks")
+    sent = docs.sparkSession.sparkContext.broadcast(Membership(marks.select(F.xxhash64("_id", "_hash").alias("key")), "key"))
+
+    @F.pandas_udf("boolean")
+    def may(key: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.may_hold(key.to_numpy(np.int64)))
+
+    marked = inner.withColumn("may", may(F.xxhash64(doc_id, text_hash)))
+    out = marked.where("may").join(marks, doc_id.eqNullSafe(marks["_id"]) & (text_hash == marks["_hash"]), "left")
     again = out.where("NOT _gone").dropDuplicates(["_id", "_hash"])
-    return out.where("_gone IS NULL").unionByName(again).select(*inner.columns).toDF(*docs.columns)
+    kept = marked.where("NOT may").select(*inner.columns).unionByName(out.where("_gone IS NULL").select(*inner.columns)).unionByName(again.select(*inner.columns))
+    return kept.toDF(*docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
