@@ -221,7 +221,7 @@ class Membership:
         """Built by aggregation; at most WORDS rows of bits come back, whatever the number of keys."""
         spots = F.explode(F.array(F.col(key), F.shiftrightunsigned(key, 20), F.shiftleft(key, 7)))
         bits = keys.select(spots.alias("h")).select(F.col("h").bitwiseAND(self.WORDS - 1).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) AS int))").alias("bit"))
-        rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
         self.bits = np.zeros(self.WORDS, np.int64)
         self.bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
 

@@ -154,7 +154,7 @@ def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
             yield arrow_batch(schema, [batch.column(0).to_numpy()[of], number[some], batch.column(2).to_numpy()[of], list(lines.features[some])])
 
     sample = labelled_sample(docs, labels, FIT_TEXTS).select("id", "text", F.col("quality").cast("long").alias("good"))
-    rows = sample.mapInArrow(features, "id long, line long, good long, features array<double>").toPandas().sort_values(["id", "line"], kind="stable")
+    rows = sample.mapInArrow(features, "id long, line long, good long, features array<double>").toArrow().to_pandas().sort_values(["id", "line"], kind="stable")
     return fit([(np.stack(g["features"].to_list()), (g["good"].to_numpy() > 0).astype(np.int64)) for _, g in rows.groupby("id")])
 
 

@@ -118,7 +118,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, limit: int = FIT_TEXTS) -> Mod
             yield arrow_batch(schema, [batch.column(2), np.split(bucket, np.searchsorted(text, np.arange(1, len(texts))))])
 
     grade = F.when(F.col("quality") <= 0, 0).when(F.col("toxic") > 0, 1).otherwise(2).cast("long").alias("grade")
-    rows = labelled_sample(docs, labels, limit).select("id", "text", grade).orderBy(F.xxhash64("id"), "id").mapInArrow(buckets, "grade long, buckets array<long>").toPandas()
+    rows = labelled_sample(docs, labels, limit).select("id", "text", grade).orderBy(F.xxhash64("id"), "id").mapInArrow(buckets, "grade long, buckets array<long>").toArrow().to_pandas()
     if not len(rows):
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     sizes = [len(b) for b in rows["buckets"]]

@@ -236,7 +236,7 @@ def fit_field(docs: DataFrame, limit: int = FIT_TEXTS) -> Field:
     order = F.xxhash64("id", F.lit(3))
     some = docs.where(F.col("id").isNotNull() & F.col("text").rlike("[0-9@]"))
     chosen = some.select("id").orderBy(order, "id").limit(limit)
-    rows = some.join(F.broadcast(chosen.distinct()), "id").mapInArrow(made, "id long, start long, end long, label long, key string, features array<double>").toPandas().sort_values(["id", "start", "end", "label"], kind="stable")
+    rows = some.join(F.broadcast(chosen.distinct()), "id").mapInArrow(made, "id long, start long, end long, label long, key string, features array<double>").toArrow().to_pandas().sort_values(["id", "start", "end", "label"], kind="stable")
     return fit([[Mention(*r) for r in g[names].itertuples(index=False)] for _, g in rows.groupby("id")])
 
 
