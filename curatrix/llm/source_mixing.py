@@ -41,21 +41,23 @@ def targets(sizes: DataFrame) -> DataFrame:
     return out.withColumn("target", F.least(F.col("cap").cast("double"), reached * F.col("weight"))).select("key", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
-    """(id, size, source_size, target, taken) for each row of docs."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, row_col: str | None = None) -> DataFrame:
+    """(id, size, source_size, target, taken) for each row of docs; with row_col, a key of the rows, that as `row` too."""
+    carried = [] if row_col is None else [F.xxhash64(text_col).alias("text_hash"), F.col(row_col).alias("row")]
+    tie = [] if row_col is None else ["text_hash", "row"]  # rows of one id and size: by text, whatever the partitions
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
+        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), *carried,
     )
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     rows = save(rows.withColumns({"key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")), "order": order, "bucket": F.substring(order, 1, 3)}), "mix-rows")
     sizes = targets(rows.groupBy("key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size")))
     start = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     start = start.withColumn("start", F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    within = F.sum("size").over(W.partitionBy("key", "bucket").orderBy("order", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0))
+    within = F.sum("size").over(W.partitionBy("key", "bucket").orderBy("order", F.col("id").asc_nulls_first(), "size", *tie).rowsBetween(W.unboundedPreceding, 0))
     queue = rows.withColumn("within", within).join(start, ["key", "bucket"]).join(sizes, "key")
     finish = F.transform(F.sequence(F.lit(0), F.lit(REPEATS - 1)), lambda e: F.when(F.col("size") > 0, (e * F.col("source_size") + F.col("start") + F.col("within")).cast("double") / F.col("target")))
-    queue = save(queue.select("id", "key", "size", "source_size", "target", finish.alias("finish")), "mix-queue")
+    queue = save(queue.select("id", *tie[1:], "key", "size", "source_size", "target", finish.alias("finish")), "mix-queue")
 
     at = F.least(F.floor(F.col("f") * _TIMES), F.lit(4 * _TIMES))
     copies = queue.where("size > 0").select("key", "size", F.explode("finish").alias("f")).withColumn("at", at)
@@ -71,14 +73,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         lambda n, f: n + F.when(F.floor(f * _TIMES) < F.col("at"), 1).when(F.coalesce(F.struct(f.alias("f"), F.col("key").alias("key")) <= F.col("last"), F.lit(False)), 1).otherwise(0),
     )
     out = queue.join(bound, F.lit(True), "left")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, taken * F.col("size")).otherwise(F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, taken * F.col("size")).otherwise(F.lit(0)).cast("long").alias("taken"), *tie[1:])
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The documents of the mix with all their columns, and `repeats`, how often each is taken. Ids must be unique here."""
-    taken = mix(docs, seed=seed).where("taken > 0").select(F.col("doc_id").alias("id"), F.expr("taken div nullif(size, 0)").alias("times"))
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return inner.join(taken, inner[f"c{docs.columns.index('doc_id')}"] == taken["id"]).drop("id").toDF(*docs.columns, "repeats")
+    """The documents of the mix with all their columns, and `repeats`, how often each is taken.
+
+    Counts come back to their rows by a key that is written with the rows first, as ids may be null or repeat.
+    """
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    rows = save(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "mix-documents")
+    doc_id, text, source = (inner[docs.columns.index(c)] for c in ("doc_id", "text", "source"))
+    taken = mix(rows, doc_id, text, source, seed, "row").where("taken > 0").select("row", F.expr("taken div nullif(size, 0)").alias("times"))
+    return rows.join(taken, "row").select(*inner, "times").toDF(*docs.columns, "repeats")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,6 +378,22 @@ def test_mixing(spark, corpus):
     assert mixed.columns == [*docs.columns, "repeats"] and mixed.where("repeats NOT BETWEEN 1 AND 3").count() == 0
 
 
+def test_mixed_rows_of_null_and_repeated_ids(spark):
+    """Each row of the mix is one row of the input with its own count: none is lost or multiplied."""
+    rng = random.Random(17)
+    rows = [(i, prose(rng, 20 + i), "s0") for i in range(30)] + [(None, prose(rng, 31 + k), f"s{k % 2}") for k in range(6)]
+    rows += [(7, prose(rng, 40), "s0"), (7, rows[7][1], "s0"), (8, prose(rng, 28), "s1"), (9, None, "s1"), (None, rows[30][1], "s0")]
+    docs = table(spark, rows)
+    size = lambda t: len(WORD.findall(t or ""))
+    want = collections.Counter((r["doc_id"], r["size"], r["taken"] // r["size"]) for r in source_mixing.mix(docs).collect() if r["taken"])
+    mixed = source_mixing.mixed_documents(docs)
+    got = mixed.collect()
+    assert collections.Counter((r["doc_id"], size(r["text"]), r["repeats"]) for r in got) == want
+    assert not collections.Counter((r["doc_id"], r["text"], r["source"]) for r in got) - collections.Counter(rows)
+    assert any(i is None for i, _, _ in want) and sum(i == 7 for i, _, _ in want) > 1
+    assert collections.Counter(got) == collections.Counter(source_mixing.mixed_documents(table(spark, rows[::-1]).repartition(5)).collect())
+
+
 def test_mixing_without_words(spark):
     assert [r["taken"] for r in source_mixing.mix(table(spark, [(1, None, "a"), (2, "", None)])).collect()] == [0, 0]
 
