@@ -1,15 +1,15 @@
-"""Operator 1: removal of repeated passages by MinHash banding of paragraph units.
+"""Operator 1: removal of repeated passages by MinHash banding of paragraphs and of windows of several sizes.
 
-Passages may stand anywhere in a text, so units are not lines: a unit is UNIT words from an anchor, and anchors are the
-places of the smallest five-word hashes among any WINDOW places in a row, so they depend on the words around them alone. Any
-passage of UNIT + WINDOW - 1 = 51 words or more that two texts share gives them an equal unit. Units get MinHashes in BANDS
-bands of ROWS (at a Jaccard similarity of 0.8 88 in 100 pairs of units collide, at 0.9 98, and a passage has several
-units; units of one text that overlap collide far less often than with shorter bands); units that
+Units are the lines of a text, the blocks between its blank lines, and, as passages may stand anywhere and texts may be
+unbroken, for each (UNIT, WINDOW) of SCALES the UNIT words from each anchor: anchors are the places of the smallest
+five-word hashes among any WINDOW places in a row, so they depend on the words around them alone. Any passage of 45 words
+or more that two texts share gives them an equal unit; the longer windows hold passages that differ inside. Units get
+MinHashes in BANDS bands of ROWS (at a Jaccard similarity of 0.8 99 in 100 pairs of units collide); units that
 collide form groups, are compared exactly as sets of five-word shingles, and link at a similarity of 0.8 or more.
 Components of linked units that stand in two documents or more are repeated passages: the occurrence in the smallest
 doc_id stays, the others are removed.
 
-Cases: null and empty texts and texts of fewer than UNIT words have no units.
+Cases: null and empty texts and lines, blocks and texts of fewer than SHORTEST words have no units.
 Rows with one id are one document, and a passage that repeats within one document alone isn't touched; all null ids are one
 document, which sorts last. Other columns are ignored (spans) or kept (removal). An empty table gives an empty result.
 """
@@ -17,6 +17,7 @@ document, which sorts last. Other columns are ignored (spans) or kept (removal).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,40 +29,79 @@ from .common import Membership, arrow_batch, connected_components, lookup, mix64
 from .jaccard_join import EDGES, group_components
 
 _U = np.uint64
-SHINGLE, UNIT, WINDOW, BANDS, ROWS, SIMILARITY = 5, 26, 26, 3, 3, (80, 100)
+SHINGLE, SHORTEST, BANDS, ROWS, SIMILARITY = 5, 26, 5, 2, (80, 100)
+SCALES = ((26, 20), (52, 40), (104, 80))
 
 
-def anchors(g: np.ndarray, words: int) -> np.ndarray:
-    """First words of the units of a text of so many words with five-word hashes g."""
-    places = words - UNIT + 1
+class Units(NamedTuple):
+    """Units of several texts, by text and place: of text `text` the `words` words from `pos`; shingles g[begin:end]."""
+
+    text: np.ndarray
+    pos: np.ndarray
+    words: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    g: np.ndarray
+
+    def digests(self) -> np.ndarray:
+        """The same for equal sets of shingles (repeats within a unit count)."""
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, _U), np.cumsum(mix64(self.g ^ _U(0x756E6974)), dtype=_U)))
+            return mix64(total[self.end] - total[self.begin] + (self.end - self.begin).astype(_U)).view(np.int64)
+
+    def only(self, at: np.ndarray) -> Units:
+        return Units(*(x[at] for x in self[:5]), self.g)
+
+    def sets(self) -> list[np.ndarray]:
+        return [np.unique(self.g[a:b]) for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)]
+
+
+def anchors(g: np.ndarray, words: int, unit: int, window: int) -> np.ndarray:
+    """First words of the windows of `unit` words of a text of so many words with five-word hashes g."""
+    places = words - unit + 1
     if places <= 0:
         return np.zeros(0, np.int64)
     order = mix64(g[:places] ^ _U(0x616E63686F727321))
-    if places <= WINDOW:
+    if places <= window:
         return np.array([order.argmin()])
-    at = np.lib.stride_tricks.sliding_window_view(order, WINDOW).argmin(1) + np.arange(places - WINDOW + 1)
+    at = np.lib.stride_tricks.sliding_window_view(order, window).argmin(1) + np.arange(places - window + 1)
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
-def units_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words of a text's units, and their shingles, a row each."""
-    g = ngrams(h, SHINGLE)
-    first = anchors(g, len(h))
-    return first, g[first[:, None] + np.arange(UNIT - SHINGLE + 1)]
-
-
-def unit_digests(shingles: np.ndarray) -> np.ndarray:
-    """The same for equal sets of shingles (repeats within a unit count)."""
-    with np.errstate(over="ignore"):
-        return mix64(mix64(shingles ^ _U(0x756E6974)).sum(1, dtype=_U) + _U(shingles.shape[1])).view(np.int64)
-
-
-def band_hashes(shingles: np.ndarray) -> np.ndarray:
+def units_of(texts: list[str | None]) -> Units:
+    words = words_of(texts)
+    g = ngrams(words.hashes(), SHINGLE)  # those across a border are in no unit
+    line = np.searchsorted(np.flatnonzero(words.raw == 10), words.begin)  # newlines before each word
+    rows = [np.zeros((0, 3), np.int64)]
+    for i in range(len(texts)):
+        a, b = words.bounds[i], words.bounds[i + 1]
+        if b - a < SHORTEST:
+            continue
+        found = []
+        for unit, window in SCALES:
+            first = anchors(g[a : b - SHINGLE + 1], b - a, unit, window)
+            found.append(np.stack((first, np.full(len(first), unit)), 1))
+        gap = np.diff(line[a:b])
+        for least in (1, 2) if (gap > 1).any() else (1,):
+            cut = np.concatenate(([0], np.flatnonzero(gap >= least) + 1, [b - a]))
+            size = np.diff(cut)
+            found.append(np.stack((cut[:-1], size), 1)[size >= SHORTEST])
+        found = np.unique(np.concatenate(found), axis=0)
+        rows.append(np.column_stack((np.full(len(found), i), found)))
+    text, pos, size = np.concatenate(rows).T
+    begin = words.bounds[text] + pos
+    return Units(text, pos, size, begin, begin + size - SHINGLE + 1, g)
+
+
+def band_hashes(units: Units) -> np.ndarray:
     """(units, BANDS): hashes of the bands' MinHashes."""
-    out = np.zeros((len(shingles), BANDS), _U)
+    out = np.zeros((len(units.pos), BANDS), _U)
+    if not len(out):
+        return out.view(np.int64)
+    borders, last = np.stack((units.begin, units.end), 1).ravel(), np.full(1, np.iinfo(_U).max, _U)
     with np.errstate(over="ignore"):
         for p in range(BANDS * ROWS):
-            least = mix64(shingles ^ mix64(np.array([p + 1], _U))).min(1)
+            least = np.minimum.reduceat(np.concatenate((mix64(units.g ^ mix64(np.array([p + 1], _U))), last)), borders)[::2]
             out[:, p // ROWS] = mix64(out[:, p // ROWS] * _U(0x9E3779B97F4A7C15) + least + _U(p // ROWS))
     return out.view(np.int64)
 
@@ -105,37 +145,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def each(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        words = words_of(texts)
-        h = words.hashes()
-        for i in range(len(texts)):
-            a, b = words.bounds[i], words.bounds[i + 1]
-            if b - a >= UNIT:
-                yield i, *units_of(h[a:b])
-
     unit_schema = pa.schema([("d", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("words", pa.int32())])
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "text"):
-            ids = batch.column(0)
-            rows = [(unit_digests(s), np.full(len(p), i), p, np.full(len(p), UNIT)) for i, p, s in each(texts)]
-            if rows:
-                d, at, pos, size = (np.concatenate(c) for c in zip(*rows, strict=True))
-                yield arrow_batch(unit_schema, [d, ids.take(pa.array(at)), pos.astype(np.int32), size.astype(np.int32)])
+            u = units_of(texts)
+            if len(u.pos):
+                yield arrow_batch(unit_schema, [u.digests(), batch.column(0).take(pa.array(u.text)), u.pos.astype(np.int32), u.words.astype(np.int32)])
 
     band_schema = pa.schema([("band", pa.int64()), ("d", pa.int64()), ("doc", pa.int64())])
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # units that repeat within a task are told once
         for batch, texts in text_chunks(batches, "text"):
-            rows = [(np.full(len(s), i), s) for i, _, s in each(texts)]
-            if rows:
-                of, shingles = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-                d, where = np.unique(unit_digests(shingles), return_index=True)
-                fresh = np.fromiter((x not in seen for x in d.tolist()), bool, len(d))
-                seen.update(d[fresh].tolist())
-                docs_of = batch.column(0).fill_null(-(1 << 62)).to_numpy()[of[where[fresh]]]
-                yield arrow_batch(band_schema, [band_hashes(shingles[where[fresh]]).ravel(), np.repeat(d[fresh], BANDS), np.repeat(docs_of, BANDS)])
+            u = units_of(texts)
+            d, where = np.unique(u.digests(), return_index=True)
+            fresh = np.fromiter((x not in seen for x in d.tolist()), bool, len(d))
+            seen.update(d[fresh].tolist())
+            if fresh.any():
+                told = np.sort(where[fresh])  # in the order of the text, which band_hashes is fast in
+                docs_of = batch.column(0).fill_null(-(1 << 62)).to_numpy()[u.text[told]]
+                yield arrow_batch(band_schema, [band_hashes(u.only(told)).ravel(), np.repeat(u.digests()[told], BANDS), np.repeat(docs_of, BANDS)])
             if len(seen) > 200_000:
                 seen.clear()
 
@@ -150,16 +180,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, texts in text_chunks(batches, "text"):
-            rows = [s for _, _, s in each(texts)]
-            if rows:
-                shingles = np.concatenate(rows)
-                d, where = np.unique(unit_digests(shingles), return_index=True)
-                fresh = sent.value.may_hold(d)
-                fresh[fresh] = [x not in seen for x in d[fresh].tolist()]
-                seen.update(d[fresh].tolist())
-                made = [np.unique(s) for s in shingles[where[fresh]]]
-                if made:
-                    yield arrow_batch(set_schema, [d[fresh], [len(s) for s in made], [s.tobytes() for s in made]])
+            u = units_of(texts)
+            d, where = np.unique(u.digests(), return_index=True)
+            fresh = sent.value.may_hold(d)
+            fresh[fresh] = [x not in seen for x in d[fresh].tolist()]
+            seen.update(d[fresh].tolist())
+            made = u.only(where[fresh]).sets()
+            if made:
+                yield arrow_batch(set_schema, [d[fresh], [len(s) for s in made], [s.tobytes() for s in made]])
             if len(seen) > 200_000:
                 seen.clear()
 

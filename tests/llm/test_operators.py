@@ -119,6 +119,32 @@ def test_minhash_recall(spark):
     assert sum(2 * k in found and 2 * k + 1 in found for k in range(60)) >= 0.9 * pairs
 
 
+def test_changes_inside_paragraphs(spark):
+    """Near copies at a similarity of 0.8 or more are found as a whole, changed words and all."""
+    rng = random.Random(18)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows, changed = [], {}
+    for k in range(60):
+        n, at = ((50, [24]), (120, [20, 70]), (32, [2]))[k % 3]
+        line = text(n)
+        other = [f"x{k}" if j in at else w for j, w in enumerate(line)]
+        for i, (x, m) in enumerate(((line, 20), (other, 10))):
+            rows.append((2 * k + i, "\n".join(" ".join(y) for y in (text(m), x, text(15))), "s"))
+            changed[2 * k + i] = [m + j for j in at]
+    for k in range(100, 130):  # in unbroken text
+        line, at = text(200), [40, 85, 130, 175]
+        other = [f"x{k}" if j in at else w for j, w in enumerate(line)]
+        for i, x in enumerate((line, other)):
+            rows.append((2 * k + i, " ".join([*text(90), *x, *text(70)]), "s"))
+            changed[2 * k + i] = [90 + j for j in at[1:3]]
+    spans = collections.defaultdict(list)
+    for r in paragraph_minhash.repeated_passages(table(spark, rows)).collect():
+        spans[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    held = {i: all(any(a <= j < b for a, b in spans[i]) for j in js) for i, js in changed.items()}
+    lines, unbroken = [h for i, h in held.items() if i < 200], [h for i, h in held.items() if i >= 200]
+    assert sum(lines) >= 0.97 * len(lines) and sum(unbroken) >= 0.8 * len(unbroken)
+
+
 # 2
 
 
