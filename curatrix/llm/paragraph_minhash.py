@@ -156,16 +156,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     band_schema = pa.schema([("band", pa.int64()), ("d", pa.int64()), ("doc", pa.int64())])
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # units that repeat within a task are told once
+        seen: dict[int, int | None] = {}  # units told by this task, with their document; None when told with two
         for batch, texts in text_chunks(batches, "text"):
             u = units_of(texts)
-            d, where = np.unique(u.digests(), return_index=True)
-            fresh = np.fromiter((x not in seen for x in d.tolist()), bool, len(d))
-            seen.update(d[fresh].tolist())
-            if fresh.any():
-                told = np.sort(where[fresh])  # in the order of the text, which band_hashes is fast in
-                docs_of = batch.column(0).fill_null(-(1 << 62)).to_numpy()[u.text[told]]
-                yield arrow_batch(band_schema, [band_hashes(u.only(told)).ravel(), np.repeat(u.digests()[told], BANDS), np.repeat(docs_of, BANDS)])
+            d, doc = u.digests(), batch.column(0).fill_null(-(1 << 62)).to_numpy()[u.text]
+            order = np.lexsort((doc, d))
+            new = d[order][1:] != d[order][:-1]
+            edge = np.ones(min(len(d), 1), bool)
+            low, high = order[np.concatenate((edge, new))], order[np.concatenate((new, edge))]
+            told = []
+            for x, i, j, a, b in zip(d[low].tolist(), low.tolist(), high.tolist(), doc[low].tolist(), doc[high].tolist(), strict=True):
+                was = seen.get(x)
+                if x not in seen:
+                    told += [i, j] if a != b else [i]
+                    seen[x] = a if a == b else None
+                elif was is not None and (a != was or b != was):
+                    told.append(i if a != was else j)
+                    seen[x] = None
+            if told:
+                told = np.sort(np.array(told))  # in the order of the text, which band_hashes is fast in
+                yield arrow_batch(band_schema, [band_hashes(u.only(told)).ravel(), np.repeat(d[told], BANDS), np.repeat(doc[told], BANDS)])
             if len(seen) > 200_000:
                 seen.clear()
 

@@ -145,6 +145,19 @@ def test_changes_inside_paragraphs(spark):
     assert sum(lines) >= 0.97 * len(lines) and sum(unbroken) >= 0.8 * len(unbroken)
 
 
+def test_variant_beside_a_shared_paragraph(spark):
+    """A variant that stands in one document only meets the unit that this one shares with another of the same task."""
+    rng = random.Random(19)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(20):
+        line = text(50)
+        variant = [*line[:24], "changed", *line[25:]]
+        rows += [(2 * k, "\n".join(" ".join(x) for x in (line, text(15), variant, text(15))), "s"), (2 * k + 1, "\n".join(" ".join(x) for x in (text(15), line)), "s")]
+    spans = [(r["doc_id"], r["start_word"], r["end_word"]) for r in paragraph_minhash.repeated_passages(table(spark, rows).coalesce(1)).collect()]
+    assert {i for i, a, b in spans if i % 2 == 0 and a <= 89 < b} == set(range(0, 40, 2))
+
+
 # 2
 
 
