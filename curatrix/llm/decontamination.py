@@ -6,8 +6,10 @@ multi-index over 8-bit blocks, probed within one bit of each block, finds every
 over 8 blocks leave some block with at most one), and exact similarity verifies what it finds. Only windows that share a
 shingle with an item are looked at, as no other can be similar at all.
 
-A shingle's weight is log(1 + items / items that hold it); it depends on the benchmark alone. The benchmark is a stated
-query set: it is read in blocks of ITEMS_A_BLOCK items, each sent to the tasks in turn; documents are never shuffled.
+A shingle's weight is log(1 + items / items that hold it), counted over the whole benchmark; one that a single item holds
+weighs as much as an unknown one, so only those of several items are listed (16 bytes each), and sent to the tasks once.
+The benchmark is a stated query set: it is read in blocks of ITEMS_A_BLOCK items, each sent to the tasks in turn, with the
+same results for any size of block; documents are never shuffled.
 
 Cases: null and empty texts and texts shorter than any item have no leaks. Items without at least five words (or null)
 are too short to tell and are left out. Repeated rows are each reported; null ids are reported as null. Of several
@@ -17,7 +19,7 @@ windows for an item in one text the most similar, then the first, is reported. E
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,36 +42,75 @@ def simhash(shingles: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray
     return ((total[width:] - total[:-width] > 1e-9) * _BITS).sum(1, dtype=_U)
 
 
+class Weights:
+    """Weights of shingles by the whole benchmark. keys: sorted, those that several items hold, and how many do."""
+
+    def __init__(self, items: int, keys: np.ndarray, holders: np.ndarray):
+        self.keys, self.weight, self.unknown = keys, np.log1p(items / holders), float(np.log1p(items))
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(shingles), self.unknown)
+        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        return np.where(self.keys[at] == shingles, self.weight[at], self.unknown)
+
+
+def item_shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text its shingles in order; none of those too short to tell."""
+    words = words_of(texts)
+    h = words.hashes()
+    return [ngrams(h[a:b], WORDS) for a, b in zip(words.bounds, words.bounds[1:], strict=False)]
+
+
+def benchmark_weights(benchmark: DataFrame, text_col: str) -> Weights:
+    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_chunks(batches, "text"):
+            sets = [np.unique(g) for g in item_shingles(texts) if len(g)]
+            if sets:
+                keys, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield arrow_batch(schema, [[None, *keys.view(np.int64).tolist()], [len(sets), *n.tolist()]])  # null: the items
+
+    counts = benchmark.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.where("shingle IS NULL OR n > 1").toArrow()
+    shingles, n = found.column(0), found.column(1).to_numpy()
+    none = shingles.is_null().to_numpy()
+    keys, holders = shingles.fill_null(0).to_numpy()[~none].view(_U), n[~none]
+    order = np.argsort(keys)
+    return Weights(int(n[none].sum()), keys[order], holders[order])
+
+
 class Benchmark:
-    """A block of items, indexed."""
+    """A block of items, indexed. Weights are of these items alone where none are given; they aren't pickled."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        words = words_of([t for _, t in items])
-        h = words.hashes()
+    def __init__(self, items: list[tuple[int, str]], by: Weights | None = None):
         self.ids, self.shingles = [], []
-        for (i, _), a, b in zip(items, words.bounds, words.bounds[1:], strict=False):
-            if b - a >= WORDS:
+        for (i, _), g in zip(items, item_shingles([t for _, t in items]), strict=True):
+            if len(g):
                 self.ids.append(i)
-                self.shingles.append(ngrams(h[a:b], WORDS))
+                self.shingles.append(g)
         holders = Counter(int(g) for s in self.shingles for g in np.unique(s))
         self.known = np.array(sorted(holders), _U)
-        self.weight = np.log1p(len(self.ids) / np.array([holders[int(g)] for g in self.known]))
-        self.unknown = float(np.log1p(len(self.ids)))
+        self.by = by or Weights(len(self.ids), self.known, np.array([holders[int(g)] for g in self.known]))
         self.filter = np.zeros(_FILTER, bool)
         self.filter[(self.known % _U(_FILTER)).astype(np.int64)] = True
         self.sizes: dict[int, set[int]] = defaultdict(set)  # shingle -> sizes of the items that hold it
         self.blocks: dict[tuple[int, int, int], list[int]] = defaultdict(list)  # (size, block, value) -> items
         self.print: list[int] = []
         for n, s in enumerate(self.shingles):
-            self.print.append(int(simhash(mix64(s), self.weights(s), len(s))[0]))
+            self.print.append(int(simhash(mix64(s), self.by.of(s), len(s))[0]))
             for g in s:
                 self.sizes[int(g)].add(len(s))
             for block in range(8):
                 self.blocks[len(s), block, self.print[-1] >> 8 * block & 255].append(n)
 
-    def weights(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weight[at], self.unknown)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"by": None}
+
+    def weighed(self, by: Weights) -> Benchmark:
+        self.by = by
+        return self
 
     def within(self, size: int, fingerprint: int) -> list[tuple[int, int]]:
         """(item, distance) of all items of that size within RADIUS."""
@@ -83,7 +124,7 @@ class Benchmark:
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
         x, y = Counter(a.tolist()), Counter(b.tolist())
         every = np.array(sorted(x.keys() | y.keys()), _U)
-        w = self.weights(every)
+        w = self.by.of(every)
         p, q = (np.array([c[int(g)] for g in every]) for c in (x, y))
         return float((w * np.minimum(p, q)).sum() / (w * np.maximum(p, q)).sum())
 
@@ -100,7 +141,7 @@ class Benchmark:
                 if not len(run):
                     continue
                 part = shingles[run[0] : run[-1] + size]
-                for first, fingerprint in zip(run.tolist(), simhash(mix64(part), self.weights(part), size).tolist(), strict=True):
+                for first, fingerprint in zip(run.tolist(), simhash(mix64(part), self.by.of(part), size).tolist(), strict=True):
                     for n, distance in self.within(size, fingerprint):
                         how = self.similarity(shingles[first : first + size], self.shingles[n])
                         if how >= similarity - 1e-12 and (n not in best or how > best[n][4]):
@@ -125,15 +166,23 @@ class Benchmark:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Benchmark]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Callable[[], Benchmark]]:
+    """For each block, what gives it within a task."""
+    context, by = benchmark.sparkSession.sparkContext, benchmark_weights(benchmark, text_col)
+    sent_by = context.broadcast(by)
+
+    def sent(block: list[tuple]) -> Callable[[], Benchmark]:
+        items = context.broadcast(Benchmark(block, by))
+        return lambda: items.value.weighed(sent_by.value)
+
     block = []
     for row in benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).orderBy(item_col).toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == ITEMS_A_BLOCK:
-            yield Benchmark(block)
+            yield sent(block)
             block = []
     if block:
-        yield Benchmark(block)
+        yield sent(block)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -142,12 +191,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     ddl = f"{id_col} long, {item_col} long, start_word long, n_words long, distance long, similarity double"
     schema = pa.schema([(c.split()[0], pa.float64() if c.endswith("double") else pa.int64()) for c in ddl.split(", ")])
 
-    def with_block(block: Benchmark) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-
+    def with_block(block: Callable[[], Benchmark]) -> DataFrame:
         def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = block()
             for batch, texts in text_chunks(batches, "text"):
-                found = [(i, *x) for i, leaks in zip(batch.column(0).to_pylist(), sent.value.of_texts(texts, similarity), strict=True) for x in leaks]
+                found = [(i, *x) for i, leaks in zip(batch.column(0).to_pylist(), items.of_texts(texts, similarity), strict=True) for x in leaks]
                 if found:
                     yield arrow_batch(schema, [list(c) for c in zip(*found, strict=True)])
 
@@ -160,11 +208,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with all their columns, that hold no leak. Nothing is shuffled."""
     for block in _blocks(benchmark, "item_id", "text"):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            items = block()
             for batch, texts in text_chunks(batches, "text"):
-                yield batch.filter(pa.array([not x for x in sent.value.of_texts(texts, similarity)], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in items.of_texts(texts, similarity)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

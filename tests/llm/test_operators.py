@@ -367,6 +367,25 @@ def test_decontamination(spark, corpus):
     assert decontamination.clean_documents(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_blocks_of_items_agree(spark, monkeypatch):
+    """Results don't depend on which items share a block: shingles weigh by the whole benchmark."""
+    rng = random.Random(20)
+    common = [prose(rng, 12, 3000) for _ in range(4)]
+    items = [(k, f"{common[k % 4]} {prose(rng, 24, 3000)}") for k in range(40)] + [(90, None), (91, "too short"), (92, "")]
+    rows = []
+    for k in range(160):
+        item = items[k % 40][1].split(" ")
+        start = k // 40 * 3  # less and less of the common part, or other common words
+        leak = [f"z{k}"] * start + item[start:] if k % 3 else common[(k + 1) % 4].split(" ")[:start] + item[start:]
+        rows.append((k, " ".join([prose(rng, 30, 3000), *leak, prose(rng, 30, 3000)]), "s"))
+    docs, benchmark = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r["doc_id"], r["item_id"], r["start_word"], r["distance"], round(r["similarity"], 9)) for r in decontamination.find_leaks(docs, benchmark).collect())
+    whole, kept = found(), sorted(r["doc_id"] for r in decontamination.clean_documents(docs, benchmark).collect())
+    assert 40 < len(whole) < 160
+    monkeypatch.setattr(decontamination, "ITEMS_A_BLOCK", 9)
+    assert found() == whole and sorted(r["doc_id"] for r in decontamination.clean_documents(docs, benchmark).collect()) == kept
+
+
 def test_multi_index_guarantee():
     """Every item fingerprint within the radius of a window is found."""
     rng = random.Random(12)
