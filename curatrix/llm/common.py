@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +38,11 @@ _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+PIECE = 1 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept between calls while it is small."""
+    """base**0 .. base**(n-1) modulo 2**64, kept between calls; n is about PIECE at most."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -46,20 +50,35 @@ def _power(base: int, n: int) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:
-            _powers[base] = have
+        _powers[base] = have
     return have[:n]
 
 
+def _span_sums(data: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Of spans that lie within a piece of memory-friendly size: the polynomials, by prefix sums."""
+    lo, hi = int(begin.min()), int(end.max())
+    total = np.zeros(hi - lo + 1, np.uint64)
+    np.cumsum(table[data[lo:hi]] * _power(_BASE, hi - lo), out=total[1:])
+    return (total[end - lo] - total[begin - lo]) * _power(_BASE_INVERSE, hi - lo + 1)[begin - lo]
+
+
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: a polynomial over scrambled bytes, by prefix sums."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each span of bytes, a polynomial over scrambled bytes. Spans are in order and don't overlap.
+
+    Spans are taken PIECE bytes at a time, and a longer span in parts, so the memory is bounded for texts of any length.
+    """
     table = mix64(_TABLE + _U(seed)) if seed else _TABLE
+    value, first = np.zeros(len(begin), np.uint64), 0
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * _power(_BASE, len(data)), out=total[1:])
-        value = (total[end] - total[begin]) * _power(_BASE_INVERSE, len(data))[begin]
+        while first < len(begin):
+            last = max(int(np.searchsorted(end, begin[first] + PIECE, side="right")), first + 1)
+            if end[last - 1] - begin[first] <= PIECE:
+                value[first:last] = _span_sums(data, begin[first:last], end[first:last], table)
+            else:
+                for at in range(int(begin[first]), int(end[first]), PIECE):
+                    part = np.array([at]), np.array([min(at + PIECE, int(end[first]))])
+                    value[first] += _span_sums(data, *part, table)[0] * _U(pow(_BASE, at - int(begin[first]), 1 << 64))
+            first = last
         return mix64(value + (end - begin).astype(np.uint64))
 
 
@@ -134,20 +153,46 @@ def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir. Only where that is unset (as in tests), one of our own."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Where that is unset, one of our own, on one machine only."""
     small_batches(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="curatrix-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: dict[int, str] = {}
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and returns it read back: cuts the lineage, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/curatrix/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a table in the shared folder and returns it read back: cuts the lineage, and lost executors lose nothing.
+
+    What the write shuffled is deleted when it is done, as nothing reads it again.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/curatrix/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of save() that nothing reads any more; what was made of them must be saved."""
+    for table in tables:
+        path = _paths.get(id(table))
+        if path:
+            store, at = fs.FileSystem.from_uri(path)
+            store.delete_dir(at)
 
 
 def partitions_for(df: DataFrame) -> int:
@@ -170,27 +215,77 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return first.unionByName(rest.select(first.columns))
 
 
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_CONTRACT = 1 << 20
+
+
+def _stars_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b), about _CONTRACT at a time, as stars: each end with the smallest that it reaches by these edges."""
+    held: list[np.ndarray] = []
+
+    def stars() -> pa.RecordBatch:
+        ids, at = np.unique(np.concatenate(held), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        label = np.arange(len(ids))
+        while True:
+            p, q = label[a], label[b]
+            if (p == q).all():
+                break
+            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+            while (label[label] != label).any():
+                label = label[label]
+        up = np.flatnonzero(label != np.arange(len(ids)))
+        return arrow_batch(EDGES, [ids[up], ids[label[up]]])
+
+    for batch in batches:
+        held.append(np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy()), 1).ravel())
+        if sum(map(len, held)) > 2 * _CONTRACT:
+            yield stars()
+            held = []
+    if held:
+        yield stars()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of all ends of edges (a, b long): component is the smallest id that can be reached.
 
-    Alternates the large-star and small-star steps (Kiveris et al., 2014) until only stars are left; every round is saved.
+    Alternates the large-star and small-star steps (Kiveris et al., 2014) until only stars are left; edges are contracted
+    within tasks first, every round is saved, and hubs are looked up apart, so that none of them is one task's work.
     """
-    e = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    e = save(edges.where("a <> b").mapInArrow(_stars_within, "a long, b long").distinct(), "edges")
     for _ in range(rounds):
-        # Stars only: no id is twice an upper end, and none is both an upper and a lower end.
-        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("upper"), F.lit(0).alias("lower")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("upper"), F.lit(1).alias("lower")))
-        ends = ends.groupBy("x").agg(F.sum("upper").alias("n"), F.max("lower").alias("lower"))
-        if not ends.where("n + lower > 1 AND n > 0").limit(1).count():
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        both = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = save(both.where("u <> v").distinct(), "edges")
-    else:
-        raise RuntimeError(f"components not found in {rounds} rounds")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        ends = e.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("x"), F.col("a").alias("y"), F.lit(0).alias("up")))
+        ends = save(ends.groupBy("x").agg(F.least("x", F.min("y")).alias("m"), F.count("*").alias("n"), F.sum("up").alias("up")), "edge-ends")
+        # Stars only: whatever is an upper end is one once, and is no lower end.
+        total, open_ends = ends.agg(F.sum("n"), F.coalesce(F.sum(((F.col("up") > 0) & (F.col("n") > 1)).cast("int")), F.lit(0))).first()
+        if not open_ends:
+            discard(e)
+            return ends.select(F.col("x").alias("id"), F.col("m").alias("component"))
+        least = ends.select(F.col("x").alias("b"), "m", "n")
+        large = save(lookup(e, least, "b", "n", total // 2).select("a", F.col("m").alias("b")).where("a <> b").distinct(), "edges-large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        both = lookup(large, least, "a", "n", total // 2).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        new = save(both.where("a <> b").mapInArrow(_stars_within, "a long, b long").distinct(), "edges")
+        discard(e, ends, large)
+        e = new
+    raise RuntimeError(f"components not found in {rounds} rounds")
+
+
+def with_marks(rows: DataFrame, doc_id: str, text: str, marks: DataFrame) -> DataFrame:
+    """rows with the columns of marks (saved; one row for each _id and _hash, the xxhash64 of a text), null without one.
+
+    Rows that a filter says have no mark stay where they are; only the others move to be joined.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(Membership(marks.select(F.xxhash64("_id", "_hash").alias("key")), "key"))
+
+    @F.pandas_udf("boolean")
+    def may(key: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.may_hold(key.to_numpy(np.int64)))
+
+    own_id, own_hash = F.col(doc_id).cast("long"), F.xxhash64(F.col(text).cast("string"))
+    rows = rows.withColumn("_may", may(F.xxhash64(own_id, own_hash)))
+    moved = rows.where("_may").join(marks, own_id.eqNullSafe(F.col("_id")) & (own_hash == F.col("_hash")), "left")
+    return moved.unionByName(rows.where("NOT _may"), allowMissingColumns=True).drop("_may", "_id", "_hash")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -204,30 +299,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """(id, text, quality, toxic) of at most `limit` labelled ids, those first by a hash of the id; docs: (id, text).
+    """(id, text, quality, toxic) of at most `limit` labelled ids, those first by a hash of the id, one row each.
 
-    The sample is broadcast, as `limit` bounds it. Ids labelled more than once take the lowest quality and highest toxicity.
+    docs: (id, text). The ids are broadcast, as `limit` bounds them. Ids labelled more than once take the lowest quality and
+    highest toxicity; of rows that share an id the least text counts.
     """
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    return docs.join(F.broadcast(one.orderBy(F.xxhash64("id"), "id").limit(limit)), "id")
+    some = one.orderBy(F.xxhash64("id"), "id").limit(limit)
+    return docs.join(F.broadcast(some), "id").groupBy("id", "quality", "toxic").agg(F.min("text").alias("text")).select("id", "text", "quality", "toxic")
 
 
 class Membership:
-    """A Bloom filter of fixed size over 64-bit keys: bounded to send to tasks; false hits are for a join to remove."""
+    """A Bloom filter over scrambled 64-bit keys, to send to tasks: 16 bits a key, 2**MOST words (32 MB) at most.
 
-    WORDS = 1 << 20
+    False hits, rare up to some 10 million keys, are for a join to remove.
+    """
+
+    LEAST, MOST = 12, 22
 
     def __init__(self, keys: DataFrame, key: str):
-        """Built by aggregation; at most WORDS rows of bits come back, whatever the number of keys."""
-        spots = F.explode(F.array(F.col(key), F.shiftrightunsigned(key, 20), F.shiftleft(key, 7)))
-        bits = keys.select(spots.alias("h")).select(F.col("h").bitwiseAND(self.WORDS - 1).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) AS int))").alias("bit"))
-        rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
-        self.bits = np.zeros(self.WORDS, np.int64)
-        self.bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+        """Built by aggregation: what comes back is a row for each word at most, whatever the number of keys."""
+        log = int(min(max(self.LEAST, (keys.count() // 4).bit_length()), self.MOST))
+        schema = pa.schema([("word", pa.int64()), ("bits", pa.int64())])
+
+        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, bit = (np.concatenate(x) for x in zip(*_probes(batch.column(0).to_numpy(), log), strict=True))
+                yield arrow_batch(schema, [word, (_U(1) << bit).view(np.int64)])
+
+        rows = keys.select(F.col(key).cast("long").alias("key")).mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.log, self.bits = log, np.zeros(1 << log, np.int64)
+        self.bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        """For signed 64-bit keys, which are scrambled already."""
-        k, found = keys.view(np.uint64), np.ones(len(keys), bool)
-        for h in (k, k >> _U(20), k << _U(7)):
-            found &= (self.bits.view(np.uint64)[(h & _U(self.WORDS - 1)).astype(np.int64)] >> (h >> _U(58)) & _U(1)).astype(bool)
+        """For signed 64-bit keys."""
+        found = np.ones(len(keys), bool)
+        for word, bit in _probes(keys, self.log):
+            found &= (self.bits.view(np.uint64)[word] >> bit & _U(1)).astype(bool)
         return found
+
+
+def _probes(keys: np.ndarray, log: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words and bits of keys in a filter of 2**log words."""
+    for probe in range(3):
+        h = mix64(keys.view(np.uint64) ^ mix64(np.array([0x70726F62 + probe], np.uint64)))
+        yield (h & _U((1 << log) - 1)).astype(np.int64), h >> _U(58)

@@ -25,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Membership, arrow_batch, connected_components, digest, lookup, mix64, partitions_for, read, save, shingle_set, text_chunks, words_of
+from .common import EDGES, Membership, arrow_batch, connected_components, digest, discard, lookup, mix64, partitions_for, read, save, shingle_set, text_chunks, with_marks, words_of
 
 _U = np.uint64
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
-EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def size_classes(num: int, den: int, upto: int) -> list[int]:
@@ -198,21 +197,23 @@ def to_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield arrow_batch(EDGES, [pairs[:, 0], pairs[:, 1]])
 
 
-def group_components(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(d, component) of the linked among members (met, d, n, shingles): sets of one group `met` may link, by d.
+def blocked(rows: DataFrame, num: int, den: int, seed: int = 0) -> DataFrame:
+    """rows (d, met, n, ...) with blocks of bounded rows and shingles of each group `met`: by size class, then by hash."""
+    rows = rows.withColumn("class", F.floor(F.log("n") / F.log(F.lit(den / num))))
+    sized = rows.groupBy("met").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
+    by_class = rows.groupBy("met", "class").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("_k"))
+    large = sized.where((F.col("_m") > BLOCK_ROWS) | (F.col("_s") > BLOCK_SHINGLES)).select("met").join(by_class, "met")
+    return rows.join(large, ["met", "class"], "left").withColumn("block", F.when(F.col("_k").isNull(), F.lit("")).otherwise(F.concat_ws(":", "class", F.pmod(F.xxhash64("d", F.lit(seed)), "_k")))).drop("_k")
 
-    Groups are joined by signature trees in blocks of bounded size. For a group of several blocks, one set of each
-    component found goes on to the next level, until that joins little more; what is then outside the group's largest
-    component is compared with all of the group, block by block.
-    """
 
-    def blocked(rows: DataFrame, seed: int) -> DataFrame:
-        """Blocks of bounded rows and shingles: by size class, then by hash."""
-        rows = rows.withColumn("class", F.floor(F.log("n") / F.log(F.lit(den / num))))
-        sized = rows.groupBy("met").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
-        by_class = rows.groupBy("met", "class").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("_k"))
-        large = sized.where((F.col("_m") > BLOCK_ROWS) | (F.col("_s") > BLOCK_SHINGLES)).select("met").join(by_class, "met")
-        return rows.join(large, ["met", "class"], "left").withColumn("block", F.when(F.col("_k").isNull(), F.lit("")).otherwise(F.concat_ws(":", "class", F.pmod(F.xxhash64("d", F.lit(seed)), "_k")))).drop("_k")
+def group_components(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(d, component) of the linked among members (d, met, n): sets of one group `met` may link, by d.
+
+    sets: (d, shingles), for each member once or more. Groups are joined by signature trees in blocks of bounded size. For
+    a group of several blocks, one set of each component found goes on to the next level, until that joins little more;
+    what is then outside the group's largest component is compared with all of the group, block by block. Sets move to
+    their block and are written for groups of several blocks alone.
+    """
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of each block of rows in order (met, block, d, shingles)."""
@@ -251,16 +252,20 @@ def group_components(members: DataFrame, num: int, den: int) -> DataFrame:
         dual_traversal(_tree(left, bits), _tree(right, bits), links, num, den)
         return pd.DataFrame(_stars(links), columns=["a", "b"], dtype="int64")
 
-    blocks = save(blocked(members, 0), "jaccard-blocks")
-    links = joined(blocks)
-    large = blocks.where("block <> ''").drop("class", "block")
-    if large.limit(1).count():
-        large = save(large, "jaccard-large")
+    blocks = save(blocked(members, num, den), "jaccard-blocks")
+    filled = sets.join(blocks, "d").groupBy("d").agg(*(F.first(c).alias(c) for c in ("met", "n", "class", "block", "shingles")))
+    several = blocks.where("block <> ''").limit(1).count() > 0
+    if several:
+        filled = save(filled, "jaccard-sets")
+    links = joined(filled)
+    if several:
+        large = save(filled.where("block <> ''").drop("class", "block"), "jaccard-large")
+        discard(filled)
         left, level = large.count(), 1
         while True:  # one text of each component found goes on to the next level, until that joins little more
             now = _labelled(large, links)
             tops = now.where("d = component").drop("component")
-            found = joined(blocked(tops, level))
+            found = joined(blocked(tops, num, den, level))
             links, before, left, level = links.unionByName(found), left, tops.count(), level + 1
             if left > 0.9 * before or not found.limit(1).count():
                 break
@@ -268,15 +273,17 @@ def group_components(members: DataFrame, num: int, den: int) -> DataFrame:
         now = save(_labelled(large, links), "jaccard-now")
         sizes = now.groupBy("met", "component").agg(F.count("*").alias("c"))
         main = sizes.groupBy("met").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        minor = save(blocked(now.join(main, "met").where("component <> main").drop("main"), 0), "jaccard-minor")
+        minor = save(blocked(now.join(main, "met").where("component <> main").drop("main"), num, den), "jaccard-minor")
         if minor.limit(1).count():
-            every = save(blocked(now.join(minor.select("met").distinct(), "met", "left_semi"), 0), "jaccard-every")
+            every = save(blocked(now.join(minor.select("met").distinct(), "met", "left_semi"), num, den), "jaccard-every")
             one, other = (x.select("met", F.col("class").alias(f"{s}_class"), F.col("block").alias(s)).distinct() for s, x in (("lb", minor), ("rb", every)))
             pairs = save(one.join(other, "met").where("lb = '' OR rb = '' OR abs(lb_class - rb_class) <= 1").select("met", "lb", "rb").distinct(), "jaccard-pairs")
             keys = ["met", "lb", "rb"]
             l = minor.withColumnRenamed("block", "lb").join(pairs, ["met", "lb"])
             r = every.withColumnRenamed("block", "rb").join(pairs, ["met", "rb"])
             links = links.unionByName(save(l.groupBy(keys).cogroup(r.groupBy(keys)).applyInPandas(across, "a long, b long"), "jaccard-links"))
+            discard(every, pairs)
+        discard(large, now, minor)
         return connected_components(links).withColumnRenamed("id", "d")
     # Each group was one block, whose links are stars already.
     return links.select(F.col("a").alias("d"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("d"), F.col("b").alias("component")).distinct())
@@ -327,7 +334,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
 
     # The sets of those that met, one of each class.
     sent = docs.sparkSession.sparkContext.broadcast(Membership(met, "id"))
-    set_schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+    set_schema = pa.schema([("d", pa.int64()), ("shingles", pa.binary())])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -335,17 +342,18 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
             found = [(digest(s), s) for s in sets(texts) if len(s)]
             may = sent.value.may_hold(np.array([d for d, _ in found], np.int64))
             found = [x for x, m in zip(found, may, strict=True) if m and x[0] not in seen]
-            found = list({d: (d, len(s), s.tobytes()) for d, s in found}.values())
-            seen.update(d for d, _, _ in found)
+            found = list({d: (d, s.tobytes()) for d, s in found}.values())
+            seen.update(d for d, _ in found)
             if len(seen) > 1_000_000:
                 seen.clear()
             if found:
                 yield arrow_batch(set_schema, [list(c) for c in zip(*found, strict=True)])
 
-    members = docs.select("text").mapInArrow(with_sets, "d long, n long, shingles binary").join(met.select(F.col("id").alias("d"), F.col("component").alias("met")), "d")
-    members = save(members.groupBy("d").agg(F.first("met").alias("met"), F.first("n").alias("n"), F.first("shingles").alias("shingles")), "jaccard-sets")
-    label = group_components(members, num, den)
-    classes = save(table.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("low"), F.count("*").alias("copies")).join(label, "d", "left").where("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "d")), "jaccard-classes")
+    each = save(table.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.max("n").alias("n")), "jaccard-each")
+    members = met.select(F.col("id").alias("d"), F.col("component").alias("met")).join(each.select("d", "n"), "d")
+    label = group_components(members, docs.select("text").mapInArrow(with_sets, "d long, shingles binary"), num, den)
+    classes = save(each.drop("n").join(label, "d", "left").where("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "d")), "jaccard-classes")
+    discard(each, met)
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("_classes"))
     named = lookup(classes, lowest, "component", "_classes", classes.count()).select("d", "copies", "component_id")
     out = lookup(table, named, "d", "copies", table.count())
@@ -365,23 +373,12 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """
     found = _components(docs, n, num, den, "doc_id", "text")
     rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_gone"), F.count("*").alias("_n"))
-    marks = rows.where("_gone OR _n > 1")
+    marks = save(rows.where("_gone OR _n > 1").drop("_n").withColumn("_row", F.monotonically_increasing_id()), "jaccard-marks")
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    doc_id, text = (inner[f"c{docs.columns.index(c)}"] for c in ("doc_id", "text"))
-    # Rows that a filter of fixed size says aren't marked stay where they are; only the others are moved to be joined.
-    doc_id, text_hash = doc_id.cast("long"), F.xxhash64(text.cast("string"))
-    marks = save(marks, "jaccard-marks")
-    sent = docs.sparkSession.sparkContext.broadcast(Membership(marks.select(F.xxhash64("_id", "_hash").alias("key")), "key"))
-
-    @F.pandas_udf("boolean")
-    def may(key: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.may_hold(key.to_numpy(np.int64)))
-
-    marked = inner.withColumn("may", may(F.xxhash64(doc_id, text_hash)))
-    out = marked.where("may").join(marks, doc_id.eqNullSafe(marks["_id"]) & (text_hash == marks["_hash"]), "left")
-    again = out.where("NOT _gone").dropDuplicates(["_id", "_hash"])
-    kept = marked.where("NOT may").select(*inner.columns).unionByName(out.where("_gone IS NULL").select(*inner.columns)).unionByName(again.select(*inner.columns))
-    return kept.toDF(*docs.columns)
+    doc_id, text = (inner.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    out = with_marks(inner, doc_id, text, marks)
+    again = out.where("NOT _gone").dropDuplicates(["_row"])
+    return out.where("_gone IS NULL").unionByName(again).select(*inner.columns).toDF(*docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,19 @@
-"""Operator 1: removal of repeated passages by MinHash banding of paragraphs and of windows of several sizes.
-
-Units are the lines of a text, the blocks between its blank lines, and, as passages may stand anywhere and texts may be
-unbroken, for each (UNIT, WINDOW) of SCALES the UNIT words from each anchor: anchors are the places of the smallest
-five-word hashes among any WINDOW places in a row, so they depend on the words around them alone. Any passage of 45 words
-or more that two texts share gives them an equal unit; the longer windows hold passages that differ inside. Units get
-MinHashes in BANDS bands of ROWS (at a Jaccard similarity of 0.8 99 in 100 pairs of units collide); units that
-collide form groups, are compared exactly as sets of five-word shingles, and link at a similarity of 0.8 or more.
+"""Operator 1: removal of repeated passages by MinHash banding of paragraphs and of windows.
+
+Paragraphs are the lines of a text and the blocks between its blank lines; as passages may stand within a long line, one of
+more than 104 words is cut into windows of 52 and 104 words as well. Paragraphs get MinHashes in BANDS bands of ROWS (at a
+Jaccard similarity of 0.8 99 in 100 pairs collide); those that collide form groups, are compared exactly as sets of
+five-word shingles, and link at a similarity of 0.8 or more. As passages may also run across lines, windows of 26 words
+link where they are equal: any passage of 45 words or more that two texts share gives them one. Windows start at anchors,
+the places of the smallest five-word hashes among so many places in a row, so they depend on the words around them alone.
 Components of linked units that stand in two documents or more are repeated passages: the occurrence in the smallest
 doc_id stays, the others are removed.
 
-Cases: null and empty texts and lines, blocks and texts of fewer than SHORTEST words have no units.
+Cases: null and empty texts and lines, blocks and texts of fewer than SHORTEST words have no units. Very long texts and
+lines are hashed piece by piece; what a task holds of one is some arrays of its length in words.
 Rows with one id are one document, and a passage that repeats within one document alone isn't touched; all null ids are one
-document, which sorts last. Other columns are ignored (spans) or kept (removal). An empty table gives an empty result.
+document, which sorts last. Spans are of each row's own text, told once for rows that repeat an id and a text. Other columns
+are ignored (spans) or kept (removal). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,36 +27,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Membership, arrow_batch, connected_components, lookup, mix64, ngrams, partitions_for, read, save, text_chunks, words_of
-from .jaccard_join import EDGES, group_components
+from .common import Membership, arrow_batch, connected_components, discard, lookup, mix64, ngrams, read, save, text_chunks, with_marks, words_of
+from .jaccard_join import group_components
 
 _U = np.uint64
 SHINGLE, SHORTEST, BANDS, ROWS, SIMILARITY = 5, 26, 5, 2, (80, 100)
-SCALES = ((26, 20), (52, 40), (104, 80))
+SHORT, LONG = (26, 20), ((52, 40), (104, 80))  # words of the windows, and places that an anchor is the least of
 
 
 class Units(NamedTuple):
-    """Units of several texts, by text and place: of text `text` the `words` words from `pos`; shingles g[begin:end]."""
+    """Units of several texts, by text and place: of text `text` the `words` words from `pos`; shingles g[begin:end].
+
+    repeats[i]: how many of g[:i] stand earlier in g; kind: 0 for the short windows, which equal ones alone meet, else 1.
+    """
 
     text: np.ndarray
     pos: np.ndarray
     words: np.ndarray
+    kind: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     g: np.ndarray
+    repeats: np.ndarray
 
     def digests(self) -> np.ndarray:
         """The same for equal sets of shingles (repeats within a unit count)."""
         with np.errstate(over="ignore"):
             total = np.concatenate((np.zeros(1, _U), np.cumsum(mix64(self.g ^ _U(0x756E6974)), dtype=_U)))
-            return mix64(total[self.end] - total[self.begin] + (self.end - self.begin).astype(_U)).view(np.int64)
+            return mix64(total[self.end] - total[self.begin] + (self.end - self.begin).astype(_U) + (self.kind.astype(_U) << _U(40))).view(np.int64)
+
+    def banded(self) -> np.ndarray:
+        return np.flatnonzero(self.kind)
 
     def only(self, at: np.ndarray) -> Units:
-        return Units(*(x[at] for x in self[:5]), self.g)
+        return Units(*(x[at] for x in self[:6]), *self[6:])
 
     def sets(self) -> list[np.ndarray]:
         return [np.unique(self.g[a:b]) for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)]
 
+    def distinct(self) -> np.ndarray:
+        """Sizes of the sets (of those that get no bands, with repeats)."""
+        n = self.end - self.begin
+        some = np.flatnonzero((self.repeats[self.end] > self.repeats[self.begin]) & (self.kind > 0))
+        n[some] = [len(s) for s in self.only(some).sets()]
+        return n
+
 
 def anchors(g: np.ndarray, words: int, unit: int, window: int) -> np.ndarray:
     """First words of the windows of `unit` words of a text of so many words with five-word hashes g."""
@@ -71,26 +88,36 @@ def anchors(g: np.ndarray, words: int, unit: int, window: int) -> np.ndarray:
 def units_of(texts: list[str | None]) -> Units:
     words = words_of(texts)
     g = ngrams(words.hashes(), SHINGLE)  # those across a border are in no unit
+    order = np.argsort(g, kind="stable")
+    again = np.zeros(len(g) + 1, np.int64)
+    again[1:][order[1:]] = g[order[1:]] == g[order[:-1]]
     line = np.searchsorted(np.flatnonzero(words.raw == 10), words.begin)  # newlines before each word
-    rows = [np.zeros((0, 3), np.int64)]
+    rows = [np.zeros((0, 4), np.int64)]
+
+    def windows(a: int, b: int, unit: int, window: int) -> np.ndarray:
+        return a + anchors(g[a : b - SHINGLE + 1], b - a, unit, window)
+
     for i in range(len(texts)):
-        a, b = words.bounds[i], words.bounds[i + 1]
+        a, b = int(words.bounds[i]), int(words.bounds[i + 1])
         if b - a < SHORTEST:
             continue
-        found = []
-        for unit, window in SCALES:
-            first = anchors(g[a : b - SHINGLE + 1], b - a, unit, window)
-            found.append(np.stack((first, np.full(len(first), unit)), 1))
+        first = windows(a, b, *SHORT)
+        rows.append(np.column_stack((np.full(len(first), i), first, np.full(len(first), SHORT[0]), np.zeros(len(first), np.int64))))
         gap = np.diff(line[a:b])
+        found = []
         for least in (1, 2) if (gap > 1).any() else (1,):
-            cut = np.concatenate(([0], np.flatnonzero(gap >= least) + 1, [b - a]))
+            cut = a + np.concatenate(([0], np.flatnonzero(gap >= least) + 1, [b - a]))
             size = np.diff(cut)
             found.append(np.stack((cut[:-1], size), 1)[size >= SHORTEST])
+            if least == 1:
+                for begin, n in found[0][found[0][:, 1] > LONG[-1][0]].tolist():
+                    for unit, window in LONG:
+                        first = windows(begin, begin + n, unit, window)
+                        found.append(np.stack((first, np.full(len(first), unit)), 1))
         found = np.unique(np.concatenate(found), axis=0)
-        rows.append(np.column_stack((np.full(len(found), i), found)))
-    text, pos, size = np.concatenate(rows).T
-    begin = words.bounds[text] + pos
-    return Units(text, pos, size, begin, begin + size - SHINGLE + 1, g)
+        rows.append(np.column_stack((np.full(len(found), i), found, np.ones(len(found), np.int64))))
+    text, begin, size, kind = np.concatenate(rows).T
+    return Units(text, begin - words.bounds[text], size, kind, begin, begin + size - SHINGLE + 1, g, np.cumsum(again))
 
 
 def band_hashes(units: Units) -> np.ndarray:
@@ -106,137 +133,104 @@ def band_hashes(units: Units) -> np.ndarray:
     return out.view(np.int64)
 
 
-def across_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (band, d, doc) in order: each unit but the first of its band, with the first, if the band has several documents.
-
-    Units of one document overlap, so they often share a band among themselves; such bands say nothing.
-    """
-    held = np.zeros((0, 3), np.int64)
-
-    def edges(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(rows):
-            start = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
-            at = np.maximum.accumulate(np.where(start, np.arange(len(rows)), 0))
-            several = np.maximum.reduceat(rows[:, 2] != rows[at, 2], np.flatnonzero(start))[np.cumsum(start) - 1]
-            pairs = np.stack((rows[:, 1], rows[at, 1]), 1)[several & (rows[:, 1] != rows[at, 1])]
-            if len(pairs):
-                pairs = np.unique(pairs, axis=0)
-                yield arrow_batch(EDGES, [pairs[:, 0], pairs[:, 1]])
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], 1)))
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        yield from edges(rows[:last])
-        held = rows[last:]
-        other = np.flatnonzero(held[:, 2] != held[0, 2])
-        if len(held) > 1_000_000 and len(other):  # a large band goes on with its first unit and one of another document
-            yield from edges(held)
-            held = held[[0, other[0]]]
-    yield from edges(held)
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, component_id, removed): spans of words of a document that stand in other documents too.
 
     Neighbouring units make one span; component_id is the smallest id of the documents that share a unit of it; removed is
     false where the span is the first occurrence.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _passages(docs, id_col, text_col).drop("text_hash")
+
 
-    unit_schema = pa.schema([("d", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("words", pa.int32())])
+def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As repeated_passages, with a hash of each text: rows that share an id have spans of their own texts."""
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    band_columns = [f"band{i}" for i in range(BANDS)]
+    ddl = "d long, id long, text_hash long, pos int, words int, n int, " + ", ".join(f"{b} long" for b in band_columns)
+    unit_schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.int32()) for c in ddl.split(", ")])
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "text"):
             u = units_of(texts)
             if len(u.pos):
-                yield arrow_batch(unit_schema, [u.digests(), batch.column(0).take(pa.array(u.text)), u.pos.astype(np.int32), u.words.astype(np.int32)])
-
-    band_schema = pa.schema([("band", pa.int64()), ("d", pa.int64()), ("doc", pa.int64())])
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int | None] = {}  # units told by this task, with their document; None when told with two
-        for batch, texts in text_chunks(batches, "text"):
-            u = units_of(texts)
-            d, doc = u.digests(), batch.column(0).fill_null(-(1 << 62)).to_numpy()[u.text]
-            order = np.lexsort((doc, d))
-            new = d[order][1:] != d[order][:-1]
-            edge = np.ones(min(len(d), 1), bool)
-            low, high = order[np.concatenate((edge, new))], order[np.concatenate((new, edge))]
-            told = []
-            for x, i, j, a, b in zip(d[low].tolist(), low.tolist(), high.tolist(), doc[low].tolist(), doc[high].tolist(), strict=True):
-                was = seen.get(x)
-                if x not in seen:
-                    told += [i, j] if a != b else [i]
-                    seen[x] = a if a == b else None
-                elif was is not None and (a != was or b != was):
-                    told.append(i if a != was else j)
-                    seen[x] = None
-            if told:
-                told = np.sort(np.array(told))  # in the order of the text, which band_hashes is fast in
-                yield arrow_batch(band_schema, [band_hashes(u.only(told)).ravel(), np.repeat(d[told], BANDS), np.repeat(doc[told], BANDS)])
-            if len(seen) > 200_000:
-                seen.clear()
-
-    table = save(docs.mapInArrow(units, "d long, id long, pos int, words int"), "units")
-    collided = docs.mapInArrow(bands, "band long, d long, doc long").repartition(partitions_for(docs), "band").sortWithinPartitions("band", "d")
-    met = connected_components(collided.mapInArrow(across_documents, "a long, b long"))
-
-    # Shingles of the units that collided, one of each kind.
-    sent = docs.sparkSession.sparkContext.broadcast(Membership(met, "id"))
-    set_schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+                bands, own = np.zeros((len(u.pos), BANDS), np.int64), u.banded()
+                bands[own] = band_hashes(u.only(own))
+                none = np.ones(len(u.pos), bool)
+                none[own] = False
+                of = pa.array(u.text)
+                yield arrow_batch(unit_schema, [u.digests(), batch.column(0).take(of), batch.column(2).take(of), u.pos.astype(np.int32), u.words.astype(np.int32), u.distinct().astype(np.int32), *(pa.array(b, mask=none) for b in bands.T)])
+
+    table = save(docs.mapInArrow(units, ddl), "units")
+    # A row for each distinct unit, with the documents that hold it: the smallest and largest id, and whether one has none.
+    holders = [F.min("low").alias("low"), F.max("high").alias("high"), F.max("none").alias("none")]
+    several = "(low <> high OR none = 1 AND low IS NOT NULL)"
+    rows = table.withColumns({"low": F.col("id"), "high": F.col("id"), "none": F.col("id").isNull().cast("int")})
+    each = save(rows.groupBy("d").agg(F.count("*").alias("rows"), *holders, F.max("n").alias("n"), *(F.max(b).alias(b) for b in band_columns)), "units-each")
+
+    # Units of one document overlap, so they often share a band among themselves; such bands say nothing.
+    banded = each.where("band0 IS NOT NULL").select("d", "low", "high", "none", F.explode(F.array(*band_columns)).alias("band"))
+    met = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("d").alias("first"), F.max("d").alias("last"), *holders).where(f"m > 1 AND {several}")
+    met = save(met.select("band", "m", "first", "last"), "units-met")
+    more = met.where("m > 2")
+    edges = lookup(banded.select("d", "band"), more.drop("last"), "band", "m", BANDS * each.count()).where("first IS NOT NULL").select(F.col("d").alias("a"), F.col("first").alias("b"))
+    collided = connected_components(edges.unionByName(met.where("m = 2").select(F.col("last").alias("a"), F.col("first").alias("b"))))
+    discard(met)
+
+    # Shingles of the units that collided.
+    sent = docs.sparkSession.sparkContext.broadcast(Membership(collided, "id"))
+    set_schema = pa.schema([("d", pa.int64()), ("shingles", pa.binary())])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[int] = set()  # copies within a task are told once
         for _, texts in text_chunks(batches, "text"):
             u = units_of(texts)
+            u = u.only(u.banded())
             d, where = np.unique(u.digests(), return_index=True)
             fresh = sent.value.may_hold(d)
             fresh[fresh] = [x not in seen for x in d[fresh].tolist()]
             seen.update(d[fresh].tolist())
-            made = u.only(where[fresh]).sets()
-            if made:
-                yield arrow_batch(set_schema, [d[fresh], [len(s) for s in made], [s.tobytes() for s in made]])
-            if len(seen) > 200_000:
+            if fresh.any():
+                yield arrow_batch(set_schema, [d[fresh], [s.tobytes() for s in u.only(where[fresh]).sets()]])
+            if len(seen) > 1_000_000:
                 seen.clear()
 
-    members = docs.mapInArrow(with_sets, "d long, n long, shingles binary").join(met.select(F.col("id").alias("d"), F.col("component").alias("met")), "d")
-    members = save(members.groupBy("d").agg(F.first("met").alias("met"), F.first("n").alias("n"), F.first("shingles").alias("shingles")), "unit-sets")
-    label = group_components(members, *SIMILARITY)
-
-    # Null ids sort last, so that a known document is named first.
-    key = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
-    units_each = table.groupBy("d").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
-    classes = units_each.join(label, "d", "left").withColumn("component", F.coalesce("component", "d"))
-    classes = save(classes.where("n > 1 OR component <> d OR low <> high").unionByName(classes.where("n = 1 AND component = d AND low = high").join(label.select("component").distinct(), "component", "left_semi")), "unit-classes")
-    shared = classes.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("m")).where("low <> high")
-    named = save(lookup(classes.select("d", "n", "component"), shared, "component", "m", classes.count()).where("low IS NOT NULL").select("d", "n", "low"), "unit-names")
-    hits = lookup(table, named, "d", "n", table.count()).where("low IS NOT NULL").select("id", "pos", (F.col("pos") + F.col("words")).alias("end"), "low")
-    order = W.partitionBy("id").orderBy("pos", "end")
+    members = save(each.where("band0 IS NOT NULL").drop(*band_columns).join(collided.select(F.col("id").alias("d"), F.col("component").alias("met")), "d"), "unit-members")
+    label = group_components(members.select("d", "met", "n"), docs.mapInArrow(with_sets, "d long, shingles binary"), *SIMILARITY)
+
+    # Classes of equal or linked units that stand in several documents, and the first of these.
+    linked = members.drop("met", "n").join(label, "d")
+    alone = each.where(several).select("d", "rows", "low", "high", "none").join(label.select("d"), "d", "left_anti").withColumn("component", F.col("d"))
+    classes = save(linked.unionByName(alone), "unit-classes")
+    discard(each, members)
+    shared = classes.groupBy("component").agg(*holders, F.count("*").alias("m")).where(several).select("component", "low", "m")
+    named = save(lookup(classes.select("d", "rows", "component"), shared, "component", "m", classes.count()).where("low IS NOT NULL").select("d", "rows", "low"), "unit-names")
+    discard(classes)
+    hits = lookup(table.select("d", "id", "text_hash", "pos", (F.col("pos") + F.col("words")).alias("end")), named, "d", "rows", table.count()).where("low IS NOT NULL")
+    order = W.partitionBy("id", "text_hash").orderBy("pos", "end")
     spans = hits.withColumn("new", F.when(F.col("pos") > F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0)).withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    first = F.min("low")
-    return spans.groupBy("id", "span").agg(F.min("pos").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), first["id"].alias("component_id"), F.max(~F.col("low.id").eqNullSafe(F.col("id"))).alias("removed")).select(F.col("id").alias(id_col), "start_word", "end_word", "component_id", "removed")
+    found = spans.groupBy("id", "text_hash", "span").agg(F.min("pos").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.min("low").alias("component_id"), F.max(~F.col("low").eqNullSafe(F.col("id"))).alias("removed"))
+    return found.select(F.col("id").alias(id_col), "start_word", "end_word", "component_id", "removed", "text_hash")
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removed spans cut out of the texts; the rest of each text stays as it is."""
-    spans = repeated_passages(docs, id_col, text_col).where("removed").groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
+    spans = _passages(docs, id_col, text_col).where("removed").groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"))
+    spans = save(spans.agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans")), "passages")
     names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
-    marked = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]), "left").drop("_id").toDF(*inner, "spans")
     at = names.index(text_col)
+    marked = with_marks(docs.toDF(*inner), inner[names.index(id_col)], inner[at], spans).select(*inner, "_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, inner[at]):
             out = list(texts)
             for i, spans in enumerate(batch.column(len(inner)).to_pylist()):
-                if spans and texts[i] is not None:
+                if spans:
                     raw, words = texts[i].encode(), words_of([texts[i]])
                     kept, since = [], 0
                     for s in spans:
-                        if s["start_word"] < len(words.begin):
-                            kept.append(raw[since : words.begin[s["start_word"]]])
-                            since = words.end[min(s["end_word"], len(words.end)) - 1]
+                        kept.append(raw[since : words.begin[s["start_word"]]])
+                        since = words.end[s["end_word"] - 1]
                     out[i] = b"".join([*kept, raw[since:]]).decode()
             columns = [pa.array(out, pa.string()) if c == at else batch.column(c) for c in range(len(inner))]
             yield pa.RecordBatch.from_arrays(columns, names=inner)
