@@ -39,8 +39,9 @@ def size_classes(num: int, den: int, upto: int) -> list[int]:
     return [*bounds, max(bounds[-1] + 1, -(-bounds[-1] * den // num))]
 
 
-def part_signatures(shingles: np.ndarray, num: int, den: int, bounds: list[int]) -> np.ndarray:
-    """Signatures of a set: any set linked with it (|A n B| * den >= num * |A u B|) has one of them too."""
+def part_signatures(shingles: np.ndarray, num: int, den: int, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set for its own size class and for the next: any set linked with it (|A n B| * den >= num * |A u B|)
+    has one of them too, and for one of both sets that is one of its own class."""
     out = []
     own = int(np.searchsorted(bounds, len(shingles), side="right")) - 1
     spread = mix64(shingles ^ _U(0xA5A5F00DC0FFEE11))
@@ -57,7 +58,7 @@ def part_signatures(shingles: np.ndarray, num: int, den: int, bounds: list[int])
         # of the parts that agree (parts - differ at least) no more than this side has of them are that small.
         small = np.flatnonzero(np.cumsum(np.bincount(counts)) < parts - differ)
         out.append(signature[counts > small[-1]] if len(small) else signature)
-    return np.concatenate(out)
+    return out[0], out[1]
 
 
 class _Tree:
@@ -108,6 +109,12 @@ class _Links:
         self.parent[self.find(a)] = self.find(b)
 
 
+def similar(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
+    s, t = (s, t) if len(s) <= len(t) else (t, s)
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return both * den >= num * (len(s) + len(t) - both)
+
+
 def dual_traversal(x: _Tree, y: _Tree, links: _Links, num: int, den: int) -> None:
     """Links all sets of x with sets of y that are similar enough and not yet in one component."""
     whole: dict[tuple[int, int, int], int] = {}
@@ -140,10 +147,7 @@ def dual_traversal(x: _Tree, y: _Tree, links: _Links, num: int, den: int) -> Non
         same = x is y and a == b
         if a[0] == 0 and b[0] == 0:
             if not same and links.find(x.ids[a[1]]) != links.find(y.ids[b[1]]):
-                s, t = x.sets[a[1]], y.sets[b[1]]
-                s, t = (s, t) if len(s) <= len(t) else (t, s)
-                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                if both * den >= num * (len(s) + len(t) - both):
+                if similar(x.sets[a[1]], y.sets[b[1]], num, den):
                     links.link(x.ids[a[1]], y.ids[b[1]])
             return
         left = x.children(a) if a[0] >= b[0] and a[0] else [a]
@@ -182,17 +186,21 @@ def _stars(links: _Links) -> list[tuple[int, int]]:
 
 
 def to_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, d) in order: each d but the first of its key, with the first."""
-    key = pivot = None
+    """Of rows (key, next, d) in order: each d but the first of its key, with the first.
+
+    Keys that have only sets of the class below (next) say nothing: those meet by the keys of their own class.
+    """
+    key = pivot = own = None
     for batch in batches:
-        k, d = (batch.column(i).to_numpy() for i in (0, 1))
+        k, after, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(k):
             continue
         new = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
         at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
         first = np.where(at >= 0, d[at], d[0] if pivot is None else pivot)
-        key, pivot = k[-1], first[-1]
-        pairs = np.unique(np.stack((d, first), 1)[d != first], axis=0)
+        has_own = np.where(at >= 0, after[at] == 0, own or False)
+        key, pivot, own = k[-1], first[-1], has_own[-1]
+        pairs = np.unique(np.stack((d, first), 1)[(d != first) & has_own], axis=0)
         if len(pairs):
             yield arrow_batch(EDGES, [pairs[:, 0], pairs[:, 1]])
 
@@ -206,13 +214,13 @@ def blocked(rows: DataFrame, num: int, den: int, seed: int = 0) -> DataFrame:
     return rows.join(large, ["met", "class"], "left").withColumn("block", F.when(F.col("_k").isNull(), F.lit("")).otherwise(F.concat_ws(":", "class", F.pmod(F.xxhash64("d", F.lit(seed)), "_k")))).drop("_k")
 
 
-def group_components(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def group_components(members: DataFrame, sets: DataFrame, num: int, den: int, disjoint: bool = True) -> DataFrame:
     """(d, component) of the linked among members (d, met, n): sets of one group `met` may link, by d.
 
-    sets: (d, shingles), for each member once or more. Groups are joined by signature trees in blocks of bounded size. For
-    a group of several blocks, one set of each component found goes on to the next level, until that joins little more;
-    what is then outside the group's largest component is compared with all of the group, block by block. Sets move to
-    their block and are written for groups of several blocks alone.
+    sets: (d, shingles), for each member once or more; disjoint says that no set is in several groups. Groups are joined by
+    signature trees in blocks of bounded size. For a group of several blocks, one set of each component found goes on to
+    the next level, until that joins little more; what is then outside the group's largest component is compared with all
+    of the group, block by block. Sets move to their block and are written for groups of several blocks alone.
     """
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +229,9 @@ def group_components(members: DataFrame, sets: DataFrame, num: int, den: int) ->
         made: list[tuple[int, int]] = []
 
         def join() -> None:
-            if len(ids) > 1:
+            if len(ids) == 2:
+                made.extend([(max(ids), min(ids))] if similar(*sets, num, den) else [])
+            elif len(ids) > 2:
                 links = _Links()
                 tree = _Tree(sets, ids, _bits(max(map(len, sets))))
                 dual_traversal(tree, tree, links, num, den)
@@ -253,7 +263,7 @@ def group_components(members: DataFrame, sets: DataFrame, num: int, den: int) ->
         return pd.DataFrame(_stars(links), columns=["a", "b"], dtype="int64")
 
     blocks = save(blocked(members, num, den), "jaccard-blocks")
-    filled = sets.join(blocks, "d").groupBy("d").agg(*(F.first(c).alias(c) for c in ("met", "n", "class", "block", "shingles")))
+    filled = sets.groupBy("d").agg(F.first("shingles").alias("shingles")).join(blocks, "d")
     several = blocks.where("block <> ''").limit(1).count() > 0
     if several:
         filled = save(filled, "jaccard-sets")
@@ -264,7 +274,7 @@ def group_components(members: DataFrame, sets: DataFrame, num: int, den: int) ->
         left, level = large.count(), 1
         while True:  # one text of each component found goes on to the next level, until that joins little more
             now = _labelled(large, links)
-            tops = now.where("d = component").drop("component")
+            tops = now.join(now.groupBy("met", "component").agg(F.min("d").alias("d")), ["met", "component", "d"]).drop("component")
             found = joined(blocked(tops, num, den, level))
             links, before, left, level = links.unionByName(found), left, tops.count(), level + 1
             if left > 0.9 * before or not found.limit(1).count():
@@ -284,6 +294,7 @@ def group_components(members: DataFrame, sets: DataFrame, num: int, den: int) ->
             links = links.unionByName(save(l.groupBy(keys).cogroup(r.groupBy(keys)).applyInPandas(across, "a long, b long"), "jaccard-links"))
             discard(every, pairs)
         discard(large, now, minor)
+    if several or not disjoint:
         return connected_components(links).withColumnRenamed("id", "d")
     # Each group was one block, whose links are stars already.
     return links.select(F.col("a").alias("d"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("d"), F.col("b").alias("component")).distinct())
@@ -312,24 +323,26 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
             found = [(len(s), digest(s) if len(s) else None) for s in sets(texts)]
             yield arrow_batch(row_schema, [batch.column(0), batch.column(2), [f[0] for f in found], [f[1] for f in found]])
 
-    sign_schema = pa.schema([("signature", pa.int64()), ("d", pa.int64())])
+    sign_schema = pa.schema([("signature", pa.int64()), ("next", pa.int8()), ("d", pa.int64())])
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task are told once
         for _, texts in text_chunks(batches, "text"):
-            keys, ids = [], []
+            keys, after, ids = [], [], []
             for s in sets(texts):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
-                    keys.append(part_signatures(s, num, den, bounds))
-                    ids.append(np.full(len(keys[-1]), d))
+                    own_next = part_signatures(s, num, den, bounds)
+                    keys += own_next
+                    after.append(np.repeat(np.array([0, 1], np.int8), [len(x) for x in own_next]))
+                    ids.append(np.full(len(after[-1]), d))
             if len(seen) > 1_000_000:
                 seen.clear()
             if keys:
-                yield arrow_batch(sign_schema, [np.concatenate(keys).view(np.int64), np.concatenate(ids)])
+                yield arrow_batch(sign_schema, [np.concatenate(keys).view(np.int64), np.concatenate(after), np.concatenate(ids)])
 
     table = save(docs.mapInArrow(rows, "id long, text_hash long, n long, d long"), "jaccard-rows")
-    signed = docs.select("text").mapInArrow(signatures, "signature long, d long").repartition(partitions_for(docs), "signature").sortWithinPartitions("signature", "d")
+    signed = docs.select("text").mapInArrow(signatures, "signature long, next byte, d long").repartition(partitions_for(docs), "signature").sortWithinPartitions("signature", "next", "d")
     met = connected_components(signed.mapInArrow(to_smallest, "a long, b long"))
 
     # The sets of those that met, one of each class.

@@ -5,8 +5,9 @@ boilerplate, lines near it (within the sketch's error) get an exact distinct cou
 line (smallest id) stays, all others are removed.
 
 Cases: a null text stays null and has 0 lines; lines without a word are left alone; a null site counts as no site. Rows
-that repeat an id with another text are told apart by the text; wholly repeated rows are treated alike. Other columns are
-kept. An empty table gives an empty result.
+that repeat an id (or have none) with another text are told apart by the text; wholly repeated rows are treated alike. Very
+long texts are hashed piece by piece. Other columns are kept, whatever their names. Only texts that lose a line move to be
+joined with their marks. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_batch, lookup, read, save, span_hashes, text_chunks, words_of
+from .common import WORD, arrow_batch, lookup, read, save, span_hashes, text_chunks, with_marks, words_of
 
 MIN_SITES = 10
 LG_K = 12  # of the sketches: relative error 1.04 / sqrt(2**12)
@@ -26,19 +27,22 @@ _ERROR = 3 * 1.04 / 2 ** (LG_K / 2)
 
 
 def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """lines (h1, h2, site, at) -> (h1, h2, n, first) of those on at least min_sites sites."""
-    per_line = save(lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sites"), F.count("*").alias("n"), F.min("at").alias("first")).where(F.col("n") >= min_sites), "line-sketches")
+    """lines (line: a struct of two hashes, site, at), saved -> (line, n, first) of those on at least min_sites sites."""
+    per_line = save(lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sites"), F.count("*").alias("n"), F.min("at").alias("first")).where(F.col("n") >= min_sites), "line-sketches")
     sites = F.hll_sketch_estimate("sites")
     low, high = min_sites * (1 - _ERROR) - 1, min_sites * (1 + _ERROR) + 1
     sure = per_line.where(sites >= high).drop("sites")
     near = per_line.where((sites >= low) & (sites < high)).drop("sites")
-    exact = lines.select("h1", "h2", "site").distinct().join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count("site").alias("c"), F.first("n").alias("n"), F.first("first").alias("first"))
-    return sure.unionByName(exact.where(F.col("c") >= min_sites).drop("c"))
+    # Lines and sites of the near ones alone; frequent lines don't meet in one task.
+    some = lookup(lines.select("line", "site"), near.select("line", "n"), "line", "n", lines.count()).where("n IS NOT NULL AND site IS NOT NULL")
+    exact = some.select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("c")).where(F.col("c") >= min_sites)
+    return sure.unionByName(near.join(exact.select("line"), "line", "left_semi"))
 
 
 def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with cleaned texts, and the numbers of lines before and of lines removed in the columns `counts`."""
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.col(site_col).cast("string").alias("site"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("site", pa.string()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,20 +54,17 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc
             text_of = np.searchsorted(words.text_at, begins, side="right") - 1
             pos = np.arange(len(begins)) - np.searchsorted(begins, words.text_at[:-1])[text_of]
             begins, ends, of, pos = begins[has], ends[has], text_of[has], pos[has]
-            whole = span_hashes(words.raw, words.text_at[:-1], words.text_at[1:] - 1).view(np.int64)
             at = pa.array(of)
-            yield arrow_batch(schema, [batch.column(0).take(at), whole[of], pos.astype(np.int32), batch.column(1).take(at), *(span_hashes(words.raw, begins, ends, seed).view(np.int64) for seed in (1, 2))])
+            yield arrow_batch(schema, [batch.column(0).take(at), batch.column(3).take(at), pos.astype(np.int32), batch.column(1).take(at), *(span_hashes(words.raw, begins, ends, seed).view(np.int64) for seed in (1, 2))])
 
     lines = save(lines.mapInArrow(hashed, "id long, text_hash long, pos int, site string, h1 long, h2 long"), "lines")
-    at = F.struct("id", "text_hash", "pos").alias("at")
-    lines = lines.select("h1", "h2", "site", at)
+    lines = lines.select(F.struct("h1", "h2").alias("line"), "site", F.struct("id", "text_hash", "pos").alias("at"))
     found = save(boilerplate_lines(lines, min_sites), "boilerplate")
-    key = F.struct("h1", "h2").alias("line")
-    hits = lookup(lines.select(key, "at"), found.select(key, "n", "first"), "line", "n", lines.count())
-    gone = hits.where("at <> first").groupBy("at.id", "at.text_hash").agg(F.collect_set("at.pos").alias("gone"))
-    gone = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("text_hash", "gone")).alias("_gone"))
+    hits = lookup(lines.select("line", "at"), found, "line", "n", lines.count())
+    gone = hits.where("at <> first").groupBy(F.col("at.id").alias("_id"), F.col("at.text_hash").alias("_hash")).agg(F.collect_set("at.pos").alias("_gone"))
+    gone = save(gone, "lines-gone")
     names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
-    marked = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left").drop("_id").toDF(*inner, "gone")
+    marked = with_marks(docs.toDF(*inner), inner[names.index(id_col)], inner[names.index(text_col)], gone).select(*inner, "_gone")
     of = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,11 +72,7 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc
             out, before, removed = list(texts), [], []
             for i, (text, gone) in enumerate(zip(texts, batch.column(len(inner)).to_pylist(), strict=True)):
                 split = [] if text is None else text.split("\n")
-                lost: list[int] = []
-                if gone and split:
-                    raw = text.encode()
-                    whole = int(span_hashes(np.frombuffer(raw + b"\n", np.uint8), np.array([0]), np.array([len(raw)])).view(np.int64)[0])
-                    lost = next((g["gone"] for g in gone if g["text_hash"] == whole), [])
+                lost = gone or []
                 if lost:
                     drop = set(lost)
                     out[i] = "\n".join(x for n, x in enumerate(split) if n not in drop)

@@ -2,10 +2,10 @@
 
 Paragraphs are the lines of a text and the blocks between its blank lines; as passages may stand within a long line, one of
 more than 104 words is cut into windows of 52 and 104 words as well. Paragraphs get MinHashes in BANDS bands of ROWS (at a
-Jaccard similarity of 0.8 99 in 100 pairs collide); those that collide form groups, are compared exactly as sets of
-five-word shingles, and link at a similarity of 0.8 or more. As passages may also run across lines, windows of 26 words
-link where they are equal: any passage of 45 words or more that two texts share gives them one. Windows start at anchors,
-the places of the smallest five-word hashes among so many places in a row, so they depend on the words around them alone.
+Jaccard similarity of 0.8 99 in 100 pairs collide); those of a band are compared exactly as sets of five-word shingles, by
+signature trees, and link at a similarity of 0.8 or more. As passages may also run across lines, windows of 26 words link
+where they are equal: any passage of 45 words or more that two texts share gives them one. Windows start at anchors, the
+places of the smallest five-word hashes among so many places in a row, so they depend on the words around them alone.
 Components of linked units that stand in two documents or more are repeated passages: the occurrence in the smallest
 doc_id stays, the others are removed.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Membership, arrow_batch, connected_components, discard, lookup, mix64, ngrams, read, save, text_chunks, with_marks, words_of
+from .common import Membership, arrow_batch, discard, lookup, mix64, ngrams, read, save, text_chunks, with_marks, words_of
 from .jaccard_join import group_components
 
 _U = np.uint64
@@ -38,7 +38,7 @@ SHORT, LONG = (26, 20), ((52, 40), (104, 80))  # words of the windows, and place
 class Units(NamedTuple):
     """Units of several texts, by text and place: of text `text` the `words` words from `pos`; shingles g[begin:end].
 
-    repeats[i]: how many of g[:i] stand earlier in g; kind: 0 for the short windows, which equal ones alone meet, else 1.
+    kind: 0 for the short windows, which equal ones alone meet, else 1.
     """
 
     text: np.ndarray
@@ -48,7 +48,6 @@ class Units(NamedTuple):
     begin: np.ndarray
     end: np.ndarray
     g: np.ndarray
-    repeats: np.ndarray
 
     def digests(self) -> np.ndarray:
         """The same for equal sets of shingles (repeats within a unit count)."""
@@ -60,64 +59,79 @@ class Units(NamedTuple):
         return np.flatnonzero(self.kind)
 
     def only(self, at: np.ndarray) -> Units:
-        return Units(*(x[at] for x in self[:6]), *self[6:])
+        return Units(*(x[at] for x in self[:6]), self.g)
 
     def sets(self) -> list[np.ndarray]:
         return [np.unique(self.g[a:b]) for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)]
 
     def distinct(self) -> np.ndarray:
-        """Sizes of the sets (of those that get no bands, with repeats)."""
+        """Sizes of the sets: shingles that don't stand earlier in the unit."""
+        by = np.argsort(self.g, kind="stable")
+        before = np.full(len(self.g), -1)  # where a shingle stands last before
+        before[by[1:]] = np.where(self.g[by[1:]] == self.g[by[:-1]], by[:-1], -1)
         n = self.end - self.begin
-        some = np.flatnonzero((self.repeats[self.end] > self.repeats[self.begin]) & (self.kind > 0))
-        n[some] = [len(s) for s in self.only(some).sets()]
+        if not len(n):
+            return n
+        latest = np.maximum.reduceat(np.append(before, -1), np.stack((self.begin, self.end), 1).ravel())[::2]
+        some = np.flatnonzero(latest >= self.begin)
+        if len(some):
+            size, first = n[some], np.concatenate(([0], np.cumsum(n[some])[:-1]))
+            at = np.repeat(self.begin[some] - first, size) + np.arange(size.sum())
+            n[some] = np.add.reduceat(before[at] < np.repeat(self.begin[some], size), first, dtype=np.int64)
         return n
 
 
-def anchors(g: np.ndarray, words: int, unit: int, window: int) -> np.ndarray:
-    """First words of the windows of `unit` words of a text of so many words with five-word hashes g."""
+def anchors(order: np.ndarray, begin: np.ndarray, words: np.ndarray, unit: int, window: int) -> np.ndarray:
+    """First words of the windows of `unit` words of stretches of so many words: the places that are least, by the numbers
+    `order` of all places, among any `window` in a row (or among all, if there are fewer)."""
     places = words - unit + 1
-    if places <= 0:
-        return np.zeros(0, np.int64)
-    order = mix64(g[:places] ^ _U(0x616E63686F727321))
-    if places <= window:
-        return np.array([order.argmin()])
-    at = np.lib.stride_tricks.sliding_window_view(order, window).argmin(1) + np.arange(places - window + 1)
-    return at[np.concatenate(([True], at[1:] != at[:-1]))]
+    begin, places = begin[places > 0], places[places > 0]
+    if not len(begin):
+        return begin
+    # Smallest of 2**k, then of `window` places from each place on, by its number with its place in the lowest bits.
+    least = order << _U(26) | np.arange(len(order), dtype=_U) & _U((1 << 26) - 1)
+    few = places <= window
+    ends = np.stack((begin[few], begin[few] + places[few]), 1).ravel()
+    found = [np.minimum.reduceat(np.append(least, _U(0)), ends)[::2]] if few.any() else []
+    step = 1
+    while 2 * step <= window:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    if window > step and len(least) > window - step:
+        least = np.minimum(least[: step - window], least[window - step :])
+    begin, starts = begin[~few], places[~few] - window + 1
+    at = np.repeat(begin - np.concatenate(([0], np.cumsum(starts)[:-1])), starts) + np.arange(starts.sum())
+    at, place = np.concatenate((np.zeros(len(ends) // 2, np.int64), at)), np.concatenate([*found, least[at]]) & _U((1 << 26) - 1)
+    # Texts of over 2**26 words: the place is the only one from the start of the window on with these lowest bits.
+    return np.unique(at + ((place.astype(np.int64) - at) & ((1 << 26) - 1)))
 
 
 def units_of(texts: list[str | None]) -> Units:
     words = words_of(texts)
-    g = ngrams(words.hashes(), SHINGLE)  # those across a border are in no unit
-    order = np.argsort(g, kind="stable")
-    again = np.zeros(len(g) + 1, np.int64)
-    again[1:][order[1:]] = g[order[1:]] == g[order[:-1]]
-    line = np.searchsorted(np.flatnonzero(words.raw == 10), words.begin)  # newlines before each word
-    rows = [np.zeros((0, 4), np.int64)]
-
-    def windows(a: int, b: int, unit: int, window: int) -> np.ndarray:
-        return a + anchors(g[a : b - SHINGLE + 1], b - a, unit, window)
-
-    for i in range(len(texts)):
-        a, b = int(words.bounds[i]), int(words.bounds[i + 1])
-        if b - a < SHORTEST:
-            continue
-        first = windows(a, b, *SHORT)
-        rows.append(np.column_stack((np.full(len(first), i), first, np.full(len(first), SHORT[0]), np.zeros(len(first), np.int64))))
-        gap = np.diff(line[a:b])
-        found = []
-        for least in (1, 2) if (gap > 1).any() else (1,):
-            cut = a + np.concatenate(([0], np.flatnonzero(gap >= least) + 1, [b - a]))
-            size = np.diff(cut)
-            found.append(np.stack((cut[:-1], size), 1)[size >= SHORTEST])
-            if least == 1:
-                for begin, n in found[0][found[0][:, 1] > LONG[-1][0]].tolist():
-                    for unit, window in LONG:
-                        first = windows(begin, begin + n, unit, window)
-                        found.append(np.stack((first, np.full(len(first), unit)), 1))
-        found = np.unique(np.concatenate(found), axis=0)
-        rows.append(np.column_stack((np.full(len(found), i), found, np.ones(len(found), np.int64))))
-    text, begin, size, kind = np.concatenate(rows).T
-    return Units(text, begin - words.bounds[text], size, kind, begin, begin + size - SHINGLE + 1, g, np.cumsum(again))
+    h = words.hashes()
+    g = ngrams(h, SHINGLE)  # those across a border are in no unit
+    text = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
+    line = np.searchsorted(np.flatnonzero(words.raw == 10), words.begin)  # newlines before each word, one after each text
+    order = mix64(g ^ _U(0x616E63686F727321))
+
+    def stretches(least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and words of what `least` newlines part, or the ends of texts."""
+        new = (np.diff(line) >= least) | (np.diff(text) > 0)
+        begin = np.concatenate((np.zeros(min(len(h), 1), np.int64), np.flatnonzero(new) + 1))
+        size = np.diff(np.append(begin, len(h)))
+        return begin[size >= SHORTEST], size[size >= SHORTEST]
+
+    begin, size = stretches(1)
+    found = [(begin, size), stretches(2)]
+    long = size > LONG[-1][0]
+    for unit, window in LONG:
+        first = anchors(order, begin[long], size[long], unit, window)
+        found.append((first, np.full(len(first), unit)))
+    begin, size = np.unique(np.concatenate([np.stack(x, 1) for x in found]), axis=0).T
+    first = anchors(order, words.bounds[:-1], np.diff(words.bounds), *SHORT)
+    kind = np.repeat([1, 0], [len(begin), len(first)])
+    begin, size = np.concatenate((begin, first)), np.concatenate((size, np.full(len(first), SHORT[0])))
+    return Units(text[begin], begin - words.bounds[text[begin]], size, kind, begin, begin + size - SHINGLE + 1, g)
 
 
 def band_hashes(units: Units) -> np.ndarray:
@@ -156,10 +170,11 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if len(u.pos):
                 bands, own = np.zeros((len(u.pos), BANDS), np.int64), u.banded()
                 bands[own] = band_hashes(u.only(own))
-                none = np.ones(len(u.pos), bool)
-                none[own] = False
+                none = u.kind == 0
+                size = u.end - u.begin
+                size[own] = u.only(own).distinct()
                 of = pa.array(u.text)
-                yield arrow_batch(unit_schema, [u.digests(), batch.column(0).take(of), batch.column(2).take(of), u.pos.astype(np.int32), u.words.astype(np.int32), u.distinct().astype(np.int32), *(pa.array(b, mask=none) for b in bands.T)])
+                yield arrow_batch(unit_schema, [u.digests(), batch.column(0).take(of), batch.column(2).take(of), u.pos.astype(np.int32), u.words.astype(np.int32), size.astype(np.int32), *(pa.array(b, mask=none) for b in bands.T)])
 
     table = save(docs.mapInArrow(units, ddl), "units")
     # A row for each distinct unit, with the documents that hold it: the smallest and largest id, and whether one has none.
@@ -168,17 +183,16 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = table.withColumns({"low": F.col("id"), "high": F.col("id"), "none": F.col("id").isNull().cast("int")})
     each = save(rows.groupBy("d").agg(F.count("*").alias("rows"), *holders, F.max("n").alias("n"), *(F.max(b).alias(b) for b in band_columns)), "units-each")
 
-    # Units of one document overlap, so they often share a band among themselves; such bands say nothing.
-    banded = each.where("band0 IS NOT NULL").select("d", "low", "high", "none", F.explode(F.array(*band_columns)).alias("band"))
-    met = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("d").alias("first"), F.max("d").alias("last"), *holders).where(f"m > 1 AND {several}")
-    met = save(met.select("band", "m", "first", "last"), "units-met")
-    more = met.where("m > 2")
-    edges = lookup(banded.select("d", "band"), more.drop("last"), "band", "m", BANDS * each.count()).where("first IS NOT NULL").select(F.col("d").alias("a"), F.col("first").alias("b"))
-    collided = connected_components(edges.unionByName(met.where("m = 2").select(F.col("last").alias("a"), F.col("first").alias("b"))))
+    # Units of one document overlap, so they often share a band among themselves; such bands say nothing. Of bands that
+    # collect the same units one is enough.
+    banded = each.where("band0 IS NOT NULL").select("d", "n", "low", "high", "none", F.explode(F.array(*band_columns)).alias("met"))
+    met = banded.groupBy("met").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("d")).alias("units"), *holders).where(f"m > 1 AND {several}")
+    met = save(met.groupBy("m", "units").agg(F.min("met").alias("met")).drop("units"), "units-met")
+    members = save(lookup(banded.select("d", "n", "met"), met, "met", "m", BANDS * each.count()).where("m IS NOT NULL").drop("m"), "unit-members")
     discard(met)
 
     # Shingles of the units that collided.
-    sent = docs.sparkSession.sparkContext.broadcast(Membership(collided, "id"))
+    sent = docs.sparkSession.sparkContext.broadcast(Membership(members.select("d").distinct(), "d"))
     set_schema = pa.schema([("d", pa.int64()), ("shingles", pa.binary())])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +209,10 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    members = save(each.where("band0 IS NOT NULL").drop(*band_columns).join(collided.select(F.col("id").alias("d"), F.col("component").alias("met")), "d"), "unit-members")
-    label = group_components(members.select("d", "met", "n"), docs.mapInArrow(with_sets, "d long, shingles binary"), *SIMILARITY)
+    label = save(group_components(members, docs.mapInArrow(with_sets, "d long, shingles binary"), *SIMILARITY, disjoint=False), "unit-labels")
 
     # Classes of equal or linked units that stand in several documents, and the first of these.
-    linked = members.drop("met", "n").join(label, "d")
+    linked = each.select("d", "rows", "low", "high", "none").join(label, "d")
     alone = each.where(several).select("d", "rows", "low", "high", "none").join(label.select("d"), "d", "left_anti").withColumn("component", F.col("d"))
     classes = save(linked.unionByName(alone), "unit-classes")
     discard(each, members)
