@@ -5,8 +5,8 @@ Each line of a text with a word is content or boilerplate. Features of the line'
 if its base rules pass and at least CONTENT_SHARE of its words stand in content lines.
 
 The field is fitted by likelihood on the lines of a bounded sample of labelled texts (FIT_TEXTS texts, FIT_LINES lines of
-each), whose lines are labelled one by one: lines that RECURRING texts of the sample or more share, lines that stand earlier
-in their text and lines of texts of poor quality are boilerplate, the others content. So good texts teach the field how
+each), whose lines are labelled one by one: lines that stand between RECURRING different pairs of lines or more in the
+sample, lines that stand earlier in their text and lines of texts of poor quality are boilerplate, the others content. So good texts teach the field how
 labels change from line to line. All texts are scored whole.
 
 Cases: null and empty texts and texts without words have no words and fail the base rules. Without labelled rows, or with
@@ -202,8 +202,12 @@ def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
 
     sample = labelled_sample(docs, labels, FIT_TEXTS).select("id", "text", F.col("quality").cast("long").alias("good"))
     rows = sample.mapInArrow(features, ", ".join(f"{c} {k}" for c, k in kinds.items())).toArrow().to_pandas().sort_values(["id", "line"], kind="stable")
-    holders = rows.groupby("hash")["id"].transform("nunique")
-    content = (rows["good"] > 0) & (holders < RECURRING) & np.array([f[10] == 0 for f in rows["features"]], bool)
+    # Copies of a whole text have equal lines around each line, so they are one place of it.
+    lines = rows.groupby("id")["hash"]
+    with np.errstate(over="ignore"):
+        place = lines.shift(1, fill_value=0).to_numpy() * 3 + lines.shift(-1, fill_value=1).to_numpy()
+    places = rows.assign(place=place).groupby("hash")["place"].transform("nunique")
+    content = (rows["good"] > 0) & (places < RECURRING) & np.array([f[10] == 0 for f in rows["features"]], bool)
     sequences = []
     for _, g in rows.assign(content=content.astype(np.int64)).groupby("id"):
         sizes = [len(b) for b in g["buckets"]]
