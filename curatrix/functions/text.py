@@ -92,8 +92,12 @@ def unit_count(c: Column) -> Column:
 
 
 def short_count(n: Column) -> Column:
-    """1234 as '1.2k'; below a thousand as it is."""
-    return F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000), F.lit("k"))).otherwise(n.cast("string"))
+    """1234 as '1.2k'; below a thousand as it is. Rounds the binary quotient to the nearest tenth, exact ties up."""
+    x = n / F.lit(1000.0)
+    high = x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)  # the upper half of x's bits, so products with it are exact
+    above = (high * 1000 - n) + (x - high) * 1000 >= 0  # whether the quotient lies above the tie or on it
+    tenths = F.floor(n / 100) + F.when((n % 100 > 50) | ((n % 100 == 50) & above), 1).otherwise(0)
+    return F.when(n >= 1000, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def handle(c: Column) -> Column:

@@ -174,3 +174,33 @@ def choose_cover(cover: Column, images: Column, category: Column) -> Column:
     first = F.get(F.filter(F.coalesce(images, F.array().cast("array<string>")), usable), F.lit(0))
     fixed = F.create_map(*[F.lit(x) for kv in SEMANTIC_COVERS.items() for x in kv])
     return F.coalesce(own, F.when(first.isNotNull(), normal_cover(first)), fixed[F.when(category == "", "Vibe Coding").otherwise(category)])
+
+
+# How a note's image is addressed by its file id, and the formats that addresses are asked for.
+NOTE_IMAGE = ("https://sns-img-bd.xhscdn.com/", "?imageView2/2/w/660/format/jpg/q/75")
+HEIF, JPG = "format/heif", "format/jpg"
+
+
+def as_jpg(url: Column) -> Column:
+    """The address of the same image in a format that all can show; '' for null."""
+    return F.replace(F.coalesce(url, F.lit("")), F.lit(HEIF), F.lit(JPG))
+
+
+def note_image(file_id: Column, *urls: Column) -> Column:
+    """An image's address: by its file id if it has one, else the first address that isn't blank."""
+    by_id = F.concat(F.lit(NOTE_IMAGE[0]), file_id, F.lit(NOTE_IMAGE[1]))
+    first = F.coalesce(*[F.nullif(u, F.lit("")) for u in urls])
+    return F.when(F.coalesce(file_id, F.lit("")) != "", by_id).otherwise(as_jpg(first))
+
+
+def note_cover(cover: Column, images: Column, index: Column) -> Column:
+    """A note's cover: its own (an address, or JSON with a file id or addresses), else the image of that number, else the first.
+
+    images: addresses by note_image(), in order.
+    """
+    part = lambda key: F.get_json_object(cover, f"$.{key}")
+    json = F.coalesce(cover.startswith("{"), F.lit(False))
+    own = F.when(json, note_image(part("fileid"), *map(part, ("url_size_large", "url", "url_default", "url_pre", "url_original")))).otherwise(as_jpg(cover))
+    number = F.coalesce(index.try_cast("double").try_cast("int"), F.lit(0))
+    numbered = F.when(number >= 0, F.get(images, number))
+    return F.coalesce(F.nullif(own, F.lit("")), numbered, F.get(images, F.lit(0)), F.lit(""))

@@ -198,32 +198,42 @@ def unique_trending(cards: DataFrame, order: str = "seq") -> DataFrame:
     return cards.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*cards.columns), order).alias("c")).select("c.*")
 
 
+def owner() -> Column:
+    return F.coalesce("owner_id", F.lit("public"))
+
+
 def new_candidates(found: DataFrame, existing: DataFrame) -> DataFrame:
-    """Candidates whose address no trending card has; two that differ in the query alone both stay."""
-    keys = existing.where("is_trending").select(U.ingest_key(F.col("source_url")).alias("_key")).distinct()
-    return found.withColumn("_key", U.ingest_key(F.col("source_url"))).join(keys, "_key", "left_anti").drop("_key")
+    """Candidates whose address no trending card of their owner has; two that differ in the query alone both stay."""
+    keyed = lambda d: d.withColumns({"_owner": owner(), "_key": U.ingest_key(F.col("source_url"))})
+    keys = keyed(existing.where("is_trending")).select("_owner", "_key").distinct()
+    return keyed(found).join(keys, ["_owner", "_key"], "left_anti").drop("_owner", "_key")
 
 
-def refresh_existing(existing: DataFrame, found: DataFrame, snapshot: str) -> DataFrame:
-    """Trending cards that were found again: new metrics and text, tags new, old, snapshot; notes and collections are cleared."""
+def refresh_existing(existing: DataFrame, found: DataFrame, snapshot: str, owner_id: str) -> DataFrame:
+    """The owner's trending cards that were found again, as whole rows: everything but the id is that of a new card of the
+    last post found. Tags are the new card's, then the old ones, then the snapshot."""
     key = U.ingest_key(F.col("source_url"))
-    last = found.withColumn("_key", key).groupBy("_key").agg(F.max_by(F.struct("likes", "bookmarks", "comments", "descr", "tags"), "seq").alias("n"))
-    tags = F.array_distinct(F.concat(F.coalesce("n.tags", empty()), plain_tags(F.col("tags")), F.array(F.lit(snapshot))))
-    old = existing.where("is_trending").withColumn("_key", key).where("_key <> ''")
-    return old.join(last, "_key").select("id", "source_url", *[F.col(f"n.{m}").alias(m) for m in ("likes", "bookmarks", "comments")], F.col("n.descr").alias("raw_content"), tags.alias("tags"), F.lit("").alias("user_notes"), empty().alias("collections"))
+    rows = trending_rows(found, snapshot, owner_id).withColumn("_key", key)
+    names = [c for c in rows.columns if c not in ("_key", "seq")]
+    last = rows.groupBy("_key").agg(F.max_by(F.struct(*names), "seq").alias("n"))
+    tags = F.array_distinct(F.concat(plain_tags(F.col("n.tags")), plain_tags(F.col("old_tags")), F.array(F.lit(snapshot))))
+    old = existing.where("is_trending").where(F.col("owner_id") == owner_id).select("id", F.col("tags").alias("old_tags"), key.alias("_key")).where("_key <> ''")
+    return old.join(last, "_key").select("id", *[(tags if c == "tags" else F.col(f"n.{c}")).alias(c) for c in names])
 
 
 def kept_snapshots(cards: DataFrame, keep: int = 5) -> DataFrame:
-    """Trending cards of the newest snapshots; cards without one belong to the legacy snapshot, which is the oldest."""
-    rows = cards.where("is_trending").withColumn("snapshot", latest_snapshot(F.col("tags")))
+    """Trending cards of the newest snapshots of each owner; cards without one belong to the legacy snapshot, the oldest."""
+    rows = cards.where("is_trending").withColumns({"snapshot": latest_snapshot(F.col("tags")), "_owner": owner()})
     order = F.struct((F.col("snapshot") != LEGACY).alias("dated"), F.col("snapshot"))
-    tags = rows.select("snapshot").distinct().orderBy(order.desc()).limit(keep)
-    return rows.join(F.broadcast(tags), "snapshot", "left_semi")
+    each = rows.select("_owner", "snapshot").distinct().withColumn("_n", F.row_number().over(W.partitionBy("_owner").orderBy(order.desc())))
+    return rows.join(each.where(F.col("_n") <= keep).drop("_n"), ["_owner", "snapshot"], "left_semi").drop("_owner")
 
 
 def current_trending(cards: DataFrame, newest: int = 60) -> DataFrame:
-    """Of the newest trending cards, those of the greatest snapshot as texts compare (a legacy one beats dated ones)."""
-    rows = cards.where("is_trending").orderBy(F.col("created_at").desc(), "id").limit(newest).withColumn("snapshot", latest_snapshot(F.col("tags")))
+    """Of the newest trending cards, merged by owner and address, those of the greatest snapshot as texts compare (a legacy
+    one beats dated ones)."""
+    rows = cards.where("is_trending").orderBy(F.col("created_at").desc(), "id").limit(newest)
+    rows = dedup_cards(rows).withColumn("snapshot", latest_snapshot(F.col("tags")))
     return rows.withColumn("_top", F.max("snapshot").over(W.partitionBy())).where("snapshot = _top").drop("_top")
 
 
@@ -307,11 +317,17 @@ def promote(cards: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def chat_context(cards: DataFrame, scope: str, limit: int | None = None) -> DataFrame:
-    """One text for each value of `scope`: a heading with the number of cards, then a line for each, in order of id."""
-    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(": "), F.coalesce("summary", F.lit("")))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("t")))), lambda x: x["t"])
-    some = lines if limit is None else F.slice(lines, 1, limit)
-    return cards.groupBy(scope).agg(F.concat_ws("\n", F.concat(F.lit("cards: "), F.count("*").cast("string")), F.array_join(some, "\n")).alias("context"), F.count("*").alias("n_cards"))
+    """One text for each value of `scope`: a heading with the number of cards, then a line for each, in order of id.
+
+    With a limit no more than that many lines of a scope are gathered, whatever its size.
+    """
+    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(": "), F.coalesce("summary", F.lit(""))).alias("t")
+    total = cards.groupBy(scope).agg(F.count("*").alias("n_cards"))
+    some = cards if limit is None else cards.withColumn("_n", F.row_number().over(W.partitionBy(scope).orderBy("id"))).where(F.col("_n") <= limit)
+    lines = some.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct("id", line))).alias("_lines"))
+    text = F.array_join(F.transform("_lines", lambda x: x["t"]), "\n")
+    joined = total.join(lines.withColumnRenamed(scope, "_scope"), F.col(scope).eqNullSafe(F.col("_scope")))
+    return joined.select(scope, F.concat_ws("\n", F.concat(F.lit("cards: "), F.col("n_cards").cast("string")), text).alias("context"), "n_cards")
 
 
 def select_images(images: DataFrame, max_n: int = 7, max_one: int = 5 << 20, max_total: int = 18 << 20) -> DataFrame:

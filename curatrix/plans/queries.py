@@ -289,16 +289,18 @@ def _(c):
     return tables.append_page(rows.where("seq % 4 < 2"), rows.where("seq % 6 = 2")).select("id")
 
 
-@query("jn6_new_candidates", A.cards, f"WITH {A.CARDS} SELECT id FROM cards WHERE seq % 3 = 1 AND trim(split_part(source_url, '?', 1)) NOT IN (SELECT trim(split_part(source_url, '?', 1)) FROM cards WHERE is_trending AND seq % 3 <> 1)")
+@query("jn6_new_candidates", A.cards, f"""WITH {A.CARDS}, c AS (SELECT id, seq, coalesce(owner_id, 'public') AS o, is_trending, trim(split_part(source_url, '?', 1)) AS key FROM cards),
+k AS (SELECT DISTINCT o, key FROM c WHERE is_trending AND seq % 3 <> 1) SELECT c.id FROM c LEFT JOIN k ON c.o = k.o AND c.key = k.key WHERE c.seq % 3 = 1 AND k.o IS NULL""")
 def _(c):
     return cards.new_candidates(c.where("seq % 3 = 1"), c.where("seq % 3 <> 1")).select("id")
 
 
-@query("jn7_refresh_existing", A.cards, f"""WITH {A.CARDS}, f AS (SELECT split_part(source_url, '?', 1) AS key, arg_max(likes, seq) AS likes, arg_max(length(raw_content), seq)::INTEGER AS size FROM cards WHERE seq % 3 = 1 GROUP BY 1)
-SELECT c.id, f.likes, f.size AS text_size, 0 AS n_collections FROM cards c JOIN f ON split_part(c.source_url, '?', 1) = f.key WHERE c.is_trending AND c.seq % 3 <> 1 AND f.key <> ''""")
+@query("jn7_refresh_existing", A.cards, f"""WITH {A.CARDS}, f AS (SELECT split_part(source_url, '?', 1) AS key, arg_max(struct_pack(t := title, r := raw_content, p := platform, a := author, n := likes), seq) AS x FROM cards WHERE seq % 3 = 1 GROUP BY 1)
+SELECT c.id, c.owner_id, CASE WHEN x.t <> '' THEN x.t WHEN x.r <> '' THEN substring(x.r, 1, 40) ELSE '无标题' END AS title, x.p AS platform, x.a AS author, x.n AS likes, length(x.r)::INTEGER AS text_size, (CASE WHEN x.r <> '' AND length(x.r) > 160 THEN 163 WHEN x.r <> '' THEN length(x.r) WHEN x.t <> '' THEN least(length(x.t), 163) ELSE 4 END)::INTEGER AS summary_size,
+0 AS n_collections, true AS in_snapshot FROM cards c JOIN f ON split_part(c.source_url, '?', 1) = f.key WHERE c.is_trending AND c.seq % 3 <> 1 AND f.key <> '' AND c.owner_id = 'o1'""")
 def _(c):
-    out = cards.refresh_existing(c.where("seq % 3 <> 1"), c.where("seq % 3 = 1").withColumnRenamed("raw_content", "descr"), "snapshot:2024-02-01")
-    return out.select("id", "likes", F.length("raw_content").alias("text_size"), F.size("collections").alias("n_collections"))
+    out = cards.refresh_existing(c.where("seq % 3 <> 1"), c.where("seq % 3 = 1").withColumnRenamed("raw_content", "descr"), "snapshot:2024-02-01", "o1")
+    return out.select("id", "owner_id", "title", "platform", "author", "likes", F.length("raw_content").alias("text_size"), F.length("summary").alias("summary_size"), F.size("collections").alias("n_collections"), (cards.latest_snapshot(F.col("tags")) == "snapshot:2024-02-01").alias("in_snapshot"))
 
 
 @query("jn11_promote", A.cards, f"""WITH {A.KEYS}, ch AS (SELECT * FROM k WHERE is_trending AND seq % 6 = 2), ck AS (SELECT coalesce(owner_id, 'public') AS o, url FROM ch WHERE url <> '' GROUP BY 1, 2),
@@ -308,16 +310,17 @@ def _(c):
     return cards.promote(c, c.where("seq % 6 = 2").select("id")).select("id", "n_merged", "likes")
 
 
-@query("wn4_kept_snapshots", A.cards, f"""WITH {A.CARDS}, s AS (SELECT id, coalesce(list_max([t for t in tags if starts_with(t, 'snapshot:')]), 'snapshot:legacy') AS snapshot FROM cards WHERE is_trending),
-t AS (SELECT DISTINCT snapshot FROM s ORDER BY snapshot <> 'snapshot:legacy' DESC, snapshot DESC LIMIT 5) SELECT id, snapshot FROM s WHERE snapshot IN (SELECT snapshot FROM t)""")
+@query("wn4_kept_snapshots", A.cards, f"""WITH {A.CARDS}, s AS (SELECT id, coalesce(owner_id, 'public') AS o, coalesce(list_max([t for t in tags if starts_with(t, 'snapshot:')]), 'snapshot:legacy') AS snapshot FROM cards WHERE is_trending),
+t AS (SELECT DISTINCT o, snapshot FROM s), k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY o ORDER BY snapshot <> 'snapshot:legacy' DESC, snapshot DESC) <= 5) SELECT s.id, s.snapshot FROM s JOIN k ON s.o = k.o AND s.snapshot = k.snapshot""")
 def _(c):
     return cards.kept_snapshots(c).select("id", "snapshot")
 
 
-@query("wn5_current_trending", A.cards, f"""WITH {A.CARDS}, s AS (SELECT id, coalesce(list_max([t for t in tags if starts_with(t, 'snapshot:')]), 'snapshot:legacy') AS snapshot FROM cards WHERE is_trending ORDER BY created_at DESC, id LIMIT 60)
-SELECT id, snapshot FROM s WHERE snapshot = (SELECT max(snapshot) FROM s)""")
+@query("wn5_current_trending", A.cards, f"""WITH {A.KEYS}, n AS (SELECT * FROM k WHERE is_trending ORDER BY created_at DESC, id LIMIT 60),
+g AS (SELECT max(likes) AS likes, count(*)::INTEGER AS n_merged, coalesce(list_max([t for t in flatten(list(tags)) if starts_with(t, 'snapshot:')]), 'snapshot:legacy') AS snapshot FROM n GROUP BY coalesce(owner_id, 'public'), key)
+SELECT likes, n_merged, snapshot FROM g WHERE snapshot = (SELECT max(snapshot) FROM g)""")
 def _(c):
-    return cards.current_trending(c).select("id", "snapshot")
+    return cards.current_trending(c).select("likes", "n_merged", "snapshot")
 
 
 @query("stt_restamp", A.cards, f"WITH {A.CARDS} SELECT id, array_to_string(CASE WHEN is_trending THEN list_append([t for t in tags if not starts_with(t, 'snapshot:')], 'snapshot:x') ELSE tags END, '|') AS tags FROM cards")
@@ -501,11 +504,11 @@ def _(rows):
     return audit.keyword_lists(rows, {"positive": ["guide", "demo"], "blacklist": ["ad"]}).select("owner_id", joined(F.col("positive")).alias("positive"), joined(F.col("blacklist")).alias("blacklist"))
 
 
-@query("jn12_missing_seeds", keyword_rows, """WITH k AS (SELECT DISTINCT 'w' || (event_id % 97) AS w, CASE WHEN event_type = 'click' THEN 'positive' WHEN user_id % 10 = 0 THEN 'blacklist' ELSE 'other' END AS t FROM events WHERE event_type IN ('click', 'error'))
-SELECT 'positive' AS type, upper(w) AS keyword FROM k WHERE t = 'blacklist' AND w NOT IN (SELECT w FROM k WHERE t = 'positive')""")
+@query("jn12_missing_seeds", keyword_rows, """WITH k AS (SELECT DISTINCT 'w' || (event_id % 97) AS w FROM events WHERE event_type = 'click'),
+s AS (SELECT DISTINCT 'w' || (event_id % 131) AS w FROM events WHERE event_type IN ('click', 'error')) SELECT 'positive' AS type, upper(s.w) AS keyword FROM s LEFT JOIN k ON s.w = k.w WHERE k.w IS NULL""")
 def _(rows):
-    seeds = rows.where("type = 'blacklist'").select(F.lit("positive").alias("type"), F.upper(F.trim("keyword")).alias("keyword")).distinct()
-    return audit.missing_seeds(seeds, rows.where("type = 'positive'")).select("type", "keyword")
+    seeds = rows.select(F.lit("positive").alias("type"), F.concat(F.lit("W"), (F.col("created_at.event_id") % 131).cast("string")).alias("keyword")).distinct()
+    return audit.missing_seeds(seeds, rows).select("type", "keyword")
 
 
 @query("jn13_resolve_owner", A.posts, f"WITH {A.POSTS} SELECT DISTINCT 'p-' || author AS id, ' @' || upper(author) AS username FROM posts WHERE author = 'src3'")
@@ -609,9 +612,28 @@ def _(c):
     return c.select("id", U.is_placeholder_image(F.col("cover_image")).alias("is_placeholder"))
 
 
-@query("fn14_swap_format", pages, "SELECT page_id, replace(url, 'http://', 'https://') AS url FROM pages")
+@query("fn14_note_images", pages, f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{U.NOTE_IMAGE[0]}f' || page_id || '{U.NOTE_IMAGE[1]}' WHEN page_id % 3 = 1 THEN url || '/format/jpg/a/format/jpg' ELSE url END AS image,
+CASE page_id % 5 WHEN 0 THEN url || '/format/jpg' WHEN 1 THEN '{U.NOTE_IMAGE[0]}c' || page_id || '{U.NOTE_IMAGE[1]}' WHEN 2 THEN url || '/large' WHEN 3 THEN url || '/second' ELSE url || '/first' END AS cover FROM pages""")
 def _(p):
-    return p.select("page_id", F.regexp_replace("url", "^http:", "https:").alias("url"))
+    i, url, n = F.col("page_id").cast("string"), F.col("url"), F.col("page_id")
+    image = U.note_image(F.when(n % 3 == 0, F.concat(F.lit("f"), i)), F.when(n % 3 == 1, F.concat(url, F.lit("/format/heif/a/format/heif"))).otherwise(""), url)
+    json = lambda **parts: F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]))
+    cover = F.when(n % 5 == 0, F.concat(url, F.lit("/format/heif"))).when(n % 5 == 1, json(fileid=F.concat(F.lit("c"), i), url=url)).when(n % 5 == 2, json(url_default=F.lit("/no"), url_size_large=F.concat(url, F.lit("/large"))))
+    images = F.array(F.concat(url, F.lit("/first")), F.concat(url, F.lit("/second")))
+    return p.select("page_id", image.alias("image"), U.note_cover(cover, images, F.when(n % 5 == 3, "1").otherwise("nine")).alias("cover"))
+
+
+@query("fn18_checked_prompts", turns, "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'p' || conv_id || '|q' ELSE 'You are an editor. Write a summary of the text, then list its claims.' END AS prompts FROM conversations")
+def _(t):
+    told = F.concat(F.lit('Of these:\n```json\n{"completePrompts": ["p'), F.col("conv_id").cast("string"), F.lit('", " q ", "q"]}\n```'))
+    reply = F.when(F.col("turn") % 2 == 0, told).when(F.col("turn") % 3 == 0, "no list").otherwise('{"completePrompts": []}')
+    rows = t.select("conv_id", "turn", reply.alias("reply"), F.array(F.lit("tag"), F.lit("#x #y"), F.lit("You are an editor. Write a summary of the text, then list its claims.")).alias("candidates"))
+    return P.checked_prompts(rows, ["conv_id", "turn"]).select("conv_id", "turn", joined(F.col("prompts")).alias("prompts"))
+
+
+@query("fn7_untied_label", A.posts)
+def _(posts):
+    return posts.select("seq", T.category_untied(F.col("descr"), _LISTS).alias("label"))
 
 
 @query("fn15_prompts", turns)
@@ -633,10 +655,16 @@ def _(logs):
     return logs.select("id", e["is_quota"].alias("is_quota"), e["retry_seconds"].alias("retry_seconds"))
 
 
-@query("fn21_markdown", turns, r"""SELECT conv_id, turn, regexp_matches(text, '(?i)(markdown|md格式|用md|代码块|```|表格|标题|列表)') AS wanted, text AS plain FROM conversations WHERE NOT regexp_matches(text, '[*`#>+-]')""")
+_MARKED = "'# ' || regexp_replace(text, '^(\\S+)', '**\\1** `code`') || chr(10) || '> said' || chr(10) || '- one *two* ```x```'"
+_PLAIN = _MARKED
+for _pattern, _to in ((r"(?s)```(.*?)```", r"\1"), (r"(?m)^\s*[-*+]\s+", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), (r"`(.+?)`", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*>\s+", "")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_to}', 'g')"
+
+
+@query("fn21_markdown", turns, f"SELECT conv_id, turn, regexp_matches(text, '(?i)(markdown|md格式|用md|代码块|```|表格|标题|列表)') AS wanted, {_PLAIN} AS plain FROM conversations")
 def _(t):
-    marked = F.concat(F.lit("# "), F.regexp_replace("text", r"^(\S+)", "**$1**"))
-    return t.where(~F.col("text").rlike(r"[*`#>+-]")).select("conv_id", "turn", T.wants_markdown(F.col("text")).alias("wanted"), T.plain_markdown(marked).alias("plain"))
+    marked = F.concat(F.lit("# "), F.regexp_replace("text", r"^(\S+)", "**$1** `code`"), F.lit("\n> said\n- one *two* ```x```"))
+    return t.select("conv_id", "turn", T.wants_markdown(F.col("text")).alias("wanted"), T.plain_markdown(marked).alias("plain"))
 
 
 @query("fn24_handles", A.posts, f"WITH {A.POSTS} SELECT DISTINCT author, author AS handle, author AS username FROM posts")
@@ -650,9 +678,9 @@ def _(c):
     return c.select("id", joined(T.distinct_texts(F.col("collections"))).alias("collections"))
 
 
-@query("fn26_short_count", A.posts, f"WITH {A.POSTS} SELECT seq, CASE WHEN likes >= 1000 THEN printf('%.1fk', likes / 1000.0) ELSE likes::VARCHAR END AS shown FROM posts WHERE likes % 100 <> 50")
+@query("fn26_short_count", A.posts, f"WITH {A.POSTS} SELECT seq, CASE WHEN likes >= 1000 THEN printf('%.1fk', (likes + (likes % 500 = 250)::INTEGER) / 1000.0) ELSE likes::VARCHAR END AS shown FROM posts")
 def _(posts):
-    return posts.where("likes % 100 <> 50").select("seq", T.short_count(F.col("likes")).alias("shown"))
+    return posts.select("seq", T.short_count(F.col("likes")).alias("shown"))
 
 
 @query("fn27_uuids", A.posts, f"WITH {A.POSTS} SELECT seq, seq % 2 = 0 AS valid FROM posts")

@@ -152,7 +152,7 @@ def test_cleanup_ties_and_owner(spark):
 
 
 def test_snapshots(spark):
-    rows = [card(n, is_trending=True, tags=[f"snapshot:2024-01-0{n}"] if n < 7 else ["plain"]) for n in range(1, 9)]
+    rows = [card(n, is_trending=True, tags=[f"snapshot:2024-01-0{n}"] if n < 7 else ["plain"], source_url=f"https://a.example/{n}") for n in range(1, 9)]
     df = spark.createDataFrame(rows, CARD)
     assert {r["id"] for r in cards.kept_snapshots(df).collect()} == {f"k{n}" for n in range(2, 7)}
     assert {r["id"] for r in cards.kept_snapshots(df, 7).collect()} == {f"k{n}" for n in range(1, 9)}
@@ -229,7 +229,7 @@ def test_payloads(spark, tmp_path):
     assert posts["1"]["images"] == ["v2", "p1"] and posts["1"]["source_url"] == "https://x.com/ann/status/1" and posts["1"]["title"] == "" and posts["1"]["likes"] == 600
     assert posts["2"]["source_url"] == "https://x.com/i/web/status/2" and posts["2"]["images"] == [] and posts["2"]["author"] is None
     a = spark.createDataFrame([('{"code":0,"data":{"items":[{"model_type":"note","note":{"id":"n1","title":"t","liked_count":"1.2w","images_list":[{"url":"http://i"}],"xsec_token":"k"}},{"model_type":"ad","note":{"id":"n2"}},{"model_type":"note"}]}}',)], "j string").select(F.from_json("j", payloads.NOTES_A_SCHEMA).alias("x")).select("x.*")
-    assert [(r["note_id"], r["likes"], r["images"]) for r in payloads.flatten_notes(a, "a").collect()] == [("n1", 12000, ["https://i"])]
+    assert [(r["note_id"], r["likes"], r["images"]) for r in payloads.flatten_notes(a, "a").collect()] == [("n1", 12000, ["http://i"])]
     b = spark.createDataFrame([('{"data":{"notes":[{"note":{"id":"n3","desc":"d"}},{"id":"n4"},{"title":"no id"}]}}',), ('{"data":"{\\"items\\":[{\\"note\\":{\\"id\\":\\"n5\\"}}]}"}',)], "value string")
     assert {r["note_id"] for r in payloads.flatten_notes(b, "b").collect()} == {"n3", "n4", "n5"} and payloads.flatten_notes(b, "b", 1).count() == 2
     d = spark.createDataFrame([('{"note_id":"n6","liked_count":0,"likes":5,"collect_count":"3k","url":"https://a","share_url":"https://b?xsec_token=1","images":["x","x",""]}',)], "value string")
@@ -245,12 +245,38 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.run(spark, str(landing), out, f"{tmp_path}/cp", p, "o")
     (landing / "2.json").write_text(MICRO.replace('"id":"2"', '"id":"3"'))
     ingest.run(spark, str(landing), out, f"{tmp_path}/cp", p, "o")
-    got = sorted(r["source_url"] for r in spark.read.parquet(out).collect())
+    got = sorted(r["source_url"] for r in ingest.current(spark, out).collect())
     posts = payloads.flatten_microblog(payloads.read_microblog(spark, str(landing))).withColumns({"published_at": times.published(F.col("publish_time"), p.now_column), "seq": F.xxhash64("note_id")})
     assert got == sorted(r["source_url"] for r in funnel.candidates(posts, p).collect()) and len(got) == 3
     assert spark.read.parquet(f"{out}-log").agg(F.sum("inserted")).first()[0] == 3
 
 
+def test_stream_refreshes_and_retains(spark, tmp_path):
+    """Three batches: posts found again are refreshed, old snapshots go, and a batch that runs again changes nothing."""
+    post = lambda i, n, text="good ai": {"seq": i, "platform": "microblog", "title": "", "descr": f"{text} {n}", "author": "a", "likes": n, "bookmarks": 0, "comments": 0, "source_url": f"https://x.com/a/status/{i}?v={n}", "cover_image": "", "images": [], "tags": ["t"]}
+    schema = "seq long, platform string, title string, descr string, author string, likes long, bookmarks long, comments long, source_url string, cover_image string, images array<string>, tags array<string>"
+    out = f"file://{tmp_path}/cards"
+
+    def batch(n, *posts):
+        known = tables.read_version(spark, out, ingest.CARD, before=n)
+        tables.write_version(ingest.next_version(known, spark.createDataFrame(list(posts), schema), f"snapshot:2024-01-0{n}", "o", keep=2), out, n)
+        return {r["source_url"].split("/")[-1].split("?")[0]: (r["likes"], r["raw_content"], r["change"]) for r in spark.read.parquet(f"{out}/version={n}").collect()}
+
+    assert batch(1, post(1, 10), post(2, 20)) == {"1": (10, "good ai 10", "inserted"), "2": (20, "good ai 20", "inserted")}
+    assert batch(2, post(2, 25), post(3, 30)) == {"1": (10, "good ai 10", "none"), "2": (25, "good ai 25", "refreshed"), "3": (30, "good ai 30", "inserted")}
+    third = batch(3, post(4, 40))
+    assert set(third) == {"2", "3", "4"} and batch(3, post(4, 40)) == third  # the first snapshot goes
+    assert {r["likes"] for r in ingest.current(spark, out).collect()} == {25, 30, 40}
+
+
+def test_short_counts_and_owner(spark):
+    assert [x for x in column(spark, ["1250", "1150", "1350", "1450", "999", "9950", "2750"], lambda c: T.short_count(c.cast("long")))] == ["1.3k", "1.1k", "1.4k", "1.4k", "999", "9.9k", "2.8k"]
+    profiles = spark.createDataFrame([("1", "@Ann"), ("2", "bob")], "id string, username string")
+    assert audit.resolve_owner(profiles, "ann").first()["id"] == "1"
+    with pytest.raises(Exception, match="profiles are named eve"):
+        audit.resolve_owner(profiles, "eve").collect()
+
+
 def test_tokens_and_reports(spark):
     s = spark.createDataFrame([("o", "note_tokens", '[{"noteId":"1","token":"a","updatedAt":"1"},{"noteId":"2","token":" "},{"noteId":"1","token":"b","updatedAt":"2"}]')], "owner_id string, key string, value string")
     tokens = audit.parse_tokens(s)
