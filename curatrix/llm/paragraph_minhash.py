@@ -190,6 +190,11 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     met = save(met.groupBy("m", "units").agg(F.min("met").alias("met")).drop("units"), "units-met")
     members = save(lookup(banded.select("d", "n", "met"), met, "met", "m", BANDS * each.count()).where("m IS NOT NULL").drop("m"), "unit-members")
     discard(met)
+    # Bands have done their work: narrower tables go on without them.
+    wide, each = each, save(each.select("d", "rows", "low", "high", "none"), "units-counted")
+    discard(wide)
+    wide, table = table, save(table.select("d", "id", "text_hash", "pos", "words"), "units-placed")
+    discard(wide)
 
     # Shingles of the units that collided.
     sent = docs.sparkSession.sparkContext.broadcast(Membership(members.select("d").distinct(), "d"))
@@ -212,8 +217,8 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     label = save(group_components(members, docs.mapInArrow(with_sets, "d long, shingles binary"), *SIMILARITY, disjoint=False), "unit-labels")
 
     # Classes of equal or linked units that stand in several documents, and the first of these.
-    linked = each.select("d", "rows", "low", "high", "none").join(label, "d")
-    alone = each.where(several).select("d", "rows", "low", "high", "none").join(label.select("d"), "d", "left_anti").withColumn("component", F.col("d"))
+    linked = each.join(label, "d")
+    alone = each.where(several).join(label.select("d"), "d", "left_anti").withColumn("component", F.col("d"))
     classes = save(linked.unionByName(alone), "unit-classes")
     discard(each, members)
     shared = classes.groupBy("component").agg(*holders, F.count("*").alias("m")).where(several).select("component", "low", "m")
