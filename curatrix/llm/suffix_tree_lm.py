@@ -1,68 +1,40 @@
 """Operator 2: language-model scoring by a probabilistic suffix tree over words.
 
-Nodes are contexts of up to two words, each held by at least CONTEXT of the training tokens; one is retained if the
-divergence of its next-word distribution from its parent's (the context without its first word) is at least DIVERGENCE
-nats, or if a longer retained context ends with it. A node's distribution keeps the next words with at least PAIR of the
-training tokens by count; its other mass, with ALPHA pseudo-counts, goes to the parent's distribution, and at the root to
-(c + 0.5) / (N + 0.5 * (V + 1)). So every distribution sums to one over all words and one unknown word. A token is scored
-in the state of the longest retained suffix of what stands before it in its text.
-
-Relative thresholds bound the tree (at most 1/CONTEXT contexts a length, 1/PAIR next words) at any size of corpus; counts
-cover all training texts. Words above FREQUENT are at most 1/FREQUENT, so they are sent to the tasks; rarer words are
-looked up by a join, as each is too rare to be a hot key.
+A context is a run of words. It is tried if it occurs LEAST times in the training texts, the context without its first word
+is retained, and the one without its last word was tried; single words are tried first. It is retained if its next-word
+distribution differs from its parent's (the context without its first word): occurrences times divergence of at least
+DIVERGENCE nats. Contexts get longer until none is retained, or up to DEPTH words. A distribution keeps the next words seen
+LEAST times, by count; its other mass, with ALPHA pseudo-counts, goes to the parent's distribution, and at the root to
+(c + 0.5) / (N + 0.5 * (V + 1)). So every distribution sums to one over all words and one unknown word. A token is scored in
+the state of the longest retained suffix of what stands before it in its text.
+
+The thresholds are counts, so the tree grows with the corpus. It is a table and never as a whole in one place: log10 of a
+token's probability is a sum over the runs of words that end in it. A context adds its back-off (the share of its parent),
+a next word that it keeps adds log10 of its probability over the backed-off one, and the root adds the word's own. So a text
+is scored by joining its runs with a table of sums. Runs above SHARE of all tokens (1/SHARE at most of a length) are sent to
+the tasks; of rarer ones those that a Bloom filter may hold are joined.
 
 Cases: a null text is empty and holds the end token alone; null ids are trained on; repeated rows count and are scored
-each. Without training texts N and V are 0. Other columns are ignored. An empty table gives an empty result.
+each; very long texts are cut at no point, only tables of runs grow. Without training texts N and V are 0 and every token is
+unknown. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import NamedTuple
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, read, save, text_chunks, words_of
+from .common import Membership, arrow_batch, discard, lookup, ngrams, read, save, text_chunks, words_of
 
-FREQUENT, CONTEXT, NEXT, PAIR, DIVERGENCE, ALPHA = 1e-6, 1e-4, 1e-5, 1e-6, 0.02, 10.0
+LEAST, DIVERGENCE, ALPHA, DEPTH, SHARE = 3, 4.0, 1.0, 5, 5e-7
 END = np.uint64(0x656E64206F662074)  # stands for the end of a text
-_SHIFT = 21  # bits of a word's number: there are at most 1/FREQUENT
 _BUFFER = 4_000_000
-
-
-class Level(NamedTuple):
-    """Contexts of one length. key: sorted; next: sorted (context number << 21 | word number), with counts."""
-
-    key: np.ndarray
-    count: np.ndarray
-    rest: np.ndarray
-    next: np.ndarray
-    times: np.ndarray
-
-
-class Tree(NamedTuple):
-    known: np.ndarray  # sorted hashes of frequent words
-    count: np.ndarray
-    tokens: int
-    words: int
-    levels: tuple[Level, ...]
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.5) / (self.tokens + 0.5 * (self.words + 1))
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of frequent words, else -1."""
-        return _find(self.known, h)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+_LONG = pa.int64()
 
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,164 +49,167 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(len(texts)), sizes)
 
 
-def context_numbers(n: np.ndarray, text: np.ndarray, length: int, keys: np.ndarray) -> np.ndarray:
-    """For each token, the number in keys of the context of that length before it, else -1."""
-    out = np.full(len(n), -1)
-    if len(n) > length and len(keys):
-        key, valid = np.zeros(len(n) - length, np.int64), text[length:] == text[:-length]
-        for j in range(length):
-            part = n[j : len(n) - length + j]
-            key, valid = key << _SHIFT | np.maximum(part, 0), valid & (part >= 0)
-        out[length:] = np.where(valid, _find(keys, key), -1)
-    return out
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Keys of all runs of n tokens."""
+    return (h if n == 1 else ngrams(h, n)).view(np.int64)
+
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """(key, c) of all tokens, counted within tasks before the shuffle."""
+    schema = pa.schema([("key", _LONG), ("c", _LONG)])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for _, texts in text_chunks(batches, "text"):
+            held.append(runs(tokens_of(texts)[0], 1))
+            if sum(map(len, held)) > _BUFFER:
+                yield arrow_batch(schema, list(np.unique(np.concatenate(held), return_counts=True)))
+                held = []
+        if held:
+            yield arrow_batch(schema, list(np.unique(np.concatenate(held), return_counts=True)))
 
-def probabilities(tree: Tree, n: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Of each token in its state; a rare word's, as a multiple of its probability at the root."""
-    p = np.where(n >= 0, tree.root(tree.count[n]) if len(tree.count) else 1.0, 1.0)
-    for length, level in enumerate(tree.levels, 1):
-        state = context_numbers(n, text, length, level.key)
-        at = np.flatnonzero(state >= 0)
-        s = state[at]
-        found = _find(level.next, s << _SHIFT | np.maximum(n[at], 0)) if len(level.next) else np.full(len(at), -1)
-        seen = np.where((found >= 0) & (n[at] >= 0), level.times[found] if len(level.times) else 0, 0)
-        p[at] = (seen + (level.rest[s] + ALPHA) * p[at]) / (level.count[s] + ALPHA)
-    return p
+    return docs.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _counted(docs: DataFrame, key: str, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, c) for the keys that keys(hashes, texts) makes, counted within tasks before the shuffle."""
-    schema = pa.schema([(key, pa.int64()), ("c", pa.int64())])
+def counted_runs(docs: DataFrame, n: int, tried: Membership, known: Membership) -> DataFrame:
+    """(key, prefix, suffix, c) of runs of n + 1 tokens seen LEAST times whose first n may be tried and last n known."""
+    schema = pa.schema([(c, _LONG) for c in ("key", "prefix", "suffix", "c")])
+    sent = docs.sparkSession.sparkContext.broadcast((tried, known))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        tried, known = sent.value
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            return arrow_batch(schema, [found, times])
+            key, prefix, suffix = np.concatenate(held, axis=1)
+            key, first, times = np.unique(key, return_index=True, return_counts=True)
+            return arrow_batch(schema, [key, prefix[first], suffix[first], times])
 
         for _, texts in text_chunks(batches, "text"):
-            held.append(keys(*tokens_of(texts)))
-            size += len(held[-1])
-            if size > _BUFFER:
+            h, text = tokens_of(texts)
+            if len(h) <= n:
+                continue
+            short = runs(h, n)
+            at = np.flatnonzero(text[n:] == text[:-n])
+            at = at[tried.may_hold(short[at])]
+            at = at[known.may_hold(short[at + 1])]
+            held.append(np.stack((runs(h, n + 1)[at], short[at], short[at + 1])))
+            if sum(x.shape[1] for x in held) > _BUFFER:
                 yield flush()
-                held, size = [], 0
-        if size:
+                held = []
+        if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, f"{key} long, c long").groupBy(key).agg(F.sum("c").alias("c"))
+    rows = docs.select("text").mapInArrow(count, "key long, prefix long, suffix long, c long")
+    return rows.groupBy("key").agg(F.min("prefix").alias("prefix"), F.min("suffix").alias("suffix"), F.sum("c").alias("c")).where(F.col("c") >= LEAST)
+
 
+def fit(docs: DataFrame) -> tuple[int, int, list[DataFrame]]:
+    """N, V and, for runs of 1, 2, ... tokens, tables (key, c, base, value) of the training rows (columns text, held_out).
 
-def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree of the training rows (columns text, held_out), and the counts (word, c) of all their words."""
+    base and value are what a run adds to log10 of a text's probability at the root and in the tree, over unknown words.
+    """
     training = docs.where("NOT held_out")
-    counts = save(_counted(training, "word", lambda h, t: h.view(np.int64)), "lm-words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("c") >= FREQUENT * n).toArrow().to_pandas()
-    order = np.argsort(known := top["word"].to_numpy(np.int64).view(np.uint64))
-    tree = Tree(known[order], top["c"].to_numpy(np.int64)[order], n, v, ())
-    common = tree.count >= NEXT * n
-
-    keys, key_counts = np.flatnonzero((tree.count >= CONTEXT * n) & (tree.known != END)), None
-    key_counts = tree.count[keys]
-    raw: list[Level] = []
-    for length in (1, 2):
-        sent = docs.sparkSession.sparkContext.broadcast((tree, common, keys))
-
-        def follow(h: np.ndarray, text: np.ndarray, length=length, sent=sent) -> np.ndarray:
-            tree, common, keys = sent.value
-            number = tree.numbers(h)
-            state = context_numbers(number, text, length, keys)
-            ok = (state >= 0) & (number >= 0)
-            ok[ok] = common[number[ok]]
-            return state[ok] << _SHIFT | number[ok]
-
-        pairs = _counted(training, "pair", follow).where(F.col("c") >= max(2, PAIR * n)).toArrow().to_pandas().sort_values("pair")
-        follows, times = pairs["pair"].to_numpy(np.int64), pairs["c"].to_numpy(np.int64)
-        explicit = np.bincount(follows >> _SHIFT, times, len(keys)) if len(follows) else np.zeros(len(keys))
-        raw.append(Level(keys, key_counts, key_counts - explicit, follows, times))
-        # Contexts one word longer: a context and a next word of it that is no end.
-        longer = (times >= CONTEXT * n) & (tree.known[follows & (1 << _SHIFT) - 1] != END) if len(times) else np.zeros(0, bool)
-        made = keys[follows[longer] >> _SHIFT] << _SHIFT | follows[longer] & (1 << _SHIFT) - 1
-        order = np.argsort(made)
-        keys, key_counts = made[order], times[longer][order]
-    return tree._replace(levels=retained(tree, raw)), counts
-
-
-def divergence(tree: Tree, level: Level, parents: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """For each context, in nats, from its parent's distribution; words that it doesn't keep count as one."""
-    context, word = level.next >> _SHIFT, level.next & (1 << _SHIFT) - 1
-    parent = parents(context, word)
-    own = (level.times + (level.rest[context] + ALPHA) * parent) / (level.count[context] + ALPHA)
-    add = lambda x: np.bincount(context, x, len(level.key)) if len(context) else np.zeros(len(level.key))
-    p, q = np.maximum(1 - add(own), 1e-12), np.maximum(1 - add(parent), 1e-12)
-    return add(own * np.log(own / parent)) + p * np.log(p / q)
-
-
-def retained(tree: Tree, raw: list[Level]) -> tuple[Level, ...]:
-    one, two = raw
-    root = lambda c, w: tree.root(tree.count[w])
-
-    def above(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """In the state of a two-word context's second word."""
-        p, state = root(context, word), _find(one.key, two.key[context] & (1 << _SHIFT) - 1)
-        found = _find(one.next, np.maximum(state, 0) << _SHIFT | word)
-        seen = np.where(found >= 0, one.times[found] if len(one.times) else 0, 0)
-        return np.where(state >= 0, (seen + (one.rest[state] + ALPHA) * p) / (one.count[state] + ALPHA) if len(one.key) else p, p)
-
-    keep_two = divergence(tree, two, above) >= DIVERGENCE
-    keep_one = divergence(tree, one, root) >= DIVERGENCE
-    ends = _find(one.key, two.key[keep_two] & (1 << _SHIFT) - 1)
-    keep_one[ends[ends >= 0]] = True
-    return _only(one, keep_one), _only(two, keep_two)
-
-
-def _only(level: Level, keep: np.ndarray) -> Level:
-    new = np.cumsum(keep) - 1
-    context = level.next >> _SHIFT
-    stays = keep[context] if len(context) else np.zeros(0, bool)
-    moved = (new[context[stays]] << _SHIFT | level.next[stays] & (1 << _SHIFT) - 1) if len(context) else level.next
-    return Level(level.key[keep], level.count[keep], level.rest[keep], moved, level.times[stays])
+    words = save(counted_words(training), "lm-words")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    more = F.log10((F.col("c") + 0.5) / 0.5)
+    root = (F.col("c") + 0.5) / (n + 0.5 * (v + 1))
+    known = words.where(F.col("c") >= LEAST).select("key", "c", root.alias("p"))
+    tried, levels = known.select("key", "c"), []
+    adds = words.select("key", "c", more.alias("base"), more.alias("value"), F.lit(True).alias("kept"))
+    for length in range(1, DEPTH + 1):
+        rows = save(counted_runs(training, length, Membership(tried, "key"), Membership(known, "key")), "lm-runs")
+        if not (total := rows.count()):
+            break
+        # What the parent gives to the same word, then what the context itself gives to it.
+        parent = rows.groupBy("suffix").agg(F.count("*").alias("w")).join(known.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix")
+        context = rows.groupBy("prefix").agg(F.sum("c").alias("kept"), F.count("*").alias("w")).join(tried.select(F.col("key").alias("prefix"), F.col("c").alias("n")), "prefix")
+        back = (F.col("n") - F.col("kept") + ALPHA) / (F.col("n") + ALPHA)
+        context = save(context.select("prefix", "n", "w", back.alias("back")), "lm-contexts")
+        rows_q = save(lookup(rows, parent, "suffix", "w", total).where("q IS NOT NULL"), "lm-parents")
+        own = F.col("c") / (F.col("n") + ALPHA) + F.col("back") * F.col("q")
+        rows_p = save(lookup(rows_q.drop("w"), context, "prefix", "w", total).where("n IS NOT NULL").withColumn("p", own), "lm-own")
+        sums = rows_p.groupBy("prefix").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("d"))
+        rest_p, rest_q = F.greatest(1 - F.col("p"), F.lit(1e-12)), F.greatest(1 - F.col("q"), F.lit(1e-12))
+        differs = F.col("n") * (F.col("d") + rest_p * F.ln(rest_p / rest_q)) >= DIVERGENCE
+        retained = save(sums.join(context, "prefix").where(differs).select("prefix", "w", F.lit(True).alias("stays"), F.log10("back").alias("back_off")), "lm-retained")
+        # Runs with a retained context are kept: their probabilities are the next level's parents.
+        kept = save(lookup(rows_p.drop("w", "n", "back"), retained, "prefix", "w", total).where("stays").select("key", "c", "p", (F.log10(F.col("p") / F.col("q")) - F.col("back_off")).alias("more")), "lm-kept")
+        back_off = retained.select(F.col("prefix").alias("key"), "back_off")
+        value = (F.col("value") + F.coalesce("back_off", F.lit(0.0))).alias("value")
+        levels.append(save(adds.join(back_off, "key", "left").where("kept OR back_off IS NOT NULL").select("key", "c", "base", value), "lm-values"))
+        after = rows.groupBy("suffix").agg(F.count("*").alias("w")).join(retained.select(F.col("prefix").alias("suffix"), "stays"), "suffix")
+        longer = save(lookup(rows, after, "suffix", "w", total).where("stays").select("key", "c"), "lm-tried")
+        # Of a run that no retained context keeps only its back-off counts, if the next level retains it.
+        both = kept.select("key", "c", "more", F.lit(True).alias("kept")).unionByName(longer.select("key", "c", F.lit(0.0).alias("more"), F.lit(False).alias("kept")))
+        adds = both.groupBy("key").agg(F.max("c").alias("c"), F.lit(0.0).alias("base"), F.sum("more").alias("value"), F.bool_or("kept").alias("kept"))
+        discard(rows, context, rows_q, rows_p)
+        known, tried = kept.select("key", "c", "p"), longer
+        if longer.isEmpty():
+            break
+    levels.append(save(adds.where("kept").drop("kept"), "lm-values"))
+    return n, v, levels
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; trained on the rows not held out."""
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
-    tree, counts = fit(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-    ddl = "row long, id long, held_out boolean, n_tokens long, n_known long, base double, more double, word long, times long"
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    n, v, levels = fit(docs)
+    often = F.col("c") >= max(SHARE * n, LEAST)
+    top, rare = [], []
+    for level in levels:
+        found = level.where(often).select("key", "base", "value").toArrow().sort_by("key")
+        top.append([found.column(i).to_numpy() for i in range(3)])
+        rare.append(Membership(level.where(~often), "key"))
+    unknown = math.log10(0.5 / (n + 0.5 * (v + 1)))
+    sent = docs.sparkSession.sparkContext.broadcast((top, rare))
+    ddl = "row long, id long, held_out boolean, n_tokens long, known long, base double, value double, key long"
+    kinds = {"long": _LONG, "boolean": pa.bool_(), "double": pa.float64()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
     def score_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text from its frequent words, and one for each of its rare words."""
-        tree = sent.value
+        """A row for each text from its frequent runs, and one for each of its rarer runs."""
+        top, rare = sent.value
         for batch, texts in text_chunks(batches, "text"):
             h, text = tokens_of(texts)
-            number = tree.numbers(h)
-            log_p = np.log10(probabilities(tree, number, text))
-            seen = number >= 0
-            base = np.where(seen, np.log10(tree.root(tree.count[number])) if len(tree.count) else 0.0, 0.0)
-            add = lambda x: np.bincount(text, x, len(texts))
-            k, n = len(texts), np.bincount(text, minlength=len(texts))
-            row = batch.column(3)
-            yield arrow_batch(schema, [row, batch.column(0), batch.column(2), n, add(seen).astype(np.int64), add(base), add(log_p), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())])
-            rare = np.stack((text[~seen], h[~seen].view(np.int64)), 1)
-            if len(rare):
-                rare, times = np.unique(rare, axis=0, return_counts=True)
-                none = [pa.nulls(len(rare), schema.field(i).type) for i in range(1, 7)]
-                yield arrow_batch(schema, [row.to_numpy()[rare[:, 0]], *none, rare[:, 1], times])
+            sizes, row = np.bincount(text, minlength=len(texts)), batch.column(3)
+            base, value, known = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+            end, sought = np.arange(len(h)), []  # where the runs end that the tree may hold
+            for length, ((keys, of_base, of_value), more) in enumerate(zip(top, rare, strict=True), 1):
+                end = end[end >= length - 1]
+                end = end[text[end] == text[end - length + 1]]
+                if not len(end):
+                    break
+                key = runs(h, length)[end - length + 1]
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                seen = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                where, at = text[end[seen]], at[seen]
+                if len(at):
+                    base += np.bincount(where, of_base[at], len(texts))
+                    value += np.bincount(where, of_value[at], len(texts))
+                    known += np.bincount(where, of_base[at] > 0, len(texts))
+                maybe = np.flatnonzero(~seen)
+                maybe = maybe[more.may_hold(key[maybe])]
+                sought.append((text[end[maybe]], key[maybe]))
+                seen[maybe] = True
+                end = end[seen]
+            yield arrow_batch(schema, [row, batch.column(0), batch.column(2), sizes, known.astype(np.int64), base, value, pa.nulls(len(texts), _LONG)])
+            where, key = (np.concatenate(x) for x in zip(*sought, strict=True))
+            if len(key):
+                yield arrow_batch(schema, [row.to_numpy()[where], *[pa.nulls(len(key), schema.field(i).type) for i in range(1, 7)], key])
 
     parts = save(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score_texts, ddl), "lm-parts")
-    root = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (tree.tokens + 0.5 * (tree.words + 1)))
-    rare = parts.where("word IS NOT NULL").select("row", "word", "times").join(counts.where(F.col("c") < FREQUENT * tree.tokens), "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * root).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("rare_known"))
-    out = parts.where("word IS NULL").drop("word", "times").join(rare, "row", "left")
-    more = F.coalesce("rare", F.lit(0.0))
-    return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("more") + more).alias("score"),
+    values = levels[0].where(~often)
+    for level in levels[1:]:
+        values = values.unionByName(level.where(~often))
+    found = parts.where("key IS NOT NULL").select("row", "key").join(values.select("key", "base", "value"), "key")
+    found = found.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("value").alias("more_value"), F.count_if(F.col("base") > 0).alias("more_known"))
+    none = F.lit(0.0)
+    return parts.where("key IS NULL").drop("key").join(found, "row", "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("n_tokens") * F.lit(unknown) + F.col("base") + F.coalesce("more_base", none)).alias("base_score"),
+        (F.col("n_tokens") * F.lit(unknown) + F.col("value") + F.coalesce("more_value", none)).alias("score"),
     )
 
 

@@ -161,62 +161,64 @@ def test_variant_beside_a_shared_paragraph(spark):
 # 2
 
 
-def plain_tree(train, n_tokens, alpha=suffix_tree_lm.ALPHA):
-    """The suffix tree by dictionaries: (counts, explicit next words, retained contexts), with the module's thresholds."""
+def plain_tree(train):
+    """The suffix tree by dictionaries, with the module's thresholds: (probability of a word after a text's start, counts, N, contexts)."""
     m = suffix_tree_lm
     c = collections.Counter(t for text in train for t in text)
     n, v = sum(c.values()), len(c)
-    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    follow, ctx = [], []
-    contexts = {(w,): k for w, k in c.items() if w is not None and k >= m.CONTEXT * n}
-    for length in (1, 2):
-        pairs = collections.Counter()
-        for text in train:
-            for i in range(length, len(text)):
-                s = tuple(text[i - length : i])
-                if s in contexts and c[text[i]] >= m.NEXT * n:
-                    pairs[s, text[i]] += 1
-        pairs = {p: k for p, k in pairs.items() if k >= max(2, m.PAIR * n)}
-        follow.append(pairs)
-        ctx.append(contexts)
-        contexts = {(*s, w): k for (s, w), k in pairs.items() if w is not None and k >= m.CONTEXT * n}
-    explicit = [collections.Counter() for _ in range(2)]
-    for i in range(2):
-        for (s, _), k in follow[i].items():
-            explicit[i][s] += k
-
-    def p(s, w, keep):
-        """In the state of the longest context of `keep` that s ends with."""
-        q = root(w)
-        for i in range(min(2, len(s))):
-            t = tuple(s[len(s) - i - 1 :])
-            if t in keep[i]:
-                q = (follow[i].get((t, w), 0) + (ctx[i][t] - explicit[i][t] + alpha) * q) / (ctx[i][t] + alpha)
-        return q
-
-    def kl(s, keep, parent):
-        mine = [w for (t, w) in follow[len(s) - 1] if t == s]
-        a, b = [p(s, w, keep) for w in mine], [p(parent, w, keep) for w in mine]
-        rest = [max(1 - sum(x), 1e-12) for x in (a, b)]
-        return sum(x * math.log(x / y) for x, y in zip(a, b)) + rest[0] * math.log(rest[0] / rest[1])
-
-    two = {s for s in ctx[1] if kl(s, ctx, s[1:]) >= m.DIVERGENCE}
-    one = {s for s in ctx[0] if kl(s, ctx, ()) >= m.DIVERGENCE} | {s[1:] for s in two if s[1:] in ctx[0]}
-    return root, lambda s, w: p(s, w, (one, two)), c, n
+    grams = [collections.Counter(tuple(text[i : i + k]) for text in train for i in range(len(text) - k + 1)) for k in range(m.DEPTH + 2)]
+    kept, mass = {}, {}  # by context: the next words it keeps, and the parent's share
+
+    def p(s, w):
+        """In the state s, a retained context or ()."""
+        if not s:
+            return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        return kept[s].get(w, 0) / (grams[len(s)][s] + m.ALPHA) + mass[s] * p(s[1:], w)
+
+    tried, retained = {s for s, k in grams[1].items() if k >= m.LEAST}, {()}
+    for length in range(1, m.DEPTH + 1):
+        following = collections.defaultdict(dict)
+        for g, k in grams[length + 1].items():
+            if k >= m.LEAST and g[:-1] in tried:
+                following[g[:-1]][g[-1]] = k
+        new = set()
+        for s, next_words in following.items():
+            kept[s], mass[s] = next_words, (grams[length][s] - sum(next_words.values()) + m.ALPHA) / (grams[length][s] + m.ALPHA)
+            x, y = [p(s, w) for w in next_words], [p(s[1:], w) for w in next_words]
+            rest = [max(1 - sum(z), 1e-12) for z in (x, y)]
+            if grams[length][s] * (sum(i * math.log(i / j) for i, j in zip(x, y)) + rest[0] * math.log(rest[0] / rest[1])) >= m.DIVERGENCE:
+                new.add(s)
+        retained |= new
+        tried = {(*s, w) for s in following for w in following[s] if (*s, w)[1:] in new}
+
+    def after(start, w):
+        return p(next(s for k in range(m.DEPTH, -1, -1) if k <= len(start) and (s := tuple(start[len(start) - k :])) in retained), w)
+
+    return after, c, n, retained
 
 
 def test_suffix_tree(spark, corpus):
+    rng = random.Random(8)
+    phrases = [[f"p{rng.randrange(6)}" for _ in range(10)] for _ in range(6)]
+    corpus = [*corpus, *((1000 + i, " ".join(w for _ in range(6) for w in rng.choice(phrases)[rng.randrange(4) :]), "s") for i in range(60))]
     rows = {(r["doc_id"], r["n_tokens"]): r for r in suffix_tree_lm.score(table(spark, corpus)).collect()}
     texts = [(i, [*words(t), None]) for i, t, _ in corpus]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    root, p, c, n = plain_tree([t for i, t in texts if not held(i)], None)
+    p, c, n, retained = plain_tree([t for i, t in texts if not held(i)])
+    assert {1, 2, 3} <= {len(s) for s in retained}
     for i, t in texts:
         r = rows[i, len(t)]
         assert r["held_out"] == held(i) and r["train_tokens"] == n and r["n_known"] == sum(c[w] > 0 for w in t)
-        assert r["base_score"] == pytest.approx(sum(math.log10(root(w)) for w in t), rel=1e-9)
-        s = [p(t[max(0, k - 2) : k], w) for k, w in enumerate(t)]
-        # The known thresholds keep all words frequent here, so the two sides agree on every token.
-        assert r["score"] == pytest.approx(sum(map(math.log10, s)), rel=1e-6)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (len(c) + 1))) for w in t), rel=1e-9)
+        assert r["score"] == pytest.approx(sum(math.log10(p(t[:k], w)) for k, w in enumerate(t)), rel=1e-6)
+
+
+def test_suffix_tree_rarer_runs(spark, corpus, monkeypatch):
+    """Runs that are joined add what runs sent to the tasks add."""
+    rows = lambda: sorted(suffix_tree_lm.score(table(spark, corpus)).select("n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)).collect())
+    sent = rows()
+    monkeypatch.setattr(suffix_tree_lm, "SHARE", 0.02)
+    assert rows() == sent
 
 
 def test_suffix_tree_helps(spark):
