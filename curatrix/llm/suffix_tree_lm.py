@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Membership, arrow_batch, discard, lookup, ngrams, read, save, text_chunks, words_of
 
-LEAST, DIVERGENCE, ALPHA, DEPTH, SHARE = 3, 4.0, 1.0, 5, 5e-7
+LEAST, DIVERGENCE, ALPHA, DEPTH, SHARE = 3, 4.0, 1.0, 5, 2e-7
 END = np.uint64(0x656E64206F662074)  # stands for the end of a text
 _BUFFER = 4_000_000
 _LONG = pa.int64()
@@ -115,7 +115,7 @@ def fit(docs: DataFrame) -> tuple[int, int, list[DataFrame]]:
     more = F.log10((F.col("c") + 0.5) / 0.5)
     root = (F.col("c") + 0.5) / (n + 0.5 * (v + 1))
     known = words.where(F.col("c") >= LEAST).select("key", "c", root.alias("p"))
-    tried, levels = known.select("key", "c"), []
+    tried, levels, used = known.select("key", "c"), [], [words]
     adds = words.select("key", "c", more.alias("base"), more.alias("value"), F.lit(True).alias("kept"))
     for length in range(1, DEPTH + 1):
         rows = save(counted_runs(training, length, Membership(tried, "key"), Membership(known, "key")), "lm-runs")
@@ -144,10 +144,12 @@ def fit(docs: DataFrame) -> tuple[int, int, list[DataFrame]]:
         both = kept.select("key", "c", "more", F.lit(True).alias("kept")).unionByName(longer.select("key", "c", F.lit(0.0).alias("more"), F.lit(False).alias("kept")))
         adds = both.groupBy("key").agg(F.max("c").alias("c"), F.lit(0.0).alias("base"), F.sum("more").alias("value"), F.bool_or("kept").alias("kept"))
         discard(rows, context, rows_q, rows_p)
+        used += [retained, kept, longer]
         known, tried = kept.select("key", "c", "p"), longer
         if longer.isEmpty():
             break
     levels.append(save(adds.where("kept").drop("kept"), "lm-values"))
+    discard(*used)
     return n, v, levels
 
 
