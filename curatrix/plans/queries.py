@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import keywords as K
 from ..functions import prompts as P
 from ..functions import text as T
 from ..functions import times
@@ -53,6 +54,24 @@ def joined(c: Column) -> Column:
     return F.array_join(c, "|")
 
 
+# White space of all scripts, as a class of DuckDB's patterns.
+_BLANK = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _once(values: str) -> str:
+    """A list in SQL with each value once, where it comes first."""
+    return f"list_filter({values}, lambda v, i: list_position({values}, v) = i)"
+
+
+def _any(text: str, words: Sequence[str]) -> str:
+    """Whether a text in SQL holds any of the words."""
+    return f"len(list_filter({list(words)!r}, lambda w: contains({text}, w))) > 0"
+
+
+def _first_category(text: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_any(text, words)} THEN '{name}'" for name, words in K.FIRST_MATCH.items()) + " ELSE '' END"
+
+
 # The funnel.
 
 
@@ -183,7 +202,10 @@ def _(posts):
     return cards.trending_rows(posts, "snapshot:2024-01-31", "o1").select("seq", "title", "summary", F.length("raw_content").alias("size"))
 
 
-@query("sc2_trending_tags", A.posts)
+@query("sc2_trending_tags", A.posts, f"""WITH {A.POSTS}, b AS (SELECT *, lower(CASE WHEN coalesce(descr, '') <> '' THEN descr ELSE coalesce(title, '') END) AS base FROM posts),
+t AS (SELECT *, CASE WHEN {_any('base', K.RELEVANT)} THEN {_first_category('base')} ELSE '' END AS category FROM b),
+l AS (SELECT seq, list_concat(CASE WHEN category <> '' THEN [category] ELSE [] END, [t for t in tags if t <> ''], regexp_extract_all(coalesce(descr, ''), '#([^{_BLANK}#]+)', 1), ['snapshot:2024-01-31']) AS found FROM t)
+SELECT seq, array_to_string({_once('found')}, '|') AS tags FROM l""")
 def _(posts):
     return cards.trending_rows(posts, "snapshot:2024-01-31", "o1").select("seq", joined(F.col("tags")).alias("tags"))
 
@@ -193,7 +215,9 @@ def _(posts):
     return cards.library_rows(posts).select("seq", "summary")
 
 
-@query("sc4_ensured_tags", A.cards)
+@query("sc4_ensured_tags", A.cards, f"""WITH {A.CARDS}, b AS (SELECT id, lower(raw_content) AS t, CASE WHEN seq % 3 = 0 THEN [t for t in tags if starts_with(t, 'snapshot:')] ELSE tags END AS bare FROM cards),
+c AS (SELECT *, {_first_category('t')} AS category FROM b)
+SELECT id, array_to_string(CASE WHEN len([t for t in bare if NOT starts_with(t, 'snapshot:')]) > 0 THEN bare ELSE list_prepend(CASE WHEN category = '' THEN 'Vibe Coding' ELSE category END, bare) END, '|') AS tags FROM c""")
 def _(c):
     bare = F.when(F.col("seq") % 3 == 0, F.filter("tags", lambda t: t.startswith(cards.SNAPSHOT))).otherwise(F.col("tags"))
     return c.select("id", joined(cards.ensured_tags(bare, F.col("raw_content"))).alias("tags"))
@@ -328,7 +352,11 @@ def _(c):
     return cards.restamp(c, "snapshot:x").select("id", joined(F.col("tags")).alias("tags"))
 
 
-@query("wn1_category_rankings", A.cards)
+_PICK = "SELECT '{0}' AS slot, row_number() OVER (ORDER BY lang IS NOT DISTINCT FROM '{0}' DESC, likes DESC, seq)::INTEGER AS rank, id FROM {1} QUALIFY rank <= 3"
+
+
+@query("wn1_category_rankings", A.cards, f"""WITH {A.CARDS}, c AS (SELECT id, likes, seq, tags[1] AS lang FROM cards), p1 AS ({_PICK.format('en', 'c')}), c2 AS (SELECT c.* FROM c ANTI JOIN p1 USING (id)), p2 AS ({_PICK.format('fr', 'c2')}),
+c3 AS (SELECT c2.* FROM c2 ANTI JOIN p2 USING (id)), p3 AS ({_PICK.format('de', 'c3')}) SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3""")
 def _(c):
     return cards.category_rankings(c.withColumn("category", F.col("tags")[0]), ["en", "fr", "de"])
 
@@ -338,9 +366,11 @@ def _(c):
     return cards.newest(c.where("is_trending"), 6).select("id")
 
 
-@query("fn22_chat_context", A.cards, f"""WITH {A.CARDS} SELECT author AS scope, md5('cards: ' || count(*) || chr(10) || string_agg('- ' || title || ': ' || summary, chr(10) ORDER BY id)) AS context_md5, count(*)::BIGINT AS n_cards FROM cards GROUP BY author""")
+@query("fn22_chat_context", A.cards, f"""WITH {A.CARDS} SELECT author || '/' || (seq // 100) AS scope, md5('cards: ' || count(*) || chr(10) || string_agg('- ' || title || ': ' || summary, chr(10) ORDER BY id)) AS context_md5, count(*)::BIGINT AS n_cards FROM cards GROUP BY 1""")
 def _(c):
-    return cards.chat_context(c, "author").select(F.col("author").alias("scope"), F.md5("context").alias("context_md5"), "n_cards")
+    # A scope is what a user opens at once, so it is of bounded size however many cards an author has.
+    shelf = F.concat("author", F.lit("/"), F.floor(F.col("seq") / 100).cast("string"))
+    return cards.chat_context(c.withColumn("scope", shelf), "scope").select("scope", F.md5("context").alias("context_md5"), "n_cards")
 
 
 @query("ag7_result_summary", A.cards, f"WITH {A.CARDS} SELECT count(*)::BIGINT AS candidates, (count(*) FILTER (WHERE cover_image <> ''))::BIGINT AS fallback_covers FROM cards")
@@ -348,9 +378,12 @@ def _(c):
     return audit.result_summary(c)
 
 
-@query("wn9_select_images", A.cards)
+@query("wn9_select_images", A.cards, f"""WITH RECURSIVE {A.CARDS}, i AS (SELECT 'k' || (seq // 12) AS card_id, likes * 1000 AS b, row_number() OVER (PARTITION BY seq // 12 ORDER BY seq) AS n FROM cards),
+w AS (SELECT DISTINCT card_id, 0::BIGINT AS n, 0::BIGINT AS sent, 0::BIGINT AS bytes FROM i
+  UNION ALL SELECT card_id, n, sent + fits::BIGINT, bytes + CASE WHEN fits THEN b ELSE 0 END FROM (SELECT i.*, w.sent, w.bytes, w.sent < 7 AND i.b > 0 AND i.b <= 5242880 AND w.bytes + i.b <= 18874368 AS fits FROM w JOIN i ON i.card_id = w.card_id AND i.n = w.n + 1) x)
+SELECT card_id, arg_max(sent, n) AS sent, arg_max(bytes, n) AS bytes FROM w GROUP BY card_id""")
 def _(c):
-    return cards.select_images(c.select(F.col("author").alias("card_id"), F.col("seq").alias("pos"), (F.col("likes") * 1000).alias("bytes")))
+    return cards.select_images(c.select(F.concat(F.lit("k"), F.floor(F.col("seq") / 12).cast("string")).alias("card_id"), F.col("seq").alias("pos"), (F.col("likes") * 1000).alias("bytes")))
 
 
 @query("fl13_missing_tokens", A.cards, f"""WITH {A.CARDS} SELECT (seq % 101)::VARCHAR AS note_id, arg_min(id, struct_pack(a := NOT is_trending, b := seq)) AS id FROM cards WHERE owner_id = 'o1' AND seq % 3 <> 0 GROUP BY 1""")
@@ -495,10 +528,10 @@ def _(rows):
 
 
 def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "events").where("event_type IN ('click', 'error')").select(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("owner_id"), F.concat(F.lit(" w"), (F.col("event_id") % 97).cast("string")).alias("keyword"), F.when(F.col("event_type") == "click", "positive").when(F.col("user_id") % 10 == 0, "blacklist").otherwise("other").alias("type"), F.struct("ts", "event_id").alias("created_at"))
+    return A.table(spark, sf_dir, "events").where("event_type IN ('click', 'error')").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("owner_id"), F.concat(F.lit(" w"), (F.col("event_id") % 97).cast("string")).alias("keyword"), F.when(F.col("event_type") == "click", "positive").when(F.col("user_id") % 10 == 0, "blacklist").otherwise("other").alias("type"), F.struct("ts", "event_id").alias("created_at"))
 
 
-@query("ag9_keyword_lists", keyword_rows, """WITH k AS (SELECT 'u' || (user_id % 50) AS o, 'w' || (event_id % 97) AS w, CASE WHEN event_type = 'click' THEN 'positive' WHEN user_id % 10 = 0 THEN 'blacklist' ELSE 'other' END AS t, ts, event_id FROM events WHERE event_type IN ('click', 'error'))
+@query("ag9_keyword_lists", keyword_rows, """WITH k AS (SELECT 'u' || user_id AS o, 'w' || (event_id % 97) AS w, CASE WHEN event_type = 'click' THEN 'positive' WHEN user_id % 10 = 0 THEN 'blacklist' ELSE 'other' END AS t, ts, event_id FROM events WHERE event_type IN ('click', 'error'))
 SELECT o AS owner_id, coalesce(string_agg(w, '|' ORDER BY ts, event_id) FILTER (WHERE t = 'positive'), 'guide|demo') AS positive, coalesce(string_agg(w, '|' ORDER BY ts, event_id) FILTER (WHERE t = 'blacklist'), 'ad') AS blacklist FROM k GROUP BY o""")
 def _(rows):
     return audit.keyword_lists(rows, {"positive": ["guide", "demo"], "blacklist": ["ad"]}).select("owner_id", joined(F.col("positive")).alias("positive"), joined(F.col("blacklist")).alias("blacklist"))
@@ -559,7 +592,8 @@ def _(posts):
     return posts.select("seq", T.category_untied(F.col("descr"), _LISTS).alias("category"))
 
 
-@query("fn8_seeded_cover", pages)
+@query("fn8_seeded_cover", pages, f"""WITH h AS (SELECT page_id, CASE WHEN url = '' THEN 0 ELSE list_reduce([ord(c)::BIGINT for c in string_split(url, '')], lambda h, u: (h * 31 + u) % {1 << 32}) END AS h FROM pages)
+SELECT page_id, '/dashboard-fallbacks/nature-' || lpad((least(h, {1 << 32} - h) % {U.POOL} + 1)::VARCHAR, 2, '0') || '.svg' AS cover FROM h""")
 def _(p):
     return p.select("page_id", U.seeded_cover(F.col("url")).alias("cover"))
 
@@ -631,17 +665,32 @@ def _(t):
     return P.checked_prompts(rows, ["conv_id", "turn"]).select("conv_id", "turn", joined(F.col("prompts")).alias("prompts"))
 
 
-@query("fn7_untied_label", A.posts)
+@query("fn7_untied_label", A.posts, ORACLES["fn6_category_untied"].replace("AS category FROM s", "AS label FROM s"))
 def _(posts):
     return posts.select("seq", T.category_untied(F.col("descr"), _LISTS).alias("label"))
 
 
-@query("fn15_prompts", turns)
+@query("fn7_category_label", A.posts, f"WITH {A.POSTS} SELECT seq, CASE WHEN seq % 5 = 0 OR contains(lower(descr), 'image') THEN 'Image Gen' WHEN seq % 5 IN (1, 4) OR contains(lower(descr), 'video') THEN 'Video Gen' WHEN seq % 5 = 2 OR contains(lower(descr), 'coding') OR contains(lower(descr), 'code') THEN 'Vibe Coding' ELSE '' END AS label FROM posts")
+def _(posts):
+    told = F.element_at(F.array(*map(F.lit, (" IMAGE generation", "ai video", "some Code", "", "Coding or videos "))), (F.col("seq") % 5 + 1).cast("int"))
+    return posts.select("seq", T.category_label(F.concat(told, F.col("descr"))).alias("label"))
+
+
+# In SQL the cue's negative looks ahead are a character of another kind or the end.
+_CUE_SQL = P.CUE.replace("(?![A-Za-z0-9_])", "(?:[^A-Za-z0-9_]|$)")
+
+
+@query("fn15_prompts", turns, rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^[{_BLANK}\x{{FEFF}}]+|[{_BLANK}\x{{FEFF}}]+$', '', 'g') AS t FROM conversations),
+s AS (SELECT *, length(regexp_replace(t, '[{_BLANK}]+', '', 'g')) AS size FROM t),
+p AS (SELECT *, size >= 12 AND NOT (NOT regexp_matches(t, '{_CUE_SQL}') AND NOT regexp_matches(t, '[,:;，。；\n]') AND len(regexp_extract_all(t, '[A-Za-z0-9][A-Za-z0-9''_-]*')) < 10 AND (NOT regexp_matches(t, '[一-鿿]') OR size < 20))
+  AND NOT regexp_matches(t, '^\[[^\]]+\]$') AND NOT regexp_matches(t, '^(?:#?[^{_BLANK}#]+(?:\[[^\]]+\])?#?[{_BLANK}]*){{1,6}}$') AS is_prompt FROM s)
+SELECT conv_id, turn, is_prompt, CASE WHEN is_prompt THEN 'PromptShare' ELSE 'ToolReview' END AS content_type FROM p""")
 def _(t):
     return t.select("conv_id", "turn", P.is_prompt(F.col("text")).alias("is_prompt"), P.content_type(P.is_prompt(F.col("text")).cast("int")).alias("content_type"))
 
 
-@query("fn17_analysis", turns)
+@query("fn17_analysis", turns, rf"""WITH t AS (SELECT conv_id, turn, turn % 5 <> 4 AS ok, regexp_replace(regexp_replace(coalesce(text, ''), ', *([}}\]])', '\1', 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN NOT ok THEN '{P.NO_FORMAT}' WHEN t = '' THEN '{P.NO_TEXT}' ELSE t END AS summary, CASE WHEN ok THEN 'a|b|c' ELSE '{'|'.join(P.SCENARIOS)}' END AS scenarios, CASE WHEN ok THEN 'x|y' ELSE '' END AS tool_tags, ok FROM t""")
 def _(t):
     reply = F.concat(F.lit('Sure:\n```json\n{"summary": '), F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9), F.lit(', "usageScenarios": "a;b，c,d", "toolTags": ["x", "x", " y "],}\n```'))
     a = P.analysis(F.when(F.col("turn") % 5 == 4, F.col("text")).otherwise(reply), F.col("text"))
@@ -692,17 +741,19 @@ def _(posts):
 
 
 def token_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("owner_id")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    rows = A.table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("owner_id")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
     item = lambda i: F.struct((i % 50).cast("string").alias("noteId"), F.when(i % 9 == 0, " ").otherwise(F.concat(F.lit("t"), i.cast("string"))).alias("token"), F.lit("s").alias("source"), F.lit("2024").alias("updatedAt"))
     return rows.select("owner_id", F.lit("note_tokens").alias("key"), F.to_json(F.transform("ids", item)).alias("value"))
 
 
-@query("fn23_tokens", token_settings, "SELECT 'u' || (user_id % 20) AS owner_id, (event_id % 50)::VARCHAR AS note_id, 't' || event_id AS token FROM events WHERE event_id % 9 <> 0")
+@query("fn23_tokens", token_settings, "SELECT 'u' || user_id AS owner_id, (event_id % 50)::VARCHAR AS note_id, 't' || event_id AS token FROM events WHERE event_id % 9 <> 0")
 def _(s):
     return audit.parse_tokens(s).select("owner_id", "note_id", "token")
 
 
-@query("fn23_upsert_tokens", token_settings)
+@query("fn23_upsert_tokens", token_settings, """WITH e AS (SELECT 'u' || user_id AS o, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
+l AS (SELECT o, (event_id % 50)::VARCHAR AS note, arg_max(event_id, struct_pack(late := pos % 2, pos := pos)) AS event_id FROM e WHERE event_id % 9 <> 0 GROUP BY 1, 2)
+SELECT o AS owner_id, '[' || string_agg('{"noteId":"' || note || '","token":"t' || event_id || '","source":"s","updatedAt":"2024"}', ',' ORDER BY note DESC) || ']' AS value FROM l GROUP BY o""")
 def _(s):
     rows = audit.parse_tokens(s)
     return audit.upsert_tokens(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
