@@ -4,7 +4,8 @@ Records are range-sorted by page_id and compressed one by one (once for their si
 costs less than moving them twice); a file's number is the compressed bytes before a record,
 over all files, divided by the roll size, so files don't depend on partitions, retries or the cluster. Each file is written
 under a temporary name by one task and renamed when whole; the manifest table, written last, names the files that count.
-Readers follow the manifest, check sizes and digests, and see nothing of attempts that were lost.
+Readers follow the manifest, check sizes and digests, and see nothing of attempts that were lost; temporary files of these
+are deleted when the manifest stands.
 
 Among equal payloads of at least MIN_REVISIT bytes the record of the largest page_id is the response; the others are
 revisits of it, without payload (its size and digest stand in the headers). Headers are made anew from the row alone.
@@ -138,8 +139,13 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, id_c
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     filed = rows.mapInArrow(file_of, "file long, page long, url string, payload string, sha1 string, of long")
-    files = filed.repartition(partitions_for(pages), "file").sortWithinPartitions("file", *order)
+    # Tasks get equal numbers of files in a row, as files are of about equal size; hashed numbers would heap some up.
+    tasks = max(min(len(starts), partitions_for(pages)), 1)
+    files = filed.repartitionById(tasks, F.floor(F.col("file") * tasks / max(len(starts), 1)).cast("int")).sortWithinPartitions("file", *order)
     files.mapInArrow(write, "file string, records long, bytes long, sha1 string").write.parquet(f"{folder}/manifest")
+    for lost in store.get_file_info(fs.FileSelector(base)):
+        if lost.path.endswith(".tmp"):
+            store.delete_file(lost.path)
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 

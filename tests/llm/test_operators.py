@@ -343,11 +343,14 @@ def test_warc(spark, tmp_path):
     shas = []
     for n in (1, 7):
         folder = f"file://{tmp_path}/w{n}"
+        (tmp_path / f"w{n}").mkdir()
+        (tmp_path / f"w{n}" / "part-00000000.warc.gz.lost.tmp").write_bytes(b"half a fi")
         done = warc.write_warc(pages.repartition(n), folder, roll_bytes=20_000)
         shas.append(sorted((r["file"], r["sha1"], r["records"]) for r in done.collect()))
         (tmp_path / f"w{n}" / "part-99999999.warc.gz").write_bytes(b"left over by a lost attempt")
         got = collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, folder).collect())
     assert shas[0] == shas[1] and len(shas[0]) > 3
+    assert not list(tmp_path.glob("w*/*.tmp"))
     keeper = {}
     for i, _, h in rows:
         if len((h or "").encode()) >= 1000 and i is not None:
