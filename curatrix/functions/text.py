@@ -60,10 +60,14 @@ def keyword_score(text: Column, keywords: Sequence[str]) -> Column:
     return sum((F.contains(t, F.lit(k)).cast("int") for k in keywords), F.lit(0))
 
 
+#: Of categories with as many keywords, the first.
+TIED = (VIDEO, IMAGE, CODING)
+
+
 def category_scored(text: Column, lists: Mapping[str, Sequence[str]] = SCORED) -> Column:
-    """The category with most keywords; ties: video, then image."""
-    i, v, c = (keyword_score(text, lists[k]) for k in (IMAGE, VIDEO, CODING))
-    return F.when((v >= i) & (v >= c) & (v > 0), VIDEO).when((i >= v) & (i >= c) & (i > 0), IMAGE).when(c > 0, CODING).otherwise("")
+    """The category with most keywords; ties by TIED; '' without any keyword."""
+    best = F.greatest(*[F.struct(keyword_score(text, lists[k]).alias("score"), F.lit(-place).alias("place"), F.lit(k).alias("name")) for place, k in enumerate(TIED)])
+    return F.when(best["score"] > 0, best["name"]).otherwise("")
 
 
 def category_untied(text: Column, lists: Mapping[str, Sequence[str]] = SCORED) -> Column:
@@ -79,13 +83,18 @@ def category_label(c: Column) -> Column:
     return F.when(t.contains("image"), IMAGE).when(t.contains("video"), VIDEO).when(t.contains("coding") | t.contains("code"), CODING).otherwise("")
 
 
+def library_label(c: Column) -> Column:
+    """A free category label as the library reads it: by 'image', 'video' or 'vibe', else ''."""
+    t = norm(c)
+    return F.when(t.contains("image"), IMAGE).when(t.contains("video"), VIDEO).when(t.contains("vibe"), CODING).otherwise("")
+
+
 def unit_count(c: Column) -> Column:
     """'1,234', '1.2w', '3k' as numbers; what isn't one counts 0."""
     t = F.regexp_replace(norm(c.cast("string")), ",", "")
-    base = F.expr("try_cast(NULL AS double)")
     number = F.regexp_extract(t, r"^([\d.]+)\s*(w|万|k|千)$", 1)
     unit = F.regexp_extract(t, r"^([\d.]+)\s*(w|万|k|千)$", 2)
-    base = number.try_cast("double") if hasattr(number, "try_cast") else number.cast("double")
+    base = number.try_cast("double")
     scaled = F.floor(base * F.when(unit.isin("w", "万"), 10000).otherwise(1000) + 0.5)
     plain = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), t.try_cast("double"))
     return F.coalesce(F.when(unit != "", scaled.cast("double")).when(t == "", F.lit(0.0)).otherwise(plain), F.lit(0.0))
@@ -114,15 +123,19 @@ def is_uuid(c: Column) -> Column:
     return F.coalesce(c.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), F.lit(False))
 
 
+# What asks for markdown, and the marks that are taken out, in this order.
+MARKDOWN = "(?i)(markdown|md格式|用md|代码块|```|表格|标题|列表)"
+MARKS = ((r"(?s)```(.*?)```", "$1"), (r"(?m)^\s*[-*+]\s+", ""), (r"\*\*(.+?)\*\*", "$1"), (r"\*(.+?)\*", "$1"), (r"`(.+?)`", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*>\s+", ""))
+
+
 def wants_markdown(c: Column) -> Column:
-    return F.coalesce(c.rlike("(?i)(markdown|md格式|用md|代码块|```|表格|标题|列表)"), F.lit(False))
+    return F.coalesce(c.rlike(MARKDOWN), F.lit(False))
 
 
 def plain_markdown(c: Column) -> Column:
-    """Without markdown marks: fences, bullets, bold, emphasis, code, headings and quotes, in this order."""
+    """Without markdown marks."""
     out = F.coalesce(c, F.lit(""))
-    out = F.regexp_replace(out, r"(?s)```(.*?)```", "$1")
-    for pattern, to in ((r"(?m)^\s*[-*+]\s+", ""), (r"\*\*(.+?)\*\*", "$1"), (r"\*(.+?)\*", "$1"), (r"`(.+?)`", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*>\s+", "")):
+    for pattern, to in MARKS:
         out = F.regexp_replace(out, pattern, to)
     return out
 

@@ -62,8 +62,9 @@ def resolve_owner(profiles: DataFrame, name: str) -> DataFrame:
     """(id, username) of the profile with that name; an error where there is none, or more than one."""
     wanted = name.strip().lstrip("@").lower()
     one = profiles.where(T.username(F.col("username")) == wanted).agg(F.count("*").alias("n"), F.max("id").alias("id"), F.max("username").alias("username"))
-    checked = F.when((F.col("n") == 1) & F.col("id").isNotNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.col("n").cast("string"), F.lit(f" profiles are named {wanted}"))).cast(profiles.schema["id"].dataType))
-    return one.select(checked.alias("id"), "username")
+    # The check is a filter, so it holds whichever columns are read.
+    checked = F.when((F.col("n") == 1) & F.col("id").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.col("n").cast("string"), F.lit(f" profiles are named {wanted}"))).cast("boolean"))
+    return one.where(checked).select("id", "username")
 
 
 def task_stats(results: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.prompts import content_type
+from ..sources import store
+from . import folds
 
 SNAPSHOT, LEGACY = "snapshot:", "snapshot:legacy"
 
-LISTS = ("tags", "collections", "images", "usage_scenarios", "core_knowledge", "extracted_prompts")
+ANALYSED = ("usage_scenarios", "core_knowledge", "extracted_prompts")
+LISTS = ("tags", "collections", "images", *ANALYSED)
 
 
 def empty() -> Column:
@@ -42,29 +46,45 @@ def short(text: Column, n: int, more: str = "...") -> Column:
 
 
 def trending_rows(posts: DataFrame, snapshot: str, owner: str, no_summary: str = "暂无摘要", no_title: str = "无标题") -> DataFrame:
-    """Candidates as trending cards: tags are category, source tags, hashtags, snapshot, each once."""
+    """Candidates as trending cards: tags are category, source tags, hashtags, snapshot, each once; nothing is analysed yet.
+    The date is the time of publishing as the post gives it, if the posts carry it."""
     descr, title = F.coalesce("descr", F.lit("")), F.coalesce("title", F.lit(""))
     base = F.when(descr != "", descr).otherwise(title)
     category = T.category_first(base)
     tags = F.array_distinct(F.concat(F.when(category != "", F.array(category)).otherwise(empty()), F.filter(F.coalesce("tags", empty()), lambda t: t != ""), T.hashtags(descr), F.array(F.lit(snapshot))))
     return posts.select(
         F.lit(owner).alias("owner_id"), F.lit(True).alias("is_public"), F.when(title != "", title).when(descr != "", F.substring(descr, 1, 40)).otherwise(no_title).alias("title"), "source_url", "platform", "author",
+        (F.coalesce("publish_time", F.lit("")) if "publish_time" in posts.columns else F.lit("")).alias("date"), content_type(F.lit(0)).alias("content_type"), *[empty().alias(c) for c in ANALYSED],
         F.when(base == "", no_summary).otherwise(short(base, 160)).alias("summary"), "likes", "bookmarks", "comments", descr.alias("raw_content"), tags.alias("tags"),
         U.normal_cover(F.coalesce(F.nullif(F.col("cover_image"), F.lit("")), F.get("images", F.lit(0)))).alias("cover_image"), F.lit(True).alias("is_trending"), empty().alias("collections"), F.lit("").alias("user_notes"), "seq",
     )
 
 
-def library_rows(posts: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
-    """Picked posts as library cards; analysis (seq, summary, tool_tags, category) where there is one. The category is the last tag."""
+def library_rows(posts: DataFrame, analysis: DataFrame | None = None, no_summary: str = "暂无摘要", no_title: str = "无标题") -> DataFrame:
+    """Picked posts as library cards; analysis (seq, summary, suggested_title, category, tool_tags and the lists of what was
+    analysed) where there is one. The category, by title, text and analysis together and else the analysis' own, is the last tag.
+    """
     rows = posts if analysis is None else posts.join(analysis, "seq", "left")
-    col = lambda n, d: F.col(n) if n in rows.columns else d
-    descr = F.coalesce("descr", F.lit(""))
-    category = F.coalesce(F.nullif(col("category", F.lit(None).cast("string")), F.lit("")), F.nullif(T.category_untied(descr), F.lit("")))
-    plain = F.concat(F.slice(T.texts(F.col("tags")), 1, 8), F.slice(T.hashtags(descr), 1, 5), F.slice(F.coalesce(col("tool_tags", empty()), empty()), 1, 5))
-    labels = F.array(*map(F.lit, ("Image Gen", "Video Gen", "Vibe Coding")))
-    tags = F.array_distinct(F.filter(plain, lambda t: ~F.array_contains(labels, t)))
-    summary = F.coalesce(F.nullif(col("summary", F.lit(None).cast("string")), F.lit("")), short(descr, 150))
-    return rows.select("seq", "source_url", "platform", "author", summary.alias("summary"), F.when(category.isNotNull(), F.array_append(tags, category)).otherwise(tags).alias("tags"))
+    text = lambda n: F.coalesce(F.col(n), F.lit("")) if n in rows.columns else F.lit("")
+    items = lambda n: F.coalesce(F.col(n), empty()) if n in rows.columns else empty()
+    descr, summary = text("descr"), text("summary")
+    raw = F.when(descr != "", descr).otherwise(text("title"))
+    parts = F.filter(F.array(text("title"), descr, summary, F.array_join(items("core_knowledge"), " ")), lambda t: t != "")
+    all_text = F.array_join(parts, "\n")
+    category = F.when(T.trim(all_text) == "", "").otherwise(F.coalesce(F.nullif(T.category_untied(all_text), F.lit("")), T.library_label(text("category"))))
+    labels = F.array(*map(F.lit, U.SEMANTIC_COVERS))
+    other = lambda tags: F.filter(tags, lambda t: (t != "") & ~F.array_contains(labels, t))
+    tags = F.array_distinct(F.concat(F.slice(other(items("tags")), 1, 8), other(F.slice(T.hashtags(descr), 1, 5)), other(F.slice(F.filter(items("tool_tags"), lambda t: t != ""), 1, 5))))
+    title = F.coalesce(*[F.nullif(t, F.lit("")) for t in (text("title"), text("suggested_title"), F.substring(descr, 1, 30))], F.lit(no_title))
+    cover = F.coalesce(F.nullif(text("cover_image"), F.lit("")), F.get(items("images"), F.lit(0)), F.lit(""))
+    semantic = F.when(category != "", category).otherwise(T.category_scored(all_text))
+    fixed = F.create_map(*[F.lit(x) for kv in U.SEMANTIC_COVERS.items() for x in kv])[F.when(semantic == "", "Vibe Coding").otherwise(semantic)]
+    return rows.select(
+        "seq", F.coalesce(F.nullif(T.trim(title), F.lit("")), F.lit(no_title)).alias("title"), "source_url", "platform", "author", text("publish_time").alias("date"), F.when((cover == "") | U.is_fallback_cover(cover), fixed).otherwise(cover).alias("cover_image"),
+        items("images").alias("images"), "likes", "bookmarks", "comments", content_type(F.size(items("extracted_prompts"))).alias("content_type"), descr.alias("raw_content"),
+        F.when(summary != "", summary).when(raw == "", no_summary).otherwise(short(raw, 150)).alias("summary"), *[items(c).alias(c) for c in ANALYSED],
+        F.when(category != "", F.array_append(tags, category)).otherwise(tags).alias("tags"), F.lit("").alias("user_notes"), empty().alias("collections"),
+    )
 
 
 def plain_tags(tags: Column) -> Column:
@@ -99,13 +119,16 @@ def backfill_owner(df: DataFrame, owner: str) -> DataFrame:
     return out.withColumn("owner_id", F.coalesce("owner_id", F.lit(owner))).drop("_none")
 
 
+def _completeness(size: Callable[[str], Column], count: Callable[[str], Column], metric: Callable[[str], Column], notes_weight: float) -> Column:
+    """The weights, once: of texts by length, of lists by entries, of the metrics' total, of a cover."""
+    total = metric("likes") + metric("bookmarks") + metric("comments")
+    lists = count("usage_scenarios") * notes_weight + count("core_knowledge") * notes_weight + count("extracted_prompts") * 20.0
+    return size("user_notes") * 0.2 + size("summary") * 0.2 + lists + size("raw_content") * 0.02 + count("tags") * 8.0 + count("collections") * 20.0 + total * 0.01 + F.when(size("cover_image") > 0, 30.0).otherwise(0.0)
+
+
 def completeness(notes_weight: float = 15.0) -> Column:
     """How complete a card is: notes, summary, lists, text, tags, collections, metrics, cover."""
-    n = lambda c: F.coalesce(F.length(c), F.lit(0))
-    k = lambda c: F.size(F.coalesce(c, empty()))
-    total = F.coalesce("likes", F.lit(0)) + F.coalesce("bookmarks", F.lit(0)) + F.coalesce("comments", F.lit(0))
-    lists = k("usage_scenarios") * notes_weight + k("core_knowledge") * notes_weight + k("extracted_prompts") * 20.0
-    return n("user_notes") * 0.2 + n("summary") * 0.2 + lists + n("raw_content") * 0.02 + k("tags") * 8.0 + k("collections") * 20.0 + total * 0.01 + F.when(n("cover_image") > 0, 30.0).otherwise(0.0)
+    return _completeness(lambda c: F.coalesce(F.length(c), F.lit(0)), lambda c: F.size(F.coalesce(c, empty())), lambda c: F.coalesce(c, F.lit(0)), notes_weight)
 
 
 def cleanup_score() -> Column:
@@ -132,11 +155,7 @@ def _longer(a: Column, b: Column) -> Column:
 
 def _score(c: Column) -> Column:
     """completeness() of a struct."""
-    n = lambda f: F.coalesce(F.length(c[f]), F.lit(0))
-    k = lambda f: F.size(F.coalesce(c[f], empty()))
-    lists = k("usage_scenarios") * 15.0 + k("core_knowledge") * 15.0 + k("extracted_prompts") * 20.0
-    total = c["likes"] + c["bookmarks"] + c["comments"]
-    return n("user_notes") * 0.2 + n("summary") * 0.2 + lists + n("raw_content") * 0.02 + k("tags") * 8.0 + k("collections") * 20.0 + total * 0.01 + F.when(n("cover_image") > 0, 30.0).otherwise(0.0)
+    return _completeness(lambda f: F.coalesce(F.length(c[f]), F.lit(0)), lambda f: F.size(F.coalesce(c[f], empty())), lambda f: c[f], 15.0)
 
 
 def _merged(a: Column, b: Column, columns: Sequence[str]) -> Column:
@@ -153,17 +172,72 @@ def _merged(a: Column, b: Column, columns: Sequence[str]) -> Column:
     return F.struct(*[made.get(c, main(c)).alias(c) for c in columns])
 
 
-def dedup_cards(cards: DataFrame, order: str = "created_at") -> DataFrame:
+_UNITED = ("tags", "collections", *ANALYSED)
+#: Cards of a key up to which the fold gathers them.
+GATHERED = 1000
+
+
+def _merge_large(rows: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
+    """What the pairwise fold makes of each key's cards, of any number, without gathering them.
+
+    A step of the fold needs no more of the cards so far than their completeness, and that is made of running maxima (the
+    longest texts, the largest metrics, any cover) and of how many list entries are new: so which cards are more complete than
+    all before them, those that take over, is known from running values. The merged card's fields are those of the last one
+    that took over, or of the first that isn't blank, and so on: aggregates that combine before the shuffle. Cards of the same
+    time and id are ordered by a hash.
+    """
+    at = rows.select("*", F.col(order).alias("_at"), F.xxhash64(*columns).alias("_tie"))
+    cards = store.saved(folds.running(at, "_key", ["_at", "id", "_tie"], {"pos": (F.lit(1), "sum")}).drop("_at", "_tie"), "large-groups")
+    entries = lambda c: F.transform(T.texts(F.col(c)), lambda t, i: F.struct(F.lit(c).alias("list"), t.alias("t"), i.alias("i")))
+    entry = F.array(*map(entries, _UNITED))
+    seen = cards.select("_key", "pos", F.explode(F.flatten(entry)).alias("e")).groupBy("_key", "e.list", "e.t").agg(F.min(F.struct("pos", "e.i")).alias("first"))
+    seen = store.saved(seen, "list-entries")
+    new = seen.groupBy("_key", F.col("first.pos").alias("pos")).agg(*[F.count_if(F.col("list") == c).alias(f"new_{c}") for c in _UNITED])
+    sizes = {c: F.length(c) for c in ("user_notes", "summary", "raw_content", "cover_image")}
+    so_far = {f"so_{c}": (v, "max") for c, v in {**sizes, **{m: F.col(m) for m in ("likes", "bookmarks", "comments")}}.items()}
+    so_far |= {f"so_{c}": (F.col(f"new_{c}"), "sum") for c in _UNITED} | {f"first_{c}": (F.when(F.col("pos") == 1, F.size(c)), "max") for c in _UNITED}
+    told = folds.running(cards.join(new, ["_key", "pos"], "left"), "_key", ["pos"], so_far, inclusive=False)
+    # The first card's lists count as they are, those of merged cards once each.
+    held = _completeness(lambda c: F.coalesce(f"so_{c}", F.lit(0)), lambda c: F.when(F.col("pos") == 2, F.col(f"first_{c}")).otherwise(F.col(f"so_{c}")), lambda c: F.col(f"so_{c}"), 15.0)
+    over = (F.col("pos") == 1) | (completeness() > held)
+    taker, other = F.when(over, F.col("pos")), F.when(~over, F.col("pos"))
+
+    def some(c: str, blank: Sequence[str] = ("",)) -> Column:
+        filled = ~F.coalesce(F.col(c), F.lit("")).isin(*blank)
+        of = F.struct(F.col(c).alias("v"))
+        return F.coalesce(F.max_by(of, F.when(filled, taker)), F.min_by(of, F.when(filled, F.col("pos"))), F.max_by(of, other), F.min_by(of, "pos"))["v"]
+
+    longest = lambda c: F.max_by(c, F.struct(F.length(c).alias("n"), F.coalesce(taker, F.lit(0)).alias("t"), (-F.col("pos")).alias("p")))
+    made = {
+        "id": F.min_by("id", "pos"), "owner_id": some("owner_id"), "is_public": F.bool_or("is_public"), "cover_image": some("cover_image"), "source_url": some("source_url", ("", "#")),
+        "raw_content": longest("raw_content"), "user_notes": longest("user_notes"), "summary": F.max_by("summary", F.struct(F.length("summary").alias("n"), (-F.col("pos")).alias("p"))), **{m: F.max(m) for m in ("likes", "bookmarks", "comments")},
+    }
+    plain = [c for c in columns if c not in _UNITED]
+    out = told.groupBy("_key").agg(*[made.get(c, F.max_by(F.struct(F.col(c).alias("v")), taker)["v"]).alias(c) for c in plain], F.count("*").cast("int").alias("n_merged"))
+    lists = seen.groupBy("_key").agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("list") == c, F.struct("first", "t")))), lambda x: x["t"]).alias(c) for c in _UNITED])
+    joined = out.join(lists, "_key", "left")
+    return joined.select(*[F.coalesce(c, empty()).alias(c) if c in _UNITED else F.col(c) for c in columns], "n_merged")
+
+
+def dedup_cards(cards: DataFrame, order: str = "created_at", gathered: int = GATHERED) -> DataFrame:
     """Cards merged by owner and address, pairwise in order: each step keeps the fields of what is more complete so far.
 
-    Keys of one card never meet the fold; the metadata key of blank cards may hold many, which stay within their owner.
+    Keys of one card leave before anything is gathered; keys of more cards than `gathered`, such as the metadata key of blank
+    cards may have, are merged by running values instead of the fold.
     """
     columns = [c for c in _MERGED if c in cards.columns]
     rows = with_defaults(cards).withColumns({"_key": dedup_key(), "source_url": U.library_url(F.col("source_url")), "tags": T.distinct_texts(F.col("tags")), "collections": T.distinct_texts(F.col("collections"))})
-    grouped = rows.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), F.col("id").alias("_id"), F.struct(*columns).alias("c")))).alias("all"))
-    rest = F.transform(F.slice("all", 2, 1_000_000_000), lambda x: x["c"])
-    folded = F.when(F.size("all") == 1, F.col("all")[0]["c"]).otherwise(F.aggregate(rest, F.col("all")[0]["c"], lambda a, b: _merged(a, b, columns)))
-    out = grouped.select(folded.alias("c"), F.size("all").alias("n_merged")).select("c.*", "n_merged")
+    rows = store.saved(rows.select("_key", *dict.fromkeys([order, *columns])), "keyed-cards")  # keys take long patterns: made once, for three readings
+    many = store.saved(rows.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1"), "card-groups")
+    single = rows.join(many, "_key", "left_anti").select(*columns, F.lit(1).alias("n_merged"))
+    some = rows.join(many.where(F.col("_n") <= gathered).select("_key"), "_key")
+    grouped = some.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), F.col("id").alias("_id"), F.struct(*columns).alias("c")))).alias("all"))
+    rest = F.transform(F.slice("all", 2, gathered), lambda x: x["c"])
+    folded = F.aggregate(rest, F.col("all")[0]["c"], lambda a, b: _merged(a, b, columns))
+    out = single.unionByName(grouped.select(folded.alias("c"), F.size("all").alias("n_merged")).select("c.*", "n_merged"))
+    large = many.where(F.col("_n") > gathered).select("_key")
+    if not large.isEmpty():
+        out = out.unionByName(_merge_large(rows.join(large, "_key"), order, columns))
     return out.withColumn("source_url", F.when(F.col("source_url") == "", "#").otherwise(F.col("source_url")))
 
 
@@ -213,12 +287,13 @@ def refresh_existing(existing: DataFrame, found: DataFrame, snapshot: str, owner
     """The owner's trending cards that were found again, as whole rows: everything but the id is that of a new card of the
     last post found. Tags are the new card's, then the old ones, then the snapshot."""
     key = U.ingest_key(F.col("source_url"))
-    rows = trending_rows(found, snapshot, owner_id).withColumn("_key", key)
-    names = [c for c in rows.columns if c not in ("_key", "seq")]
-    last = rows.groupBy("_key").agg(F.max_by(F.struct(*names), "seq").alias("n"))
-    tags = F.array_distinct(F.concat(plain_tags(F.col("n.tags")), plain_tags(F.col("old_tags")), F.array(F.lit(snapshot))))
     old = existing.where("is_trending").where(F.col("owner_id") == owner_id).select("id", F.col("tags").alias("old_tags"), key.alias("_key")).where("_key <> ''")
-    return old.join(last, "_key").select("id", *[(tags if c == "tags" else F.col(f"n.{c}")).alias(c) for c in names])
+    # Cards are made of the last post of each known key alone: making one reads its whole text.
+    last = found.withColumn("_key", key).join(old.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.max_by(F.struct(*found.columns), "seq").alias("p"))
+    rows = trending_rows(last.select("p.*"), snapshot, owner_id).drop("seq")
+    tags = F.array_distinct(F.concat(plain_tags(F.col("n.tags")), plain_tags(F.col("old_tags")), F.array(F.lit(snapshot))))
+    new = rows.select(key.alias("_key"), F.struct(*rows.columns).alias("n"))
+    return old.join(new, "_key").select("id", *[(tags if c == "tags" else F.col(f"n.{c}")).alias(c) for c in rows.columns])
 
 
 def kept_snapshots(cards: DataFrame, keep: int = 5) -> DataFrame:
@@ -330,10 +405,42 @@ def chat_context(cards: DataFrame, scope: str, limit: int | None = None) -> Data
     return joined.select(scope, F.concat_ws("\n", F.concat(F.lit("cards: "), F.col("n_cards").cast("string")), text).alias("context"), "n_cards")
 
 
-def select_images(images: DataFrame, max_n: int = 7, max_one: int = 5 << 20, max_total: int = 18 << 20) -> DataFrame:
-    """(card_id, sent, bytes) of each card's images, in order: one over a bound is left out and smaller ones after it may fit."""
+def chat_parts(cards: DataFrame, scope: str, limit: int = 100_000) -> DataFrame:
+    """(scope, part, context): chat_context() of scopes of any size, in numbered parts of at most `limit` characters.
+
+    A null scope is one of its own; the parts of a scope in order, joined by nothing, are its whole text.
+    """
+    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(": "), F.coalesce("summary", F.lit("")))
+    key = F.struct(F.col(scope).isNull().alias("none"), F.coalesce(F.col(scope), F.lit("")).alias("scope"))
+    rows = cards.select(key.alias("_scope"), F.lit(1).alias("_at"), F.col("id").cast("string").alias("_id"), line.alias("_line_text"))
+    heads = rows.groupBy("_scope").agg(F.count("*").alias("_n")).select("_scope", F.lit(0).alias("_at"), F.lit("").alias("_id"), F.concat(F.lit("cards: "), F.col("_n").cast("string")).alias("_line_text"))
+    parts = folds.parts(heads.unionByName(rows), "_scope", ["_at", "_id", "_line_text"], "_line_text", limit)
+    return parts.select(F.when(~F.col("_scope.none"), F.col("_scope.scope")).alias(scope), "part", F.col("text").alias("context"))
+
+
+def select_images(images: DataFrame, max_n: int = 7, max_one: int = 5 << 20, max_total: int = 18 << 20, gathered: int = GATHERED) -> DataFrame:
+    """(card_id, sent, bytes) of each card's images, in order: one over a bound is left out and smaller ones after it may fit.
+
+    Cards of more images than `gathered` aren't gathered: each of at most max_n rounds finds the first image after the last
+    one taken that still fits, a minimum that combines before the shuffle.
+    """
+    large = store.saved(images.groupBy("card_id").agg(F.count("*").alias("_n")).where(F.col("_n") > gathered).select("card_id"), "image-groups")
+    few = images.join(large, "card_id", "left_anti")
     items = F.transform(F.sort_array(F.collect_list(F.struct("pos", "bytes"))), lambda x: x["bytes"])
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("total"))
     fits = lambda s, b: (s["n"] < max_n) & (b > 0) & (b <= max_one) & (s["total"] + b <= max_total)
     fold = F.aggregate(items, start, lambda s, b: F.when(fits(s, b), F.struct((s["n"] + 1).alias("n"), (s["total"] + b).alias("total"))).otherwise(s))
-    return images.groupBy("card_id").agg(fold.alias("s")).select("card_id", F.col("s.n").cast("long").alias("sent"), F.col("s.total").alias("bytes"))
+    out = few.groupBy("card_id").agg(fold.alias("s")).select("card_id", F.col("s.n").cast("long").alias("sent"), F.col("s.total").alias("bytes"))
+    if large.isEmpty():
+        return out
+    state = store.saved(large.select("card_id", F.lit(None).cast("struct<pos:bigint,bytes:bigint,k:bigint>").alias("last"), F.lit(0).cast("long").alias("sent"), F.lit(0).cast("long").alias("total")), "image-state")
+    # Images of one position and size are told apart by a number of their own.
+    usable = images.where((F.col("bytes") > 0) & (F.col("bytes") <= max_one)).join(state.select("card_id"), "card_id").groupBy("card_id", "pos", "bytes").agg(F.count("*").alias("_copies"))
+    usable = store.saved(usable, "large-cards").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.least("_copies", F.lit(max_n).cast("long")))))
+    usable = usable.select("card_id", F.struct(F.col("pos").cast("long").alias("pos"), F.col("bytes").cast("long").alias("bytes"), "k").alias("at"))
+    for _ in range(max_n):
+        later = F.col("last").isNull() | (F.col("at") > F.col("last"))
+        found = usable.join(state, "card_id").where(later & (F.col("total") + F.col("at.bytes") <= max_total)).groupBy("card_id").agg(F.min("at").alias("at"))
+        taken = F.col("at").isNotNull()
+        state = store.saved(state.join(found, "card_id", "left").select("card_id", F.coalesce("at", "last").alias("last"), (F.col("sent") + taken.cast("int")).alias("sent"), (F.col("total") + F.coalesce("at.bytes", F.lit(0))).alias("total")), "image-state")
+    return out.unionByName(state.select("card_id", "sent", F.col("total").alias("bytes")))

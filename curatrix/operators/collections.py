@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import store
 from .cards import empty
 
 
@@ -79,3 +80,16 @@ def scope_totals(cards: DataFrame) -> DataFrame:
 
 def ranked_within(df: DataFrame, by: str, order: Sequence[Column], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def listed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """df with `rank`, each row's place in the whole list, from 1. order must tell all rows apart.
+
+    Sorted by range; a place is the place in its partition and how many rows the partitions before have, so no task holds more
+    than a partition of the list.
+    """
+    laid = store.saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "listed")
+    sizes = laid.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return laid.join(F.broadcast(before), "_part").withColumn("rank", own + F.col("_before")).drop("_part", "_before")

@@ -27,14 +27,15 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, "notes").otherwise("microblog").alias("platform"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 30)).otherwise("").alias("title"),
         F.col("text").alias("descr"), F.col("source").alias("author"), metric(7919, 9000)("likes"), metric(1299709, 3000)("bookmarks"), metric(104729, 900)("comments"), metric(15485863, 500)("shares"),
         F.when(F.col("doc_id") % 50 != 7, F.timestamp_add("HOUR", (F.col("doc_id") % 720).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))).alias("published_at"),
-        F.col("url").alias("source_url"), F.array("lang", "source").alias("tags"), F.lit(None).cast("string").alias("cover_image"), F.array().cast("array<string>").alias("images"),
+        F.when(F.col("doc_id") % 50 != 7, F.date_format(F.timestamp_add("HOUR", (F.col("doc_id") % 720).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm")).alias("publish_time"), F.col("url").alias("source_url"), F.array("lang", "source").alias("tags"), F.lit(None).cast("string").alias("cover_image"), F.array().cast("array<string>").alias("images"),
     )
 
 
 POSTS = """posts AS (
   SELECT d.doc_id AS seq, CASE WHEN d.doc_id % 3 = 0 THEN 'notes' ELSE 'microblog' END AS platform, CASE WHEN d.doc_id % 3 = 0 THEN substring(d.text, 1, 30) ELSE '' END AS title, d.text AS descr, d.source AS author,
     d.doc_id * 7919 % 9000 AS likes, d.doc_id * 1299709 % 3000 AS bookmarks, d.doc_id * 104729 % 900 AS comments, d.doc_id * 15485863 % 500 AS shares,
-    CASE WHEN d.doc_id % 50 <> 7 THEN TIMESTAMP '2024-01-01' + to_hours((d.doc_id % 720)::INTEGER) END AS published_at, p.url AS source_url, [d.lang, d.source] AS tags
+    CASE WHEN d.doc_id % 50 <> 7 THEN TIMESTAMP '2024-01-01' + to_hours((d.doc_id % 720)::INTEGER) END AS published_at,
+    CASE WHEN d.doc_id % 50 <> 7 THEN strftime(TIMESTAMP '2024-01-01' + to_hours((d.doc_id % 720)::INTEGER), '%Y-%m-%d %H:%M') END AS publish_time, p.url AS source_url, [d.lang, d.source] AS tags
   FROM documents d JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)
 )"""
 

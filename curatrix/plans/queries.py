@@ -197,9 +197,11 @@ def _(c):
     return cards.with_defaults(c).select("id", "source_url", "summary", F.size("usage_scenarios").alias("n_scenarios"))
 
 
-@query("sc2_trending_rows", A.posts, f"""WITH {A.POSTS} SELECT seq, CASE WHEN title <> '' THEN title ELSE substring(descr, 1, 40) END AS title, CASE WHEN descr = '' THEN '暂无摘要' WHEN length(descr) > 160 THEN substring(descr, 1, 160) || '...' ELSE descr END AS summary, len(descr)::INTEGER AS size FROM posts""")
+@query("sc2_trending_rows", A.posts, f"""WITH {A.POSTS} SELECT seq, 'o1' AS owner_id, true AS is_public, CASE WHEN title <> '' THEN title ELSE substring(descr, 1, 40) END AS title, source_url, platform, author, coalesce(publish_time, '') AS date, 'ToolReview' AS content_type,
+CASE WHEN descr = '' THEN '暂无摘要' WHEN length(descr) > 160 THEN substring(descr, 1, 160) || '...' ELSE descr END AS summary, likes, bookmarks, comments, md5(descr) AS raw_content, '' AS cover_image, true AS is_trending, '' AS user_notes, 0 AS n_lists FROM posts""")
 def _(posts):
-    return cards.trending_rows(posts, "snapshot:2024-01-31", "o1").select("seq", "title", "summary", F.length("raw_content").alias("size"))
+    rows = cards.trending_rows(posts, "snapshot:2024-01-31", "o1").withColumns({"raw_content": F.md5("raw_content"), "cover_image": F.coalesce("cover_image", F.lit("")), "n_lists": sum((F.size(c) for c in ("collections", *cards.ANALYSED)), F.lit(0))})
+    return rows.drop("tags", "collections", *cards.ANALYSED)
 
 
 @query("sc2_trending_tags", A.posts, f"""WITH {A.POSTS}, b AS (SELECT *, lower(CASE WHEN coalesce(descr, '') <> '' THEN descr ELSE coalesce(title, '') END) AS base FROM posts),
@@ -210,9 +212,36 @@ def _(posts):
     return cards.trending_rows(posts, "snapshot:2024-01-31", "o1").select("seq", joined(F.col("tags")).alias("tags"))
 
 
-@query("sc3_library_rows", A.posts, f"""WITH {A.POSTS} SELECT seq, CASE WHEN length(descr) > 150 THEN substring(descr, 1, 150) || '...' ELSE descr END AS summary FROM posts""")
+def analysed(posts: DataFrame) -> DataFrame:
+    """An analysis of every third post."""
+    some = posts.where("seq % 3 = 0")
+    return some.select(
+        "seq", F.when(F.col("seq") % 2 == 0, F.concat(F.lit("About "), F.substring("descr", 1, 20))).alias("summary"), F.concat(F.lit(" Title of "), F.col("seq").cast("string")).alias("suggested_title"), F.when(F.col("seq") % 4 == 0, "My VIBE work").when(F.col("seq") % 4 == 1, "videos").otherwise("Other").alias("category"),
+        F.array(F.lit("Tool"), F.lit(""), F.lit("Image Gen"), F.col("author")).alias("tool_tags"), F.array(F.lit("use")).alias("usage_scenarios"), F.when(F.col("seq") % 9 == 0, F.array(F.lit("runway sora"), F.lit("kling"))).otherwise(F.array(F.lit("plain"))).alias("core_knowledge"),
+        F.when(F.col("seq") % 5 == 0, F.array("descr")).otherwise(F.array().cast("array<string>")).alias("extracted_prompts"),
+    )
+
+
+_SCORES = ", ".join(f"len(list_filter({words!r}, lambda w: contains(t, w))) AS s{i}" for i, words in enumerate(K.SCORED.values()))
+_UNTIED = "CASE " + " ".join(f"WHEN s{i} > s{j} AND s{i} > s{k} THEN '{name}'" for (i, name), (j, k) in zip(enumerate(K.SCORED), ((1, 2), (0, 2), (0, 1)), strict=True)) + " END"
+
+
+@query("sc3_library_rows", lambda spark, sf_dir: A.posts(spark, sf_dir).withColumn("cover_image", F.when(F.col("seq") % 7 == 0, F.concat(F.lit("https://i/"), F.col("seq").cast("string"))).when(F.col("seq") % 7 == 1, "/fallback-covers/cover-007.svg")), f"""WITH {A.POSTS}, a AS (
+  SELECT *, seq % 3 = 0 AS y, CASE WHEN seq % 6 = 0 THEN 'About ' || substring(descr, 1, 20) ELSE '' END AS told, CASE WHEN seq % 9 = 0 THEN 'runway sora kling' WHEN seq % 3 = 0 THEN 'plain' ELSE '' END AS core,
+    CASE WHEN seq % 7 = 0 THEN 'https://i/' || seq ELSE '' END AS cover FROM posts
+), b AS (SELECT *, lower(array_to_string([x for x in [title, descr, told, core] if x <> ''], chr(10))) AS t FROM a
+), c AS (SELECT *, {_SCORES} FROM b
+), d AS (SELECT *, coalesce({_UNTIED}, CASE WHEN y AND seq % 4 = 0 THEN 'Vibe Coding' WHEN y AND seq % 4 = 1 THEN 'Video Gen' ELSE '' END) AS category,
+  CASE WHEN s1 > 0 AND s1 >= s0 AND s1 >= s2 THEN 'Video Gen' WHEN s0 > 0 AND s0 >= s2 THEN 'Image Gen' WHEN s2 > 0 THEN 'Vibe Coding' ELSE '' END AS scored FROM c
+), e AS (SELECT *, CASE WHEN category <> '' THEN category WHEN scored <> '' THEN scored ELSE 'Vibe Coding' END AS semantic,
+  list_concat([x for x in tags if x <> '' AND x NOT IN ('Image Gen', 'Video Gen', 'Vibe Coding')], [x for x in regexp_extract_all(descr, '#([^{_BLANK}#]+)', 1)[1:5] if x NOT IN ('Image Gen', 'Video Gen', 'Vibe Coding')], CASE WHEN y THEN ['Tool', author] ELSE [] END) AS found FROM d)
+SELECT seq, CASE WHEN trim(title) <> '' THEN trim(title, ' ' || chr(10)) WHEN title = '' AND y THEN 'Title of ' || seq ELSE trim(substring(descr, 1, 30), ' ' || chr(10)) END AS title, source_url, platform, author, coalesce(publish_time, '') AS date,
+  CASE WHEN cover <> '' THEN cover ELSE '/dashboard-fallbacks/semantic-' || replace(lower(semantic), ' ', '-') || '.svg' END AS cover_image, likes, bookmarks, comments, CASE WHEN y AND seq % 5 = 0 THEN 'PromptShare' ELSE 'ToolReview' END AS content_type, md5(descr) AS raw_content,
+  CASE WHEN told <> '' THEN told WHEN length(descr) > 150 THEN substring(descr, 1, 150) || '...' ELSE descr END AS summary, CASE WHEN y THEN 'use' ELSE '' END AS usage_scenarios, CASE WHEN seq % 9 = 0 THEN 'runway sora|kling' WHEN y THEN 'plain' ELSE '' END AS core_knowledge,
+  CASE WHEN y AND seq % 5 = 0 THEN 1 ELSE 0 END AS n_prompts, array_to_string(list_concat({_once('found')}, CASE WHEN category <> '' THEN [category] ELSE [] END), '|') AS tags FROM e""")
 def _(posts):
-    return cards.library_rows(posts).select("seq", "summary")
+    rows = cards.library_rows(posts, analysed(posts)).withColumns({"raw_content": F.md5("raw_content"), "n_prompts": F.size("extracted_prompts"), **{c: joined(F.col(c)) for c in ("tags", "usage_scenarios", "core_knowledge")}})
+    return rows.drop("extracted_prompts", "images", "user_notes", "collections")
 
 
 @query("sc4_ensured_tags", A.cards, f"""WITH {A.CARDS}, b AS (SELECT id, lower(raw_content) AS t, CASE WHEN seq % 3 = 0 THEN [t for t in tags if starts_with(t, 'snapshot:')] ELSE tags END AS bare FROM cards),
@@ -484,9 +513,28 @@ def _(c):
     return c.select("id", joined(T.distinct_texts(F.concat("tags", "collections"))).alias("terms"))
 
 
-@query("wn7_list_collections", A.collections, f"WITH {A.COLLECTIONS} SELECT id, row_number() OVER (ORDER BY created_at DESC, id)::INTEGER AS rank FROM collections")
+# Lists of the dashboards, whole, each in its order: the position in it is the rank.
+
+
+@query("wn7_list_collections", A.collections, f"WITH {A.COLLECTIONS} SELECT id, row_number() OVER (ORDER BY created_at DESC, id)::BIGINT AS rank FROM collections")
 def _(c):
-    return collections.ranked_within(c.withColumn("_all", F.lit(1)), "_all", [F.col("created_at").desc(), F.col("id")], 1000).select("id", "rank")
+    return collections.listed(c, [F.col("created_at").desc(), F.col("id")]).select("id", "rank")
+
+
+@query("wn7_list_tasks", lambda spark, sf_dir: A.table(spark, sf_dir, "orders"), "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::BIGINT AS rank FROM orders")
+def _(o):
+    return collections.listed(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")), [F.col("created_at").desc(), F.col("id")]).select("id", "rank")
+
+
+@query("wn7_list_accounts", lambda spark, sf_dir: A.table(spark, sf_dir, "customer"), "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::BIGINT AS rank FROM customer")
+def _(c):
+    return collections.listed(c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("created_at")), [F.col("created_at").desc(), F.col("id")]).select("id", "rank")
+
+
+@query("wn7_list_keywords", lambda spark, sf_dir: A.table(spark, sf_dir, "events"), "SELECT event_id AS id, event_type AS type, row_number() OVER (ORDER BY event_type, ts DESC, event_id)::BIGINT AS rank FROM events")
+def _(e):
+    rows = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("ts").alias("created_at"))
+    return collections.listed(rows, [F.col("type"), F.col("created_at").desc(), F.col("id")]).select("id", "type", "rank")
 
 
 # Runs.
@@ -757,3 +805,6 @@ SELECT o AS owner_id, '[' || string_agg('{"noteId":"' || note || '","token":"t'
 def _(s):
     rows = audit.parse_tokens(s)
     return audit.upsert_tokens(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
+
+
+from . import landed, owned, stored  # noqa: E402, F401  more queries of the same registry

@@ -2,8 +2,10 @@
 
 import glob
 import math
+import os
 import random
 import re
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -13,10 +15,11 @@ from curatrix.functions import prompts as P
 from curatrix.functions import text as T
 from curatrix.functions import times
 from curatrix.functions import urls as U
-from curatrix.operators import audit, cards, collections, funnel
+from curatrix.operators import audit, cards, collections, funnel, owners
 from curatrix.plans import adapters as A
 from curatrix.plans import queries
 from curatrix.sources import payloads, tables
+from curatrix.sources.buckets import BucketTable
 from curatrix.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -142,6 +145,69 @@ def test_dedup_folds_in_order(spark):
     assert {r["id"] for r in again.collect()} == set(out)
 
 
+def test_large_groups_merge_as_the_fold(spark):
+    """Merged by running values, groups are what the pairwise fold makes of them: random cards, ties, blanks, one large key."""
+    rng = random.Random(8)
+    pick = lambda *xs: rng.choice(xs)
+    rows = []
+    for n in range(260):
+        rows.append(card(n % 60, id=f"k{n:03d}", source_url="https://a.example/p" if n < 130 else f"https://b.example/{n % 30}", owner_id=pick("o", "o", "O ", None) if n % 5 == 0 else "o", is_public=pick(True, False, False), title=f"t{n}", author=f"a{n}",
+                         cover_image=pick("", "", f"c{n}"), likes=rng.randrange(2000), bookmarks=rng.randrange(300), comments=rng.randrange(50), raw_content=pick("", "x" * rng.randrange(300), f"{n:05d}"), user_notes=pick("", "y" * rng.randrange(40), f"n{n:04d}"),
+                         summary=pick("", f"s{n:04d}", "z" * rng.randrange(30)), tags=[pick("a", " b ", "c", f"t{n % 9}") for _ in range(rng.randrange(4))], collections=[f"c{n % 7}"], usage_scenarios=[pick("u", "u", f"u{n % 5}") for _ in range(rng.randrange(3))],
+                         extracted_prompts=[f"p{n % 11}"] * rng.randrange(2), images=[f"i{n}"], is_trending=pick(True, False), created_at=datetime(2024, 1, 1, 0, rng.randrange(50))))
+    df = spark.createDataFrame(rows, CARD)
+    known = lambda out: {r["id"]: r.asDict() for r in out.collect()}
+    fold, large = known(cards.dedup_cards(df)), known(cards.dedup_cards(df, gathered=1))
+    assert fold == large and max(r["n_merged"] for r in fold.values()) > 90 and known(cards.dedup_cards(df, gathered=10)) == fold
+
+
+def test_groups_of_one_are_not_gathered(spark):
+    """Their heavy columns meet no collect_list: what is gathered was joined with the keys of several cards."""
+    plan = cards.dedup_cards(spark.createDataFrame([card(1), card(2), card(3, source_url="#")], CARD))._jdf.queryExecution().optimizedPlan().toString()
+    gathered = plan[plan.index("collect_list") :]
+    assert "LeftAnti" in plan[: plan.index("collect_list")] and re.search("Join Inner", gathered)
+
+
+def test_image_rounds(spark):
+    rng = random.Random(9)
+    rows = [(f"c{n % 3}", rng.randrange(40), rng.choice([0, 3, 5, 8, 9, 20, -1])) for n in range(150)] + [("one", 1, 3)]
+    df = spark.createDataFrame(rows, "card_id string, pos int, bytes long")
+    sent = lambda out: {(r["card_id"], r["sent"], r["bytes"]) for r in out.collect()}
+    args = {"max_n": 4, "max_one": 9, "max_total": 21}
+    assert sent(cards.select_images(df, **args)) == sent(cards.select_images(df, **args, gathered=2))
+
+
+def test_chat_parts(spark):
+    """Parts of a large scope are under the limit, and joined they are the whole text; long lines are cut, null is a scope."""
+    rows = [(f"k{n:05d}", "big" if n % 3 else None, f"t{n}", "s" * (n % 50)) for n in range(3000)] + [("x", "long", "t", "w" * 5000), ("y", "", None, None)]
+    df = spark.createDataFrame(rows, "id string, scope string, title string, summary string")
+    whole = {r["scope"]: r["context"] for r in cards.chat_context(df, "scope").collect()}
+    parts = {}
+    for r in sorted(cards.chat_parts(df, "scope", 1000).collect(), key=lambda r: r["part"]):
+        assert 0 < len(r["context"]) <= 1000
+        parts[r["scope"]] = parts.get(r["scope"], "") + r["context"]
+    assert parts == whole and len(whole["big"]) > 50_000
+
+
+def test_lists_of_any_length(spark):
+    df = spark.createDataFrame([(i, i % 5) for i in range(500)], "id int, k int")
+    got = [(r["k"], r["id"], r["rank"]) for r in collections.listed(df, [F.col("k").desc(), F.col("id")]).orderBy("rank").collect()]
+    assert got == [(k, i, n) for n, (k, i) in enumerate(sorted(((i % 5, i) for i in range(500)), key=lambda x: (-x[0], x[1])), 1)]
+
+
+def test_terms_of_many_owners(spark):
+    """Terms in several automata find what one finds, and what `in` finds; blank terms and null texts are passed over."""
+    rng = random.Random(3)
+    posts = [(i, "".join(rng.choice("abc ") for _ in range(12)) if i % 9 else None) for i in range(60)]
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(15)} | {""}
+    df, t = spark.createDataFrame(posts, "seq long, descr string"), spark.createDataFrame([(x,) for x in terms] + [(None,)], "term string")
+    want = {(i, x) for i, text in posts for x in terms if x and text and x in text}
+    for chars in (1000, 6):
+        got = [(r["seq"], r["term"]) for r in owners.hits(df, F.col("descr"), t, chars).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert owners.hits(df, F.col("descr"), t.limit(0)).count() == 0
+
+
 def test_cleanup_ties_and_owner(spark):
     rows = [card(1, is_trending=True, tags=["x"]), card(2, tags=["y"]), card(3, tags=["y"], owner_id="p"), card(4, source_url="https://b.example/")]
     df = spark.createDataFrame(rows, CARD)
@@ -237,44 +303,129 @@ def test_payloads(spark, tmp_path):
     assert (r["likes"], r["bookmarks"], r["images"], r["source_url"]) == (0, 3000, ["x"], "https://b?xsec_token=1")
 
 
+P = funnel.Params(now=datetime(2024, 1, 31), topic=["ai"], positive=["good"])
+NOTES_A = '''{"code":0,"data":{"items":[{"model_type":"note","note":{"id":"n1","title":"ai","desc":"good","liked_count":"1.2w","corner_tag_info":[{"type":"publish_time","text":"01-30"}]}},{"model_type":"ad","note":{"id":"n2"}},{"model_type":"note","note":{"id":"n8","title":"ai good","liked_count":900}}]}}'''
+NOTES_B = '''{"data":{"notes":[{"note":{"id":"n3","title":"ai","desc":"good","liked_count":700}},{"title":"no id"}]}}'''
+
+
+def land(landing, kind, name, text):
+    (landing / kind).mkdir(parents=True, exist_ok=True)
+    (landing / kind / name).write_text(text)
+
+
+def stored(spark, out):
+    return {r["source_url"].split("/")[-1].split("?")[0]: (r["likes"], r["date"]) for r in ingest.current(spark, out).collect()}
+
+
+def logged(spark, out):
+    """What was counted for each batch, in order."""
+    rows = spark.read.parquet(f"{out}-log").where("platform = 'all'").orderBy("batch").collect()
+    return [(r["inserted"], r["refreshed"], r["rejected"]) for r in rows]
+
+
 def test_stream_equals_batch(spark, tmp_path):
+    """Mixed folders with a broken file: what one batch makes of all of them, and the broken lines beside it."""
     landing, out = tmp_path / "in", f"file://{tmp_path}/cards"
-    landing.mkdir()
-    p = funnel.Params(now=datetime(2024, 1, 31), topic=["ai"], positive=["good"])
-    (landing / "1.json").write_text(MICRO)
-    ingest.run(spark, str(landing), out, f"{tmp_path}/cp", p, "o")
-    (landing / "2.json").write_text(MICRO.replace('"id":"2"', '"id":"3"'))
-    ingest.run(spark, str(landing), out, f"{tmp_path}/cp", p, "o")
-    got = sorted(r["source_url"] for r in ingest.current(spark, out).collect())
-    posts = payloads.flatten_microblog(payloads.read_microblog(spark, str(landing))).withColumns({"published_at": times.published(F.col("publish_time"), p.now_column), "seq": F.xxhash64("note_id")})
-    assert got == sorted(r["source_url"] for r in funnel.candidates(posts, p).collect()) and len(got) == 3
-    assert spark.read.parquet(f"{out}-log").agg(F.sum("inserted")).first()[0] == 3
+    land(landing, "microblog", "1.json", MICRO)
+    land(landing, "notes-a", "1.json", NOTES_A)
+    land(landing, "microblog", "bad.json", '{"data": [{"id": "9", \n{"data": 5}\n\n')
+    ingest.run(spark, str(landing), out, f"{tmp_path}/cp", P, "o")
+    land(landing, "microblog", "2.json", MICRO.replace('"id":"2"', '"id":"3"'))
+    land(landing, "notes-b", "1.json", NOTES_B + "\nnot json")
+    land(landing, "other", "1.json", "{}")
+    ingest.run(spark, str(landing), out, f"{tmp_path}/cp", P, "o")
+    posts, rejects = ingest.parsed(ingest.landed_lines(spark, str(landing), False))
+    want = funnel.dedup_last(ingest.passed(posts, P)).select("source_url", "likes", F.col("publish_time").alias("date")).collect()
+    assert stored(spark, out) == {r["source_url"].split("/")[-1].split("?")[0]: (r["likes"], r["date"] or "") for r in want} and len(want) == 6
+    assert sorted(r["value"] for r in spark.read.parquet(f"{out}-rejects").collect()) == sorted(r["value"] for r in rejects.collect()) == ["not json", '{"data": 5}', '{"data": [{"id": "9", ', "{}"]
+    assert logged(spark, out) == [(4, 0, 2), (2, 0, 2)]
 
 
 def test_stream_refreshes_and_retains(spark, tmp_path):
-    """Three batches: posts found again are refreshed, old snapshots go, and a batch that runs again changes nothing."""
-    post = lambda i, n, text="good ai": {"seq": i, "platform": "microblog", "title": "", "descr": f"{text} {n}", "author": "a", "likes": n, "bookmarks": 0, "comments": 0, "source_url": f"https://x.com/a/status/{i}?v={n}", "cover_image": "", "images": [], "tags": ["t"]}
-    schema = "seq long, platform string, title string, descr string, author string, likes long, bookmarks long, comments long, source_url string, cover_image string, images array<string>, tags array<string>"
-    out = f"file://{tmp_path}/cards"
+    """Posts that land again with other likes are refreshed and logged, a replay changes nothing, old snapshots go."""
+    landing, out = tmp_path / "in", f"file://{tmp_path}/cards"
+    run = lambda day=31: ingest.run(spark, str(landing), out, f"{tmp_path}/cp", replace(P, now=datetime(2024, 1, day)), "o", keep=2)
+    land(landing, "microblog", "1.json", MICRO)
+    run()
+    assert stored(spark, out) == {"1": (600, "2024-01-30T00:00:00Z"), "2": (700, "")}
+    land(landing, "microblog", "2.json", MICRO.replace("600", "650"))  # the other post as it was
+    run()
+    assert {k: v[0] for k, v in stored(spark, out).items()} == {"1": 650, "2": 700} and logged(spark, out) == [(2, 0, 0), (0, 1, 0)]
+    before = ingest.current(spark, out).collect()
+    land(landing, "microblog", "3.json", MICRO.replace("600", "650"))  # a replay
+    run()
+    assert sorted(map(str, ingest.current(spark, out).collect())) == sorted(map(str, before)) and logged(spark, out)[2:] == [(0, 0, 0)]
+    land(landing, "notes-b", "4.json", NOTES_B)
+    run()  # of batches 0, 1 and 3 the last two stay
+    assert set(stored(spark, out)) == {"1", "n3"} and logged(spark, out)[3:] == [(1, 0, 0)]
+    snapshots = {r["s"] for r in ingest.current(spark, out).select(cards.latest_snapshot(F.col("tags")).alias("s")).collect()}
+    assert snapshots == {"snapshot:2024-01-31:000001", "snapshot:2024-01-31:000003"}
+
+
+def test_a_batch_runs_again(spark, tmp_path):
+    """A batch that broke off after its write is written once more, from the version before it."""
+    landing, out = tmp_path / "in", f"file://{tmp_path}/cards"
+    land(landing, "microblog", "1.json", MICRO)
+    posts, rejects = ingest.parsed(ingest.landed_lines(spark, str(landing), False))
+    for number in (0, 1, 1):
+        ingest.write_batch(spark, out, ingest.passed(posts, P), rejects, number, f"snapshot:{number}", "o", 5)
+    assert len(stored(spark, out)) == 2 and logged(spark, out) == [(2, 0, 0), (0, 2, 0)]
 
-    def batch(n, *posts):
-        known = tables.read_version(spark, out, ingest.CARD, before=n)
-        tables.write_version(ingest.next_version(known, spark.createDataFrame(list(posts), schema), f"snapshot:2024-01-0{n}", "o", keep=2), out, n)
-        return {r["source_url"].split("/")[-1].split("?")[0]: (r["likes"], r["raw_content"], r["change"]) for r in spark.read.parquet(f"{out}/version={n}").collect()}
 
-    assert batch(1, post(1, 10), post(2, 20)) == {"1": (10, "good ai 10", "inserted"), "2": (20, "good ai 20", "inserted")}
-    assert batch(2, post(2, 25), post(3, 30)) == {"1": (10, "good ai 10", "none"), "2": (25, "good ai 25", "refreshed"), "3": (30, "good ai 30", "inserted")}
-    third = batch(3, post(4, 40))
-    assert set(third) == {"2", "3", "4"} and batch(3, post(4, 40)) == third  # the first snapshot goes
-    assert {r["likes"] for r in ingest.current(spark, out).collect()} == {25, 30, 40}
+def test_posts_without_time(spark, tmp_path):
+    """They are neither lost nor doubled over three runs, and neither they nor a post of the future move the watermark."""
+    landing, out = tmp_path / "in", f"file://{tmp_path}/cards"
+    for n, likes in enumerate((700, 700, 800)):
+        text = MICRO.replace("700", str(likes))
+        land(landing, "microblog", f"{n}.json", text.replace("2024-01-30", "2034-01-30") if n == 0 else text)
+        q = ingest.run(spark, str(landing), out, f"{tmp_path}/cp", P, "o")
+        assert {k: v[0] for k, v in stored(spark, out).items()} == {"1": 600, "2": likes}
+        assert all(x["eventTime"].get("watermark", "1970") <= "2024-01-24T00:00:00.000Z" for x in q.recentProgress)
+    assert logged(spark, out) == [(2, 0, 0), (0, 1, 0), (0, 1, 0)]
+
+
+def files(path):
+    return {os.path.relpath(f, path) for f in glob.glob(f"{path}/**/part-*", recursive=True)}
+
+
+def test_bucket_table(spark, tmp_path):
+    """An upsert writes the buckets it touches; a version without commit is never read; old versions expire."""
+    table = BucketTable(f"file://{tmp_path}/t", "k string, v int, at int, heavy string", ("k",), buckets=8)
+    rows = lambda n, v, at=1: spark.createDataFrame([(f"k{i}", v, at, "x" * 50) for i in n], "k string, v int, at int, heavy string")
+    have = lambda: {r["k"]: r["v"] for r in table.read(spark, ["k", "v"]).collect()}
+    assert have() == {} and table.lookup(spark, ["k1"]).count() == 0
+    table.upsert(spark, rows(range(40), 0), "at")
+    first = files(f"{tmp_path}/t/data")
+    table.upsert(spark, rows([3], 1).union(rows([3], 2, 2)), "at")
+    assert have() == {f"k{i}": 2 if i == 3 else 0 for i in range(40)}
+    second = files(f"{tmp_path}/t/data") - first
+    assert first <= files(f"{tmp_path}/t/data") and len({f.split("/")[1] for f in second}) == 1
+    table.upsert(spark, rows([3, 99], 7), "at", update=False)
+    assert have()["k3"] == 2 and have()["k99"] == 7
+    # A write that breaks off before its commit, then one whose commit has no file yet.
+    rows([3], 5).withColumn("bucket", table.bucket()).write.partitionBy("bucket").parquet(f"file://{tmp_path}/t/data/batch=4-broken")
+    os.makedirs(f"{tmp_path}/t/commits/version=4/_temporary")
+    assert have()["k3"] == 2 and table.versions(spark) == [1, 2, 3]
+    table.delete(spark, spark.createDataFrame([("k3",), ("k4",)], "k string"))
+    assert table.versions(spark) == [1, 2, 3, 4] and len(have()) == 39
+    table.expire(spark, keep=1)
+    assert table.versions(spark) == [4] and len(have()) == 39 and not glob.glob(f"{tmp_path}/t/data/batch=4-broken") and second.isdisjoint(files(f"{tmp_path}/t/data"))
+    one = table.lookup(spark, ["k5"], ["v"])
+    plan = one._jdf.queryExecution().toString()
+    assert one.collect()[0]["v"] == 0 and re.findall(r"ReadSchema: \S+", plan)[-1] == "ReadSchema: struct<k:string,v:int>"
+    assert len({f.split("/bucket=")[1].split("/")[0] for f in one.inputFiles()}) == 1 and "heavy" not in re.findall(r"ReadSchema: \S+", plan)[-1]
+    with pytest.raises(ValueError, match="other buckets"):
+        table.rewrite(spark, 5, [0], lambda old: table.read(spark))
+    assert table.versions(spark) == [4]
 
 
 def test_short_counts_and_owner(spark):
     assert [x for x in column(spark, ["1250", "1150", "1350", "1450", "999", "9950", "2750"], lambda c: T.short_count(c.cast("long")))] == ["1.3k", "1.1k", "1.4k", "1.4k", "999", "9.9k", "2.8k"]
     profiles = spark.createDataFrame([("1", "@Ann"), ("2", "bob")], "id string, username string")
     assert audit.resolve_owner(profiles, "ann").first()["id"] == "1"
-    with pytest.raises(Exception, match="profiles are named eve"):
-        audit.resolve_owner(profiles, "eve").collect()
+    for read in (lambda d: d.collect(), lambda d: d.select("username").collect(), lambda d: d.count()):
+        with pytest.raises(Exception, match="profiles are named eve"):
+            read(audit.resolve_owner(profiles, "eve"))
 
 
 def test_tokens_and_reports(spark):
