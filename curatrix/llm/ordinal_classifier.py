@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, labelled_sample, mix64, ngrams, read, text_chunks, words_of
+from .common import arrow_batch, free_names, labelled_sample, mix64, ngrams, read, text_chunks, words_of
 
 FIT_TEXTS, MIN_TEXTS, HASH_BITS, MIN_TOP = 6000, 4, 24, 0.5
 _MASK = np.uint64((1 << HASH_BITS) - 1)
@@ -144,8 +144,9 @@ def _graded(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with expected_grade, p_good (P(grade >= 1)), p_top (P(grade >= 2)) and kept. Nothing is shuffled."""
-    return _graded(docs, labels, id_col, text_col).toDF(*docs.columns, "expected_grade", "p_good", "p_top", "kept")
+    """docs with expected_grade, p_good (P(grade >= 1)), p_top (P(grade >= 2)) and kept; of these, names that docs have get
+    a '_'. Nothing is shuffled. Very long texts are graded whole, a batch of rows at a time."""
+    return _graded(docs, labels, id_col, text_col).toDF(*docs.columns, *free_names(docs.columns, "expected_grade", "p_good", "p_top", "kept"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, read, save
+from .common import WORD, free_names, read, save
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -77,7 +77,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The documents of the mix with all their columns, and `repeats`, how often each is taken.
+    """The documents of the mix with all their columns, and `repeats`, how often each is taken (`repeats_` where they have
+    a column of that name).
 
     Counts come back to their rows by a key that is written with the rows first, as ids may be null or repeat.
     """
@@ -85,7 +86,7 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     rows = save(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "mix-documents")
     doc_id, text, source = (inner[docs.columns.index(c)] for c in ("doc_id", "text", "source"))
     taken = mix(rows, doc_id, text, source, seed, "row").where("taken > 0").select("row", F.expr("taken div nullif(size, 0)").alias("times"))
-    return rows.join(taken, "row").select(*inner, "times").toDF(*docs.columns, "repeats")
+    return rows.join(taken, "row").select(*inner, "times").toDF(*docs.columns, *free_names(docs.columns, "repeats"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ Among equal payloads of at least MIN_REVISIT bytes the record of the largest pag
 revisits of it, without payload (its size and digest stand in the headers). Headers are made anew from the row alone.
 
 Cases: a null payload is empty; a null url is an empty target; a null page_id sorts first and is read back as null (it is
-never a payload's response if there are others). Repeated rows give a record each. Other columns are ignored. An empty
+never a payload's response if there are others). Repeated rows give a record each; those of a payload's largest page_id are
+all responses, as a reader could not tell which of them a revisit means, and rows alike in page_id, url and payload have one
+record id and share a file. Very long payloads are one record each, compressed whole. Other columns are ignored. An empty
 table gives no files and an empty result.
 """
 

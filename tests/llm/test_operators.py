@@ -321,8 +321,8 @@ def test_ordinal_classifier(spark):
     rows += [(700, None, "s"), (701, "", "s"), (None, rows[5][1], "s")]
     docs, lab = table(spark, rows), spark.createDataFrame(labels + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
     graded = ordinal_classifier.grade_documents(docs, lab)
-    assert graded.columns == [*docs.columns, "expected_grade", "p_good", "p_top", "kept"]
-    out = {r["doc_id"]: r[-4:] for r in graded.collect()}  # the table has a column "kept" of its own
+    assert graded.columns == [*docs.columns, "expected_grade", "p_good", "p_top", "kept_"]  # the table has a column "kept" of its own
+    out = {r["doc_id"]: r[-4:] for r in graded.collect()}
     right = [out[i][3] == (i % 10 > 1) for i in range(450, 600)]
     assert sum(right) >= 0.97 * len(right)
     assert all(0 <= top <= good <= 1 and grade == good + top for grade, good, top, _ in out.values())
