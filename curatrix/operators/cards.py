@@ -283,17 +283,27 @@ def new_candidates(found: DataFrame, existing: DataFrame) -> DataFrame:
     return keyed(found).join(keys, ["_owner", "_key"], "left_anti").drop("_owner", "_key")
 
 
+def _trending_of(existing: DataFrame, owner_id: str) -> DataFrame:
+    """(id, old_tags, _key) of the owner's trending cards with an address."""
+    rows = existing.where("is_trending").where(F.col("owner_id") == owner_id)
+    return rows.select("id", F.col("tags").alias("old_tags"), U.ingest_key(F.col("source_url")).alias("_key")).where("_key <> ''")
+
+
+def refreshed(existing: DataFrame, rows: DataFrame, snapshot: str, owner_id: str) -> DataFrame:
+    """The owner's trending cards that new trending rows (of trending_rows()) were made for again, as whole rows of the last one:
+    everything but the id is new. Tags are the new card's, then the old ones, then the snapshot."""
+    names = [c for c in rows.columns if c != "seq"]
+    last = rows.groupBy(U.ingest_key(F.col("source_url")).alias("_key")).agg(F.max_by(F.struct(*names), "seq").alias("n"))
+    tags = F.array_distinct(F.concat(plain_tags(F.col("n.tags")), plain_tags(F.col("old_tags")), F.array(F.lit(snapshot))))
+    return _trending_of(existing, owner_id).join(last, "_key").select("id", *[(tags if c == "tags" else F.col(f"n.{c}")).alias(c) for c in names])
+
+
 def refresh_existing(existing: DataFrame, found: DataFrame, snapshot: str, owner_id: str) -> DataFrame:
-    """The owner's trending cards that were found again, as whole rows: everything but the id is that of a new card of the
-    last post found. Tags are the new card's, then the old ones, then the snapshot."""
+    """refreshed() by the last post found of each address. Making a card reads its whole text, so that is done for those alone."""
     key = U.ingest_key(F.col("source_url"))
-    old = existing.where("is_trending").where(F.col("owner_id") == owner_id).select("id", F.col("tags").alias("old_tags"), key.alias("_key")).where("_key <> ''")
-    # Cards are made of the last post of each known key alone: making one reads its whole text.
-    last = found.withColumn("_key", key).join(old.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.max_by(F.struct(*found.columns), "seq").alias("p"))
-    rows = trending_rows(last.select("p.*"), snapshot, owner_id).drop("seq")
-    tags = F.array_distinct(F.concat(plain_tags(F.col("n.tags")), plain_tags(F.col("old_tags")), F.array(F.lit(snapshot))))
-    new = rows.select(key.alias("_key"), F.struct(*rows.columns).alias("n"))
-    return old.join(new, "_key").select("id", *[(tags if c == "tags" else F.col(f"n.{c}")).alias(c) for c in rows.columns])
+    known = _trending_of(existing, owner_id).select("_key").distinct()
+    last = found.withColumn("_key", key).join(known, "_key", "left_semi").groupBy("_key").agg(F.max_by(F.struct(*found.columns), "seq").alias("p"))
+    return refreshed(existing, trending_rows(last.select("p.*"), snapshot, owner_id), snapshot, owner_id)
 
 
 def kept_snapshots(cards: DataFrame, keep: int = 5) -> DataFrame:

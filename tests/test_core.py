@@ -179,14 +179,14 @@ def test_image_rounds(spark):
 
 def test_chat_parts(spark):
     """Parts of a large scope are under the limit, and joined they are the whole text; long lines are cut, null is a scope."""
-    rows = [(f"k{n:05d}", "big" if n % 3 else None, f"t{n}", "s" * (n % 50)) for n in range(3000)] + [("x", "long", "t", "w" * 5000), ("y", "", None, None)]
+    rows = [(f"k{n:06d}", "big" if n % 3 else None, f"t{n}", "s" * (n % 50)) for n in range(150_000)] + [("x", "long", "t", "w" * 5000), ("y", "", None, None)]
     df = spark.createDataFrame(rows, "id string, scope string, title string, summary string")
     whole = {r["scope"]: r["context"] for r in cards.chat_context(df, "scope").collect()}
     parts = {}
-    for r in sorted(cards.chat_parts(df, "scope", 1000).collect(), key=lambda r: r["part"]):
-        assert 0 < len(r["context"]) <= 1000
+    for r in sorted(cards.chat_parts(df, "scope", 4000).collect(), key=lambda r: r["part"]):
+        assert 0 < len(r["context"]) <= 4000
         parts[r["scope"]] = parts.get(r["scope"], "") + r["context"]
-    assert parts == whole and len(whole["big"]) > 50_000
+    assert parts == whole and whole["big"].startswith("cards: 100000\n")
 
 
 def test_lists_of_any_length(spark):
