@@ -673,23 +673,35 @@ def _(p):
     return p.select("page_id", U.ingest_key(F.col("url")).alias("ingest"), U.library_url(F.col("url")).alias("library"), U.stripped(F.col("url")).alias("cleanup"))
 
 
-@query("fn12_note_urls", pages, f"SELECT page_id, '{U.NOTE_BASE}n' || page_id || CASE WHEN page_id % 2 = 0 THEN '?xsec_token=t%20' || page_id || '&xsec_source=pc_feed' ELSE '' END AS url FROM pages")
+# What a page's address is turned into is decided by its digest, and the parts are of the address and the digest.
+_DIGEST = "SELECT page_id, url, md5(url) AS m, substring(md5(url), 1, 1) AS first, substring(md5(url), 13, 1) AS other, CASE WHEN contains(url, '?') THEN substring(url, instr(url, '?')) ELSE '?none' END AS query FROM pages"
+
+
+def digested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.md5("url")
+    query = F.when(F.contains("url", F.lit("?")), F.substr("url", F.instr("url", "?"))).otherwise("?none")
+    return pages(spark, sf_dir).select("page_id", "url", m.alias("m"), F.substring(m, 1, 1).alias("first"), F.substring(m, 13, 1).alias("other"), query.alias("query"))
+
+
+@query("fn12_note_urls", digested, f"SELECT page_id, '{U.NOTE_BASE}' || substring(m, 1, 12) || CASE WHEN other < '8' THEN '?xsec_token=' || substring(m, 14, 6) || '%20x&xsec_source=pc_feed' ELSE '' END AS url FROM ({_DIGEST}) x")
 def _(p):
-    i = F.col("page_id").cast("string")
-    address = F.concat(F.lit("https://WWW.xiaohongshu.com/discovery/item/n"), i, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("?x=1&xsec_token=t%20"), i)).otherwise(""), F.lit("#f"))
+    path = F.when(F.col("first") < "8", "discovery/item/").otherwise("explore/")
+    token = F.when(F.col("other") < "8", F.concat(F.lit("&xsec_token="), F.substring("m", 14, 6), F.lit("%20x"))).otherwise("")
+    address = F.concat(F.lit(" https://WWW.xiaohongshu.com/"), path, F.substring("m", 1, 12), F.regexp_replace("query", "#.*", ""), token, F.lit("#f"))
     return p.select("page_id", U.library_url(address).alias("url"))
 
 
-@query("fn13_shared_links", pages, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'notes' WHEN 1 THEN 'microblog' END AS platform, CASE page_id % 3 WHEN 0 THEN 'n' || page_id WHEN 1 THEN page_id::VARCHAR END AS id FROM pages")
+@query("fn13_shared_links", digested, f"SELECT page_id, CASE WHEN first < '6' THEN 'notes' WHEN first < 'b' THEN 'microblog' END AS platform, CASE WHEN first < '6' THEN substring(m, 1, 12) WHEN first < 'b' THEN regexp_replace(m, '[a-f]', '', 'g') END AS id, CASE WHEN first < '6' AND other < '8' THEN m END AS token FROM ({_DIGEST}) x")
 def _(p):
-    i = F.col("page_id").cast("string")
-    text = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("look: https://www.xiaohongshu.com/explore/n"), i, F.lit("?a=b now"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("x.com/someone/status/"), i)).otherwise(F.col("url"))
-    return p.select("page_id", U.shared_link(text)["platform"].alias("platform"), U.shared_link(text)["id"].alias("id"))
+    note = F.concat(F.lit("look: https://www.xiaohongshu.com/explore/"), F.substring("m", 1, 12), F.regexp_replace("query", "#.*", ""), F.when(F.col("other") < "8", F.concat(F.lit("&xsec_token="), "m")).otherwise(""), F.lit(" and "), F.col("url"))
+    text = F.when(F.col("first") < "6", note).when(F.col("first") < "b", F.concat(F.lit("x.com/"), "other", F.lit("/status/"), F.regexp_replace("m", "[a-f]", ""), "query")).otherwise(F.col("url"))
+    link = U.shared_link(text)
+    return p.select("page_id", link["platform"].alias("platform"), link["id"].alias("id"), link["token"].alias("token"))
 
 
-@query("fl12_openable_urls", pages, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '' ELSE url END AS openable, CASE page_id % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'placeholder' ELSE '' END AS reason FROM pages")
+@query("fl12_openable_urls", digested, f"SELECT page_id, CASE WHEN first < 'b' THEN '' ELSE url END AS openable, CASE WHEN first < '6' THEN 'missing' WHEN first < 'b' THEN 'placeholder' ELSE '' END AS reason FROM ({_DIGEST}) x")
 def _(p):
-    url = F.when(F.col("page_id") % 3 == 0, " # ").when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://X.com/example/status/123456?s="), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    url = F.when(F.col("first") < "6", F.when(F.col("other") < "8", " # ").otherwise("\n")).when(F.col("first") < "b", F.concat(F.lit("https://X.com/example/status/123456"), "query")).otherwise(F.concat(F.lit(" "), F.col("url"), F.lit("\t")))
     return p.select("page_id", U.openable_url(url).alias("openable"), U.block_reason(url).alias("reason"))
 
 
@@ -792,12 +804,11 @@ def _(posts):
     return posts.select("seq", T.short_count(F.col("likes")).alias("shown"))
 
 
-@query("fn27_uuids", A.posts, f"WITH {A.POSTS} SELECT seq, seq % 2 = 0 AS valid FROM posts")
+@query("fn27_uuids", A.posts, f"WITH {A.POSTS}, m AS (SELECT seq, md5(descr) AS m FROM posts) SELECT seq, substring(m, 13, 1) BETWEEN '1' AND '5' AND substring(m, 17, 1) IN ('8', '9', 'a', 'b') AS valid FROM m")
 def _(posts):
-    hexed = F.md5(F.col("seq").cast("string"))
-    part = lambda a, n: F.substring(hexed, a, n)
-    made = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.when(F.col("seq") % 2 == 0, "4").otherwise("7"), part(13, 3)), F.concat(F.lit("A"), part(16, 3)), part(19, 12))
-    return posts.select("seq", T.is_uuid(made).alias("valid"))
+    """Digests of the texts, written as ids: some happen to have a valid version and variant."""
+    part = lambda a, n: F.substring(F.md5("descr"), a, n)
+    return posts.select("seq", T.is_uuid(F.upper(F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)))).alias("valid"))
 
 
 def token_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -819,4 +830,4 @@ def _(s):
     return audit.upsert_tokens(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
 
 
-from . import landed, owned, stored  # noqa: E402, F401  more queries of the same registry
+from . import landed, owned, stored, streams  # noqa: E402, F401  more queries of the same registry

@@ -303,7 +303,7 @@ def test_payloads(spark, tmp_path):
     assert (r["likes"], r["bookmarks"], r["images"], r["source_url"]) == (0, 3000, ["x"], "https://b?xsec_token=1")
 
 
-P = funnel.Params(now=datetime(2024, 1, 31), topic=["ai"], positive=["good"])
+ASKED = funnel.Params(now=datetime(2024, 1, 31), topic=["ai"], positive=["good"])
 NOTES_A = '''{"code":0,"data":{"items":[{"model_type":"note","note":{"id":"n1","title":"ai","desc":"good","liked_count":"1.2w","corner_tag_info":[{"type":"publish_time","text":"01-30"}]}},{"model_type":"ad","note":{"id":"n2"}},{"model_type":"note","note":{"id":"n8","title":"ai good","liked_count":900}}]}}'''
 NOTES_B = '''{"data":{"notes":[{"note":{"id":"n3","title":"ai","desc":"good","liked_count":700}},{"title":"no id"}]}}'''
 
@@ -329,13 +329,13 @@ def test_stream_equals_batch(spark, tmp_path):
     land(landing, "microblog", "1.json", MICRO)
     land(landing, "notes-a", "1.json", NOTES_A)
     land(landing, "microblog", "bad.json", '{"data": [{"id": "9", \n{"data": 5}\n\n')
-    ingest.run(spark, str(landing), out, f"{tmp_path}/cp", P, "o")
+    ingest.run(spark, str(landing), out, f"{tmp_path}/cp", ASKED, "o")
     land(landing, "microblog", "2.json", MICRO.replace('"id":"2"', '"id":"3"'))
     land(landing, "notes-b", "1.json", NOTES_B + "\nnot json")
     land(landing, "other", "1.json", "{}")
-    ingest.run(spark, str(landing), out, f"{tmp_path}/cp", P, "o")
+    ingest.run(spark, str(landing), out, f"{tmp_path}/cp", ASKED, "o")
     posts, rejects = ingest.parsed(ingest.landed_lines(spark, str(landing), False))
-    want = funnel.dedup_last(ingest.passed(posts, P)).select("source_url", "likes", F.col("publish_time").alias("date")).collect()
+    want = funnel.dedup_last(ingest.passed(posts, ASKED)).select("source_url", "likes", F.col("publish_time").alias("date")).collect()
     assert stored(spark, out) == {r["source_url"].split("/")[-1].split("?")[0]: (r["likes"], r["date"] or "") for r in want} and len(want) == 6
     assert sorted(r["value"] for r in spark.read.parquet(f"{out}-rejects").collect()) == sorted(r["value"] for r in rejects.collect()) == ["not json", '{"data": 5}', '{"data": [{"id": "9", ', "{}"]
     assert logged(spark, out) == [(4, 0, 2), (2, 0, 2)]
@@ -344,7 +344,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_stream_refreshes_and_retains(spark, tmp_path):
     """Posts that land again with other likes are refreshed and logged, a replay changes nothing, old snapshots go."""
     landing, out = tmp_path / "in", f"file://{tmp_path}/cards"
-    run = lambda day=31: ingest.run(spark, str(landing), out, f"{tmp_path}/cp", replace(P, now=datetime(2024, 1, day)), "o", keep=2)
+    run = lambda day=31: ingest.run(spark, str(landing), out, f"{tmp_path}/cp", replace(ASKED, now=datetime(2024, 1, day)), "o", keep=2)
     land(landing, "microblog", "1.json", MICRO)
     run()
     assert stored(spark, out) == {"1": (600, "2024-01-30T00:00:00Z"), "2": (700, "")}
@@ -368,7 +368,7 @@ def test_a_batch_runs_again(spark, tmp_path):
     land(landing, "microblog", "1.json", MICRO)
     posts, rejects = ingest.parsed(ingest.landed_lines(spark, str(landing), False))
     for number in (0, 1, 1):
-        ingest.write_batch(spark, out, ingest.passed(posts, P), rejects, number, f"snapshot:{number}", "o", 5)
+        ingest.write_batch(spark, out, ingest.passed(posts, ASKED), rejects, number, f"snapshot:{number}", "o", 5)
     assert len(stored(spark, out)) == 2 and logged(spark, out) == [(2, 0, 0), (0, 2, 0)]
 
 
@@ -378,7 +378,7 @@ def test_posts_without_time(spark, tmp_path):
     for n, likes in enumerate((700, 700, 800)):
         text = MICRO.replace("700", str(likes))
         land(landing, "microblog", f"{n}.json", text.replace("2024-01-30", "2034-01-30") if n == 0 else text)
-        q = ingest.run(spark, str(landing), out, f"{tmp_path}/cp", P, "o")
+        q = ingest.run(spark, str(landing), out, f"{tmp_path}/cp", ASKED, "o")
         assert {k: v[0] for k, v in stored(spark, out).items()} == {"1": 600, "2": likes}
         assert all(x["eventTime"].get("watermark", "1970") <= "2024-01-24T00:00:00.000Z" for x in q.recentProgress)
     assert logged(spark, out) == [(2, 0, 0), (0, 1, 0), (0, 1, 0)]
