@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import EDGES, Membership, arrow_batch, connected_components, digest, discard, lookup, mix64, partitions_for, read, save, shingle_set, text_chunks, with_marks, words_of
+from .common import EDGES, Membership, arrow_batch, connected_components, digest, discard, lookup, mix64, partitions_for, read, release, save, shingle_set, text_chunks, with_marks, words_of
 
 _U = np.uint64
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
@@ -251,6 +251,8 @@ def group_components(members: DataFrame, sets: DataFrame, num: int, den: int, di
         join()
         if made:
             yield arrow_batch(EDGES, [list(c) for c in zip(*made, strict=True)])
+        ids, sets, made, batch = [], [], [], None
+        release()
 
     def joined(rows: DataFrame) -> DataFrame:
         dealt = rows.select("met", "block", "d", "shingles").repartition(partitions_for(rows), "met", "block").sortWithinPartitions("met", "block")
