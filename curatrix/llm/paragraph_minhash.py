@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -181,7 +182,8 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     holders = [F.min("low").alias("low"), F.max("high").alias("high"), F.max("none").alias("none")]
     several = "(low <> high OR none = 1 AND low IS NOT NULL)"
     rows = table.withColumns({"low": F.col("id"), "high": F.col("id"), "none": F.col("id").isNull().cast("int")})
-    each = save(rows.groupBy("d").agg(F.count("*").alias("rows"), *holders, F.max("n").alias("n"), *(F.max(b).alias(b) for b in band_columns)), "units-each")
+    each = rows.groupBy("d").agg(F.count("*").alias("rows"), *holders, F.max("n").alias("n"), *(F.max(b).alias(b) for b in band_columns))
+    each = save(each.where(f"band0 IS NOT NULL OR {several}"), "units-each")  # short windows of one document meet nothing
 
     # Units of one document overlap, so they often share a band among themselves; such bands say nothing. Of bands that
     # collect the same units one is enough.
@@ -224,7 +226,16 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = classes.groupBy("component").agg(*holders, F.count("*").alias("m")).where(several).select("component", "low", "m")
     named = save(lookup(classes.select("d", "rows", "component"), shared, "component", "m", classes.count()).where("low IS NOT NULL").select("d", "rows", "low"), "unit-names")
     discard(classes)
-    hits = lookup(table.select("d", "id", "text_hash", "pos", (F.col("pos") + F.col("words")).alias("end")), named, "d", "rows", table.count()).where("low IS NOT NULL")
+    # Of all places most are of units that no other document has: a filter leaves them where they are.
+    known = docs.sparkSession.sparkContext.broadcast(Membership(named.select("d"), "d"))
+
+    @F.pandas_udf("boolean")
+    def may(d: pd.Series) -> pd.Series:
+        return pd.Series(known.value.may_hold(d.to_numpy(np.int64)))
+
+    placed = save(table.where(may("d")).select("d", "id", "text_hash", "pos", (F.col("pos") + F.col("words")).alias("end")), "unit-places")
+    discard(table)
+    hits = lookup(placed, named, "d", "rows", placed.count()).where("low IS NOT NULL")
     order = W.partitionBy("id", "text_hash").orderBy("pos", "end")
     spans = hits.withColumn("new", F.when(F.col("pos") > F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0)).withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     found = spans.groupBy("id", "text_hash", "span").agg(F.min("pos").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.min("low").alias("component_id"), F.max(~F.col("low").eqNullSafe(F.col("id"))).alias("removed"))
