@@ -18,6 +18,8 @@ takes its smallest id that is not null. An empty table gives an empty result. Ot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -111,6 +113,8 @@ class _Links:
 
 def similar(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
     s, t = (s, t) if len(s) <= len(t) else (t, s)
+    if len(s) * den < num * len(t):
+        return False
     both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
     return both * den >= num * (len(s) + len(t) - both)
 
@@ -220,7 +224,7 @@ def group_components(members: DataFrame, sets: DataFrame, num: int, den: int, di
     sets: (d, shingles), for each member once or more; disjoint says that no set is in several groups. Groups are joined by
     signature trees in blocks of bounded size. For a group of several blocks, one set of each component found goes on to
     the next level, until that joins little more; what is then outside the group's largest component is compared with all
-    of the group, block by block. Sets move to their block and are written for groups of several blocks alone.
+    of the group, block by block. Components of all links are made once; what later levels find joins components. Sets move to their block and are written for groups of several blocks alone.
     """
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +237,12 @@ def group_components(members: DataFrame, sets: DataFrame, num: int, den: int, di
                 made.extend([(max(ids), min(ids))] if similar(*sets, num, den) else [])
             elif len(ids) > 2:
                 links = _Links()
+                if len(ids) <= _Tree.FANOUT:  # a tree would have its root alone
+                    for i, j in combinations(range(len(ids)), 2):
+                        if links.find(ids[i]) != links.find(ids[j]) and similar(sets[i], sets[j], num, den):
+                            links.link(ids[i], ids[j])
+                    made.extend(_stars(links))
+                    return
                 tree = _Tree(sets, ids, _bits(max(map(len, sets))))
                 dual_traversal(tree, tree, links, num, den)
                 made.extend(_stars(links))
@@ -259,47 +269,54 @@ def group_components(members: DataFrame, sets: DataFrame, num: int, den: int, di
         return save(dealt.mapInArrow(within, "a long, b long"), "jaccard-links")
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        links = _Links({int(d): int(c) for f in (left, right) for d, c in zip(f["d"], f["component"], strict=True)})
+        label = {int(d): int(c) for f in (left, right) for d, c in zip(f["d"], f["component"], strict=True)}
+        links = _Links(label)
         bits = _bits(max(len(b) // 8 for f in (left, right) for b in f["shingles"]))
         dual_traversal(_tree(left, bits), _tree(right, bits), links, num, den)
-        return pd.DataFrame(_stars(links), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame([(label[a], label[b]) for a, b in _stars(links)], columns=["a", "b"], dtype="int64")
 
     blocks = save(blocked(members, num, den), "jaccard-blocks")
     filled = sets.groupBy("d").agg(F.first("shingles").alias("shingles")).join(blocks, "d")
     several = blocks.where("block <> ''").limit(1).count() > 0
-    if several:
-        filled = save(filled, "jaccard-sets")
-    links = joined(filled)
-    if several:
-        large = save(filled.where("block <> ''").drop("class", "block"), "jaccard-large")
-        discard(filled)
-        left, level = large.count(), 1
-        while True:  # one text of each component found goes on to the next level, until that joins little more
-            now = _labelled(large, links)
-            tops = now.join(now.groupBy("met", "component").agg(F.min("d").alias("d")), ["met", "component", "d"]).drop("component")
-            found = joined(blocked(tops, num, den, level))
-            links, before, left, level = links.unionByName(found), left, tops.count(), level + 1
-            if left > 0.9 * before or not found.limit(1).count():
-                break
-        # What is outside the largest component of its group is compared with all of the group.
-        now = save(_labelled(large, links), "jaccard-now")
-        sizes = now.groupBy("met", "component").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("met").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        minor = save(blocked(now.join(main, "met").where("component <> main").drop("main"), num, den), "jaccard-minor")
-        if minor.limit(1).count():
-            every = save(blocked(now.join(minor.select("met").distinct(), "met", "left_semi"), num, den), "jaccard-every")
-            one, other = (x.select("met", F.col("class").alias(f"{s}_class"), F.col("block").alias(s)).distinct() for s, x in (("lb", minor), ("rb", every)))
-            pairs = save(one.join(other, "met").where("lb = '' OR rb = '' OR abs(lb_class - rb_class) <= 1").select("met", "lb", "rb").distinct(), "jaccard-pairs")
-            keys = ["met", "lb", "rb"]
-            l = minor.withColumnRenamed("block", "lb").join(pairs, ["met", "lb"])
-            r = every.withColumnRenamed("block", "rb").join(pairs, ["met", "rb"])
-            links = links.unionByName(save(l.groupBy(keys).cogroup(r.groupBy(keys)).applyInPandas(across, "a long, b long"), "jaccard-links"))
-            discard(every, pairs)
-        discard(large, now, minor)
-    if several or not disjoint:
-        return connected_components(links).withColumnRenamed("id", "d")
-    # Each group was one block, whose links are stars already.
-    return links.select(F.col("a").alias("d"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("d"), F.col("b").alias("component")).distinct())
+    if not several:
+        links = joined(filled)
+        if not disjoint:
+            return connected_components(links).withColumnRenamed("id", "d")
+        # Each group was one block, whose links are stars already.
+        return links.select(F.col("a").alias("d"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("d"), F.col("b").alias("component")).distinct())
+    filled = save(filled, "jaccard-sets")
+    label = save(connected_components(joined(filled)).withColumnRenamed("id", "d"), "jaccard-labels")
+    # From here on links are of components, so each level takes what it found itself and not all links once more.
+    now = save(filled.where("block <> ''").drop("class", "block").join(label, "d", "left").withColumn("component", F.coalesce("component", "d")), "jaccard-large")
+    discard(filled)
+    left, level, tops, found = now.count(), 1, now, []
+    while True:  # one text of each component found goes on to the next level, until that joins little more
+        tops = save(tops.join(tops.groupBy("met", "component").agg(F.min("d").alias("d")), ["met", "component", "d"]), "jaccard-tops")
+        before, left = left, tops.count()
+        found.append(joined(blocked(tops, num, den, level).withColumn("d", F.col("component"))))
+        if left > 0.9 * before or not found[-1].limit(1).count():
+            break
+        tops, level = save(_relabelled(tops, connected_components(found[-1])), "jaccard-tops"), level + 1
+    # What is outside the largest component of its group is compared with all of the group.
+    whole, now = now, save(_relabelled(now, connected_components(reduce(DataFrame.unionByName, found))), "jaccard-now")
+    discard(whole)
+    sizes = now.groupBy("met", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("met").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    minor = save(blocked(now.join(main, "met").where("component <> main").drop("main"), num, den), "jaccard-minor")
+    if minor.limit(1).count():
+        every = save(blocked(now.join(minor.select("met").distinct(), "met", "left_semi"), num, den), "jaccard-every")
+        one, other = (x.select("met", F.col("class").alias(f"{s}_class"), F.col("block").alias(s)).distinct() for s, x in (("lb", minor), ("rb", every)))
+        pairs = save(one.join(other, "met").where("lb = '' OR rb = '' OR abs(lb_class - rb_class) <= 1").select("met", "lb", "rb").distinct(), "jaccard-pairs")
+        keys = ["met", "lb", "rb"]
+        l = minor.withColumnRenamed("block", "lb").join(pairs, ["met", "lb"])
+        r = every.withColumnRenamed("block", "rb").join(pairs, ["met", "rb"])
+        found.append(save(l.groupBy(keys).cogroup(r.groupBy(keys)).applyInPandas(across, "a long, b long"), "jaccard-links"))
+        discard(every, pairs)
+    discard(now, minor)
+    merged = save(connected_components(reduce(DataFrame.unionByName, found)), "jaccard-merged")
+    # Sets that no link of the first level joined are components of their own.
+    alone = merged.select(F.col("id").alias("d"), "component").join(label, "d", "left_anti")
+    return _relabelled(label, merged).unionByName(alone)
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,9 +392,11 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "text_hash")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    label = connected_components(links).select(F.col("id").alias("d"), "component")
-    return rows.drop("component").join(label, "d", "left").withColumn("component", F.coalesce("component", "d"))
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """rows with a component in place of each that merged (id, component) has; both are saved or cheap to make."""
+    sizes = rows.groupBy("component").agg(F.count("*").alias("_w"))
+    new = merged.select(F.col("id").alias("component"), F.col("component").alias("_new")).join(sizes, "component")
+    return lookup(rows, new, "component", "_w", rows.count()).withColumn("component", F.coalesce("_new", "component")).drop("_new", "_w")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -22,17 +22,18 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Membership, arrow_batch, discard, lookup, mix64, ngrams, read, save, text_chunks, with_marks, words_of
+from .common import Membership, arrow_batch, discard, lookup, mix64, ngrams, read, release, save, text_chunks, with_marks, words_of
 from .jaccard_join import group_components
 
 _U = np.uint64
 SHINGLE, SHORTEST, BANDS, ROWS, SIMILARITY = 5, 26, 5, 2, (80, 100)
+_BUFFER = 2_000_000  # units counted at once
 SHORT, LONG = (26, 20), ((52, 40), (104, 80))  # words of the windows, and places that an anchor is the least of
 
 
@@ -67,8 +68,15 @@ class Units(NamedTuple):
 
     def distinct(self) -> np.ndarray:
         """Sizes of the sets: shingles that don't stand earlier in the unit."""
-        by = np.argsort(self.g, kind="stable")
         before = np.full(len(self.g), -1)  # where a shingle stands last before
+        # Only shingles that share a slot of a table with another can be repeated.
+        slot, place = (self.g >> _U(44)).astype(np.int32), np.arange(len(self.g), dtype=np.int32)
+        table = np.zeros(1 << 20, np.int32)
+        table[slot] = place
+        taken = np.zeros(1 << 20, bool)
+        taken[slot[table[slot] != place]] = True
+        maybe = np.flatnonzero(taken[slot])
+        by = maybe[np.argsort(self.g[maybe], kind="stable")]
         before[by[1:]] = np.where(self.g[by[1:]] == self.g[by[:-1]], by[:-1], -1)
         n = self.end - self.begin
         if not len(n):
@@ -107,7 +115,8 @@ def anchors(order: np.ndarray, begin: np.ndarray, words: np.ndarray, unit: int,
     return np.unique(at + ((place.astype(np.int64) - at) & ((1 << 26) - 1)))
 
 
-def units_of(texts: list[str | None]) -> Units:
+def units_of(texts: list[str | None], short: bool = True) -> Units:
+    """The units of texts; without `short` those that get bands alone."""
     words = words_of(texts)
     h = words.hashes()
     g = ngrams(h, SHINGLE)  # those across a border are in no unit
@@ -129,7 +138,7 @@ def units_of(texts: list[str | None]) -> Units:
         first = anchors(order, begin[long], size[long], unit, window)
         found.append((first, np.full(len(first), unit)))
     begin, size = np.unique(np.concatenate([np.stack(x, 1) for x in found]), axis=0).T
-    first = anchors(order, words.bounds[:-1], np.diff(words.bounds), *SHORT)
+    first = anchors(order, words.bounds[:-1], np.diff(words.bounds), *SHORT) if short else begin[:0]
     kind = np.repeat([1, 0], [len(begin), len(first)])
     begin, size = np.concatenate((begin, first)), np.concatenate((size, np.full(len(first), SHORT[0])))
     return Units(text[begin], begin - words.bounds[text[begin]], size, kind, begin, begin + size - SHINGLE + 1, g)
@@ -148,6 +157,16 @@ def band_hashes(units: Units) -> np.ndarray:
     return out.view(np.int64)
 
 
+def joined(column: pa.Array, kind: type) -> np.ndarray:
+    """All numbers of a column of arrays in a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def lengths(column: pa.Array) -> np.ndarray:
+    """How many numbers of 64 bits each row of a column of arrays has."""
+    return pc.binary_length(column).to_numpy() // 8
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, component_id, removed): spans of words of a document that stand in other documents too.
 
@@ -161,52 +180,104 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """As repeated_passages, with a hash of each text: rows that share an id have spans of their own texts."""
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    band_columns = [f"band{i}" for i in range(BANDS)]
-    ddl = "d long, id long, text_hash long, pos int, words int, n int, " + ", ".join(f"{b} long" for b in band_columns)
-    unit_schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.int32()) for c in ddl.split(", ")])
+    spark = docs.sparkSession
+    # A row for each text: its short windows and then its other units, as arrays; n and bands are of the others alone.
+    arrays = {"short": np.int64, "short_pos": np.int32, "d": np.int64, "pos": np.int32, "words": np.int32, "n": np.int32, "bands": np.int64}
+    unit_schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), *((c, pa.binary()) for c in arrays)])
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "text"):
             u = units_of(texts)
-            if len(u.pos):
-                bands, own = np.zeros((len(u.pos), BANDS), np.int64), u.banded()
-                bands[own] = band_hashes(u.only(own))
-                none = u.kind == 0
-                size = u.end - u.begin
-                size[own] = u.only(own).distinct()
-                of = pa.array(u.text)
-                yield arrow_batch(unit_schema, [u.digests(), batch.column(0).take(of), batch.column(2).take(of), u.pos.astype(np.int32), u.words.astype(np.int32), size.astype(np.int32), *(pa.array(b, mask=none) for b in bands.T)])
-
-    table = save(docs.mapInArrow(units, ddl), "units")
-    # A row for each distinct unit, with the documents that hold it: the smallest and largest id, and whether one has none.
+            if not len(u.pos):
+                continue
+            d, own = u.digests(), u.banded()
+            short, banded = np.flatnonzero(u.kind == 0), u.only(own)
+            columns = [(short, d[short]), (short, u.pos[short]), (own, d[own]), (own, banded.pos), (own, banded.words), (own, banded.distinct()), (own, band_hashes(banded))]
+            made = [[], *([] for _ in columns)]
+            cuts = [np.searchsorted(u.text[at], np.arange(len(texts) + 1)) for at, _ in columns]
+            values = [np.ascontiguousarray(v, k) for (_, v), k in zip(columns, arrays.values(), strict=True)]
+            for i in np.unique(u.text).tolist():
+                made[0].append(i)
+                for out, cut, v in zip(made[1:], cuts, values, strict=True):
+                    out.append(v[cut[i] : cut[i + 1]].tobytes())
+            of = pa.array(made[0])
+            yield arrow_batch(unit_schema, [batch.column(0).take(of), batch.column(2).take(of), *made[1:]])
+
+    table = save(docs.mapInArrow(units, "id long, text_hash long, " + ", ".join(f"{c} binary" for c in arrays)), "units")
+
+    def counted(names: list[str], wide: list[str]) -> DataFrame:
+        """(d, rows, low, high, none, ...) of each distinct unit: counts within a task before the shuffle. low, high and none
+        say which documents hold it: the smallest and largest id, and whether one has none."""
+        ddl = "d long, rows long, low long, high long, none int" + "".join(f", {c} long" for c in wide)
+        schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.int32()) for c in ddl.split(", ")])
+
+        def flush(held: list[tuple]) -> pa.RecordBatch:
+            d, row_id, none, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(d, kind="stable")
+            d, row_id, none = d[order], row_id[order], none[order]
+            first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+            low = np.minimum.reduceat(np.where(none, np.iinfo(np.int64).max, row_id), first)
+            high = np.maximum.reduceat(np.where(none, np.iinfo(np.int64).min, row_id), first)
+            unknown = np.logical_and.reduceat(none, first)
+            rest = [column for x in more for column in (x[order[first]].T if x.ndim > 1 else [x[order[first]]])]
+            rows = np.diff(np.append(first, len(d)))
+            return arrow_batch(schema, [d[first], rows, pa.array(low, mask=unknown), pa.array(high, mask=unknown), np.logical_or.reduceat(none, first).astype(np.int32), *(x.astype(np.int64) for x in rest)])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            for batch in batches:
+                of = np.repeat(np.arange(batch.num_rows), lengths(batch.column(1)))
+                if len(of):
+                    none = np.array(batch.column(0).is_null())
+                    ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+                    found = [joined(batch.column(i + 1), arrays[c]) for i, c in enumerate(names)]
+                    held.append((found[0], ids[of], none[of], *(x.reshape(-1, BANDS) if c == "bands" else x for c, x in zip(names[1:], found[1:], strict=True))))
+                if sum(len(x[0]) for x in held) > _BUFFER:
+                    yield flush(held)
+                    held = []
+            if held:
+                yield flush(held)
+            held, batch = [], None
+            release()
+
+        rows = table.select("id", *names).mapInArrow(count, ddl)
+        return rows.groupBy("d").agg(F.sum("rows").alias("rows"), *holders, *(F.max(c).alias(c) for c in wide))
+
     holders = [F.min("low").alias("low"), F.max("high").alias("high"), F.max("none").alias("none")]
     several = "(low <> high OR none = 1 AND low IS NOT NULL)"
-    rows = table.withColumns({"low": F.col("id"), "high": F.col("id"), "none": F.col("id").isNull().cast("int")})
-    each = rows.groupBy("d").agg(F.count("*").alias("rows"), *holders, F.max("n").alias("n"), *(F.max(b).alias(b) for b in band_columns))
-    each = save(each.where(f"band0 IS NOT NULL OR {several}"), "units-each")  # short windows of one document meet nothing
+    alike = save(counted(["short"], []).where(several), "units-alike")  # short windows of one document meet nothing
+    band_columns = [f"band{i}" for i in range(BANDS)]
+    each = save(counted(["d", "n", "bands"], ["n", *band_columns]), "units-each")
 
     # Units of one document overlap, so they often share a band among themselves; such bands say nothing. Of bands that
     # collect the same units one is enough.
-    banded = each.where("band0 IS NOT NULL").select("d", "n", "low", "high", "none", F.explode(F.array(*band_columns)).alias("met"))
+    banded = each.select("d", "low", "high", "none", F.explode(F.array(*band_columns)).alias("met"))
     met = banded.groupBy("met").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("d")).alias("units"), *holders).where(f"m > 1 AND {several}")
     met = save(met.groupBy("m", "units").agg(F.min("met").alias("met")).drop("units"), "units-met")
-    members = save(lookup(banded.select("d", "n", "met"), met, "met", "m", BANDS * each.count()).where("m IS NOT NULL").drop("m"), "unit-members")
-    discard(met)
-    # Bands have done their work: narrower tables go on without them.
-    wide, each = each, save(each.select("d", "rows", "low", "high", "none"), "units-counted")
-    discard(wide)
-    wide, table = table, save(table.select("d", "id", "text_hash", "pos", "words"), "units-placed")
-    discard(wide)
+    kept = spark.sparkContext.broadcast(Membership(met, "met"))
+    member_schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("met", pa.int64())])
+
+    def in_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units with the bands that may collect several."""
+        for batch in batches:
+            for column in batch.columns[2:]:
+                at = np.flatnonzero(kept.value.may_hold(column.to_numpy()))
+                if len(at):
+                    found = batch.take(pa.array(at))
+                    yield arrow_batch(member_schema, [found.column(0), found.column(1), column.take(pa.array(at))])
+
+    maybe = save(each.select("d", "n", *band_columns).mapInArrow(in_bands, "d long, n long, met long"), "units-maybe")
+    members = save(lookup(maybe, met, "met", "m", maybe.count()).where("m IS NOT NULL").drop("m"), "unit-members")
+    discard(met, maybe)
 
     # Shingles of the units that collided.
-    sent = docs.sparkSession.sparkContext.broadcast(Membership(members.select("d").distinct(), "d"))
+    sent = spark.sparkContext.broadcast(Membership(members.select("d").distinct(), "d"))
     set_schema = pa.schema([("d", pa.int64()), ("shingles", pa.binary())])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task are told once
         for _, texts in text_chunks(batches, "text"):
-            u = units_of(texts)
-            u = u.only(u.banded())
+            u = units_of(texts, short=False)
             d, where = np.unique(u.digests(), return_index=True)
             fresh = sent.value.may_hold(d)
             fresh[fresh] = [x not in seen for x in d[fresh].tolist()]
@@ -219,21 +290,33 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     label = save(group_components(members, docs.mapInArrow(with_sets, "d long, shingles binary"), *SIMILARITY, disjoint=False), "unit-labels")
 
     # Classes of equal or linked units that stand in several documents, and the first of these.
-    linked = each.join(label, "d")
-    alone = each.where(several).join(label.select("d"), "d", "left_anti").withColumn("component", F.col("d"))
+    own = ["d", "rows", "low", "high", "none"]
+    linked = each.select(*own).join(label, "d")
+    alone = each.where(several).select(*own).join(label.select("d"), "d", "left_anti").unionByName(alike).withColumn("component", F.col("d"))
     classes = save(linked.unionByName(alone), "unit-classes")
-    discard(each, members)
+    discard(each, alike, members)
     shared = classes.groupBy("component").agg(*holders, F.count("*").alias("m")).where(several).select("component", "low", "m")
     named = save(lookup(classes.select("d", "rows", "component"), shared, "component", "m", classes.count()).where("low IS NOT NULL").select("d", "rows", "low"), "unit-names")
     discard(classes)
     # Of all places most are of units that no other document has: a filter leaves them where they are.
-    known = docs.sparkSession.sparkContext.broadcast(Membership(named.select("d"), "d"))
-
-    @F.pandas_udf("boolean")
-    def may(d: pd.Series) -> pd.Series:
-        return pd.Series(known.value.may_hold(d.to_numpy(np.int64)))
-
-    placed = save(table.where(may("d")).select("d", "id", "text_hash", "pos", (F.col("pos") + F.col("words")).alias("end")), "unit-places")
+    known = spark.sparkContext.broadcast(Membership(named.select("d"), "d"))
+    place_schema = pa.schema([("d", pa.int64()), ("id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("end", pa.int32())])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, pos, words in ((2, 3, None), (4, 5, 6)):
+                of = np.repeat(np.arange(batch.num_rows), lengths(batch.column(d)))
+                d, pos = joined(batch.column(d), np.int64), joined(batch.column(pos), np.int32)
+                end = pos + (SHORT[0] if words is None else joined(batch.column(words), np.int32))
+                at = np.flatnonzero(known.value.may_hold(d))
+                if len(at):
+                    rows = pa.array(of[at])
+                    yield arrow_batch(place_schema, [d[at], batch.column(0).take(rows), batch.column(1).take(rows), pos[at], end[at].astype(np.int32)])
+        batch = None
+        release()
+
+    placed = table.select("id", "text_hash", "short", "short_pos", "d", "pos", "words").mapInArrow(places, "d long, id long, text_hash long, pos int, end int")
+    placed = save(placed, "unit-places")
     discard(table)
     hits = lookup(placed, named, "d", "rows", placed.count()).where("low IS NOT NULL")
     order = W.partitionBy("id", "text_hash").orderBy("pos", "end")
