@@ -19,6 +19,7 @@ are ignored (spans) or kept (removal). An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -167,6 +168,12 @@ def lengths(column: pa.Array) -> np.ndarray:
     return pc.binary_length(column).to_numpy() // 8
 
 
+def sliced(of: np.ndarray, rows: int, *values: np.ndarray) -> list[list[bytes]]:
+    """Columns of arrays: for each row those of the values that are of it."""
+    cuts = np.searchsorted(of, np.arange(rows + 1)).tolist()
+    return [[v[a:b].tobytes() for a, b in pairwise(cuts)] for v in values]
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, component_id, removed): spans of words of a document that stand in other documents too.
 
@@ -192,16 +199,10 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 continue
             d, own = u.digests(), u.banded()
             short, banded = np.flatnonzero(u.kind == 0), u.only(own)
-            columns = [(short, d[short]), (short, u.pos[short]), (own, d[own]), (own, banded.pos), (own, banded.words), (own, banded.distinct()), (own, band_hashes(banded))]
-            made = [[], *([] for _ in columns)]
-            cuts = [np.searchsorted(u.text[at], np.arange(len(texts) + 1)) for at, _ in columns]
-            values = [np.ascontiguousarray(v, k) for (_, v), k in zip(columns, arrays.values(), strict=True)]
-            for i in np.unique(u.text).tolist():
-                made[0].append(i)
-                for out, cut, v in zip(made[1:], cuts, values, strict=True):
-                    out.append(v[cut[i] : cut[i + 1]].tobytes())
-            of = pa.array(made[0])
-            yield arrow_batch(unit_schema, [batch.column(0).take(of), batch.column(2).take(of), *made[1:]])
+            values = [d[short], u.pos[short], d[own], banded.pos, banded.words, banded.distinct(), band_hashes(banded)]
+            values = [np.ascontiguousarray(v, k) for v, k in zip(values, arrays.values(), strict=True)]
+            columns = sliced(u.text[short], len(texts), *values[:2]) + sliced(banded.text, len(texts), *values[2:])
+            yield arrow_batch(unit_schema, [batch.column(0), batch.column(2), *columns])
 
     table = save(docs.mapInArrow(units, "id long, text_hash long, " + ", ".join(f"{c} binary" for c in arrays)), "units")
 
@@ -249,6 +250,23 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     band_columns = [f"band{i}" for i in range(BANDS)]
     each = save(counted(["d", "n", "bands"], ["n", *band_columns]), "units-each")
 
+    # Places go on without bands, and without most short windows of one document.
+    sought = spark.sparkContext.broadcast(Membership(alike, "d"))
+    slim = ["id", "text_hash", "short", "short_pos", "d", "pos", "words"]
+    slim_schema = pa.schema([unit_schema.field(c) for c in slim])
+
+    def slimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short, pos = joined(batch.column(2), np.int64), joined(batch.column(3), np.int32)
+            at = np.flatnonzero(sought.value.may_hold(short))
+            of = np.repeat(np.arange(batch.num_rows), lengths(batch.column(2)))
+            yield arrow_batch(slim_schema, [*batch.columns[:2], *sliced(of[at], batch.num_rows, short[at], pos[at]), *batch.columns[4:]])
+        batch = None
+        release()
+
+    wide, table = table, save(table.select(*slim).mapInArrow(slimmed, "id long, text_hash long, " + ", ".join(f"{c} binary" for c in slim[2:])), "units-placed")
+    discard(wide)
+
     # Units of one document overlap, so they often share a band among themselves; such bands say nothing. Of bands that
     # collect the same units one is enough.
     banded = each.select("d", "low", "high", "none", F.explode(F.array(*band_columns)).alias("met"))
@@ -268,7 +286,9 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     maybe = save(each.select("d", "n", *band_columns).mapInArrow(in_bands, "d long, n long, met long"), "units-maybe")
     members = save(lookup(maybe, met, "met", "m", maybe.count()).where("m IS NOT NULL").drop("m"), "unit-members")
-    discard(met, maybe)
+    # Bands have done their work: a narrower table goes on without them.
+    wide, each = each, save(each.select("d", "rows", "low", "high", "none"), "units-counted")
+    discard(met, maybe, wide)
 
     # Shingles of the units that collided.
     sent = spark.sparkContext.broadcast(Membership(members.select("d").distinct(), "d"))
@@ -290,9 +310,8 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     label = save(group_components(members, docs.mapInArrow(with_sets, "d long, shingles binary"), *SIMILARITY, disjoint=False), "unit-labels")
 
     # Classes of equal or linked units that stand in several documents, and the first of these.
-    own = ["d", "rows", "low", "high", "none"]
-    linked = each.select(*own).join(label, "d")
-    alone = each.where(several).select(*own).join(label.select("d"), "d", "left_anti").unionByName(alike).withColumn("component", F.col("d"))
+    linked = each.join(label, "d")
+    alone = each.where(several).join(label.select("d"), "d", "left_anti").unionByName(alike).withColumn("component", F.col("d"))
     classes = save(linked.unionByName(alone), "unit-classes")
     discard(each, alike, members)
     shared = classes.groupBy("component").agg(*holders, F.count("*").alias("m")).where(several).select("component", "low", "m")
@@ -315,8 +334,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         batch = None
         release()
 
-    placed = table.select("id", "text_hash", "short", "short_pos", "d", "pos", "words").mapInArrow(places, "d long, id long, text_hash long, pos int, end int")
-    placed = save(placed, "unit-places")
+    placed = save(table.mapInArrow(places, "d long, id long, text_hash long, pos int, end int"), "unit-places")
     discard(table)
     hits = lookup(placed, named, "d", "rows", placed.count()).where("low IS NOT NULL")
     order = W.partitionBy("id", "text_hash").orderBy("pos", "end")
