@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Membership, arrow_batch, discard, lookup, ngrams, read, save, text_chunks, words_of
+from .common import Membership, arrow_batch, discard, lookup, mix64, read, save, text_chunks, words_of
 
 LEAST, DIVERGENCE, ALPHA, DEPTH, SHARE = 3, 4.0, 1.0, 5, 2e-7
 END = np.uint64(0x656E64206F662074)  # stands for the end of a text
@@ -50,8 +50,16 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
-    """Keys of all runs of n tokens."""
-    return (h if n == 1 else ngrams(h, n)).view(np.int64)
+    """Keys of all runs of n tokens: of longer ones made of those of their first and last n - 1."""
+    key = h.view(np.int64)
+    for _ in range(n - 1):
+        key = run_keys(key[:-1], key[1:])
+    return key
+
+
+def run_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(prefix.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(suffix.view(np.uint64))).view(np.int64)
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
@@ -72,8 +80,12 @@ def counted_words(docs: DataFrame) -> DataFrame:
 
 
 def counted_runs(docs: DataFrame, n: int, tried: Membership, known: Membership) -> DataFrame:
-    """(key, prefix, suffix, c) of runs of n + 1 tokens seen LEAST times whose first n may be tried and last n known."""
+    """(key, prefix, suffix, c) of runs of n + 1 tokens seen LEAST times whose first n may be tried and last n known.
+
+    Prefix and suffix say which run it is, so the many that are seen too seldom move without a key.
+    """
     schema = pa.schema([(c, _LONG) for c in ("key", "prefix", "suffix", "c")])
+    moved = pa.schema([schema.field(c) for c in ("prefix", "suffix", "c")])
     sent = docs.sparkSession.sparkContext.broadcast((tried, known))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +95,7 @@ def counted_runs(docs: DataFrame, n: int, tried: Membership, known: Membership)
         def flush() -> pa.RecordBatch:
             key, prefix, suffix = np.concatenate(held, axis=1)
             key, first, times = np.unique(key, return_index=True, return_counts=True)
-            return arrow_batch(schema, [key, prefix[first], suffix[first], times])
+            return arrow_batch(moved, [prefix[first], suffix[first], times])
 
         for _, texts in text_chunks(batches, "text"):
             h, text = tokens_of(texts)
@@ -93,15 +105,19 @@ def counted_runs(docs: DataFrame, n: int, tried: Membership, known: Membership)
             at = np.flatnonzero(text[n:] == text[:-n])
             at = at[tried.may_hold(short[at])]
             at = at[known.may_hold(short[at + 1])]
-            held.append(np.stack((runs(h, n + 1)[at], short[at], short[at + 1])))
+            held.append(np.stack((run_keys(short[at], short[at + 1]), short[at], short[at + 1])))
             if sum(x.shape[1] for x in held) > _BUFFER:
                 yield flush()
                 held = []
         if held:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(count, "key long, prefix long, suffix long, c long")
-    return rows.groupBy("key").agg(F.min("prefix").alias("prefix"), F.min("suffix").alias("suffix"), F.sum("c").alias("c")).where(F.col("c") >= LEAST)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield arrow_batch(schema, [run_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy()), *batch.columns])
+
+    rows = docs.select("text").mapInArrow(count, "prefix long, suffix long, c long").groupBy("prefix", "suffix").agg(F.sum("c").alias("c"))
+    return rows.where(F.col("c") >= LEAST).mapInArrow(keyed, "key long, prefix long, suffix long, c long")
 
 
 def fit(docs: DataFrame) -> tuple[int, int, list[DataFrame]]:

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from curatrix.llm import common, jaccard_join, paragraph_minhash
+from curatrix.llm import common, jaccard_join, paragraph_minhash, suffix_tree_lm
 from curatrix.llm.common import connected_components
 from test_operators import plain_components, prose, table
 
@@ -78,3 +78,17 @@ def test_sizes_of_sets_with_repeats():
     zero = np.zeros(len(begin), np.int64)
     units = paragraph_minhash.Units(zero, begin, end - begin, zero + 1, begin, end, g)
     assert units.distinct().tolist() == [len(s) for s in units.sets()]
+
+
+def test_runs_move_as_prefix_and_suffix(spark):
+    """What is shuffled to count runs has two keys and a count; keys of runs agree with those of texts."""
+    docs = spark.createDataFrame([("a b c a b d a b c a b c",), ("a b c",)], "text string")
+    words = suffix_tree_lm.counted_words(docs)
+    member = common.Membership(words, "key")
+    rows = suffix_tree_lm.counted_runs(docs, 1, member, member)
+    got = {r["key"]: (r["prefix"], r["suffix"], r["c"]) for r in rows.collect()}
+    h, _ = suffix_tree_lm.tokens_of(["a b c"])
+    w, pairs = suffix_tree_lm.runs(h, 1).tolist(), suffix_tree_lm.runs(h, 2).tolist()
+    assert got == {pairs[0]: (w[0], w[1], 5), pairs[1]: (w[1], w[2], 4)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.split("Aggregate [")[1].split("]")[0].split(", ")) == 2
