@@ -21,19 +21,22 @@ unknown. Other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Membership, arrow_batch, discard, lookup, mix64, read, save, text_chunks, words_of
+from .common import Membership, _probes, arrow_batch, discard, mix64, partitions_for, read, release, save, text_chunks, words_of
 
 LEAST, DIVERGENCE, ALPHA, DEPTH, SHARE = 3, 4.0, 1.0, 5, 2e-7
 END = np.uint64(0x656E64206F662074)  # stands for the end of a text
-_BUFFER = 4_000_000
+ALONE = 0x616C6F6E65  # the suffix that stands for none
+_BUFFER, _BATCH = 3_000_000, 1 << 22
 _LONG = pa.int64()
 
 
@@ -62,62 +65,205 @@ def run_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         return mix64(prefix.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(suffix.view(np.uint64))).view(np.int64)
 
 
-def counted_words(docs: DataFrame) -> DataFrame:
-    """(key, c) of all tokens, counted within tasks before the shuffle."""
-    schema = pa.schema([("key", _LONG), ("c", _LONG)])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def slot_of(key: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of each key, one of `slots` ranges of the keys taken as unsigned: keys in order have slots in order."""
+    return ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int32)
+
+
+def packed(schema: pa.Schema, slot: np.ndarray, arrays: list[np.ndarray], more: tuple = ()) -> Iterator[pa.RecordBatch]:
+    """A row (slot, data, more, nulls) for each slot, with its part of the arrays: many numbers move as a row. Slots are in order."""
+    ends = np.append(np.flatnonzero(slot[1:] != slot[:-1]) + 1, len(slot)) if len(slot) else []
+    rows, size, begin = [], 0, 0
+    for end in ends:
+        rows.append((int(slot[begin]), b"".join(x[begin:end].tobytes() for x in arrays)))
+        size, begin = size + len(rows[-1][1]), end
+        if size > _BATCH or end == len(slot):
+            fixed = [pa.array([x] * len(rows), f.type) for x, f in zip(more, list(schema)[2:], strict=False)]
+            nulls = [pa.nulls(len(rows), f.type) for f in list(schema)[2 + len(more) :]]
+            yield arrow_batch(schema, [*(list(x) for x in zip(*rows, strict=True)), *fixed, *nulls])
+            rows, size = [], 0
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+_PACKED = pa.schema([("slot", pa.int32()), ("data", pa.binary())])
+
+
+class Sieve(Membership):
+    """The same filter of the same size; probes move packed, and each slice of the words is made by a task."""
+
+    def __init__(self, keys: DataFrame, key: str):
+        log = int(min(max(self.LEAST, (keys.count() // 4).bit_length()), self.MOST))
+        few = min((partitions_for(keys) - 1).bit_length(), log)
+
+        def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, bit = (np.concatenate(x) for x in zip(*_probes(batch.column(0).to_numpy(), log), strict=True))
+                at = np.sort(word.astype(np.uint64) << np.uint64(6) | bit)
+                word = (at >> np.uint64(6)).astype(np.int32)
+                yield from packed(_PACKED, word >> (log - few), [word, (at & np.uint64(63)).astype(np.uint8)])
+
+        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for slot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    word, bit = unpacked(data.as_buffer(), "i4", "u1")
+                    own = bits.setdefault(slot, np.zeros(1 << (log - few), np.uint64))
+                    np.bitwise_or.at(own, word - (slot << (log - few)), np.uint64(1) << bit.astype(np.uint64))
+            for slot, own in bits.items():
+                yield arrow_batch(_PACKED, [[slot], [own.tobytes()]])
+            release()
+
+        ddl = "slot int, data binary"
+        rows = keys.select(F.col(key).cast("long").alias("key")).mapInArrow(probes, ddl)
+        rows = rows.repartitionById(1 << few, F.col("slot")).mapInArrow(slices, ddl).toArrow()
+        self.log, self.bits = log, np.zeros(1 << log, np.int64)
+        for slot, data in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            self.bits[slot << (log - few) : (slot + 1) << (log - few)] = np.frombuffer(data.as_buffer(), np.int64)
+
+
+def token_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """tokens_of() the column text, or what stretches() has kept of them."""
+    first = next(batches, None)
+    if first is None:
+        return
+    batches = itertools.chain((first,), batches)
+    if "text" in first.schema.names:
         for _, texts in text_chunks(batches, "text"):
-            held.append(runs(tokens_of(texts)[0], 1))
-            if sum(map(len, held)) > _BUFFER:
-                yield arrow_batch(schema, list(np.unique(np.concatenate(held), return_counts=True)))
-                held = []
-        if held:
-            yield arrow_batch(schema, list(np.unique(np.concatenate(held), return_counts=True)))
-
-    return docs.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
+            yield tokens_of(texts)
+        return
+    for batch in batches:
+        for tokens, sizes in zip(batch.column(0), batch.column(1), strict=True):
+            sizes = np.frombuffer(sizes.as_buffer(), np.int32)
+            yield np.frombuffer(tokens.as_buffer(), np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    release()
+
+
+def places(h: np.ndarray, text: np.ndarray, n: int, tried: Membership, known: Membership) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all runs of n tokens, and where runs of n + 1 begin whose first n may be tried and last n known."""
+    short = runs(h, n)
+    at = np.flatnonzero(text[n:] == text[:-n])
+    at = at[tried.may_hold(short[at])]
+    return short, at[known.may_hold(short[at + 1])]
+
+
+def stretches(docs: DataFrame, tried: Membership, known: Membership) -> DataFrame:
+    """(tokens, sizes) of the stretches of the texts in which a run of three tokens or more may be counted."""
+    schema = pa.schema([("tokens", pa.binary()), ("sizes", pa.binary())])
+    sent = docs.sparkSession.sparkContext.broadcast((tried, known))
 
-def counted_runs(docs: DataFrame, n: int, tried: Membership, known: Membership) -> DataFrame:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, text in token_arrays(batches):
+            if len(h) <= 2:
+                continue
+            _, at = places(h, text, 2, *sent.value)
+            kept = np.zeros(len(h), bool)
+            for i in range(3):
+                kept[at + i] = True
+            at = np.flatnonzero(kept)
+            if len(at):
+                begin = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (np.diff(text[at]) > 0))))
+                yield arrow_batch(schema, [[h[at].tobytes()], [np.diff(np.append(begin, len(at))).astype(np.int32).tobytes()]])
+
+    return docs.select("text").mapInArrow(keep, "tokens binary, sizes binary")
+
+
+def summed(prefix: np.ndarray, suffix: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, prefix, suffix, c) of each distinct run, in order of its unsigned key; c: how often, once if None."""
+    key = run_keys(prefix, suffix)
+    order = np.argsort(key.view(np.uint64))
+    key = key[order]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(begin, len(key))) if c is None or not len(key) else np.add.reduceat(c[order], begin)
+    at = order[begin]
+    return key[begin], prefix[at], suffix[at], times.astype(np.int64)
+
+
+def counted_runs(docs: DataFrame, n: int, tried: Membership | None = None, known: Membership | None = None, words: bool = False) -> DataFrame:
     """(key, prefix, suffix, c) of runs of n + 1 tokens seen LEAST times whose first n may be tried and last n known.
 
-    Prefix and suffix say which run it is, so the many that are seen too seldom move without a key.
+    Prefix and suffix say which run it is, so the many that are seen too seldom move without a key. They move packed, are
+    summed by the task that has all of a slot, and leave it if they reach LEAST. A task with more of them than it holds
+    passes on what it has summed so far, for the aggregation after it. docs: texts, or stretches of them. With words, all
+    single tokens are counted too, as runs with the suffix ALONE.
     """
     schema = pa.schema([(c, _LONG) for c in ("key", "prefix", "suffix", "c")])
     moved = pa.schema([schema.field(c) for c in ("prefix", "suffix", "c")])
-    sent = docs.sparkSession.sparkContext.broadcast((tried, known))
+    slots, sent = partitions_for(docs), docs.sparkSession.sparkContext.broadcast((tried, known))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tried, known = sent.value
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            key, prefix, suffix = np.concatenate(held, axis=1)
-            key, first, times = np.unique(key, return_index=True, return_counts=True)
-            return arrow_batch(moved, [prefix[first], suffix[first], times])
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, *columns, c = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            yield from packed(_PACKED, slot_of(key, slots), [*columns, c.astype(np.int32)])
 
-        for _, texts in text_chunks(batches, "text"):
-            h, text = tokens_of(texts)
+        for h, text in token_arrays(batches):
+            if words:
+                held.append((h.view(np.int64), np.full(len(h), ALONE)))
             if len(h) <= n:
                 continue
-            short = runs(h, n)
-            at = np.flatnonzero(text[n:] == text[:-n])
-            at = at[tried.may_hold(short[at])]
-            at = at[known.may_hold(short[at + 1])]
-            held.append(np.stack((run_keys(short[at], short[at + 1]), short[at], short[at + 1])))
-            if sum(x.shape[1] for x in held) > _BUFFER:
-                yield flush()
-                held = []
+            if tried is None:
+                short, at = runs(h, n), np.flatnonzero(text[n:] == text[:-n])
+            else:
+                short, at = places(h, text, n, tried, known)
+            held.append((short[at], short[at + 1]))
+            if sum(len(x[0]) for x in held) > _BUFFER:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, whole = [], 0, True
+        for batch in batches:
+            for data in batch.column(1):
+                held.append(unpacked(data.as_buffer(), "i8", "i8", "i4"))
+                size += len(held[-1][0])
+                if size > 2 * _BUFFER:
+                    held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))[1:]]
+                    size = len(held[0][0])
+                    if size > _BUFFER:
+                        yield from in_batches(moved, held[0])
+                        held, size, whole = [], 0, False
         if held:
-            yield flush()
+            out = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))[1:]
+            if whole:
+                enough = (out[2] >= LEAST) | (out[1] == ALONE)
+                out = [x[enough] for x in out]
+            yield from in_batches(moved, out)
+        held = out = None
+        release()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield arrow_batch(schema, [run_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy()), *batch.columns])
 
-    rows = docs.select("text").mapInArrow(count, "prefix long, suffix long, c long").groupBy("prefix", "suffix").agg(F.sum("c").alias("c"))
-    return rows.where(F.col("c") >= LEAST).mapInArrow(keyed, "key long, prefix long, suffix long, c long")
+    columns = [c for c in ("text", "tokens", "sizes") if c in docs.columns]
+    rows = docs.select(*columns).mapInArrow(count, "slot int, data binary").repartitionById(slots, F.col("slot"))
+    rows = rows.mapInArrow(total, "prefix long, suffix long, c long").groupBy("prefix", "suffix").agg(F.sum("c").alias("c"))
+    return rows.where((F.col("c") >= LEAST) | (F.col("suffix") == ALONE)).mapInArrow(keyed, "key long, prefix long, suffix long, c long")
+
+
+def in_batches(schema: pa.Schema, columns: list[np.ndarray], size: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), size):
+        yield arrow_batch(schema, [x[at : at + size] for x in columns])
+
+
+def words_among(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("suffix") == ALONE).select(F.col("prefix").alias("key"), "c")
+
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """(key, c) of all tokens."""
+    return words_among(counted_runs(docs, 1, words=True))
 
 
 def fit(docs: DataFrame) -> tuple[int, int, list[DataFrame]]:
@@ -126,49 +272,67 @@ def fit(docs: DataFrame) -> tuple[int, int, list[DataFrame]]:
     base and value are what a run adds to log10 of a text's probability at the root and in the tree, over unknown words.
     """
     training = docs.where("NOT held_out")
-    words = save(counted_words(training), "lm-words")
+    pieces, first = training, save(counted_runs(training, 1, words=True), "lm-first")
+    words = words_among(first)
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     more = F.log10((F.col("c") + 0.5) / 0.5)
     root = (F.col("c") + 0.5) / (n + 0.5 * (v + 1))
     known = words.where(F.col("c") >= LEAST).select("key", "c", root.alias("p"))
-    tried, levels, used = known.select("key", "c"), [], [words]
+    tried, levels, used = known.select("key", "c"), [], [first]
+    rows = first.where(F.col("suffix") != ALONE)
     adds = words.select("key", "c", more.alias("base"), more.alias("value"), F.lit(True).alias("kept"))
     for length in range(1, DEPTH + 1):
-        rows = save(counted_runs(training, length, Membership(tried, "key"), Membership(known, "key")), "lm-runs")
-        if not (total := rows.count()):
+        if length > 1:
+            sieves = Sieve(tried, "key"), Sieve(known, "key")
+            if length == 2:
+                pieces = save(stretches(training, *sieves), "lm-stretches")
+                used.append(pieces)
+            rows = save(counted_runs(pieces, length, *sieves), "lm-runs")
+        if rows.isEmpty():
+            discard(rows)
             break
         # What the parent gives to the same word, then what the context itself gives to it.
-        parent = rows.groupBy("suffix").agg(F.count("*").alias("w")).join(known.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix")
-        context = rows.groupBy("prefix").agg(F.sum("c").alias("kept"), F.count("*").alias("w")).join(tried.select(F.col("key").alias("prefix"), F.col("c").alias("n")), "prefix")
+        context = rows.groupBy("prefix").agg(F.sum("c").alias("kept")).join(tried.select(F.col("key").alias("prefix"), F.col("c").alias("n")), "prefix")
         back = (F.col("n") - F.col("kept") + ALPHA) / (F.col("n") + ALPHA)
-        context = save(context.select("prefix", "n", "w", back.alias("back")), "lm-contexts")
-        rows_q = save(lookup(rows, parent, "suffix", "w", total).where("q IS NOT NULL"), "lm-parents")
         own = F.col("c") / (F.col("n") + ALPHA) + F.col("back") * F.col("q")
-        rows_p = save(lookup(rows_q.drop("w"), context, "prefix", "w", total).where("n IS NOT NULL").withColumn("p", own), "lm-own")
-        sums = rows_p.groupBy("prefix").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("d"))
+        rows_p = rows.join(context.select("prefix", "n", back.alias("back")), "prefix").join(known.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix")
+        rows_p = save(rows_p.withColumn("p", own), "lm-own")
+        sums = rows_p.groupBy("prefix").agg(
+            F.first("n").alias("n"), F.first("back").alias("back"), F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("d")
+        )
         rest_p, rest_q = F.greatest(1 - F.col("p"), F.lit(1e-12)), F.greatest(1 - F.col("q"), F.lit(1e-12))
         differs = F.col("n") * (F.col("d") + rest_p * F.ln(rest_p / rest_q)) >= DIVERGENCE
-        retained = save(sums.join(context, "prefix").where(differs).select("prefix", "w", F.lit(True).alias("stays"), F.log10("back").alias("back_off")), "lm-retained")
-        # Runs with a retained context are kept: their probabilities are the next level's parents.
-        kept = save(lookup(rows_p.drop("w", "n", "back"), retained, "prefix", "w", total).where("stays").select("key", "c", "p", (F.log10(F.col("p") / F.col("q")) - F.col("back_off")).alias("more")), "lm-kept")
-        back_off = retained.select(F.col("prefix").alias("key"), "back_off")
+        retained = save(sums.where(differs).select("prefix", F.log10("back").alias("back_off")), "lm-retained")
+        # Runs with a retained context are kept: their probabilities are the next level's parents. Runs with a retained
+        # suffix are the contexts that the next level tries; of one that isn't kept only its back-off counts.
+        after = retained.select(F.col("prefix").alias("suffix"), F.lit(True).alias("longer"))
+        both = rows_p.join(retained, "prefix", "left").join(after, "suffix", "left").where("back_off IS NOT NULL OR longer")
+        more = F.coalesce(F.log10(F.col("p") / F.col("q")) - F.col("back_off"), F.lit(0.0))
+        both = save(both.select("key", "c", "p", more.alias("more"), F.col("back_off").isNotNull().alias("kept"), F.coalesce("longer", F.lit(False)).alias("longer")), "lm-kept")
         value = (F.col("value") + F.coalesce("back_off", F.lit(0.0))).alias("value")
-        levels.append(save(adds.join(back_off, "key", "left").where("kept OR back_off IS NOT NULL").select("key", "c", "base", value), "lm-values"))
-        after = rows.groupBy("suffix").agg(F.count("*").alias("w")).join(retained.select(F.col("prefix").alias("suffix"), "stays"), "suffix")
-        longer = save(lookup(rows, after, "suffix", "w", total).where("stays").select("key", "c"), "lm-tried")
-        # Of a run that no retained context keeps only its back-off counts, if the next level retains it.
-        both = kept.select("key", "c", "more", F.lit(True).alias("kept")).unionByName(longer.select("key", "c", F.lit(0.0).alias("more"), F.lit(False).alias("kept")))
-        adds = both.groupBy("key").agg(F.max("c").alias("c"), F.lit(0.0).alias("base"), F.sum("more").alias("value"), F.bool_or("kept").alias("kept"))
-        discard(rows, context, rows_q, rows_p)
-        used += [retained, kept, longer]
-        known, tried = kept.select("key", "c", "p"), longer
-        if longer.isEmpty():
+        levels.append(save(adds.join(retained.withColumnRenamed("prefix", "key"), "key", "left").where("kept OR back_off IS NOT NULL").select("key", "c", "base", value), "lm-values"))
+        adds = both.select("key", "c", F.lit(0.0).alias("base"), F.col("more").alias("value"), "kept")
+        discard(rows, rows_p)  # (of the first length, rows are no table of their own)
+        used += [retained, both]
+        known, tried = both.where("kept").select("key", "c", "p"), both.where("longer").select("key", "c")
+        if tried.isEmpty():
             break
     levels.append(save(adds.where("kept").drop("kept"), "lm-values"))
     discard(*used)
     return n, v, levels
 
 
+def found_among(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sought are among the keys (in order, distinct), and where those are. Sought in order, as that's faster."""
+    if not len(keys) or not len(sought):
+        return np.zeros(len(sought), bool), np.zeros(0, np.int64)
+    order = np.argsort(sought)
+    at = np.empty(len(sought), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, sought[order]), len(keys) - 1)
+    seen = keys[at] == sought
+    return seen, at[seen]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; trained on the rows not held out."""
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold
@@ -179,55 +343,90 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     for level in levels:
         found = level.where(often).select("key", "base", "value").toArrow().sort_by("key")
         top.append([found.column(i).to_numpy() for i in range(3)])
-        rare.append(Membership(level.where(~often), "key"))
+        rare.append(Sieve(level.where(~often), "key"))
     unknown = math.log10(0.5 / (n + 0.5 * (v + 1)))
-    sent = docs.sparkSession.sparkContext.broadcast((top, rare))
-    ddl = "row long, id long, held_out boolean, n_tokens long, known long, base double, value double, key long"
-    kinds = {"long": _LONG, "boolean": pa.bool_(), "double": pa.float64()}
+    slots, sent = partitions_for(docs), docs.sparkSession.sparkContext.broadcast((top, rare))
+    ddl = "slot int, data binary, row long, id long, held_out boolean, n_tokens long, known long, base double, value double"
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": _LONG, "boolean": pa.bool_(), "double": pa.float64()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+    plain = pa.schema(list(schema)[2:])
 
     def score_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text from its frequent runs, and one for each of its rarer runs."""
+        """A row for each text from its frequent runs, and its rarer runs packed by the slot of their key."""
         top, rare = sent.value
         for batch, texts in text_chunks(batches, "text"):
             h, text = tokens_of(texts)
             sizes, row = np.bincount(text, minlength=len(texts)), batch.column(3)
             base, value, known = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
             end, sought = np.arange(len(h)), []  # where the runs end that the tree may hold
+            key = h.view(np.int64)
             for length, ((keys, of_base, of_value), more) in enumerate(zip(top, rare, strict=True), 1):
                 end = end[end >= length - 1]
                 end = end[text[end] == text[end - length + 1]]
                 if not len(end):
                     break
-                key = runs(h, length)[end - length + 1]
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                seen = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                where, at = text[end[seen]], at[seen]
+                key = key if length == 1 else run_keys(key[:-1], key[1:])
+                own = key[end - length + 1]
+                seen, at = found_among(keys, own)
+                where = text[end[seen]]
                 if len(at):
                     base += np.bincount(where, of_base[at], len(texts))
                     value += np.bincount(where, of_value[at], len(texts))
                     known += np.bincount(where, of_base[at] > 0, len(texts))
                 maybe = np.flatnonzero(~seen)
-                maybe = maybe[more.may_hold(key[maybe])]
-                sought.append((text[end[maybe]], key[maybe]))
+                maybe = maybe[more.may_hold(own[maybe])]
+                sought.append((text[end[maybe]], own[maybe]))
                 seen[maybe] = True
                 end = end[seen]
-            yield arrow_batch(schema, [row, batch.column(0), batch.column(2), sizes, known.astype(np.int64), base, value, pa.nulls(len(texts), _LONG)])
+            row_slot = pa.array((row.to_numpy() % slots).astype(np.int32))
+            yield arrow_batch(schema, [row_slot, pa.nulls(len(texts), pa.binary()), row, batch.column(0), batch.column(2), sizes, known.astype(np.int64), base, value])
             where, key = (np.concatenate(x) for x in zip(*sought, strict=True))
-            if len(key):
-                yield arrow_batch(schema, [row.to_numpy()[where], *[pa.nulls(len(key), schema.field(i).type) for i in range(1, 7)], key])
-
-    parts = save(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score_texts, ddl), "lm-parts")
-    values = levels[0].where(~often)
-    for level in levels[1:]:
-        values = values.unionByName(level.where(~often))
-    found = parts.where("key IS NOT NULL").select("row", "key").join(values.select("key", "base", "value"), "key")
-    found = found.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("value").alias("more_value"), F.count_if(F.col("base") > 0).alias("more_known"))
-    none = F.lit(0.0)
-    return parts.where("key IS NULL").drop("key").join(found, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("n_tokens") * F.lit(unknown) + F.col("base") + F.coalesce("more_base", none)).alias("base_score"),
-        (F.col("n_tokens") * F.lit(unknown) + F.col("value") + F.coalesce("more_value", none)).alias("score"),
+            order = np.argsort(key.view(np.uint64))
+            # Rows of a batch are numbered in a row: a place is a number beyond the first.
+            yield from packed(schema, slot_of(key[order], slots), [key[order], (row.to_numpy() - row[0].as_py())[where[order]].astype(np.int32)], (row[0].as_py(),))
+
+    def packed_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, of_base, of_value = (x.to_numpy() for x in batch.columns)
+            order = np.argsort(key.view(np.uint64))
+            yield from packed(schema, slot_of(key[order], slots), [x[order] for x in (key, of_base, of_value)])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts as they are, and what the rarer runs of a slot add to each text."""
+        values, keys, rows = [], [], []
+        for batch in batches:
+            packs = batch.column(1).is_valid()
+            yield pa.RecordBatch.from_arrays(batch.filter(pc.invert(packs)).columns[2:], schema=plain)
+            batch = batch.filter(packs)
+            for data, first in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if first is None:
+                    values.append(unpacked(data.as_buffer(), "i8", "f8", "f8"))
+                else:
+                    key, row = unpacked(data.as_buffer(), "i8", "i4")
+                    keys.append(key)
+                    rows.append(row.astype(np.int64) + first)
+        if keys and values:
+            key, of_base, of_value = (np.concatenate(x) for x in zip(*values, strict=True))
+            order = np.argsort(key)
+            seen, at = found_among(key[order], np.concatenate(keys))
+            of_base, of_value = of_base[order][at], of_value[order][at]
+            rows, where = np.unique(np.concatenate(rows)[seen], return_inverse=True)
+            known = np.bincount(where, of_base > 0, len(rows)).astype(np.int64)
+            sums = [rows, known, np.bincount(where, of_base, len(rows)), np.bincount(where, of_value, len(rows))]
+            for begin in range(0, len(rows), 100_000):
+                row, known, base, value = (x[begin : begin + 100_000] for x in sums)
+                yield arrow_batch(plain, [row, *[pa.nulls(len(row), plain.field(i).type) for i in range(1, 4)], known, base, value])
+        values = keys = rows = None
+        release()
+
+    parts = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score_texts, ddl)
+    for level in levels:
+        parts = parts.unionByName(level.where(~often).select("key", "base", "value").mapInArrow(packed_values, ddl))
+    parts = parts.repartitionById(slots, F.col("slot")).mapInArrow(meet, ddl.split(", ", 2)[2])
+    sums = parts.groupBy("row").agg(*[F.max(c).alias(c) for c in ("id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "value")])
+    return save(sums, "lm-scores").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("n_tokens") * F.lit(unknown) + F.col("base")).alias("base_score"), (F.col("n_tokens") * F.lit(unknown) + F.col("value")).alias("score"),
     )
 
 

@@ -92,3 +92,30 @@ def test_runs_move_as_prefix_and_suffix(spark):
     assert got == {pairs[0]: (w[0], w[1], 5), pairs[1]: (w[1], w[2], 4)}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan.split("Aggregate [")[1].split("]")[0].split(", ")) == 2
+
+
+def test_runs_are_summed_before_they_leave_a_slot(spark, monkeypatch):
+    """Of many runs seen once few rows are made, and a task that holds few passes on what it has without losing counts."""
+    docs = spark.createDataFrame([(" ".join(f"w{i * 7 % 1000} x{i}" for i in range(3000)) + " a b a b a b",)], "text string")
+    rows = {(r["prefix"], r["suffix"]): r["c"] for r in suffix_tree_lm.counted_runs(docs, 1, words=True).collect()}
+    h, _ = suffix_tree_lm.tokens_of(["a b"])
+    a, b, _ = suffix_tree_lm.runs(h, 1).tolist()
+    assert {k: c for k, c in rows.items() if k[1] != suffix_tree_lm.ALONE} == {(a, b): 3}
+    assert rows[a, suffix_tree_lm.ALONE] == 3 and len(rows) == 1 + 1000 + 3000 + 3
+    monkeypatch.setattr(suffix_tree_lm, "_BUFFER", 100)
+    assert {(r["prefix"], r["suffix"]): r["c"] for r in suffix_tree_lm.counted_runs(docs, 1, words=True).collect()} == rows
+
+
+def test_scoring_moves_rarer_runs_packed(spark, monkeypatch):
+    """No join makes a row for each rarer run of a text."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(60))) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(suffix_tree_lm, "SHARE", 0.5)
+    plans = []
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return save(df, name)
+
+    monkeypatch.setattr(suffix_tree_lm, "save", kept)
+    assert suffix_tree_lm.score(docs).count() == 40
+    assert not hasattr(suffix_tree_lm, "lookup") and [("Join" in p) for name, p in plans if name == "lm-scores"] == [False]
