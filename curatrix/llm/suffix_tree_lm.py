@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Membership, _probes, arrow_batch, discard, mix64, partitions_for, read, release, save, text_chunks, words_of
+from .common import Membership, arrow_batch, discard, mix64, partitions_for, read, release, save, text_chunks, words_of
 
 LEAST, DIVERGENCE, ALPHA, DEPTH, SHARE = 3, 4.0, 1.0, 5, 2e-7
 END = np.uint64(0x656E64206F662074)  # stands for the end of a text
@@ -95,27 +95,29 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
 _PACKED = pa.schema([("slot", pa.int32()), ("data", pa.binary())])
 
 
-class Sieve(Membership):
-    """The same filter of the same size; probes move packed, and each slice of the words is made by a task."""
+class Sieve:
+    """A filter like Membership, as large, with three bits of one word for each key; these move packed, and each slice of the
+    words is made by a task."""
 
     def __init__(self, keys: DataFrame, key: str):
-        log = int(min(max(self.LEAST, (keys.count() // 4).bit_length()), self.MOST))
+        log = int(min(max(Membership.LEAST, (keys.count() // 4).bit_length()), Membership.MOST))
         few = min((partitions_for(keys) - 1).bit_length(), log)
 
+        make = Sieve._word_and_bits
+
         def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                word, bit = (np.concatenate(x) for x in zip(*_probes(batch.column(0).to_numpy(), log), strict=True))
-                at = np.sort(word.astype(np.uint64) << np.uint64(6) | bit)
-                word = (at >> np.uint64(6)).astype(np.int32)
-                yield from packed(_PACKED, word >> (log - few), [word, (at & np.uint64(63)).astype(np.uint8)])
+                word, bits = make(batch.column(0).to_numpy(), log)
+                order = np.argsort(word)
+                yield from packed(_PACKED, word[order] >> (log - few), [bits[order], word[order].astype(np.int32)])
 
         def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits: dict[int, np.ndarray] = {}
             for batch in batches:
                 for slot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    word, bit = unpacked(data.as_buffer(), "i4", "u1")
+                    mask, word = unpacked(data.as_buffer(), "u8", "i4")
                     own = bits.setdefault(slot, np.zeros(1 << (log - few), np.uint64))
-                    np.bitwise_or.at(own, word - (slot << (log - few)), np.uint64(1) << bit.astype(np.uint64))
+                    np.bitwise_or.at(own, word - (slot << (log - few)), mask)
             for slot, own in bits.items():
                 yield arrow_batch(_PACKED, [[slot], [own.tobytes()]])
             release()
@@ -123,9 +125,20 @@ class Sieve(Membership):
         ddl = "slot int, data binary"
         rows = keys.select(F.col(key).cast("long").alias("key")).mapInArrow(probes, ddl)
         rows = rows.repartitionById(1 << few, F.col("slot")).mapInArrow(slices, ddl).toArrow()
-        self.log, self.bits = log, np.zeros(1 << log, np.int64)
+        self.log, self.bits = log, np.zeros(1 << log, np.uint64)
         for slot, data in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-            self.bits[slot << (log - few) : (slot + 1) << (log - few)] = np.frombuffer(data.as_buffer(), np.int64)
+            self.bits[slot << (log - few) : (slot + 1) << (log - few)] = np.frombuffer(data.as_buffer(), np.uint64)
+
+    @staticmethod
+    def _word_and_bits(keys: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray]:
+        h, one, last = mix64(keys.view(np.uint64) ^ np.uint64(0x7369657665)), np.uint64(1), np.uint64(63)
+        bits = one << (h >> np.uint64(58)) | one << (h >> np.uint64(52) & last) | one << (h >> np.uint64(46) & last)
+        return (h & np.uint64((1 << log) - 1)).astype(np.int64), bits
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """For signed 64-bit keys."""
+        word, bits = self._word_and_bits(keys, self.log)
+        return self.bits[word] & bits == bits
 
 
 def token_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,7 +158,7 @@ def token_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
     release()
 
 
-def places(h: np.ndarray, text: np.ndarray, n: int, tried: Membership, known: Membership) -> tuple[np.ndarray, np.ndarray]:
+def places(h: np.ndarray, text: np.ndarray, n: int, tried: Membership | Sieve, known: Membership | Sieve) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all runs of n tokens, and where runs of n + 1 begin whose first n may be tried and last n known."""
     short = runs(h, n)
     at = np.flatnonzero(text[n:] == text[:-n])
@@ -153,7 +166,7 @@ def places(h: np.ndarray, text: np.ndarray, n: int, tried: Membership, known: Me
     return short, at[known.may_hold(short[at + 1])]
 
 
-def stretches(docs: DataFrame, tried: Membership, known: Membership) -> DataFrame:
+def stretches(docs: DataFrame, tried: Sieve, known: Sieve) -> DataFrame:
     """(tokens, sizes) of the stretches of the texts in which a run of three tokens or more may be counted."""
     schema = pa.schema([("tokens", pa.binary()), ("sizes", pa.binary())])
     sent = docs.sparkSession.sparkContext.broadcast((tried, known))
@@ -185,7 +198,7 @@ def summed(prefix: np.ndarray, suffix: np.ndarray, c: np.ndarray | None = None)
     return key[begin], prefix[at], suffix[at], times.astype(np.int64)
 
 
-def counted_runs(docs: DataFrame, n: int, tried: Membership | None = None, known: Membership | None = None, words: bool = False) -> DataFrame:
+def counted_runs(docs: DataFrame, n: int, tried: Membership | Sieve | None = None, known: Membership | Sieve | None = None, words: bool = False) -> DataFrame:
     """(key, prefix, suffix, c) of runs of n + 1 tokens seen LEAST times whose first n may be tried and last n known.
 
     Prefix and suffix say which run it is, so the many that are seen too seldom move without a key. They move packed, are
@@ -200,15 +213,24 @@ def counted_runs(docs: DataFrame, n: int, tried: Membership | None = None, known
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tried, known = sent.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        single: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, *columns, c = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held.clear()
-            yield from packed(_PACKED, slot_of(key, slots), [*columns, c.astype(np.int32)])
+            if single:
+                word, c = np.unique(np.concatenate(single), return_counts=True)
+                single.clear()
+                yield from pack(*summed(word, np.full(len(word), ALONE), c))
+            if held:
+                runs_held = [np.concatenate(x) for x in zip(*held, strict=True)]
+                held.clear()
+                yield from pack(*summed(*runs_held))
+
+        def pack(key: np.ndarray, prefix: np.ndarray, suffix: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from packed(_PACKED, slot_of(key, slots), [prefix, suffix, c.astype(np.int32)])
 
         for h, text in token_arrays(batches):
             if words:
-                held.append((h.view(np.int64), np.full(len(h), ALONE)))
+                single.append(h.view(np.int64))
             if len(h) <= n:
                 continue
             if tried is None:
@@ -218,8 +240,7 @@ def counted_runs(docs: DataFrame, n: int, tried: Membership | None = None, known
             held.append((short[at], short[at + 1]))
             if sum(len(x[0]) for x in held) > _BUFFER:
                 yield from flush()
-        if held:
-            yield from flush()
+        yield from flush()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, whole = [], 0, True
@@ -310,7 +331,8 @@ def fit(docs: DataFrame) -> tuple[int, int, list[DataFrame]]:
         more = F.coalesce(F.log10(F.col("p") / F.col("q")) - F.col("back_off"), F.lit(0.0))
         both = save(both.select("key", "c", "p", more.alias("more"), F.col("back_off").isNotNull().alias("kept"), F.coalesce("longer", F.lit(False)).alias("longer")), "lm-kept")
         value = (F.col("value") + F.coalesce("back_off", F.lit(0.0))).alias("value")
-        levels.append(save(adds.join(retained.withColumnRenamed("prefix", "key"), "key", "left").where("kept OR back_off IS NOT NULL").select("key", "c", "base", value), "lm-values"))
+        values = adds.where(F.col("c") >= LEAST).join(retained.withColumnRenamed("prefix", "key"), "key", "left").where("kept OR back_off IS NOT NULL").select("key", "c", "base", value)
+        levels.append(save(values.unionByName(adds.where(F.col("c") < LEAST).select(*values.columns)), "lm-values"))
         adds = both.select("key", "c", F.lit(0.0).alias("base"), F.col("more").alias("value"), "kept")
         discard(rows, rows_p)  # (of the first length, rows are no table of their own)
         used += [retained, both]
@@ -396,7 +418,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
         values, keys, rows = [], [], []
         for batch in batches:
             packs = batch.column(1).is_valid()
-            yield pa.RecordBatch.from_arrays(batch.filter(pc.invert(packs)).columns[2:], schema=plain)
+            yield batch.filter(pc.invert(packs))
             batch = batch.filter(packs)
             for data, first in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if first is None:
@@ -413,17 +435,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
             rows, where = np.unique(np.concatenate(rows)[seen], return_inverse=True)
             known = np.bincount(where, of_base > 0, len(rows)).astype(np.int64)
             sums = [rows, known, np.bincount(where, of_base, len(rows)), np.bincount(where, of_value, len(rows))]
-            for begin in range(0, len(rows), 100_000):
-                row, known, base, value = (x[begin : begin + 100_000] for x in sums)
-                yield arrow_batch(plain, [row, *[pa.nulls(len(row), plain.field(i).type) for i in range(1, 4)], known, base, value])
+            order = np.argsort(rows % slots, kind="stable")
+            yield from packed(schema, (rows[order] % slots).astype(np.int32), [x[order] for x in sums])
         values = keys = rows = None
         release()
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of texts of a slot, with what all tasks of meet() add to them."""
+        texts, sums = [], []
+        for batch in batches:
+            packs = batch.column(1).is_valid()
+            texts.append(batch.filter(pc.invert(packs)).select(plain.names))
+            sums += [unpacked(data.as_buffer(), "i8", "i8", "f8", "f8") for data in batch.filter(packs).column(1)]
+        texts = pa.Table.from_batches(texts, plain).combine_chunks()
+        if sums and len(texts):
+            own, (row, *more) = texts["row"].to_numpy(), (np.concatenate(x) for x in zip(*sums, strict=True))
+            order = np.argsort(own)
+            at = order[np.searchsorted(own[order], row)]
+            for name, x in zip(("known", "base", "value"), more, strict=True):
+                i = texts.schema.get_field_index(name)
+                total = texts[name].to_numpy() + np.bincount(at, x, len(own))
+                texts = texts.set_column(i, plain.field(i), pa.array(total.astype(x.dtype)))
+        yield from texts.to_batches(max_chunksize=100_000)
+        texts = sums = None
+        release()
+
     parts = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score_texts, ddl)
     for level in levels:
         parts = parts.unionByName(level.where(~often).select("key", "base", "value").mapInArrow(packed_values, ddl))
-    parts = parts.repartitionById(slots, F.col("slot")).mapInArrow(meet, ddl.split(", ", 2)[2])
-    sums = parts.groupBy("row").agg(*[F.max(c).alias(c) for c in ("id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "value")])
+    # A text's own row is in the slot that what is added to it goes to.
+    met = parts.repartitionById(slots, F.col("slot")).mapInArrow(meet, ddl).repartitionById(slots, F.col("slot"))
+    sums = met.mapInArrow(add, ddl.split(", ", 2)[2])
     return save(sums, "lm-scores").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("n_tokens") * F.lit(unknown) + F.col("base")).alias("base_score"), (F.col("n_tokens") * F.lit(unknown) + F.col("value")).alias("score"),

@@ -114,7 +114,7 @@ def test_scoring_moves_rarer_runs_packed(spark, monkeypatch):
 
     def kept(df, name):
         plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
-        return save(df, name)
+        return common.save(df, name)
 
     monkeypatch.setattr(suffix_tree_lm, "save", kept)
     assert suffix_tree_lm.score(docs).count() == 40
