@@ -11,8 +11,9 @@ the state of the longest retained suffix of what stands before it in its text.
 The thresholds are counts, so the tree grows with the corpus. It is a table and never as a whole in one place: log10 of a
 token's probability is a sum over the runs of words that end in it. A context adds its back-off (the share of its parent),
 a next word that it keeps adds log10 of its probability over the backed-off one, and the root adds the word's own. So a text
-is scored by joining its runs with a table of sums. Runs above SHARE of all tokens (1/SHARE at most of a length) are sent to
-the tasks; of rarer ones those that a Bloom filter may hold are joined.
+is scored by looking up its runs in a table of sums. Runs above SHARE of all tokens (1/SHARE at most of a length) are sent to
+the tasks; rarer ones that a Bloom filter may hold move to the task that has the table's part for the slot of their key. Runs
+are counted by slots as well. They move as packed numbers, a row for each slot, so that none is a row of its own.
 
 Cases: a null text is empty and holds the end token alone; null ids are trained on; repeated rows count and are scored
 each; very long texts are cut at no point, only tables of runs grow. Without training texts N and V are 0 and every token is
