@@ -24,13 +24,17 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import EDGES, Membership, arrow_batch, connected_components, digest, discard, lookup, mix64, partitions_for, read, release, save, shingle_set, text_chunks, with_marks, words_of
 
 _U = np.uint64
+_KEYS = pa.schema([("signature", pa.int64()), ("next", pa.int8()), ("d", pa.int64())])
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
+#: Shingles of large groups that are counted at a time, which bounds what is shuffled for it, and about how many of them one task's slot holds.
+COUNTED, SLOT = 1 << 27, 1 << 20
 
 
 def size_classes(num: int, den: int, upto: int) -> list[int]:
@@ -218,10 +222,119 @@ def blocked(rows: DataFrame, num: int, den: int, seed: int = 0) -> DataFrame:
     return rows.join(large, ["met", "class"], "left").withColumn("block", F.when(F.col("_k").isNull(), F.lit("")).otherwise(F.concat_ws(":", "class", F.pmod(F.xxhash64("d", F.lit(seed)), "_k")))).drop("_k")
 
 
+_PACKED = pa.schema([("slot", pa.int64()), ("s", pa.binary()), ("d", pa.binary()), ("df", pa.binary())])
+_PACKED_DDL = "slot long, s binary, d binary, df binary"
+
+
+def _slots(keys: np.ndarray, slots: int) -> np.ndarray:
+    return ((mix64(keys.view(_U) ^ _U(0x0DDB1A5E5BAD5EED)) >> _U(32)) * _U(slots) >> _U(32)).astype(np.int64)
+
+
+def _packed(at: np.ndarray, s: np.ndarray, d: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+    """A row for each slot of `at`, with the arrays of its entries."""
+    order = np.argsort(at, kind="stable")
+    at, s, d, df = at[order], s[order], d[order], df[order]
+    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    pieces = [[x.tobytes() for x in np.split(a, cut[1:])] for a in (s, d, df)]
+    return arrow_batch(_PACKED, [at[cut], *pieces])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(s, d, df) of all entries of each slot, of rows in order of slots."""
+    key, held = None, []
+
+    def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), (_U, np.int64, np.int32), strict=True))
+
+    for batch in batches:
+        for k, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if k != key and held:
+                yield whole()
+                held = []
+            key = k
+            held.append(row)
+    if held:
+        yield whole()
+    held, batch = [], None
+    release()
+
+
+def rarest_meet(sets: DataFrame, num: int, den: int, total: int) -> DataFrame:
+    """(d, met) of those of sets (d, shingles; d once, `total` shingles) that may link: linked ones have one `met`.
+
+    By prefixes: of all shingles in one order, the first that two linked sets share is so early in both that
+    size - ceil(num / den * size) of either at most come before it. The order is by how many of the sets hold a shingle, so
+    what is in a set alone comes first and common passages come last: sets that share passages alone don't meet. Shingles
+    move packed, COUNTED at a time.
+    """
+    spread, rounds, bounds = partitions_for(sets), -(-total // COUNTED), size_classes(num, den, 1 << 40)
+    slots = max(spread, total // SLOT)
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, sizes, shingles) of about SLOT shingles at a time."""
+        for batch in batches:
+            ids, size = batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy() // 8
+            for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(np.cumsum(size) // SLOT)) + 1):
+                if len(part):
+                    yield ids[part], size[part], np.frombuffer(b"".join(batch.column(1).slice(part[0], len(part)).to_pylist()), _U)
+        batch = None
+        release()
+
+    def dealt(turn: int):  # noqa: ANN202
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, size, s in flat(batches):
+                d, mine = np.repeat(ids, size), np.flatnonzero(mix64(s) % _U(rounds) == _U(turn))
+                if len(mine):
+                    yield _packed(_slots(s[mine], slots), s[mine], d[mine], np.ones(len(mine), np.int32))
+
+        return deal
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a slot of shingles those that several sets hold, with how many do, in the slots of their sets."""
+        for s, d, _ in _unpacked(batches):
+            order = np.argsort(s, kind="stable")
+            s, d = s[order], d[order]
+            count = np.diff(np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))))
+            df = np.repeat(count, count)
+            if (many := df > 1).any():
+                yield _packed(_slots(d[many], slots), s[many], d[many], df[many].astype(np.int32))
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets' sizes, as entries that no set holds."""
+        for ids, size, _ in flat(batches):
+            yield _packed(_slots(ids, slots), size.astype(_U), ids, np.zeros(len(ids), np.int32))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, d, df in _unpacked(batches):
+            order = np.lexsort((s, df, d))
+            s, d = s[order], d[order]
+            first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+            length = np.diff(np.append(first, len(d)))
+            size = s[first].astype(np.int64)
+            take = np.maximum(length - 1 + (-num * size // den) + 1, 0)  # shared ones less those that a link needs, and one
+            place = np.arange(len(d)) - np.repeat(first, length)
+            mine = np.flatnonzero((place > 0) & (place <= np.repeat(take, length)))
+            if len(mine):
+                own = np.repeat(np.searchsorted(bounds, size, side="right") - 1, length)[mine].astype(_U)
+                for after in (0, 1):
+                    key = mix64(s[mine] ^ mix64(own + _U(after + 1)))
+                    yield arrow_batch(_KEYS, [key.view(np.int64), np.full(len(mine), after, np.int8), d[mine]])
+
+    by_slot = lambda rows: rows.repartition(spread, "slot").sortWithinPartitions("slot")
+    shared = [save(by_slot(sets.mapInArrow(dealt(turn), _PACKED_DDL)).mapInArrow(counted, _PACKED_DDL), "jaccard-shared") for turn in range(rounds)]
+    signed = save(by_slot(reduce(DataFrame.unionByName, shared, sets.mapInArrow(sized, _PACKED_DDL))).mapInArrow(keys, "signature long, next byte, d long"), "jaccard-rarest")
+    discard(*shared)
+    dealt_keys = signed.repartition(spread, "signature").sortWithinPartitions("signature", "next", "d")
+    met = connected_components(dealt_keys.mapInArrow(to_smallest, "a long, b long"))
+    discard(signed)
+    return met.select(F.col("id").alias("d"), F.col("component").alias("met"))
+
+
 def group_components(members: DataFrame, sets: DataFrame, num: int, den: int, disjoint: bool = True) -> DataFrame:
     """(d, component) of the linked among members (d, met, n): sets of one group `met` may link, by d.
 
-    sets: (d, shingles), for each member once or more; disjoint says that no set is in several groups. Groups are joined by
+    sets: (d, shingles), for each member once or more; disjoint says that no set is in several groups. Large groups, which
+    are mostly chains of sets with common passages, are dealt anew by rare shingles first (rarest_meet). Groups are joined by
     signature trees in blocks of bounded size. For a group of several blocks, one set of each component found goes on to
     the next level, until that joins little more; what is then outside the group's largest component is compared with all
     of the group, block by block. Components of all links are made once; what later levels find joins components. Sets move to their block and are written for groups of several blocks alone.
@@ -276,7 +389,18 @@ def group_components(members: DataFrame, sets: DataFrame, num: int, den: int, di
         return pd.DataFrame([(label[a], label[b]) for a, b in _stars(links)], columns=["a", "b"], dtype="int64")
 
     blocks = save(blocked(members, num, den), "jaccard-blocks")
-    filled = sets.groupBy("d").agg(F.first("shingles").alias("shingles")).join(blocks, "d")
+    sets = sets.groupBy("d").agg(F.first("shingles").alias("shingles"))
+    large = blocks.where("block <> ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if disjoint else 0
+    if large:
+        sets = save(sets.join(blocks.select("d", F.col("block").alias("_block")), "d"), "jaccard-met")
+        met = rarest_meet(sets.where("_block <> ''").drop("_block"), num, den, large)
+        small, rest = blocks.where("block = ''").select("d", "met", "n"), blocks.where("block <> ''").select("d", "n")
+        fewer = save(blocked(small.unionByName(rest.join(met, "d").select("d", "met", "n")), num, den), "jaccard-blocks")
+        discard(blocks)
+        blocks, whole = fewer, sets
+        sets = save(sets.drop("_block").join(blocks.select("d"), "d"), "jaccard-sets")
+        discard(whole)
+    filled = sets.join(blocks, "d")
     several = blocks.where("block <> ''").limit(1).count() > 0
     if not several:
         links = joined(filled)
@@ -342,8 +466,6 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
             found = [(len(s), digest(s) if len(s) else None) for s in sets(texts)]
             yield arrow_batch(row_schema, [batch.column(0), batch.column(2), [f[0] for f in found], [f[1] for f in found]])
 
-    sign_schema = pa.schema([("signature", pa.int64()), ("next", pa.int8()), ("d", pa.int64())])
-
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task are told once
         for _, texts in text_chunks(batches, "text"):
@@ -358,7 +480,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
             if len(seen) > 1_000_000:
                 seen.clear()
             if keys:
-                yield arrow_batch(sign_schema, [np.concatenate(keys).view(np.int64), np.concatenate(after), np.concatenate(ids)])
+                yield arrow_batch(_KEYS, [np.concatenate(keys).view(np.int64), np.concatenate(after), np.concatenate(ids)])
 
     table = save(docs.mapInArrow(rows, "id long, text_hash long, n long, d long"), "jaccard-rows")
     signed = docs.select("text").mapInArrow(signatures, "signature long, next byte, d long").repartition(partitions_for(docs), "signature").sortWithinPartitions("signature", "next", "d")

@@ -50,6 +50,37 @@ def test_levels_take_their_own_links(spark, monkeypatch):
     assert len(seen) > 1 and max(seen[1:]) < seen[0] / 2
 
 
+def test_common_passages_make_no_large_group(spark, monkeypatch):
+    """Sets of one group that share a passage alone aren't compared block by block; linked ones are all found, in any number of rounds."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "COUNTED", 6000)
+    monkeypatch.setattr(jaccard_join, "SLOT", 1000)
+    rng = random.Random(17)
+    passage = prose(rng, 90, 5000)
+    rows = [(k, passage + " " + prose(rng, rng.choice([40, 60, 80]), 5000), "s") for k in range(200)]
+    for k in range(40):  # near copies, and such that just miss or make it
+        text = rows[k % 8][1].split(" ")
+        for i in range(rng.choice([1, 2, 4, 6, 8])):
+            text[rng.randrange(len(text))] = f"z{k}.{i}"
+        rows.append((200 + k, " ".join(text), "s"))
+    sets = {k: np.unique(paragraph_minhash.ngrams(paragraph_minhash.words_of([t]).hashes(), 5)) for k, t, _ in rows}
+    saved, save = {}, jaccard_join.save
+
+    def kept(df, name):
+        out = save(df, name)
+        saved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "save", kept)
+    members = spark.createDataFrame([(k, 1, len(s)) for k, s in sets.items()], "d long, met long, n long")
+    shingles = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "d long, shingles binary")
+    got = {r["d"]: r["component"] for r in jaccard_join.group_components(members, shingles, 80, 100).collect()}
+    label = {i: c for (i, _, c) in plain_components(rows, 5, 80, 100)}
+    linked = set(label.values()) & {label[i] for i in label if label[i] != i}
+    assert {i: c for i, c in got.items() if c in linked} == {i: c for i, c in label.items() if c in linked} and all(got[i] == i for i in got if got[i] not in linked)
+    assert "jaccard-pairs" not in saved and saved["jaccard-sets"] < 60
+
+
 def test_units_stay_with_their_text(spark, monkeypatch):
     """Places of units are a row for each text, and short windows of one document are in no later table."""
     rng = random.Random(8)
