@@ -18,6 +18,11 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), _EDGE, "")
 
 
+def is_blank(c: Column) -> Column:
+    """Whether trim() leaves nothing; looks no further than the first other character."""
+    return ~F.coalesce(c, F.lit("")).rlike(r"(?U)[^\s\x{FEFF}]")
+
+
 def norm(c: Column) -> Column:
     return F.lower(trim(c))
 
@@ -55,26 +60,39 @@ def category_first(text: Column, lists: Mapping[str, Sequence[str]] = FIRST_MATC
     return out if gate is None else F.when(relevant(text, gate), out).otherwise("")
 
 
-def keyword_score(text: Column, keywords: Sequence[str]) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
+def keyword_count(t: Column, keywords: Sequence[str]) -> Column:
+    """How many keywords a text in lower case holds."""
     return sum((F.contains(t, F.lit(k)).cast("int") for k in keywords), F.lit(0))
 
 
+def keyword_score(text: Column, keywords: Sequence[str]) -> Column:
+    return keyword_count(F.lower(F.coalesce(text, F.lit(""))), keywords)
+
+
 #: Of categories with as many keywords, the first.
 TIED = (VIDEO, IMAGE, CODING)
 
 
+def best_scored(scores: Mapping[str, Column]) -> Column:
+    """The category with the highest score; ties by TIED; '' if all are 0."""
+    best = F.greatest(*[F.struct(scores[k].alias("score"), F.lit(-place).alias("place"), F.lit(k).alias("name")) for place, k in enumerate(TIED)])
+    return F.when(best["score"] > 0, best["name"]).otherwise("")
+
+
+def best_untied(scores: Mapping[str, Column]) -> Column:
+    """The category with the highest score; '' if the best two tie."""
+    top = F.sort_array(F.array(*[F.struct(s.alias("s"), F.lit(k).alias("k")) for k, s in scores.items()]), asc=False)
+    return F.when((top[0]["s"] == 0) | (top[0]["s"] == top[1]["s"]), "").otherwise(top[0]["k"])
+
+
 def category_scored(text: Column, lists: Mapping[str, Sequence[str]] = SCORED) -> Column:
     """The category with most keywords; ties by TIED; '' without any keyword."""
-    best = F.greatest(*[F.struct(keyword_score(text, lists[k]).alias("score"), F.lit(-place).alias("place"), F.lit(k).alias("name")) for place, k in enumerate(TIED)])
-    return F.when(best["score"] > 0, best["name"]).otherwise("")
+    return best_scored({k: keyword_score(text, words) for k, words in lists.items()})
 
 
 def category_untied(text: Column, lists: Mapping[str, Sequence[str]] = SCORED) -> Column:
     """The category with most keywords; '' if the best two tie."""
-    pairs = F.array(*[F.struct(keyword_score(text, lists[k]).alias("s"), F.lit(k).alias("k")) for k in lists])
-    top = F.sort_array(pairs, asc=False)
-    return F.when((top[0]["s"] == 0) | (top[0]["s"] == top[1]["s"]), "").otherwise(top[0]["k"])
+    return best_untied({k: keyword_score(text, words) for k, words in lists.items()})
 
 
 def category_label(c: Column) -> Column:

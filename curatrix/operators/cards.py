@@ -70,14 +70,18 @@ def library_rows(posts: DataFrame, analysis: DataFrame | None = None, no_summary
     descr, summary = text("descr"), text("summary")
     raw = F.when(descr != "", descr).otherwise(text("title"))
     parts = F.filter(F.array(text("title"), descr, summary, F.array_join(items("core_knowledge"), " ")), lambda t: t != "")
-    all_text = F.array_join(parts, "\n")
-    category = F.when(T.trim(all_text) == "", "").otherwise(F.coalesce(F.nullif(T.category_untied(all_text), F.lit("")), T.library_label(text("category"))))
+    # A column for each step, as an expression is evaluated once for each place that names it: keywords are counted once.
+    rows = rows.withColumns({"_low": F.lower(F.array_join(parts, "\n")), "_hashtags": T.hashtags(descr)})
+    rows = rows.withColumns({f"_n_{k}": T.keyword_count(F.col("_low"), words) for k, words in T.SCORED.items()})
+    scores = {k: F.col(f"_n_{k}") for k in T.SCORED}
+    rows = rows.withColumn("_category", F.when(T.is_blank(F.col("_low")), "").otherwise(F.coalesce(F.nullif(T.best_untied(scores), F.lit("")), T.library_label(text("category")))))
+    category = F.col("_category")
     labels = F.array(*map(F.lit, U.SEMANTIC_COVERS))
     other = lambda tags: F.filter(tags, lambda t: (t != "") & ~F.array_contains(labels, t))
-    tags = F.array_distinct(F.concat(F.slice(other(items("tags")), 1, 8), other(F.slice(T.hashtags(descr), 1, 5)), other(F.slice(F.filter(items("tool_tags"), lambda t: t != ""), 1, 5))))
+    tags = F.array_distinct(F.concat(F.slice(other(items("tags")), 1, 8), other(F.slice(F.col("_hashtags"), 1, 5)), other(F.slice(F.filter(items("tool_tags"), lambda t: t != ""), 1, 5))))
     title = F.coalesce(*[F.nullif(t, F.lit("")) for t in (text("title"), text("suggested_title"), F.substring(descr, 1, 30))], F.lit(no_title))
     cover = F.coalesce(F.nullif(text("cover_image"), F.lit("")), F.get(items("images"), F.lit(0)), F.lit(""))
-    semantic = F.when(category != "", category).otherwise(T.category_scored(all_text))
+    semantic = F.when(category != "", category).otherwise(T.best_scored(scores))
     fixed = F.create_map(*[F.lit(x) for kv in U.SEMANTIC_COVERS.items() for x in kv])[F.when(semantic == "", "Vibe Coding").otherwise(semantic)]
     return rows.select(
         "seq", F.coalesce(F.nullif(T.trim(title), F.lit("")), F.lit(no_title)).alias("title"), "source_url", "platform", "author", text("publish_time").alias("date"), F.when((cover == "") | U.is_fallback_cover(cover), fixed).otherwise(cover).alias("cover_image"),

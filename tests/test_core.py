@@ -189,6 +189,13 @@ def test_chat_parts(spark):
     assert parts == whole and whole["big"].startswith("cards: 100000\n")
 
 
+def test_library_rows_count_keywords_once(spark):
+    """No step of the plan searches a text for a keyword that another step has counted."""
+    plan = queries.QUERIES["sc3_library_rows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(") <= sum(map(len, T.SCORED.values())) + 30
+    assert column(spark, [None, "", " \u00a0\ufeff\n", " x "], T.is_blank) == [True, True, True, False]
+
+
 def test_lists_of_any_length(spark):
     df = spark.createDataFrame([(i, i % 5) for i in range(500)], "id int, k int")
     got = [(r["k"], r["id"], r["rank"]) for r in collections.listed(df, [F.col("k").desc(), F.col("id")]).orderBy("rank").collect()]
