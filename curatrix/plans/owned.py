@@ -35,8 +35,7 @@ OWNED = f"""{A.POSTS}, lists AS (
 SELECT owner_id, count(*)::BIGINT AS n, sum(seq)::BIGINT AS seqs, sum(score)::BIGINT AS scores, (count(*) FILTER (WHERE trusted))::BIGINT AS n_trusted FROM x
 WHERE score >= CASE WHEN trusted THEN 1000 ELSE 500 END AND CASE WHEN score >= 5000 THEN true WHEN bad THEN false WHEN trusted THEN true ELSE NOT asks OR pos END GROUP BY owner_id""")
 def _(tables):
-    found = owners.candidates(*tables, A.PARAMS)
-    return found.groupBy("owner_id").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.sum("score").alias("scores"), F.count_if("trusted").alias("n_trusted"))
+    return owners.totals(*tables, A.PARAMS)
 
 
 @query("jn2_select_by_owner", owned, f"""WITH {OWNED}, k AS (SELECT DISTINCT term FROM lists WHERE type = 'topic'), r AS (SELECT term, seq, row_number() OVER (PARTITION BY term ORDER BY published_at DESC NULLS LAST, seq)::INTEGER AS rank FROM posts JOIN k ON contains(lower(descr), term))

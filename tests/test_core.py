@@ -215,6 +215,32 @@ def test_terms_of_many_owners(spark):
     assert owners.hits(df, F.col("descr"), t.limit(0)).count() == 0
 
 
+def test_owners_totals_are_those_of_the_pairs(spark, monkeypatch):
+    """Whether posts that are alike are summed up, in one block of groups or in many, or the pairs are listed; owners' pairs aren't made."""
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "abc" for b in "abc"]
+    posts = [(i, rng.choice(["microblog", "notes", None]), rng.choice([None, "", "Ab cc"]), rng.choice([None, " ".join(rng.choice(words + ["zz"]).upper() for _ in range(3))]), rng.choice([None, "@A1", "a2 ", "a3"]), rng.choice([None, 100, 600, 1200, 6000]), rng.choice([None, 5]), rng.choice([None, datetime(2024, 1, 30), datetime(2024, 1, 2)])) for i in range(300)]
+    lists = [(rng.choice([None, *[f"u{i}" for i in range(20)]]), rng.choice(["topic", "topic", "positive", "blacklist", "other"]), rng.choice([*words, " AA", "", None, "c\nb"])) for _ in range(120)]
+    handles = [(f"u{i}", rng.choice(["@a1", "A2", "", None, "a9"])) for i in range(0, 24, 2)]
+    p = replace(A.PARAMS, now=datetime(2024, 1, 31))
+    tables = [spark.createDataFrame(rows, kind) for rows, kind in ((posts, "seq long, platform string, title string, descr string, author string, likes long, comments long, published_at timestamp_ntz"), (lists, "owner_id string, type string, keyword string"), (handles, "owner_id string, handle string"))]
+    sums = lambda q: {r["owner_id"]: tuple(r)[1:] for r in owners.totals(*tables, q).collect()}
+    for q in (p, replace(p, min_interaction=0), replace(p, min_interaction=2000, trusted_min=500)):
+        want = {}
+        for r in owners.candidates(*tables, q).collect():
+            n, seqs, scores, trusted = want.get(r["owner_id"], (0, 0, 0, 0))
+            want[r["owner_id"]] = (n + 1, seqs + r["seq"], scores + r["score"], trusted + r["trusted"])
+        assert want and sums(q) == want
+    with monkeypatch.context() as m:
+        m.setattr(owners, "GROUPS", 7)
+        assert sums(q) == want
+    with monkeypatch.context() as m:
+        m.setattr(owners, "BITS", 5)
+        assert sums(q) == want
+    monkeypatch.setattr(owners, "candidates", None)
+    assert sums(q) == want and queries.QUERIES["fl5_candidates_by_owner"](spark, SF).count() > 0
+
+
 def test_cleanup_ties_and_owner(spark):
     rows = [card(1, is_trending=True, tags=["x"]), card(2, tags=["y"]), card(3, tags=["y"], owner_id="p"), card(4, source_url="https://b.example/")]
     df = spark.createDataFrame(rows, CARD)
