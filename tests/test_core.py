@@ -374,6 +374,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert logged(spark, out) == [(4, 0, 2), (2, 0, 2)]
 
 
+def test_state_takes_packed_posts():
+    """An address's last post by place, not by text, of one row or several; what was seen last isn't passed on."""
+    import pandas as pd
+
+    class State:
+        hasTimedOut, kept = False, None
+        exists = property(lambda s: s.kept is not None)
+        get = property(lambda s: s.kept)
+
+        def update(self, kept):
+            self.kept = kept
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+    post = lambda landed, pos, file, body: "\u0001".join([str(landed), str(pos), file, body])
+    rows = [("a", post(5, 9, "f", "x"), 1), ("a", post(5, 10, "f", "y\u0001z"), 2), ("a", post(5, 99, "e", "w"), 3)]
+    frames = [pd.DataFrame(rows[:2], columns=["source_url", "post", "signature"]), pd.DataFrame(rows[2:], columns=["source_url", "post", "signature"])]
+    state, pass_on = State(), ingest.newer(0, 1, 2)
+    assert [f.values.tolist() for f in pass_on(("a", True), iter(frames), state)] == [[["a", rows[1][1]]]]
+    assert list(pass_on(("a", True), iter([frames[0].iloc[1:]]), state)) == [] and state.kept == (2,) and state.at == 86_400_000
+    assert [f["post"].tolist() for f in pass_on(("a", True), iter([frames[1]]), state)] == [[rows[2][1]]]
+
+
+def test_cards_search_a_text_once(spark):
+    posts = A.posts(spark, SF)
+    rows = cards.trending_rows(posts, "snapshot:x", "o1")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("aiartcommunity") <= 2
+    want = {r["seq"]: r["c"] for r in posts.select("seq", T.category_first(F.when(F.col("descr") != "", F.col("descr")).otherwise(F.col("title"))).alias("c")).collect()}
+    got = {r["seq"]: next((t for t in r["tags"] if t in T.FIRST_MATCH), "") for r in rows.collect()}
+    assert got == want
+
+
 def test_stream_refreshes_and_retains(spark, tmp_path):
     """Posts that land again with other likes are refreshed and logged, a replay changes nothing, old snapshots go."""
     landing, out = tmp_path / "in", f"file://{tmp_path}/cards"
